@@ -12,6 +12,8 @@ from paperloom.catalog.registry import ORACLES, QUERIES
 def _plain(value):
     if isinstance(value, float):
         return None if math.isnan(value) else round(value, 9)
+    if isinstance(value, list):
+        return tuple(_plain(item) for item in value)
     return value
 
 

@@ -145,12 +145,12 @@ def sql_chunks(source: str, key: str, size: int, overlap: int, name: str = "chun
     step = size - overlap
     return f"""{name}_stripped AS (SELECT {key}, {sql_strip("text")} AS text FROM {source}),
 {name}_windows AS (
-    SELECT {key}, text, unnest(generate_series(0, length(text) - 1, {step})) AS at FROM {name}_stripped WHERE text <> ''),
+    SELECT {key}, text, unnest(generate_series(0, length(text) - 1, {step})) AS first_char FROM {name}_stripped WHERE text <> ''),
 {name}_pieces AS (
-    SELECT {key}, at, {sql_strip(f"substr(text, at + 1, {size})")} AS text FROM {name}_windows
-    WHERE at = 0 OR at - {step} + {size} < length(text)),
+    SELECT {key}, first_char, {sql_strip(f"substr(text, first_char + 1, {size})")} AS text FROM {name}_windows
+    WHERE first_char = 0 OR first_char - {step} + {size} < length(text)),
 {name} AS (
-    SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY at) - 1 AS chunk_index, text
+    SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY first_char) - 1 AS chunk_index, text
     FROM {name}_pieces WHERE text <> '')"""
 
 
