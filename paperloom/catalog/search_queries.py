@@ -98,13 +98,12 @@ def _search_totals(spark, sf_dir):
     return search_totals(paper_view(spark, sf_dir))
 
 
-def _first_wins_sql(scope: str) -> str:
+def first_wins_sql(scope: str, papers: str = "paper_view") -> str:
     """Sequential walk: one row per step, carrying the keys of the kept rows."""
-    return f"""{PAPER_VIEW},
-keyed AS (
+    return f"""keyed AS (
     SELECT doc_id, row_number() OVER (ORDER BY source_pos, source_rank) AS n,
            {scope} || ':' || {DOI_KEY_SQL} AS d, {scope} || ':' || {TITLE_KEY_SQL} AS t
-    FROM paper_view),
+    FROM {papers}),
 walk(n, doc_id, kept, dois, titles) AS (
     SELECT 0::BIGINT, NULL::BIGINT, FALSE, []::VARCHAR[], []::VARCHAR[]
     UNION ALL
@@ -117,14 +116,14 @@ walk(n, doc_id, kept, dois, titles) AS (
           FROM walk JOIN keyed ON keyed.n = walk.n + 1) k)"""
 
 
-@query("dedupe_papers", f"WITH RECURSIVE {_first_wins_sql(chr(39) * 2)} SELECT doc_id FROM walk WHERE kept")
+@query("dedupe_papers", f"WITH RECURSIVE {PAPER_VIEW}, {first_wins_sql(chr(39) * 2)} SELECT doc_id FROM walk WHERE kept")
 def _dedupe_papers(spark, sf_dir):
     return dedupe_papers(paper_view(spark, sf_dir)).select("doc_id")
 
 
 @query(
     "search_papers",
-    f"""WITH RECURSIVE {_first_wins_sql("topic")}
+    f"""WITH RECURSIVE {PAPER_VIEW}, {first_wins_sql("topic")}
     SELECT p.topic, p.doc_id, p.paper_id, p.title, strftime(p.published_date, '%Y-%m-%d') AS published
     FROM walk JOIN paper_view p ON p.doc_id = walk.doc_id
     WHERE kept AND year(p.published_date) BETWEEN 2000 AND 2015

@@ -13,9 +13,10 @@ from paperloom.session import fresh_path
 MARKER = "paper_id string, chunk_count bigint, page_count bigint"
 
 
-def stored_markers(spark: SparkSession, path: str) -> DataFrame:
-    """Markers written by all batches so far; a repeated batch replaced its own folder, so each paper appears once."""
-    return spark.read.schema(f"{MARKER}, batch_id bigint").option("recursiveFileLookup", "false").parquet(path)
+def stored_markers(spark: SparkSession, root: str, before_batch: int) -> DataFrame:
+    """Markers written by earlier batches; the schema is given because a batch may have had no success."""
+    markers = spark.read.schema(f"{MARKER}, batch_id bigint").parquet(f"{root}/markers")
+    return markers.where(F.col("batch_id") < before_batch).drop("batch_id")
 
 
 def start_ingest(
@@ -33,8 +34,7 @@ def start_ingest(
         own = batch.sparkSession
         done = base_markers.select("paper_id", "chunk_count", "page_count")
         if batch_id > 0:
-            earlier = own.read.parquet(f"{root}/markers").where(F.col("batch_id") < batch_id)
-            done = done.unionByName(earlier.select(done.columns))
+            done = done.unionByName(stored_markers(own, root, batch_id))
         result = ingest_papers(batch, fetches, pages, done, **limits)
         for name, frame in (("log", result.log), ("chunks", result.chunks), ("markers", new_markers(result.log))):
             frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
