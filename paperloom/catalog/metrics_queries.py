@@ -119,21 +119,21 @@ def searches(spark, sf_dir):
     """Events as repeated searches: the user asks for the type of the event."""
     log = request_log(spark, sf_dir)
     return log.select(
-        F.concat_ws("|", "endpoint", "client").alias("cache_key"), F.unix_micros("ts").alias("at"), "ts"
+        F.concat_ws("|", "endpoint", "client").alias("cache_key"), F.unix_micros("ts").alias("asked_us"), "ts"
     )
 
 
 # The walk over a key's searches, one per step and all keys side by side.
 _PASSING = """WITH RECURSIVE searches AS (
-    SELECT DISTINCT event_type || '|user' || user_id AS cache_key, epoch_us(ts) AS at FROM events),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY at) AS n FROM searches),
-walk(cache_key, n, at, passed, blocked_until) AS (
-    SELECT cache_key, n, at, TRUE, at + {ttl}::BIGINT FROM numbered WHERE n = 1
+    SELECT DISTINCT event_type || '|user' || user_id AS cache_key, epoch_us(ts) AS asked_us FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY asked_us) AS n FROM searches),
+walk(cache_key, n, asked_us, passed, blocked_until) AS (
+    SELECT cache_key, n, asked_us, TRUE, asked_us + {ttl}::BIGINT FROM numbered WHERE n = 1
     UNION ALL
-    SELECT s.cache_key, s.n, s.at, s.at >= w.blocked_until,
-           CASE WHEN s.at >= w.blocked_until THEN s.at + {ttl}::BIGINT ELSE w.blocked_until END
+    SELECT s.cache_key, s.n, s.asked_us, s.asked_us >= w.blocked_until,
+           CASE WHEN s.asked_us >= w.blocked_until THEN s.asked_us + {ttl}::BIGINT ELSE w.blocked_until END
     FROM walk w JOIN numbered s ON s.cache_key = w.cache_key AND s.n = w.n + 1)
-SELECT cache_key, at FROM walk WHERE passed"""
+SELECT cache_key, asked_us FROM walk WHERE passed"""
 # Three days, so that users do repeat themselves in time.
 _TTL = 3 * 24 * 3600
 
@@ -145,4 +145,4 @@ def _ttl_dedupe(spark, sf_dir):
 
 @query("ttl_dedupe_stream", _PASSING.format(ttl=_TTL * 1_000_000))
 def _ttl_dedupe_stream(spark, sf_dir):
-    return replay_ttl_dedupe(searches(spark, sf_dir).select("cache_key", "at"), ttl_seconds=_TTL)
+    return replay_ttl_dedupe(searches(spark, sf_dir).select("cache_key", "asked_us"), ttl_seconds=_TTL)

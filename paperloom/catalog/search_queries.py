@@ -236,8 +236,12 @@ PER_RESPONSE = 20
 _ROW = ("topic", "doc_id AS source_rank")
 
 
+NULL_NAME = "@null@"
+
+
 def _people(field: str = "name"):
-    return F.transform("authors", lambda name: F.struct(name.alias(field)))
+    nameless = F.col("doc_id") % 17 == 1
+    return F.transform("authors", lambda name: F.struct(F.when(nameless, F.lit(NULL_NAME)).otherwise(name).alias(field)))
 
 
 def _year_or_zero():
@@ -248,10 +252,9 @@ def _damaged(good, typed_field: str = "title", cut: bool = True):
     """Truncated, null-author and wrong-type variants next to good payloads."""
     doc = F.col("doc_id")
     broken = F.when((doc % 17 == 0) & F.lit(cut), F.left(good, F.char_length(good) - 3))
-    name = r'"(name|display_name)":"(?:[^"\\]|\\.)*"'
     return (
-        broken.when((doc % 17 == 1) & (F.size("authors") > 0), F.regexp_replace(good, name, '"$1":null'))
-        .when(doc % 17 == 2, F.regexp_replace(good, f'"{typed_field}":"', f'"{typed_field}":7,"was":"'))
+        broken.when(doc % 17 == 1, F.replace(good, F.lit(f'"{NULL_NAME}"'), F.lit("null")))
+        .when(doc % 17 == 2, F.replace(good, F.lit(f'"{typed_field}":"'), F.lit(f'"{typed_field}":7,"was":"')))
         .otherwise(good)
     )
 
@@ -338,7 +341,7 @@ WORDS_SQL = "nullif(array_to_string(list_filter(regexp_split_to_array({}, '[ \n]
 
 
 def landed_openalex(spark, sf_dir):
-    people = F.transform("authors", lambda name: F.struct(F.struct(name.alias("display_name")).alias("author")))
+    people = F.transform(_people("display_name"), lambda person: F.struct(person.alias("author")))
     item = F.struct(
         F.concat(F.lit("https://openalex.org/"), F.col("doc_id").cast("string")).alias("id"),
         F.col("title").alias("display_name"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from paperloom.schemas import CACHE_TTL_SECONDS, DEFAULT_LIMIT_PER_HOUR, LATENCY
 from paperloom.session import cut_lineage
 
 LATENCY_BLOCK = 65_536
-SESSION_ROWS = 20_000
+SESSION_ROWS = 4_096
 MICROS = 1_000_000
 
 
@@ -141,18 +140,18 @@ def run_report(run_events: DataFrame, asked: DataFrame, order: tuple[str, ...] =
 def ttl_dedupe(
     searches: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, session_rows: int = SESSION_ROWS
 ) -> DataFrame:
-    """Searches that reach the sources when results are cached for ``ttl_seconds``: ``(cache_key, at)``.
+    """Searches that reach the sources when results are cached for ``ttl_seconds``: ``(cache_key, asked_us)``.
 
-    ``searches(cache_key, at)`` with ``at`` in microseconds.  The first search of a key passes and answers the same
+    ``searches(cache_key, asked_us)`` with ``asked_us`` in microseconds.  The first search of a key passes and answers the same
     search until the time is over, then the next one passes.  A pause of the full time restarts a key, so its history
-    falls apart into sessions.  Sessions of at most ``session_rows`` distinct moments are walked as small groups; longer
+    falls apart into sessions.  Sessions of at most ``session_rows`` distinct moments are walked as bounded arrays; longer
     ones are solved by joins: every search points to the one that would pass next, and doubling the pointers marks all
     that are reached from the first in logarithmically many rounds.
     """
     ttl = ttl_seconds * MICROS
-    moments = searches.select("cache_key", "at").distinct().withColumn("slot", F.floor(F.col("at") / ttl))
+    moments = searches.select("cache_key", "asked_us").distinct().withColumn("slot", F.floor(F.col("asked_us") / ttl))
     slots = moments.groupBy("cache_key", "slot").agg(
-        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("rows")
+        F.min("asked_us").alias("first_at"), F.max("asked_us").alias("last_at"), F.count("*").alias("rows")
     )
     history = W.partitionBy("cache_key").orderBy("slot")
     restart = F.coalesce(F.col("first_at") - F.lag("last_at").over(history) >= ttl, F.lit(True))
@@ -162,70 +161,78 @@ def ttl_dedupe(
         "cache_key", "slot", "session", F.sum("rows").over(in_session).alias("session_rows")
     )
     tagged = cut_lineage(moments.join(sized, ["cache_key", "slot"]).drop("slot"))
-    key_type = searches.schema["cache_key"].dataType.simpleString()
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        passed, blocked_until = [], None
-        for at in group["at"].sort_values():
-            if blocked_until is None or at >= blocked_until:
-                passed.append(at)
-                blocked_until = at + ttl
-        return pd.DataFrame({"cache_key": group["cache_key"].iloc[0], "at": passed})
-
-    small = tagged.where(F.col("session_rows") <= session_rows).select("cache_key", "session", "at")
-    passed = small.groupBy("cache_key", "session").applyInPandas(walk, f"cache_key {key_type}, at bigint")
-    large = tagged.where(F.col("session_rows") > session_rows).select("cache_key", "session", "at")
+    small = tagged.where(F.col("session_rows") <= session_rows).groupBy("cache_key", "session").agg(
+        F.sort_array(F.collect_list("asked_us")).alias("moments")
+    )
+    passed = small.select("cache_key", F.explode(_walk("moments", ttl)).alias("asked_us"))
+    large = tagged.where(F.col("session_rows") > session_rows).select("cache_key", "session", "asked_us")
     if large.isEmpty():
         return passed
     return passed.unionByName(_passing_by_doubling(large, ttl))
 
 
+def _walk(moments: str, ttl: int) -> Column:
+    """The passing ones among sorted moments."""
+    start = F.struct(
+        F.lit(-(2**62)).cast("bigint").alias("open_from"), F.array().cast("array<bigint>").alias("passed")
+    )
+    return F.aggregate(
+        moments,
+        start,
+        lambda state, asked: F.when(
+            asked >= state["open_from"],
+            F.struct((asked + ttl).alias("open_from"), F.concat(state["passed"], F.array(asked)).alias("passed")),
+        ).otherwise(state),
+        lambda state: state["passed"],
+    )
+
+
 def _passing_by_doubling(moments: DataFrame, ttl: int) -> DataFrame:
     """Passing searches of long sessions by pointer doubling; all groups are single moments or short time slices."""
     steps = cut_lineage(_next_passing(moments, ttl))
     reached = cut_lineage(
-        moments.groupBy("cache_key", "session").agg(F.min("at").alias("at")).select("cache_key", "session", "at")
+        moments.groupBy("cache_key", "session").agg(F.min("asked_us").alias("asked_us")).select("cache_key", "session", "asked_us")
     )
     while not steps.isEmpty():
-        onward = reached.join(steps, ["cache_key", "session", "at"]).select(
-            "cache_key", "session", F.col("next_at").alias("at")
+        onward = reached.join(steps, ["cache_key", "session", "asked_us"]).select(
+            "cache_key", "session", F.col("next_us").alias("asked_us")
         )
         reached = cut_lineage(reached.unionByName(onward))
-        following = steps.select("cache_key", "session", F.col("at").alias("next_at"), F.col("next_at").alias("after"))
+        following = steps.select("cache_key", "session", F.col("asked_us").alias("next_us"), F.col("next_us").alias("after"))
         steps = cut_lineage(
-            steps.join(following, ["cache_key", "session", "next_at"]).select(
-                "cache_key", "session", "at", F.col("after").alias("next_at")
+            steps.join(following, ["cache_key", "session", "next_us"]).select(
+                "cache_key", "session", "asked_us", F.col("after").alias("next_us")
             )
         )
-    return reached.select("cache_key", "at")
+    return reached.select("cache_key", "asked_us")
 
 
 def _next_passing(moments: DataFrame, ttl: int) -> DataFrame:
-    """``(cache_key, session, at, next_at)``: the first moment at least ``ttl`` later, where there is one.
+    """``(cache_key, session, asked_us, next_us)``: the first moment at least ``ttl`` later, where there is one.
 
-    Probes at ``at + ttl`` are sorted among the moments of their own short slice; a probe with nothing behind it in the
+    Probes at ``asked_us + ttl`` are sorted among the moments of their own short slice; a probe with nothing behind it in the
     slice takes the start of the next filled slice.
     """
     width = max(ttl // 64, 1)
-    slot = F.floor(F.col("at") / width)
-    own = moments.select("cache_key", "session", slot.alias("slot"), "at", F.lit(None).cast("bigint").alias("asker"))
-    probes = moments.select("cache_key", "session", F.col("at").alias("asker"), (F.col("at") + ttl).alias("at")).select(
-        "cache_key", "session", slot.alias("slot"), "at", "asker"
+    slot = F.floor(F.col("asked_us") / width)
+    own = moments.select("cache_key", "session", slot.alias("slot"), "asked_us", F.lit(None).cast("bigint").alias("asker"))
+    probes = moments.select("cache_key", "session", F.col("asked_us").alias("asker"), (F.col("asked_us") + ttl).alias("asked_us")).select(
+        "cache_key", "session", slot.alias("slot"), "asked_us", "asker"
     )
     mixed = own.unionByName(probes)
-    real = F.when(F.col("asker").isNull(), F.col("at"))
+    real = F.when(F.col("asker").isNull(), F.col("asked_us"))
     within = (
         W.partitionBy("cache_key", "session", "slot")
-        .orderBy("at", F.col("asker").asc_nulls_last())
+        .orderBy("asked_us", F.col("asker").asc_nulls_last())
         .rowsBetween(0, W.unboundedFollowing)
     )
     beyond = W.partitionBy("cache_key", "session").orderBy("slot").rowsBetween(1, W.unboundedFollowing)
     later = mixed.groupBy("cache_key", "session", "slot").agg(F.min(real).alias("first_at")).select(
         "cache_key", "session", "slot", F.first("first_at", ignorenulls=True).over(beyond).alias("later_at")
     )
-    found = mixed.withColumn("next_at", F.first(real, ignorenulls=True).over(within)).where(F.col("asker").isNotNull())
+    found = mixed.withColumn("next_us", F.first(real, ignorenulls=True).over(within)).where(F.col("asker").isNotNull())
     return (
         found.join(later, ["cache_key", "session", "slot"])
-        .select("cache_key", "session", F.col("asker").alias("at"), F.coalesce("next_at", "later_at").alias("next_at"))
-        .where(F.col("next_at").isNotNull())
+        .select("cache_key", "session", F.col("asker").alias("asked_us"), F.coalesce("next_us", "later_at").alias("next_us"))
+        .where(F.col("next_us").isNotNull())
     )

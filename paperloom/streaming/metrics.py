@@ -60,11 +60,11 @@ def start_ttl_dedupe(searches: DataFrame, root: str, ttl_seconds: int = CACHE_TT
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
-        passed = own.read.schema(f"cache_key {fields['cache_key'].dataType.simpleString()}, at bigint, batch_id bigint")
+        passed = own.read.schema(f"cache_key {fields['cache_key'].dataType.simpleString()}, asked_us bigint, batch_id bigint")
         earlier = passed.parquet(f"{root}/out").where(F.col("batch_id") < batch_id)
-        last = earlier.groupBy("cache_key").agg(F.max("at").alias("last_at"))
+        last = earlier.groupBy("cache_key").agg(F.max("asked_us").alias("last_at"))
         open_again = batch.join(last, "cache_key", "left").where(
-            F.col("last_at").isNull() | (F.col("at") - F.col("last_at") >= ttl_seconds * MICROS)
+            F.col("last_at").isNull() | (F.col("asked_us") - F.col("last_at") >= ttl_seconds * MICROS)
         )
         ttl_dedupe(open_again.drop("last_at"), ttl_seconds).write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
@@ -92,6 +92,6 @@ def replay_rate_limits(requests: DataFrame, limit: Column | None = None) -> Data
 def replay_ttl_dedupe(searches: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     spark = searches.sparkSession
     root = fresh_path(spark, "ttl-stream")
-    stream = land_in_slices(searches, "at", f"{root}/landing")
+    stream = land_in_slices(searches, "asked_us", f"{root}/landing")
     start_ttl_dedupe(stream, root, ttl_seconds).awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("cache_key", "at")
+    return spark.read.parquet(f"{root}/out").select("cache_key", "asked_us")
