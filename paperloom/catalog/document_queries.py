@@ -225,7 +225,7 @@ def _ingest_status(spark, sf_dir):
         document_lines(spark, sf_dir),
         ingest_markers(spark, sf_dir),
     )
-    return flags.select("paper_id", ingest_status(flags).alias("status"))
+    return flags.select("paper_id", ingest_status().alias("status"))
 
 
 @query("summarizable", f"WITH {INGEST_SQL} SELECT paper_id FROM judged WHERE status IN ('success', 'already_cached')")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import WHITESPACE, paper_id, title_key
+from paperloom.session import spread
 from paperloom.schemas import EVALUATED_ON, SOURCES, USES_METHOD
 
 
@@ -13,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, ready for costly work on their texts."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def joined(names, separator: str = "|"):
     return F.array_join(names, separator)
 
@@ -29,7 +35,7 @@ def paper_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paper per document; the language is the topic."""
     doc = F.col("doc_id")
     number = doc % 4
-    documents = table(spark, sf_dir, "documents").select(
+    titled = documents(spark, sf_dir).select(
         doc,
         "text",
         "n_chars",
@@ -44,7 +50,7 @@ def paper_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     source = F.get(F.array(*[F.lit(name) for name in SOURCES]), number.cast("int"))
     external = F.concat(F.lit("10."), (doc % 7).cast("string"), F.lit("/"), doc.cast("string"))
-    return documents.select(
+    return titled.select(
         doc,
         "topic",
         external.alias("external_id"),

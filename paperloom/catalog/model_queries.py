@@ -12,7 +12,7 @@ from paperloom.catalog.document_queries import (
     paper_chunks,
     paper_fetches,
 )
-from paperloom.catalog.fixtures import PAPER_VIEW, joined, paper_view, sql_chunks, table
+from paperloom.catalog.fixtures import PAPER_VIEW, documents, joined, paper_view, sql_chunks, table
 from paperloom.catalog.registry import query
 from paperloom.catalog.search_queries import (
     APA_SQL,
@@ -116,7 +116,7 @@ def _parse_response(spark, sf_dir):
 def _clean_entities(spark, sf_dir):
     """Lines of a document as names given by a model, with repeats and outer blanks."""
     given = F.split(F.regexp_replace("text", "\n", " \n "), "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", joined(clean_names(given)).alias("names"))
+    return documents(spark, sf_dir).select("doc_id", joined(clean_names(given)).alias("names"))
 
 
 # The draft and card queries use one summary per paper that the stub answered in full.

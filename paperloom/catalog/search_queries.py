@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.catalog.fixtures import PAPER_VIEW, day, joined, paper_view, sql_strip, table
+from paperloom.catalog.fixtures import PAPER_VIEW, day, documents, joined, paper_view, sql_strip
 from paperloom.catalog.registry import query
 from paperloom.functions import citation
 from paperloom.functions.text import id_list, title_key
@@ -213,7 +213,7 @@ def _byline(spark, sf_dir):
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, id FROM ids WHERE id <> ''""",
 )
 def _parse_id_list(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(id_list(F.col("text"))).alias("pos", "id"))
+    ids = documents(spark, sf_dir).select("doc_id", F.posexplode(id_list(F.col("text"))).alias("pos", "id"))
     return ids.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -330,7 +330,7 @@ def landed_pubmed(spark, sf_dir):
 def word_positions(spark, sf_dir):
     """``(doc_id, word_index)`` with the inverted index of every document."""
     words = F.filter(F.split("text", "[ \n]+"), lambda word: word != "")
-    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("position", "word"))
+    placed = documents(spark, sf_dir).select("doc_id", F.posexplode(words).alias("position", "word"))
     positions = placed.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("position")).alias("positions"))
     return positions.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("word_index")
@@ -365,8 +365,8 @@ LANDED = {
 
 @query("inverted_abstract", f"SELECT doc_id, {WORDS_SQL.format('text')} AS abstract FROM documents")
 def _inverted_abstract(spark, sf_dir):
-    indexed = table(spark, sf_dir, "documents").select("doc_id").join(word_positions(spark, sf_dir), "doc_id", "left")
-    return indexed.select("doc_id", payloads.inverted_abstract(F.col("word_index")).alias("abstract"))
+    indexed = documents(spark, sf_dir).select("doc_id").join(word_positions(spark, sf_dir), "doc_id", "left")
+    return payloads.with_inverted_abstract(indexed, F.col("word_index")).select("doc_id", "abstract")
 
 
 def _source_query(source: str, columns: dict[str, str], cut: bool = True):

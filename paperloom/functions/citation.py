@@ -17,31 +17,35 @@ def _letters(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^a-zA-Z]", ""))
 
 
-def _last_name_first(name: Column) -> Column:
-    parts = words(name)
+def _last_name_first(name: Column, parts: Column) -> Column:
     initials = F.transform(
         F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
         lambda part: F.concat(F.left(part, F.lit(1)), F.lit(".")),
     )
     return F.when(F.size(parts) < 2, name).otherwise(
-        F.concat(F.try_element_at(parts, F.lit(-1)), F.lit(", "), F.array_join(initials, " "))
+        F.concat(F.element_at(parts, -1), F.lit(", "), F.array_join(initials, " "))
     )
 
 
 def apa_authors(authors: Column) -> Column:
     """Up to 20 names in full, beyond that the first 19, an ellipsis and the last."""
-    names = F.transform(authors, _last_name_first)
     count = F.size(authors)
-    last = F.try_element_at(names, F.lit(-1))
-    return (
-        F.when(F.coalesce(count, F.lit(0)) <= 0, F.lit("Unknown Author"))
-        .when(count == 1, F.get(names, F.lit(0)))
-        .when(
-            count <= 20,
-            F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(count - 1, F.lit(0))), ", "), F.lit(", & "), last),
+    listed = F.filter(authors, lambda name, nth: (count <= 20) | (nth < 19) | (nth == count - 1))
+    split = F.transform(listed, lambda name: F.struct(name.alias("name"), words(name).alias("parts")))
+
+    def joint(nth: Column) -> Column:
+        at_end = nth == F.least(count, F.lit(20)) - 1
+        return (
+            F.when(nth == 0, F.lit(""))
+            .when(at_end & (count > 20), F.lit(", ... "))
+            .when(at_end, F.lit(", & "))
+            .otherwise(F.lit(", "))
         )
-        .otherwise(F.concat(F.array_join(F.slice(names, 1, 19), ", "), F.lit(", ... "), last))
+
+    pieces = F.transform(
+        split, lambda author, nth: F.concat(joint(nth), _last_name_first(author["name"], author["parts"]))
     )
+    return F.when(count > 0, F.array_join(pieces, "")).otherwise(F.lit("Unknown Author"))
 
 
 def apa_citation(title: Column, authors: Column, published: Column, doi: Column, url: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import doi_key, title_key
 from paperloom.session import cut_lineage
 
-# Past this many rounds, a remainder of at most this many key rows is walked in one task.
+# Past this many rounds, a remainder of at most this many key rows is walked scope by scope.
 ROUNDS_BEFORE_WALK = 12
 WALK_LIMIT = 50_000
 
@@ -52,11 +52,11 @@ def _without_taken(undecided: DataFrame, winners: DataFrame, key: str) -> DataFr
 
 
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sequential first-wins walk over one bounded remainder."""
+    """Sequential first-wins walk over the bounded remainder of one scope."""
     seen = {"doi_key": set(), "title_key": set()}
     kept = []
-    for row in rows.sort_values(["scope", "ord"]).to_dict("records"):
-        keys = [(name, (row["scope"], row[name])) for name in seen if isinstance(row[name], str)]
+    for row in rows.sort_values("ord").to_dict("records"):
+        keys = [(name, row[name]) for name in seen if isinstance(row[name], str)]
         if all(key not in seen[name] for name, key in keys):
             kept.append(row)
             for name, key in keys:
@@ -83,7 +83,7 @@ def first_wins(
     while not undecided.isEmpty():
         if rounds >= rounds_before_walk and undecided.limit(walk_limit + 1).count() <= walk_limit:
             kept.append(
-                undecided.groupBy(F.lit(0)).applyInPandas(_walk, undecided.schema).select("scope", "ord")
+                undecided.groupBy("scope").applyInPandas(_walk, undecided.schema).select("scope", "ord")
             )
             break
         winners = cut_lineage(_round_winners(undecided))

@@ -91,14 +91,12 @@ def latency_last_n(calls: DataFrame, window: int = LATENCY_WINDOW, block_rows: i
     needed_next = F.pmod("position", F.lit(block_rows)) > block_rows - window
     blocks = F.when(needed_next, F.array(own, own + 1)).otherwise(F.array(own))
     copies = placed.select(*order, "cents", "position", own.alias("own"), F.explode(blocks).alias("block"))
-    last = W.partitionBy("model", "block").orderBy("position").rowsBetween(1 - window, 0)
-    means = copies.select(
-        *order,
-        "own",
-        "block",
-        F.sum("cents").over(last).alias("sum"),
-        F.count("*").over(last).alias("calls_tracked"),
-    )
+    # Running sums and their value one window ago, instead of summing the window again for every call.
+    running = W.partitionBy("model", "block").orderBy("position")
+    summed = copies.withColumn("total", F.sum("cents").over(running.rowsBetween(W.unboundedPreceding, 0)))
+    last_sum = F.col("total") - F.coalesce(F.lag("total", window).over(running), F.lit(0))
+    tracked = F.least(F.col("position") + 1, F.lit(window)).cast("bigint")
+    means = summed.select(*order, "own", "block", last_sum.alias("sum"), tracked.alias("calls_tracked"))
     return means.where(F.col("own") == F.col("block")).select(
         *order, _mean_to_tenths(F.col("sum"), F.col("calls_tracked")).alias("avg_latency_ms"), "calls_tracked"
     )

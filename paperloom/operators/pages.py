@@ -30,13 +30,13 @@ def _stripped(pages: DataFrame) -> DataFrame:
     )
 
 
-def _block_spans(stripped: DataFrame) -> DataFrame:
+def block_spans(pages: DataFrame) -> DataFrame:
     """Per (paper_id, block): where the block starts in the full text, plus document totals.
 
     At most PAGES_PER_BLOCK page lengths meet in one group; everything above that works on one row per block.
     """
     gap = len(SEPARATOR)
-    lengths = stripped.groupBy("paper_id", "block").agg(
+    lengths = _stripped(pages).groupBy("paper_id", "block").agg(
         F.sort_array(F.collect_list(F.struct("page_no", F.char_length("text").alias("length")))).alias("pages")
     )
     filled = F.transform("pages", lambda page: page["length"] > 0)
@@ -83,14 +83,21 @@ def document_status(pages: DataFrame, min_chars: float = MIN_CHARS_PER_PAGE) ->
     return totals.select("paper_id", "page_count", full_length.alias("n_chars")).select("*", _gate(min_chars))
 
 
-def page_spans(pages: DataFrame, min_chars: float = MIN_CHARS_PER_PAGE) -> DataFrame:
-    """The assembled documents, one row per page.
+def block_status(blocks: DataFrame, min_chars: float = MIN_CHARS_PER_PAGE) -> DataFrame:
+    """The same from block spans, without another look at the pages."""
+    return blocks.select("paper_id", "page_count", "n_chars").distinct().select("*", _gate(min_chars))
+
+
+def page_spans(
+    pages: DataFrame, min_chars: float = MIN_CHARS_PER_PAGE, blocks: DataFrame | None = None
+) -> DataFrame:
+    """The assembled documents, one row per page; only those in ``blocks`` where block spans are given.
 
     ``char_start`` places the stripped page in the full text, ``text_from``/``text_to`` bound its stripped form, and
     ``status`` is the gate result of the document.  Page numbers must be unique within a document.
     """
-    stripped = _stripped(pages)
-    spans = stripped.join(_block_spans(stripped), ["paper_id", "block"])
+    blocks = block_spans(pages) if blocks is None else blocks
+    spans = _stripped(pages).join(blocks, ["paper_id", "block"])
     earlier = W.partitionBy("paper_id", "block").orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.char_length("text") + len(SEPARATOR)).over(earlier), F.lit(0))
     return spans.select(

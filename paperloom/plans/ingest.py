@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import paper_id, present
-from paperloom.operators.pages import chunk_pages, document_status, page_spans
+from paperloom.operators.pages import block_spans, block_status, chunk_pages, document_status, page_spans
 from paperloom.operators.store import chunk_count, latest_per_key, with_chunk_ids
 from paperloom.schemas import (
     ALREADY_CACHED,
@@ -36,7 +36,7 @@ def with_paper_id(papers: DataFrame) -> DataFrame:
     return papers.withColumn("paper_id", paper_id(F.col("source"), F.col("external_id")))
 
 
-def ingest_status(flags: DataFrame) -> Column:
+def ingest_status() -> Column:
     """First match wins over ``done, pdf_url, fetched, extract_error, page_count, gate``."""
     return (
         F.when(F.col("done"), F.lit(ALREADY_CACHED))
@@ -48,15 +48,8 @@ def ingest_status(flags: DataFrame) -> Column:
     )
 
 
-def ingest_flags(
-    papers: DataFrame,
-    fetches: DataFrame,
-    pages: DataFrame,
-    done: DataFrame,
-    force: bool = False,
-    min_chars: float = MIN_CHARS_PER_PAGE,
-) -> DataFrame:
-    """Papers with everything the status depends on.
+def known_flags(papers: DataFrame, fetches: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
+    """Papers with what the status depends on, short of their pages.
 
     ``fetches(paper_id, fetched, extract_error)``; ``done(paper_id, chunk_count, page_count)``.
     """
@@ -66,15 +59,34 @@ def ingest_flags(
         F.col("chunk_count").alias("stored_chunks"),
         F.col("page_count").alias("stored_pages"),
     )
-    gate = document_status(pages, min_chars).select("paper_id", "page_count", F.col("status").alias("gate"))
     return (
-        papers.join(marker, "paper_id", "left")
+        papers.select("paper_id", "title", "pdf_url")
+        .join(marker, "paper_id", "left")
         .join(fetches, "paper_id", "left")
-        .join(gate, "paper_id", "left")
         .withColumn("done", F.coalesce("done", F.lit(False)))
     )
 
 
+def readable_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages of the papers whose status depends on them."""
+    readable = known.where(
+        ~F.col("done") & present(F.col("pdf_url")) & F.col("fetched") & F.col("extract_error").isNull()
+    )
+    return pages.join(readable.select("paper_id"), "paper_id", "left_semi")
+
+
+def with_gate(known: DataFrame, gate: DataFrame) -> DataFrame:
+    return known.join(gate.select("paper_id", "page_count", F.col("status").alias("gate")), "paper_id", "left")
+
+
+def ingest_flags(
+    papers: DataFrame, fetches: DataFrame, pages: DataFrame, done: DataFrame, min_chars: float = MIN_CHARS_PER_PAGE
+) -> DataFrame:
+    """Papers with everything :func:`ingest_status` reads."""
+    known = known_flags(papers, fetches, done)
+    return with_gate(known, document_status(readable_pages(pages, known), min_chars))
+
+
 def ingest_papers(
     papers: DataFrame,
     fetches: DataFrame,
@@ -92,15 +104,13 @@ def ingest_papers(
     stored counts.
     """
     metadata = latest_per_key(papers, "paper_id", seq)
-    flags = ingest_flags(metadata, fetches, pages, done, force, min_chars)
-    judged = cut_lineage(
-        flags.select(
-            "paper_id", "title", ingest_status(flags).alias("status"), "extract_error", "page_count", "stored_chunks", "stored_pages"
-        )
-    )
+    known = cut_lineage(known_flags(metadata, fetches, done, force))
+    blocks = cut_lineage(block_spans(readable_pages(pages, known)))
+    flags = with_gate(known, block_status(blocks, min_chars))
+    judged = flags.withColumn("status", ingest_status())
     fresh = judged.where(F.col("status") == SUCCESS).select("paper_id", "title")
-    new_pages = pages.join(fresh.select("paper_id"), "paper_id", "left_semi")
-    pieces = chunk_pages(page_spans(new_pages, min_chars), size, overlap)
+    fresh_blocks = blocks.join(fresh.select("paper_id"), "paper_id", "left_semi")
+    pieces = chunk_pages(page_spans(pages, min_chars, fresh_blocks), size, overlap)
     chunks = cut_lineage(with_chunk_ids(pieces.join(fresh, "paper_id")))
     log = judged.join(chunk_count(chunks), "paper_id", "left").select(
         "paper_id",

@@ -17,7 +17,7 @@ from paperloom.operators.model import (
     summary_cards,
     summary_prompt,
 )
-from paperloom.operators.store import first_chunks
+from paperloom.operators.store import chunk_rows, first_chunks
 from paperloom.schemas import (
     ALREADY_CACHED,
     ENTITY_CHUNKS,
@@ -40,8 +40,10 @@ class SummaryResult:
 
 
 def prompts_for(papers: DataFrame, chunks: DataFrame, build, limit: int) -> DataFrame:
-    """``(paper_id, prompt)`` for papers that have chunks."""
-    return first_chunks(chunks, limit).join(papers.select("paper_id", "title"), "paper_id").select(
+    """``(paper_id, prompt)`` for papers that have chunks; chunks of other papers are dropped before they are grouped."""
+    titles = papers.select("paper_id", "title")
+    wanted = chunk_rows(chunks, limit).join(titles.select("paper_id"), "paper_id", "left_semi")
+    return first_chunks(wanted, limit).join(titles, "paper_id").select(
         "paper_id", build(F.col("title"), F.col("chunks")).alias("prompt")
     )
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,11 +45,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in reliable shared storage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, as a table in the shared folder.
+
+    Lost executors cost nothing behind this point, and the table's real size lets Spark choose join strategies.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """An unused path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are expensive to compute and read by several later expressions.
+
+    A plain projection would be merged into its readers and evaluated once for each of them, filters included; a
+    generator is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table that sits in fewer files than there are cores to all of them; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df

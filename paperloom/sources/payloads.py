@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import or_null, strip, words
 from paperloom.schemas import PAPER_COLUMNS, SOURCES
+from paperloom.session import compute_once
 
 _CORRUPT = "_corrupt_record"
 _PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
@@ -32,9 +33,19 @@ OPENALEX_ITEM = f"""id string, title string, display_name string, authorships ar
     doi string, {_CORRUPT} string"""
 
 
-def _not_text(payload: Column, fields: Iterable[str]) -> Column:
+def _parsed(df: DataFrame, schema: str) -> DataFrame:
+    """``item`` by the fixed schema and ``document`` as it is, each parsed once per payload."""
+    return compute_once(df, item=F.from_json("payload", schema, _PARSE), document=F.try_parse_json("payload"))
+
+
+def _is_null(field: str) -> Column:
+    """True where the field is given as null; an absent one is no such case."""
+    return F.schema_of_variant(F.try_variant_get("document", f"$.{field}", "variant")) == "VOID"
+
+
+def _not_text(fields: Iterable[str]) -> Column:
     """True if one of the fields holds a JSON value other than text or null."""
-    document = F.try_parse_json(payload)
+    document = F.col("document")
     checks = [
         ~F.coalesce(F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant")), F.lit("VOID")).isin(
             "STRING", "VOID"
@@ -93,7 +104,7 @@ def _single_line(text: Column) -> Column:
 
 
 def arxiv_papers(landed: DataFrame) -> DataFrame:
-    item = landed.withColumn("item", F.from_json("payload", ARXIV_ITEM, _PARSE))
+    item = _parsed(landed, ARXIV_ITEM)
     mapped = item.select(
         "topic",
         "source_rank",
@@ -107,10 +118,11 @@ def arxiv_papers(landed: DataFrame) -> DataFrame:
         "item.doi",
         F.col("item.entry_id").alias("url"),
         F.col(f"item.{_CORRUPT}").alias(_CORRUPT),
+        "document",
     )
     reason = _reject(
         _malformed(),
-        ("wrong type", _not_text(F.col("payload"), ["id", "title", "summary", "doi", "pdf_url", "entry_id"])),
+        ("wrong type", _not_text(["id", "title", "summary", "doi", "pdf_url", "entry_id"])),
         ("no id", F.col("external_id").isNull()),
         ("no title", F.col("title").isNull()),
         ("null author", F.col("authors").isNull() | _nameless("authors")),
@@ -119,13 +131,12 @@ def arxiv_papers(landed: DataFrame) -> DataFrame:
 
 
 def semantic_scholar_papers(landed: DataFrame) -> DataFrame:
-    item = landed.withColumn("item", F.from_json("payload", SEMANTIC_SCHOLAR_ITEM, _PARSE))
-    # An absent id becomes '', an explicit null makes the item unusable.
-    id_is_null = F.schema_of_variant(F.try_variant_get(F.try_parse_json("payload"), "$.paperId", "variant")) == "VOID"
+    item = _parsed(landed, SEMANTIC_SCHOLAR_ITEM)
     mapped = item.select(
         "topic",
         "source_rank",
         "payload",
+        # An absent id becomes '', an explicit null makes the item unusable.
         F.coalesce("item.paperId", F.lit("")).alias("external_id"),
         F.coalesce(or_null(F.col("item.title")), F.lit("Untitled")).alias("title"),
         _names(F.col("item.authors"), "name").alias("authors"),
@@ -135,12 +146,13 @@ def semantic_scholar_papers(landed: DataFrame) -> DataFrame:
         F.col("item.externalIds.DOI").alias("doi"),
         "item.url",
         F.col(f"item.{_CORRUPT}").alias(_CORRUPT),
+        "document",
         F.col("item.year").alias("year"),
     )
     reason = _reject(
         _malformed(),
-        ("wrong type", _not_text(F.col("payload"), ["paperId", "title", "abstract", "url"])),
-        ("no id", id_is_null),
+        ("wrong type", _not_text(["paperId", "title", "abstract", "url"])),
+        ("no id", _is_null("paperId")),
         ("null author", _nameless("authors")),
         ("bad year", _bad_year(F.col("year"))),
     )
@@ -154,7 +166,7 @@ def pubmed_date(pubdate: Column) -> Column:
 
 def pubmed_papers(landed: DataFrame) -> DataFrame:
     """``payload`` holds the id list and the summaries by id; ids without a summary are left out."""
-    response = landed.withColumn("response", F.from_json("payload", PUBMED_RESPONSE, _PARSE))
+    response = compute_once(landed, response=F.from_json("payload", PUBMED_RESPONSE, _PARSE))
     unreadable = F.col("payload").isNull() | F.col(f"response.{_CORRUPT}").isNotNull()
     ids = F.when(unreadable, F.array(F.lit(None).cast("string"))).otherwise(F.col("response.idlist"))
     listed = response.select(
@@ -169,7 +181,7 @@ def pubmed_papers(landed: DataFrame) -> DataFrame:
     found = listed.select(
         "topic", "source_rank", "unreadable", "list_pos", "pmid", summary.alias("payload")
     ).where(F.col("unreadable") | ~F.coalesce(F.col("payload").isin("", "{}", "null"), F.lit(True)))
-    item = found.withColumn("item", F.from_json("payload", PUBMED_ITEM, _PARSE))
+    item = _parsed(found, PUBMED_ITEM)
     doi = F.get(F.filter("item.articleids", lambda entry: entry["idtype"] == "doi"), F.lit(0))["value"]
     mapped = item.select(
         "topic",
@@ -184,45 +196,48 @@ def pubmed_papers(landed: DataFrame) -> DataFrame:
         doi.alias("doi"),
         F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), "pmid", F.lit("/")).alias("url"),
         F.col(f"item.{_CORRUPT}").alias(_CORRUPT),
+        "document",
         "unreadable",
     )
     reason = _reject(
         ("malformed", F.col("unreadable")),
         _malformed(),
-        ("wrong type", _not_text(F.col("payload"), ["title", "pubdate"])),
+        ("wrong type", _not_text(["title", "pubdate"])),
         ("null author", _nameless("authors")),
     )
     return _finish(mapped, "pubmed", reason)
 
 
-def inverted_abstract(index: Column) -> Column:
-    """Text from a map of word to positions: words in position order, single spaces, the later entry wins a position."""
-    entries = F.map_entries(index)
+def with_inverted_abstract(df: DataFrame, index: Column, name: str = "abstract") -> DataFrame:
+    """Add the text of a map of word to positions.
+
+    Words in position order, single spaces, no text for an empty or missing map.  When two words claim a position, the
+    later entry of the map has it.
+    """
     placed = F.flatten(
         F.transform(
-            entries,
+            F.map_entries(index),
             lambda entry, nth: F.transform(
                 entry["value"],
                 lambda position: F.struct(position.alias("position"), nth.alias("nth"), entry["key"].alias("word")),
             ),
         )
     )
+    ordered = compute_once(df, _ordered=F.sort_array(placed))
     # Next to its successor, an entry shows whether a later one claims the same position.
-    ordered = F.sort_array(placed)
-    beside_next = F.zip_with(
-        ordered,
-        F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1))),
-        lambda entry, following: F.struct(
-            entry["word"].alias("word"),
-            F.coalesce(following["position"] == entry["position"], F.lit(False)).alias("replaced"),
+    winners = F.zip_with(
+        "_ordered",
+        F.slice("_ordered", F.lit(2), F.greatest(F.size("_ordered"), F.lit(1))),
+        lambda entry, following: F.when(
+            following["position"].isNull() | (following["position"] != entry["position"]), entry["word"]
         ),
     )
-    winners = F.filter(beside_next, lambda entry: ~entry["replaced"])
-    return or_null(F.array_join(F.transform(winners, lambda entry: entry["word"]), " "))
+    # array_join leaves out the nulls of replaced words.
+    return ordered.withColumn(name, or_null(F.array_join(winners, " "))).drop("_ordered")
 
 
 def openalex_papers(landed: DataFrame) -> DataFrame:
-    item = landed.withColumn("item", F.from_json("payload", OPENALEX_ITEM, _PARSE))
+    item = with_inverted_abstract(_parsed(landed, OPENALEX_ITEM), F.col("item.abstract_inverted_index"))
     people = F.transform(
         F.filter("item.authorships", lambda entry: F.coalesce(F.size(entry["author"]), F.lit(0)) > 0),
         lambda entry: entry["author"],
@@ -236,19 +251,19 @@ def openalex_papers(landed: DataFrame) -> DataFrame:
             or_null(F.col("item.title")), or_null(F.col("item.display_name")), F.lit("Untitled")
         ).alias("title"),
         _names(people, "display_name").alias("authors"),
-        inverted_abstract(F.col("item.abstract_inverted_index")).alias("abstract"),
+        "abstract",
         _first_of_year(F.col("item.publication_year")).alias("published_date"),
         F.col("item.open_access.oa_url").alias("pdf_url"),
         or_null(F.replace(F.col("item.doi"), F.lit("https://doi.org/"), F.lit(""))).alias("doi"),
         F.col("item.id").alias("url"),
         F.col(f"item.{_CORRUPT}").alias(_CORRUPT),
+        "document",
         F.col("item.publication_year").alias("year"),
     )
-    id_is_null = F.schema_of_variant(F.try_variant_get(F.try_parse_json("payload"), "$.id", "variant")) == "VOID"
     reason = _reject(
         _malformed(),
-        ("wrong type", _not_text(F.col("payload"), ["id", "title", "display_name", "doi"])),
-        ("no id", id_is_null),
+        ("wrong type", _not_text(["id", "title", "display_name", "doi"])),
+        ("no id", _is_null("id")),
         ("null author", _nameless("authors")),
         ("bad year", _bad_year(F.col("year"))),
     )
