@@ -25,23 +25,26 @@ def _round_winners(undecided: DataFrame) -> DataFrame:
     """Rows that come first under every key they carry.
 
     Each key names its first row; a row wins when all of its keys name it.  Both steps aggregate, so copies of a hot key
-    are combined before the shuffle and no row has to be joined back to its key group.
+    are combined before the shuffle and no row has to be joined back to its key group.  Whether the row needs one vote
+    or two travels in the lowest bit of the order number, which keeps the large aggregate on plain numbers.
     """
 
     def firsts(key: str, other: str) -> DataFrame:
-        first = undecided.where(F.col(key).isNotNull()).groupBy("scope", key).agg(
-            F.min(F.struct("ord", other)).alias("first")
+        tagged = F.shiftleft("ord", 1) + F.col(other).isNull().cast("bigint")
+        first = undecided.where(F.col(key).isNotNull()).groupBy("scope", key).agg(F.min(tagged).alias("first"))
+        return first.select(
+            "scope",
+            F.shiftright("first", 1).alias("ord"),
+            (2 - F.col("first").bitwiseAND(F.lit(1))).alias("needed"),
+            F.col(key),
+            F.lit(None).cast("string").alias(other),
         )
-        return first.select("scope", "first.ord", F.col(key), F.col(f"first.{other}").alias(other))
 
     votes = firsts("doi_key", "title_key").unionByName(firsts("title_key", "doi_key"))
-    needed = F.col("doi_key").isNotNull().cast("int") + F.col("title_key").isNotNull().cast("int")
-    return (
-        votes.groupBy("scope", "ord", "doi_key", "title_key")
-        .agg(F.count("*").alias("votes"))
-        .where(F.col("votes") == needed)
-        .drop("votes")
+    counted = votes.groupBy("scope", "ord", "needed").agg(
+        F.max("doi_key").alias("doi_key"), F.max("title_key").alias("title_key"), F.count("*").alias("votes")
     )
+    return counted.where(F.col("votes") == F.col("needed")).select("scope", "ord", "doi_key", "title_key")
 
 
 def _without_taken(undecided: DataFrame, winners: DataFrame, key: str) -> DataFrame:

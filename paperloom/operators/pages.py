@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.chunking import cells, window_count, window_shape
 from paperloom.functions.text import strip
 from paperloom.schemas import MIN_CHARS_PER_PAGE, SCANNED_PDF, SUCCESS
+from paperloom.session import cut_lineage
 
 PAGES_PER_BLOCK = 1024
 CHUNKS_PER_BLOCK = 1024
@@ -117,7 +118,8 @@ def chunk_pages(spans: DataFrame, size: int | None = None, overlap: int | None =
     """Overlapping windows over each assembled document: ``(paper_id, chunk_index, text)``.
 
     Every page is cut at the window starts; a fragment goes to the window it lies in and, shortened to what is needed, to
-    the earlier windows that reach into it.  A window gathers at most ``size`` characters.
+    the earlier windows that reach into it.  A window gathers at most ``size`` characters.  The assembled windows are
+    stored once before they are numbered.
     """
     size, step = window_shape(size, overlap)
     visible = spans.where((F.col("char_start") >= F.col("text_from")) & (F.col("char_start") < F.col("text_to")))
@@ -164,7 +166,13 @@ def chunk_pages(spans: DataFrame, size: int | None = None, overlap: int | None =
         ).alias("parts")
     )
     text = strip(F.array_join(F.transform("parts", lambda part: part["fragment"]), ""))
-    return number_windows(windows.select("paper_id", "window", text.alias("text")).where("text <> ''"))
+    written = cut_lineage(windows.select("paper_id", "window", text.alias("text")))
+    # Only a blank window makes the chunk numbers of its paper differ from the window numbers.
+    gaps = written.where("text = ''").select("paper_id").distinct()
+    dense = written.join(gaps, "paper_id", "left_anti").select(
+        "paper_id", F.col("window").cast("int").alias("chunk_index"), "text"
+    )
+    return dense.unionByName(number_windows(written.join(gaps, "paper_id", "left_semi").where("text <> ''")))
 
 
 def number_windows(windows: DataFrame) -> DataFrame:

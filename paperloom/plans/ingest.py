@@ -111,8 +111,8 @@ def ingest_papers(
     fresh = judged.where(F.col("status") == SUCCESS).select("paper_id", "title")
     fresh_blocks = blocks.join(fresh.select("paper_id"), "paper_id", "left_semi")
     pieces = chunk_pages(page_spans(pages, min_chars, fresh_blocks), size, overlap)
-    chunks = cut_lineage(with_chunk_ids(pieces.join(fresh, "paper_id")))
-    log = judged.join(chunk_count(chunks), "paper_id", "left").select(
+    chunks = with_chunk_ids(pieces.join(fresh, "paper_id"))
+    log = judged.join(chunk_count(pieces), "paper_id", "left").select(
         "paper_id",
         "status",
         F.when(F.col("status") == ALREADY_CACHED, F.coalesce("stored_chunks", F.lit(0)))

@@ -70,6 +70,6 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table that sits in fewer files than there are cores to all of them; larger tables stay as they are."""
+    """Give a scan with fewer partitions than there are cores to all of them; larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
