@@ -126,7 +126,7 @@ def searches(spark, sf_dir):
 # The walk over a key's searches, one per step and all keys side by side.
 _PASSING = """WITH RECURSIVE searches AS (
     SELECT DISTINCT event_type || '|user' || user_id AS cache_key, epoch_us(ts) AS asked_us FROM events),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY asked_us) AS n FROM searches),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY asked_us) AS n FROM searches),
 walk(cache_key, n, asked_us, passed, blocked_until) AS (
     SELECT cache_key, n, asked_us, TRUE, asked_us + {ttl}::BIGINT FROM numbered WHERE n = 1
     UNION ALL

@@ -100,7 +100,7 @@ def _search_totals(spark, sf_dir):
 
 def first_wins_sql(scope: str, papers: str = "paper_view") -> str:
     """Sequential walk: one row per step, carrying the keys of the kept rows."""
-    return f"""keyed AS (
+    return f"""keyed AS MATERIALIZED (
     SELECT doc_id, row_number() OVER (ORDER BY source_pos, source_rank) AS n,
            {scope} || ':' || {DOI_KEY_SQL} AS d, {scope} || ':' || {TITLE_KEY_SQL} AS t
     FROM {papers}),
