@@ -13,7 +13,6 @@ from paperloom.catalog.fixtures import (
     day,
     document_lines,
     metadata_writes,
-    moment,
     paper_view,
     request_log,
     sql_chunks,

@@ -27,6 +27,7 @@ from paperloom.schemas import (
     SUCCESS,
     SUMMARY_CHUNKS,
 )
+from paperloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,8 @@ def summarize_papers(
     flags = asked
     for frame, name in ((done, "done"), (papers, "known"), (chunks.where(F.col("chunk_index") == 0), "has_chunks")):
         flags = flags.join(_flag(frame, name), "paper_id", "left")
-    flags = flags.fillna(False, ["done", "known", "has_chunks"])
+    # Read by the prompts, the log and the graph step.
+    flags = cut_lineage(flags.fillna(False, ["done", "known", "has_chunks"]))
     todo = flags.where(~F.col("done") & F.col("known") & F.col("has_chunks")).select("paper_id")
 
     wanted = papers.join(todo, "paper_id", "left_semi")
