@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.common import table
+from paperloom.llm.jaccard import near_duplicates
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.token_files import read_token_files, write_token_files
 from paperloom.session import fresh_path
@@ -16,13 +17,40 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+JACCARD_SQL = f"""
+WITH RECURSIVE tokens AS (
+    SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    FROM tokens),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+    GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common.n >= 90 * (x.n + y.n - common.n)),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT documents.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS component_id
+FROM documents JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY documents.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": JACCARD_SQL}

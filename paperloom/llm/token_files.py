@@ -198,5 +198,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 names = [column.split()[0] for column in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    needed = stored.join(offsets, "part").select("offset", "first", "doc_ids", "doc_sizes", "payload")
+    # One row of 12 bytes a file, as many as the write had tasks.
+    needed = stored.join(F.broadcast(offsets), "part").select("offset", "first", "doc_ids", "doc_sizes", "payload")
     return needed.mapInArrow(documents, schema)
