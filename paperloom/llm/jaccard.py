@@ -17,6 +17,8 @@ from paperloom.session import cut_lineage
 WORDS = 3
 PERCENT = 90
 _hashes = WordHashes()
+#: Elements of the sets that a worker keeps while it checks pairs.
+KEPT_ELEMENTS = 4_000_000
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -82,16 +84,21 @@ class PartEnum:
 def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``(signature, doc_id, leader)`` of every signature that several documents share; the leader is the smallest of them.
 
+    Rows with ``n_shingles``, one for every row of ``docs``, have the size of its set instead.
+
     Every batch settles its own repeats: only the smallest document of a signature goes on to the signature's place, so
     that a signature of any share of the documents brings there a row per batch.
     """
-    schema = "signature long, doc_id long, leader long, route long, shared boolean"
+    schema = "signature long, doc_id long, leader long, route long, shared boolean, n_shingles long"
 
     def signatures(batch: pa.RecordBatch) -> dict[str, object]:
         scheme = PartEnum(percent)
-        own = [scheme.signatures(shingle_set(text, words)) for text in texts(batch)]
+        sets = [shingle_set(text, words) for text in texts(batch)]
+        of = batch.column("doc_id")
+        given = zip(sets, of.is_valid().to_pylist(), strict=True)
+        own = [scheme.signatures(elements if valid else elements[:0]) for elements, valid in given]
         values = np.concatenate(own)
-        doc_ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(part) for part in own])
+        doc_ids = np.repeat(of.fill_null(0).to_numpy(), [len(part) for part in own])
         order = np.lexsort((doc_ids, values))
         values, doc_ids = values[order], doc_ids[order]
         new = np.ones(len(values), bool)
@@ -104,32 +111,47 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
         sizes = np.bincount(group, minlength=int(first.sum()))
         with np.errstate(over="ignore"):
             aside = mix(values ^ mix(doc_ids.astype(np.uint64)))
+        rows = len(sets)
+        route = np.where(first, values, aside)
+        with np.errstate(over="ignore"):
+            alone = mix(mix(of.fill_null(0).to_numpy().astype(np.uint64)) + np.arange(rows, dtype=np.uint64))
         return {
-            "signature": values.view(np.int64),
-            "doc_id": doc_ids,
-            "leader": leader,
-            "route": np.where(first, values, aside).view(np.int64),
-            "shared": sizes[group] > 1 if len(values) else np.zeros(0, bool),
+            "signature": np.concatenate((values, np.zeros(rows, np.uint64))).view(np.int64),
+            "doc_id": pa.concat_arrays([pa.array(doc_ids, pa.int64()), of]),
+            "leader": pa.concat_arrays([pa.array(leader, pa.int64()), of]),
+            "route": np.concatenate((route, alone)).view(np.int64),
+            "shared": np.concatenate((sizes[group] > 1 if len(values) else np.zeros(0, bool), np.ones(rows, bool))),
+            "n_shingles": pa.concat_arrays([pa.nulls(len(values), pa.int64()), pa.array([len(x) for x in sets], pa.int64())]),
         }
 
-    made = by_batch(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), signatures, schema)
+    made = by_batch(docs.select("doc_id", "text"), signatures, schema)
     place = Window.partitionBy("route", "signature")
     met = made.withColumn("least", F.min("leader").over(place)).withColumn("met", F.count("*").over(place))
     leader = F.when(F.col("doc_id") == F.col("leader"), F.col("least")).otherwise(F.col("leader"))
-    return met.where("met > 1 or shared").select("signature", "doc_id", leader.alias("leader"))
+    return met.where("met > 1 or shared").select("signature", "doc_id", leader.alias("leader"), "n_shingles")
 
 
 def _linked(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough, counted exactly from their texts."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def set_of(text: bytes) -> np.ndarray:
+            nonlocal held
+            if text not in known:
+                if held > KEPT_ELEMENTS:
+                    known.clear()
+                    held = 0
+                known[text] = shingle_set(text, words)
+                held += len(known[text]) + 100
+            return known[text]
+
         for batch in batches:
-            left: dict[bytes, np.ndarray] = {}
             kept = []
             for one, other in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
-                if one not in left:
-                    left = {one: shingle_set(one, words)}
-                a, b = left[one], shingle_set(other, words)
+                a, b = set_of(one), set_of(other)
                 same = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) else 0
                 kept.append(bool(same) and 100 * same >= percent * (len(a) + len(b) - same))
             yield batch.select(["a", "b"]).filter(pa.array(kept))
@@ -139,6 +161,19 @@ def _linked(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long")
 
 
+def _pairs(met: DataFrame, one: str, other: str) -> DataFrame:
+    return met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def _open_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(signature, doc_id, component)`` of the signatures whose documents ``links`` leave in several components."""
+    found = smallest_reachable(links).withColumnRenamed("node", "doc_id")
+    labelled = members.join(found, "doc_id", "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = cut_lineage(labelled)
+    spans = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return labelled.join(spans.where("low < high").select("signature"), "signature", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -147,43 +182,36 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ``doc_id`` that links reach.
 
     Signatures find the pairs, texts decide them. The first round checks each member of a signature against its smallest
-    document only, which joins groups of copies however large; the second checks every pair of a signature's members that
-    the first left in different components. So no link is lost and no group is written out in pairs.
+    document only, which joins groups of copies however large. The next checks what still lies in other components
+    against the signature's document of most signatures, which is the one nearest to the others. The last checks every pair of a signature's members in different components. So no link is lost and no group of
+    copies is written out in pairs.
 
     A null text is empty. Rows that share a ``doc_id`` are one document with several texts: a link of any of them is its
     link, and each row keeps its own ``n_shingles``. A null ``doc_id`` links with nothing and has a null component.
     Further columns are ignored.
     """
-
-    def counted(batch: pa.RecordBatch) -> dict[str, object]:
-        sizes = [len(shingle_set(text, words)) for text in texts(batch)]
-        return {"doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64())}
-
-    members = cut_lineage(_members(docs, words, percent))
-    wanted = cut_lineage(
-        docs.select("doc_id", "text").where("text is not null").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    )
+    made = cut_lineage(_members(docs, words, percent))
+    members = made.where("n_shingles is null").drop("n_shingles")
+    popularity = members.groupBy("doc_id").agg(F.count("*").alias("n"))
+    wanted = cut_lineage(docs.select("doc_id", "text").where("text is not null").join(popularity, "doc_id", "left_semi"))
     stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = cut_lineage(_linked(stars, wanted, words, percent))
-    found = smallest_reachable(first)
-
-    labelled = cut_lineage(
-        members.select("signature", "doc_id")
-        .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    )
-    open_ = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = labelled.join(open_.select("signature"), "signature", "left_semi")
-    sizes = mixed.groupBy("signature", "component").agg(F.count("*").alias("n"))
+    links = cut_lineage(_linked(stars, wanted, words, percent))
+    open_ = cut_lineage(_open_members(members, links).join(popularity, "doc_id"))
+    rank = F.struct("n", "doc_id")
+    centre = open_.groupBy("signature").agg(F.max_by(F.struct("doc_id", "component"), rank).alias("centre"))
+    met = open_.join(centre, "signature").where("component <> centre.component")
+    links = links.union(cut_lineage(_linked(_pairs(met, "centre.doc_id", "doc_id"), wanted, words, percent)))
+
+    open_ = cut_lineage(_open_members(members, links))
+    sizes = open_.groupBy("signature", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("signature").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    sided = mixed.join(largest, "signature")
-    minor = sided.where("component <> main").select("signature", F.col("doc_id").alias("one"), F.col("component").alias("own"))
-    met = minor.join(mixed, "signature").where("component <> own and one <> doc_id")
-    pairs = met.select(F.least("one", "doc_id").alias("a"), F.greatest("one", "doc_id").alias("b")).distinct()
-    second = cut_lineage(_linked(pairs, wanted, words, percent))
-
-    component = smallest_reachable(first.union(second)).withColumnRenamed("node", "doc_id")
-    sized = by_batch(docs.select("doc_id", "text"), counted, "doc_id long, n_shingles long")
+    minor = open_.join(largest, "signature").where("component <> main")
+    minor = minor.select("signature", F.col("doc_id").alias("one"), F.col("component").alias("own"))
+    met = minor.join(open_, "signature").where("component <> own")
+    links = links.union(cut_lineage(_linked(_pairs(met, "one", "doc_id"), wanted, words, percent)))
+
+    component = smallest_reachable(links).withColumnRenamed("node", "doc_id")
+    sized = made.where("n_shingles is not null")
     return sized.join(component, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.llm.common import table
 from paperloom.llm.jaccard import near_duplicates
 from paperloom.llm.packing import pack_documents
+from paperloom.llm.substrings import remove_repeats
 from paperloom.llm.token_files import read_token_files, write_token_files
 from paperloom.session import fresh_path
 
@@ -25,10 +26,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,4 +59,25 @@ SELECT documents.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(othe
 FROM documents JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY documents.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": JACCARD_SQL}
+SUBSTRING_SQL = """
+WITH tokens AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+windows AS (
+    SELECT r, first, array_to_string(w[first : first + 34], ' ') AS s
+    FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS first FROM tokens WHERE len(w) >= 35)),
+repeated AS (SELECT r, first FROM (SELECT r, first, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT DISTINCT r, unnest(generate_series(first, first + 34)) AS p FROM repeated),
+gone AS (SELECT r, list(p) AS ps, count(*) AS n FROM covered GROUP BY r),
+kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY p) AS k
+    FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM tokens) ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM tokens LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": JACCARD_SQL,
+    "op9_substring_dedup": SUBSTRING_SQL,
+}
