@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.common import table
+from paperloom.llm.decontamination import find_leaks
 from paperloom.llm.jaccard import near_duplicates
+from paperloom.llm.language import identify, train, training_sample
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.substrings import remove_repeats
 from paperloom.llm.token_files import read_token_files, write_token_files
+from paperloom.llm.topk import quantised, top_k
 from paperloom.session import fresh_path
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(training_sample(docs)))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
@@ -22,6 +30,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,8 +48,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,
 }
@@ -77,7 +97,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coale
 FROM tokens LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
+TOP_K_SQL = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_exact_top_k": TOP_K_SQL,
     "op3_ngram_jaccard_join": JACCARD_SQL,
     "op9_substring_dedup": SUBSTRING_SQL,
 }
