@@ -8,10 +8,12 @@ from paperloom.llm.common import table
 from paperloom.llm.decontamination import find_leaks
 from paperloom.llm.jaccard import near_duplicates
 from paperloom.llm.language import identify, train, training_sample
+from paperloom.llm.licenses import license_sql, scan_licenses
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.substrings import remove_repeats
 from paperloom.llm.token_files import read_token_files, write_token_files
 from paperloom.llm.topk import quantised, top_k
+from paperloom.llm.warc import WARC_SQL, derivatives, responses
 from paperloom.session import fresh_path
 
 
@@ -30,6 +32,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,14 +53,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_license_scan": op4_license_scan,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,5 +123,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 ORACLES: dict[str, str] = {
     "op6_exact_top_k": TOP_K_SQL,
     "op3_ngram_jaccard_join": JACCARD_SQL,
+    "op4_license_scan": license_sql(),
     "op9_substring_dedup": SUBSTRING_SQL,
+    "op10_warc_derivatives": WARC_SQL,
 }
