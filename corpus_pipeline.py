@@ -3,19 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm.common import table
+from paperloom.llm.common import row_key, table
+from paperloom.llm.decontamination import find_leaks
+from paperloom.llm.jaccard import near_duplicates
+from paperloom.llm.language import UNKNOWN, identify, train, training_sample
 from paperloom.llm.packing import pack_documents
+from paperloom.llm.substrings import remove_repeats
 from paperloom.session import fresh_path
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a language, null and letterless texts, go; a missing ``lang`` is filled in."""
+    network = train(training_sample(docs))
+    found = identify(docs, network).where(F.col("lang_pred") == UNKNOWN)
+    return _without(docs, found.select("doc_id")).where("text is not null")
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join over five words at a similarity of 0.8: the document of the smallest id of each group stays."""
+    found = near_duplicates(docs, words=5, percent=80)
+    return _without(docs, found.where("component_id <> doc_id").select("doc_id")).dropDuplicates(["doc_id"])
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: words of repeated windows of 35 go; texts without one stay as they are."""
+    found = remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept")
+    both = docs.join(found, "doc_id", "left")
+    text = F.coalesce("kept", "text")
+    return both.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: a row per piece with its sequence and its place there."""
     return pack_documents(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicate),
+    ("substring dedup", substrings),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
 
+#: Learnt languages, tokenizers and edit distances are not SQL; the stages are tested one by one against plain versions.
 ORACLE_SQL = None
 
 

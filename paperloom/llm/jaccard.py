@@ -32,17 +32,22 @@ class PartEnum:
 
     Sizes fall into bands whose largest is at most 1 / similarity times the smallest, so such a pair lies in one band or
     in neighbours; a set makes signatures for its own band and for the next. Within a band the sets differ in at most
-    ``k`` elements. The feature domain is split by a hash into ``ceil((k + 1) / 2)`` parts, one of which holds at most one
-    of the differences, and each part into three: leaving out one of the three in turn, one subset of two is the same in
-    both sets. Its hash is the signature.
+    ``k`` elements; where that is none, the whole set is the signature. Else the feature domain is split by a hash into
+    ``ceil((k + 1) / 2)`` parts, one of which holds at most one of the differences, and each part into cells: leaving out
+    one cell in turn, one subset of the others is the same in both sets. Its hash is the signature.
+
+    Subsets without an element would be shared by strangers. With ``spare`` further parts a similar pair agrees on that
+    many more parts, so a set with at most ``spare`` parts that have an empty subset does without the signatures of these.
     """
 
-    SPLIT, LEFT_OUT = 3, 1
+    LEFT_OUT = 1
 
     def __init__(self, percent: int):
         self.likeness = Fraction(percent, 100)
+        # The looser the threshold, the more and smaller the parts: fewer cells in each keep the signatures few.
+        self.split = 3 if percent >= 90 else 2
         self.tops = [1]
-        self.subsets = [np.array(own) for own in combinations(range(self.SPLIT), self.SPLIT - self.LEFT_OUT)]
+        self.subsets = [np.array(own) for own in combinations(range(self.split), self.split - self.LEFT_OUT)]
 
     def band(self, size: int) -> int:
         while self.tops[-1] < size:
@@ -53,12 +58,16 @@ class PartEnum:
             low, high = (low, middle) if self.tops[middle] >= size else (middle + 1, high)
         return low
 
-    def parts(self, band: int) -> int:
-        """First-level parts of a band: enough that one of them holds at most ``LEFT_OUT`` differences."""
+    def parts(self, band: int) -> tuple[int, int]:
+        """First-level parts of a band, none where equal sets alone are similar enough, and how many of them are spare."""
         while len(self.tops) <= band:
             self.band(self.tops[-1] + 1)
         differences = int(2 * (1 - self.likeness) / (1 + self.likeness) * self.tops[band])
-        return -(-(differences + 1) // (self.LEFT_OUT + 1))
+        if not differences:
+            return 0, 0
+        parts = -(-(differences + 1) // (self.LEFT_OUT + 1))
+        spare = 1 + parts // (40 if self.split == 3 else 12)
+        return parts + spare, spare
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         if not len(elements):
@@ -68,17 +77,25 @@ class PartEnum:
         return np.concatenate([self._of_band(spread, band) for band in (own, own + 1)])
 
     def _of_band(self, spread: np.ndarray, band: int) -> np.ndarray:
-        parts = self.parts(band)
-        cells = parts * self.SPLIT
-        cell = ((spread >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
-        order = np.argsort(cell, kind="stable")
-        ends = np.searchsorted(cell[order], np.arange(cells + 1, dtype=np.uint64))
+        parts, spare = self.parts(band)
+        start = np.uint64(band << 32)
         with np.errstate(over="ignore"):
+            if not parts:
+                return mix(spread.sum(keepdims=True) + start)
+            cells = parts * self.split
+            cell = ((spread >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+            order = np.argsort(cell, kind="stable")
+            ends = np.searchsorted(cell[order], np.arange(cells + 1, dtype=np.uint64))
             running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread[order], dtype=np.uint64)))
-            sums = (running[ends[1:]] - running[ends[:-1]]).reshape(parts, self.SPLIT)
-            sums = mix(sums + np.arange(1, self.SPLIT + 1, dtype=np.uint64))
-            label = mix(np.arange(parts, dtype=np.uint64) + (np.uint64(band) << np.uint64(32)))
-            return np.concatenate([mix(sums[:, own].sum(axis=1) + label + np.uint64(own[0] * 3 + own[-1])) for own in self.subsets])
+            held = np.diff(ends).reshape(parts, self.split)
+            sums = (running[ends[1:]] - running[ends[:-1]]).reshape(parts, self.split)
+            sums = mix(sums + np.arange(1, self.split + 1, dtype=np.uint64))
+            label = mix(np.arange(parts, dtype=np.uint64) + start)
+            made = [mix(sums[:, own].sum(axis=1) + label + np.uint64(own[0] * 3 + own[-1])) for own in self.subsets]
+        empty = [held[:, own].sum(axis=1) == 0 for own in self.subsets]
+        if np.logical_or.reduce(empty).sum() <= spare:
+            made = [own[~none] for own, none in zip(made, empty, strict=True)]
+        return np.concatenate(made)
 
 
 def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -10,6 +10,7 @@ from paperloom.llm.jaccard import near_duplicates
 from paperloom.llm.language import identify, train, training_sample
 from paperloom.llm.licenses import license_sql, scan_licenses
 from paperloom.llm.packing import pack_documents
+from paperloom.llm.quality import classify
 from paperloom.llm.substrings import remove_repeats
 from paperloom.llm.token_files import read_token_files, write_token_files
 from paperloom.llm.topk import quantised, top_k
@@ -49,6 +50,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_derivatives": op10_warc_derivatives,
 }

@@ -1,31 +1,32 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from paperloom.llm.common import smallest_reachable
 from paperloom.llm.jaccard import PartEnum, near_duplicates, shingle_set
 
 
-def sets_of(text):
+def sets_of(text, most=3):
     words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower()) if text else []
     if not words:
         return set()
-    width = min(3, len(words))
+    width = min(most, len(words))
     return {b" ".join(words[n : n + width]) for n in range(len(words) - width + 1)}
 
 
-def brute(rows):
+def brute(rows, words=3, percent=90):
     """Component of every doc_id by trying all pairs."""
     own = {}
     for doc_id, text in rows:
         if doc_id is not None:
-            own.setdefault(doc_id, []).append(sets_of(text))
+            own.setdefault(doc_id, []).append(sets_of(text, words))
     label = {doc_id: doc_id for doc_id in own}
     ids = sorted(own)
     linked = [
         (a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]
-        if any(x and y and 100 * len(x & y) >= 90 * len(x | y) for x in own[a] for y in own[b])
+        if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in own[a] for y in own[b])
     ]
     changed = True
     while changed:
@@ -54,16 +55,16 @@ def random_documents(seed):
     return list(enumerate(rows))
 
 
-def found(spark, rows):
+def found(spark, rows, words=3, percent=90):
     docs = spark.createDataFrame([(*row, "x", 0) for row in rows], "doc_id long, text string, leader string, component long")
-    return near_duplicates(docs.repartition(4)).collect()
+    return near_duplicates(docs.repartition(4), words, percent).collect()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_match_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "words", "percent"), [(1, 3, 90), (2, 5, 80)])
+def test_components_match_all_pairs(spark, seed, words, percent):
     rows = random_documents(seed)
-    want = brute(rows)
-    assert {row.doc_id: row.component_id for row in found(spark, rows)} == want
+    want = brute(rows, words, percent)
+    assert {row.doc_id: row.component_id for row in found(spark, rows, words, percent)} == want
     assert len(set(want.values())) < len(want)
 
 
@@ -89,22 +90,21 @@ def test_a_chain_links_beyond_its_first_document(spark):
     assert {row.component_id for row in found(spark, rows)} == {61}
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("percent", [90, 80])
+def test_similar_sets_share_a_signature(percent):
     rng = random.Random(5)
-    scheme = PartEnum(90)
+    scheme = PartEnum(percent)
     for _ in range(400):
         size = rng.choice([1, 2, 5, 9, 10, 11, 19, 20, 21, 40, 100, 333])
         one = shingle_set(" ".join(f"{rng.random()}" for _ in range(size + 2)).encode())
         other = set(one.tolist())
-        for _ in range(rng.randrange(size // 9 + 2)):
+        for _ in range(rng.randrange(size * (100 - percent) // 80 + 2)):
             if rng.random() < 0.5 and len(other) > 1:
                 other.remove(rng.choice(sorted(other)))
             else:
                 other.add(rng.getrandbits(64))
         both = set(one.tolist())
-        if 100 * len(both & other) >= 90 * len(both | other):
-            import numpy as np
-
+        if 100 * len(both & other) >= percent * len(both | other):
             assert set(scheme.signatures(one).tolist()) & set(scheme.signatures(np.array(sorted(other), np.uint64)).tolist())
 
 
