@@ -45,10 +45,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = MINIMIS
     """``(doc_id, row_key, starts)``: the windows of ``docs(doc_id, row_key, text)`` whose words start elsewhere too.
 
     First only the minimisers travel, one per super-k-mer: a window whose minimiser occurs once occurs once. The
-    super-k-mers of recurring minimisers then travel as one packed string each to their minimiser's bucket. Equal strings
-    are counted before the shuffle; in the bucket the windows are sorted and counted by their words. A minimiser that
-    recurs more than ``hot`` times has its windows sent one by one, so that no bucket grows with the commonest passage,
-    and these too are counted before the shuffle.
+    super-k-mers of recurring minimisers then travel as one packed string each to their minimiser's bucket, where the
+    windows are sorted and counted by their words. A minimiser that recurs more than ``hot`` times has its windows sent
+    one by one, as 128-bit digests counted before the shuffle, so that no bucket grows with the commonest passage.
     """
     spots = "doc_id long, row_key long, minimiser long, route long, n long"
 
@@ -83,41 +82,38 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = MINIMIS
     again = met.join(commonest, "minimiser", "left").groupBy(*KEYS).agg(
         F.collect_set("minimiser").alias("again"), F.collect_set(F.when(F.col("hot"), F.col("minimiser"))).alias("hot")
     )
-    strings = "doc_id long, row_key long, start long, packed binary, minimiser long"
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column("again").to_pylist(), batch.column("hot").to_pylist(), strict=True)
-            rows, starts, held, of = [], [], [], []
-            for row, (text, (again, common)) in enumerate(zip(texts(batch), sets, strict=True)):
-                words = text.split()
-                again, common = set(again), set(common)
-                for first, count, minimiser in zip(*(part.tolist() for part in _signed(runs(words, window, width))), strict=True):
-                    if minimiser in again:
-                        ones = minimiser in common
-                        for start in range(first, first + count) if ones else (first,):
-                            rows.append(row)
-                            starts.append(start)
-                            held.append(b" ".join(words[start : start + window - 1 + (1 if ones else count)]))
-                            of.append(None if ones else minimiser)
-            place = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(place), batch.column("row_key").take(place),
-                    pa.array(starts, pa.int64()), pa.array(held, pa.binary()), pa.array(of, pa.int64()),
-                ],
-                names=["doc_id", "row_key", "start", "packed", "minimiser"],
-            )
-
     sent = docs.join(again, [docs.doc_id.eqNullSafe(again.doc_id), docs.row_key == again.row_key]).select(
         docs.doc_id, docs.row_key, "text", "again", "hot"
     )
-    sent = cut_lineage(sent.mapInArrow(packed, strings).withColumn("content", F.sha2("packed", 256)))
-    distinct = sent.groupBy("minimiser", "content").agg(F.count("*").alias("n"), F.any_value("packed").alias("packed"))
-    singles = distinct.where("minimiser is null and n > 1").select("content", F.array(F.lit(0)).alias("repeats"))
+
+    def packed(batch: pa.RecordBatch) -> dict[str, object]:
+        """The super-k-mers of recurring minimisers, but for the hot ones."""
+        rows, starts, held, of = [], [], [], []
+        wanted = zip(batch.column("again").to_pylist(), batch.column("hot").to_pylist(), strict=True)
+        for row, (text, (again, hot)) in enumerate(zip(texts(batch), wanted, strict=True)):
+            words = text.split()
+            again = set(again).difference(hot)
+            for first, count, minimiser in _chosen(words, window, width, again):
+                rows.append(row)
+                starts.append(first)
+                held.append(b" ".join(words[first : first + window - 1 + count]))
+                of.append(minimiser)
+        return _placed(batch, rows, starts) | {"packed": pa.array(held, pa.binary()), "minimiser": pa.array(of, pa.int64())}
+
+    def single(batch: pa.RecordBatch) -> dict[str, object]:
+        """A digest for every window of a hot minimiser."""
+        rows, starts, held = [], [], []
+        for row, (text, hot) in enumerate(zip(texts(batch), batch.column("hot").to_pylist(), strict=True)):
+            words = text.split()
+            for first, count, _ in _chosen(words, window, width, set(hot)):
+                for start in range(first, first + count):
+                    rows.append(row)
+                    starts.append(start)
+                    held.append(hashlib.blake2b(b" ".join(words[start : start + window]), digest_size=16).digest())
+        return _placed(batch, rows, starts) | {"content": pa.array(held, pa.binary())}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sort each bucket's windows; buckets arrive one after another."""
+        """Sort each bucket's windows; buckets arrive one after another, equal strings next to each other."""
         open_, bucket = None, []
         for batch in batches:
             for row in batch.to_pylist():
@@ -125,42 +121,53 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = MINIMIS
                     if bucket:
                         yield _repeats(bucket, window)
                     open_, bucket = row["minimiser"], []
-                bucket.append((row["packed"].split(b" "), row["n"], row["content"]))
+                if not bucket or bucket[-1][0] != row["packed"]:
+                    bucket.append((row["packed"], []))
+                bucket[-1][1].append((row["doc_id"], row["row_key"], row["start"]))
         if bucket:
             yield _repeats(bucket, window)
 
-    buckets = distinct.where("minimiser is not null").repartition("minimiser").sortWithinPartitions("minimiser", "content")
-    several = buckets.select("minimiser", "packed", "n", "content").mapInArrow(counted, "content string, repeats array<int>")
-    found = sent.drop("packed").join(several.union(singles), "content")
-    return found.groupBy(*KEYS).agg(F.flatten(F.collect_list(F.transform("repeats", lambda at: F.col("start") + at))).alias("starts"))
+    place = "doc_id long, row_key long, start long"
+    strings = by_batch(sent, packed, f"{place}, packed binary, minimiser long")
+    buckets = strings.repartition("minimiser").sortWithinPartitions("minimiser", "packed")
+    several = buckets.mapInArrow(counted, "doc_id long, row_key long, starts array<long>")
+    alone = by_batch(sent.where(F.size("hot") > 0), single, f"{place}, content binary")
+    twice = alone.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
+    found = alone.join(twice, "content").select(*KEYS, F.array("start").alias("starts"))
+    return several.union(found).groupBy(*KEYS).agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
-def _signed(parts):
-    first, count, minimiser = parts
-    return first, count, minimiser.view(np.int64)
+def _chosen(words: list[bytes], window: int, width: int, wanted: set[int]):
+    if wanted:
+        first, count, minimiser = runs(words, window, width)
+        for one in zip(first.tolist(), count.tolist(), minimiser.view(np.int64).tolist(), strict=True):
+            if one[2] in wanted:
+                yield one
 
 
-def _repeats(bucket: list[tuple[list[bytes], int, str]], window: int) -> pa.RecordBatch:
-    """Of each packed string of a bucket, the windows that occur more than once in the bucket."""
-    spans = [
-        (tuple(words[at : at + window]), nth, at) for nth, (words, _, _) in enumerate(bucket) for at in range(len(words) - window + 1)
-    ]
-    spans.sort()
+def _placed(batch: pa.RecordBatch, rows: list[int], starts: list[int]) -> dict[str, object]:
+    at = pa.array(rows, pa.int64())
+    return {"doc_id": batch.column("doc_id").take(at), "row_key": batch.column("row_key").take(at), "start": pa.array(starts, pa.int64())}
+
+
+def _repeats(bucket: list[tuple[bytes, list[tuple]]], window: int) -> pa.RecordBatch:
+    """The places of a bucket's windows that occur more than once in it."""
+    words = [packed.split(b" ") for packed, _ in bucket]
+    spans = sorted((own[at : at + window], nth, at) for nth, own in enumerate(words) for at in range(len(own) - window + 1))
     repeats: list[list[int]] = [[] for _ in bucket]
-    start = 0
-    while start < len(spans):
-        end = start + 1
-        while end < len(spans) and spans[end][0] == spans[start][0]:
-            end += 1
-        if end - start > 1 or bucket[spans[start][1]][1] > 1:
-            for _, nth, at in spans[start:end]:
-                repeats[nth].append(at)
-        start = end
-    rows = [(content, own) for (_, _, content), own in zip(bucket, repeats, strict=True) if own]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([content for content, _ in rows], pa.string()), pa.array([own for _, own in rows], pa.list_(pa.int32()))],
-        names=["content", "repeats"],
-    )
+    for nth, (span, own, at) in enumerate(spans):
+        near = (nth and spans[nth - 1][0] == span) or (nth + 1 < len(spans) and spans[nth + 1][0] == span)
+        if near or len(bucket[own][1]) > 1:
+            repeats[own].append(at)
+    rows = [
+        (doc_id, row_key, [start + at for at in own])
+        for (_, owners), own in zip(bucket, repeats, strict=True)
+        if own
+        for doc_id, row_key, start in owners
+    ]
+    kinds = {"doc_id": pa.int64(), "row_key": pa.int64(), "starts": pa.list_(pa.int64())}
+    columns = [pa.array([row[nth] for row in rows], kind) for nth, kind in enumerate(kinds.values())]
+    return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = MINIMISER) -> DataFrame:
