@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import compute_once
+
 NEWLINE = "\r\n"
 #: Date of records whose source names none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -87,12 +89,16 @@ def derivatives(source: DataFrame) -> DataFrame:
     """
     html = F.coalesce("payload", F.lit(""))
     date = F.coalesce("date", F.lit(NO_DATE))
-    title, language = F.regexp_extract(html, TITLE, 1), F.regexp_extract(html, LANGUAGE, 1)
-    read = source.select(
-        "page_id", "record_id", "target_uri", date.alias("date"), "http_headers",
-        _digest(html).alias("source_digest"), plain_text(html).alias("text"),
-        F.nullif(F.regexp_replace(_tidied(title), r"\s+", " "), F.lit("")).alias("title"), F.nullif(F.lower(language), F.lit("")).alias("language"),
-    )
+    title, language = F.regexp_extract("html", TITLE, 1), F.regexp_extract("html", LANGUAGE, 1)
+    given = source.select("page_id", "record_id", "target_uri", date.alias("date"), "http_headers", html.alias("html"))
+    html = F.col("html")
+    read = compute_once(
+        given,
+        source_digest=_digest(html),
+        text=plain_text(html),
+        title=F.nullif(F.regexp_replace(_tidied(title), r"\s+", " "), F.lit("")),
+        language=F.nullif(F.lower(language), F.lit("")),
+    ).drop("html")
     named = read.select(
         "*",
         _uuid(F.lit("metadata"), F.col("record_id")).alias("metadata_id"),
