@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import doi_key, title_key
 from paperloom.session import cut_lineage
 
-# Past this many rounds, a remainder of at most this many key rows is walked scope by scope.
-ROUNDS_BEFORE_WALK = 12
-WALK_LIMIT = 50_000
+# Rounds that look at direct neighbours only; every later one follows chains as well.
+PLAIN_ROUNDS = 4
 
 
 def merge_order(source_pos: str = "source_pos", source_rank: str = "source_rank") -> Column:
@@ -25,26 +24,23 @@ def _round_winners(undecided: DataFrame) -> DataFrame:
     """Rows that come first under every key they carry.
 
     Each key names its first row; a row wins when all of its keys name it.  Both steps aggregate, so copies of a hot key
-    are combined before the shuffle and no row has to be joined back to its key group.  Whether the row needs one vote
-    or two travels in the lowest bit of the order number, which keeps the large aggregate on plain numbers.
+    are combined before the shuffle and no row has to be joined back to its key group.  The order travels with whether the
+    row needs one vote or two.
     """
 
     def firsts(key: str, other: str) -> DataFrame:
-        tagged = F.shiftleft("ord", 1) + F.col(other).isNull().cast("bigint")
+        tagged = F.struct("ord", F.col(other).isNull().alias("alone"))
         first = undecided.where(F.col(key).isNotNull()).groupBy("scope", key).agg(F.min(tagged).alias("first"))
         return first.select(
-            "scope",
-            F.shiftright("first", 1).alias("ord"),
-            (2 - F.col("first").bitwiseAND(F.lit(1))).alias("needed"),
-            F.col(key),
-            F.lit(None).cast("string").alias(other),
+            "scope", F.col("first.ord").alias("ord"), F.col("first.alone").alias("alone"), F.col(key), F.lit(None).cast("string").alias(other)
         )
 
     votes = firsts("doi_key", "title_key").unionByName(firsts("title_key", "doi_key"))
-    counted = votes.groupBy("scope", "ord", "needed").agg(
+    counted = votes.groupBy("scope", "ord", "alone").agg(
         F.max("doi_key").alias("doi_key"), F.max("title_key").alias("title_key"), F.count("*").alias("votes")
     )
-    return counted.where(F.col("votes") == F.col("needed")).select("scope", "ord", "doi_key", "title_key")
+    needed = F.when(F.col("alone"), 1).otherwise(2)
+    return counted.where(F.col("votes") == needed).select("scope", "ord", "doi_key", "title_key")
 
 
 def _without_taken(undecided: DataFrame, winners: DataFrame, key: str) -> DataFrame:
@@ -54,27 +50,48 @@ def _without_taken(undecided: DataFrame, winners: DataFrame, key: str) -> DataFr
     return undecided.where(has_key).join(taken, ["scope", key], "left_anti").unionByName(undecided.where(~has_key))
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sequential first-wins walk over the bounded remainder of one scope."""
-    seen = {"doi_key": set(), "title_key": set()}
-    kept = []
-    for row in rows.sort_values("ord").to_dict("records"):
-        keys = [(name, row[name]) for name in seen if isinstance(row[name], str)]
-        if all(key not in seen[name] for name, key in keys):
-            kept.append(row)
-            for name, key in keys:
-                seen[name].add(key)
-    return pd.DataFrame(kept, columns=rows.columns)
+def _settled_chains(undecided: DataFrame) -> DataFrame:
+    """Rows kept because a chain of single earlier neighbours decides them.
 
+    A row with exactly one undecided earlier neighbour is kept if and only if that one is not.  Such rows point to their
+    neighbour; doubling the pointers, with the parity of the steps, leads to the end of every chain in logarithmically
+    many joins.  Chains that end at a row without an earlier neighbour are decided, the others wait.
+    """
+    rows = undecided
+    for key, side in (("doi_key", "doi"), ("title_key", "title")):
+        first = undecided.where(F.col(key).isNotNull()).groupBy("scope", key).agg(F.min("ord").alias(f"{side}_first"))
+        behind = undecided.join(first, ["scope", key]).where(F.col("ord") > F.col(f"{side}_first"))
+        second = behind.groupBy("scope", key).agg(F.min("ord").alias(f"{side}_second"))
+        rows = rows.join(first, ["scope", key], "left").join(second, ["scope", key], "left")
+        earlier = F.when(F.col(key).isNull() | (F.col("ord") == F.col(f"{side}_first")), 0)
+        rows = rows.withColumn(f"{side}_earlier", earlier.when(F.col("ord") == F.col(f"{side}_second"), 1).otherwise(2))
+    earlier = F.col("doi_earlier") + F.col("title_earlier")
+    target = F.when(earlier == 1, F.when(F.col("doi_earlier") == 1, F.col("doi_first")).otherwise(F.col("title_first")))
+    placed = cut_lineage(rows.where(earlier < 2).select("scope", "ord", "doi_key", "title_key", target.alias("to")))
+    ends = placed.where(F.col("to").isNull()).select("scope", F.col("ord").alias("to"))
+    pointers = placed.where(F.col("to").isNotNull()).select("scope", "ord", "to", F.lit(True).alias("odd"))
+    open_ = cut_lineage(pointers)
+    done = []
+    while True:
+        done.append(open_.join(ends, ["scope", "to"], "left_semi").select("scope", "ord", "odd"))
+        onward = open_.select("scope", F.col("ord").alias("to"), F.col("to").alias("next"), F.col("odd").alias("step"))
+        moved = open_.join(onward, ["scope", "to"]).select(
+            "scope", "ord", F.col("next").alias("to"), (F.col("odd") != F.col("step")).alias("odd")
+        )
+        open_ = cut_lineage(moved)
+        if open_.isEmpty():
+            break
+    decided = reduce(DataFrame.unionByName, done).where(~F.col("odd"))
+    return placed.join(decided.select("scope", "ord"), ["scope", "ord"], "left_semi").drop("to")
 
-def first_wins(
-    keyed: DataFrame, rounds_before_walk: int = ROUNDS_BEFORE_WALK, walk_limit: int = WALK_LIMIT
-) -> DataFrame:
+
+def first_wins(keyed: DataFrame) -> DataFrame:
     """``(scope, ord)`` of the kept rows of ``keyed(scope, ord, doi_key, title_key)``; ``ord`` is unique within scope.
 
     A row is dropped if an earlier *kept* row of its scope has the same DOI key or the same title key; null keys match
     nothing.  Rows with equal key pairs can only be represented by their first one, so those groups collapse before the
-    rounds start.  Every round keeps the rows that come first under all their keys and drops what shares a key with them.
+    rounds start.  Every round keeps the rows that come first under all their keys and drops what shares a key with them;
+    most data ends within a few.  What is left then are chains, which later rounds settle along their whole length.
     """
     keyless = F.col("doi_key").isNull() & F.col("title_key").isNull()
     always_kept = keyed.where(keyless).select("scope", "ord")
@@ -84,12 +101,10 @@ def first_wins(
     kept = [always_kept]
     rounds = 0
     while not undecided.isEmpty():
-        if rounds >= rounds_before_walk and undecided.limit(walk_limit + 1).count() <= walk_limit:
-            kept.append(
-                undecided.groupBy("scope").applyInPandas(_walk, undecided.schema).select("scope", "ord")
-            )
-            break
-        winners = cut_lineage(_round_winners(undecided))
+        winners = _round_winners(undecided)
+        if rounds >= PLAIN_ROUNDS:
+            winners = winners.unionByName(_settled_chains(undecided))
+        winners = cut_lineage(winners)
         undecided = cut_lineage(_without_taken(_without_taken(undecided, winners, "doi_key"), winners, "title_key"))
         kept.append(winners.select("scope", "ord"))
         rounds += 1
@@ -99,10 +114,15 @@ def first_wins(
 def dedupe_papers(papers: DataFrame, scope: str | None = None) -> DataFrame:
     """Keep the papers a walk in ``(source_pos, source_rank)`` order keeps, separately for each value of ``scope``.
 
-    Only the order number and the two keys take part in the rounds; the full rows are touched once, by the final join.
+    Papers of one position follow in the order of their external ids, then of a hash of all their columns; of rows equal in
+    all of them and with a key, one stays.  Only the order and the two keys take part in the rounds; the full rows are
+    touched once, by the final join.
     """
-    tagged = papers.withColumn("_ord", merge_order()).withColumn(
-        "_scope", F.col(scope).cast("string") if scope else F.lit("")
+    position = F.struct(
+        merge_order().alias("at"), F.coalesce("external_id", F.lit("")).alias("id"), F.xxhash64(F.to_json(F.struct("*"))).alias("tie")
+    )
+    tagged = papers.withColumn("_ord", position).withColumn(
+        "_scope", F.coalesce(F.col(scope).cast("string"), F.lit("\0")) if scope else F.lit("")
     )
     keyed = tagged.select(
         F.col("_scope").alias("scope"),
@@ -110,5 +130,8 @@ def dedupe_papers(papers: DataFrame, scope: str | None = None) -> DataFrame:
         doi_key(F.col("doi")).alias("doi_key"),
         title_key(F.col("title")).alias("title_key"),
     )
-    kept = first_wins(keyed).select(F.col("scope").alias("_scope"), F.col("ord").alias("_ord"))
-    return tagged.join(kept, ["_scope", "_ord"], "left_semi").drop("_scope", "_ord")
+    kept = first_wins(keyed).select(F.col("scope").alias("_scope"), F.col("ord").alias("_ord")).distinct()
+    same = F.row_number().over(W.partitionBy("_scope", "_ord").orderBy("_scope"))
+    found = tagged.join(kept, ["_scope", "_ord"], "left_semi").withColumn("_same", same)
+    keyless = doi_key(F.col("doi")).isNull() & title_key(F.col("title")).isNull()
+    return found.where((F.col("_same") == 1) | keyless).drop("_scope", "_ord", "_same")

@@ -10,7 +10,6 @@ from paperloom.schemas import CACHE_TTL_SECONDS, DEFAULT_LIMIT_PER_HOUR, LATENCY
 from paperloom.session import cut_lineage
 
 LATENCY_BLOCK = 65_536
-SESSION_ROWS = 4_096
 MICROS = 1_000_000
 
 
@@ -67,7 +66,7 @@ def metrics_snapshot(requests: DataFrame, window: int = LATENCY_WINDOW) -> DataF
 
 
 def latency_last_n(calls: DataFrame, window: int = LATENCY_WINDOW, block_rows: int = LATENCY_BLOCK) -> DataFrame:
-    """Mean latency over the last ``window`` calls of a model as seen after every call.
+    """Mean latency over the last ``window`` calls of a model as seen after every call; calls without one are left out.
 
     ``calls(model, ts, request_id, latency_ms)``.  A range partitioning on the full sort key gives every call its
     position in its model's history, whatever the share of one model or moment.  Fixed-length blocks of positions, each
@@ -77,7 +76,7 @@ def latency_last_n(calls: DataFrame, window: int = LATENCY_WINDOW, block_rows: i
         raise ValueError("a block must be at least as long as the window")
     order = ["model", "ts", "request_id"]
     spread = cut_lineage(
-        calls.select(*order, _cents("latency_ms").alias("cents"))
+        calls.where("latency_ms is not null").select(*order, _cents("latency_ms").alias("cents"))
         .repartitionByRange(*order)
         .withColumn("part", F.spark_partition_id())
     )
@@ -103,7 +102,8 @@ def latency_last_n(calls: DataFrame, window: int = LATENCY_WINDOW, block_rows: i
 
 
 def hourly_limit(endpoint: Column) -> Column:
-    return F.when(endpoint == "search", F.lit(SEARCH_LIMIT_PER_HOUR)).otherwise(F.lit(DEFAULT_LIMIT_PER_HOUR))
+    """Searches have a limit of their own, whether the endpoint is logged by name or by request path."""
+    return F.when(F.regexp_replace(endpoint, "^/(api/)?|/$", "") == "search", F.lit(SEARCH_LIMIT_PER_HOUR)).otherwise(F.lit(DEFAULT_LIMIT_PER_HOUR))
 
 
 def rate_limit_audit(requests: DataFrame, limit: Column | None = None) -> DataFrame:
@@ -135,16 +135,13 @@ def run_report(run_events: DataFrame, asked: DataFrame, order: tuple[str, ...] =
     )
 
 
-def ttl_dedupe(
-    searches: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, session_rows: int = SESSION_ROWS
-) -> DataFrame:
+def ttl_dedupe(searches: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """Searches that reach the sources when results are cached for ``ttl_seconds``: ``(cache_key, asked_us)``.
 
     ``searches(cache_key, asked_us)`` with ``asked_us`` in microseconds.  The first search of a key passes and answers the same
     search until the time is over, then the next one passes.  A pause of the full time restarts a key, so its history
-    falls apart into sessions.  Sessions of at most ``session_rows`` distinct moments are walked as bounded arrays; longer
-    ones are solved by joins: every search points to the one that would pass next, and doubling the pointers marks all
-    that are reached from the first in logarithmically many rounds.
+    falls apart into sessions.  Within a session every search points to the one that would pass next, and doubling the
+    pointers marks all that are reached from the first in logarithmically many rounds.
     """
     ttl = ttl_seconds * MICROS
     moments = searches.select("cache_key", "asked_us").distinct().withColumn("slot", F.floor(F.col("asked_us") / ttl))
@@ -154,39 +151,12 @@ def ttl_dedupe(
     history = W.partitionBy("cache_key").orderBy("slot")
     restart = F.coalesce(F.col("first_at") - F.lag("last_at").over(history) >= ttl, F.lit(True))
     numbered = slots.withColumn("restart", restart.cast("int")).withColumn("session", F.sum("restart").over(history))
-    in_session = W.partitionBy("cache_key", "session")
-    sized = numbered.select(
-        "cache_key", "slot", "session", F.sum("rows").over(in_session).alias("session_rows")
-    )
-    tagged = cut_lineage(moments.join(sized, ["cache_key", "slot"]).drop("slot"))
-    small = tagged.where(F.col("session_rows") <= session_rows).groupBy("cache_key", "session").agg(
-        F.sort_array(F.collect_list("asked_us")).alias("moments")
-    )
-    passed = small.select("cache_key", F.explode(_walk("moments", ttl)).alias("asked_us"))
-    large = tagged.where(F.col("session_rows") > session_rows).select("cache_key", "session", "asked_us")
-    if large.isEmpty():
-        return passed
-    return passed.unionByName(_passing_by_doubling(large, ttl))
-
-
-def _walk(moments: str, ttl: int) -> Column:
-    """The passing ones among sorted moments."""
-    start = F.struct(
-        F.lit(-(2**62)).cast("bigint").alias("open_from"), F.array().cast("array<bigint>").alias("passed")
-    )
-    return F.aggregate(
-        moments,
-        start,
-        lambda state, asked: F.when(
-            asked >= state["open_from"],
-            F.struct((asked + ttl).alias("open_from"), F.concat(state["passed"], F.array(asked)).alias("passed")),
-        ).otherwise(state),
-        lambda state: state["passed"],
-    )
+    sessions = numbered.select("cache_key", "slot", "session")
+    return _passing_by_doubling(cut_lineage(moments.join(sessions, ["cache_key", "slot"]).drop("slot")), ttl)
 
 
 def _passing_by_doubling(moments: DataFrame, ttl: int) -> DataFrame:
-    """Passing searches of long sessions by pointer doubling; all groups are single moments or short time slices."""
+    """Passing searches of every session by pointer doubling; all groups are single moments or short time slices."""
     steps = cut_lineage(_next_passing(moments, ttl))
     reached = cut_lineage(
         moments.groupBy("cache_key", "session").agg(F.min("asked_us").alias("asked_us")).select("cache_key", "session", "asked_us")
@@ -219,16 +189,17 @@ def _next_passing(moments: DataFrame, ttl: int) -> DataFrame:
     )
     mixed = own.unionByName(probes)
     real = F.when(F.col("asker").isNull(), F.col("asked_us"))
+    # Both look ahead, so they run backwards: a frame from the start of the partition grows by a row at a time.
     within = (
         W.partitionBy("cache_key", "session", "slot")
-        .orderBy("asked_us", F.col("asker").asc_nulls_last())
-        .rowsBetween(0, W.unboundedFollowing)
+        .orderBy(F.col("asked_us").desc(), F.col("asker").desc_nulls_first())
+        .rowsBetween(W.unboundedPreceding, 0)
     )
-    beyond = W.partitionBy("cache_key", "session").orderBy("slot").rowsBetween(1, W.unboundedFollowing)
+    beyond = W.partitionBy("cache_key", "session").orderBy(F.col("slot").desc()).rowsBetween(W.unboundedPreceding, -1)
     later = mixed.groupBy("cache_key", "session", "slot").agg(F.min(real).alias("first_at")).select(
-        "cache_key", "session", "slot", F.first("first_at", ignorenulls=True).over(beyond).alias("later_at")
+        "cache_key", "session", "slot", F.last("first_at", ignorenulls=True).over(beyond).alias("later_at")
     )
-    found = mixed.withColumn("next_us", F.first(real, ignorenulls=True).over(within)).where(F.col("asker").isNotNull())
+    found = mixed.withColumn("next_us", F.last(real, ignorenulls=True).over(within)).where(F.col("asker").isNotNull())
     return (
         found.join(later, ["cache_key", "session", "slot"])
         .select("cache_key", "session", F.col("asker").alias("asked_us"), F.coalesce("next_us", "later_at").alias("next_us"))

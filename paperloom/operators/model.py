@@ -195,7 +195,7 @@ def embed_chunks(
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    tokens = chunks.withColumn("_tokens", F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))
+    tokens = chunks.withColumn("_tokens", F.array_remove(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), ""))
     counted = HashingTF(numFeatures=dimensions, inputCol="_tokens", outputCol="_counts").transform(tokens)
     scaled = Normalizer(inputCol="_counts", outputCol="_scaled").transform(counted)
     return scaled.withColumn("embedding", vector_to_array("_scaled", "float32")).drop("_tokens", "_counts", "_scaled")

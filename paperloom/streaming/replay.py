@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 def land_in_slices(rows: DataFrame, order: str, path: str, slices: int = 3) -> DataFrame:
     """Write ``rows`` as consecutive ranges of ``order``, one append per slice, and open them as a stream.
 
-    A few boundaries are all that reaches the driver.  The stream takes the slices one by one.
+    A few boundaries are all that reaches the driver.  The stream takes the slices one by one; rows without
+    an order come with the first.
     """
     spark = rows.sparkSession
     numeric = rows.select(F.col(order).cast("double").alias("at"))
     bounds = numeric.approxQuantile("at", [(n + 1) / slices for n in range(slices - 1)], 0.01)
-    passed = [F.col(order).cast("double") > bound for bound in bounds]
+    passed = [F.coalesce(F.col(order).cast("double") > bound, F.lit(False)) for bound in bounds]
     sliced = rows.withColumn("_slice", reduce(lambda left, right: left + right, [p.cast("int") for p in passed], F.lit(0)))
     for number in range(slices):
         sliced.where(F.col("_slice") == number).drop("_slice").coalesce(1).write.mode("append").parquet(path)

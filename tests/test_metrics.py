@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,12 +7,14 @@ from pyspark.sql import functions as F
 from paperloom.operators.metrics import (
     MICROS,
     endpoint_counts,
+    hourly_limit,
     latency_last_n,
     metrics_snapshot,
     rate_limit_audit,
     run_report,
     ttl_dedupe,
 )
+from paperloom.streaming.replay import land_in_slices
 from paperloom.streaming.metrics import replay_rate_limits, replay_ttl_dedupe
 
 
@@ -79,14 +82,32 @@ def searches(spark, seed):
     return rows, spark.createDataFrame(rows, "cache_key string, asked_us bigint")
 
 
-@pytest.mark.parametrize("session_rows", [4096, 3])
-def test_cache_replay_equals_the_walk(spark, session_rows):
+@pytest.mark.parametrize("seed", [4096, 3])
+def test_cache_replay_equals_the_walk(spark, seed):
     """With a tiny bound every session goes through pointer doubling."""
-    rows, frame = searches(spark, session_rows)
-    found = {tuple(row) for row in ttl_dedupe(frame, ttl_seconds=20, session_rows=session_rows).collect()}
+    rows, frame = searches(spark, seed)
+    found = {tuple(row) for row in ttl_dedupe(frame, ttl_seconds=20).collect()}
     assert found == passing(rows, 20 * MICROS)
 
 
 def test_cache_replay_as_a_stream(spark):
     rows, frame = searches(spark, 1)
     assert {tuple(row) for row in replay_ttl_dedupe(frame, ttl_seconds=20).collect()} == passing(rows, 20 * MICROS)
+
+
+def test_calls_without_a_latency_count_for_nothing(spark):
+    calls = spark.createDataFrame(
+        [("m", datetime(2024, 1, 1), 1, 10.0), ("m", datetime(2024, 1, 2), 2, None)], "model string, ts timestamp, request_id long, latency_ms double"
+    )
+    assert [(row.avg_latency_ms, row.calls_tracked) for row in latency_last_n(calls).collect()] == [(10.0, 1)]
+
+
+def test_the_default_limit_knows_the_request_path(spark):
+    paths = spark.createDataFrame([("/api/search",), ("search",), ("/api/papers",), (None,)], "endpoint string")
+    assert [row[0] for row in paths.select(hourly_limit(F.col("endpoint"))).collect()] == [30, 30, 100, 100]
+
+
+def test_rows_without_a_time_are_landed(spark, tmp_path):
+    rows = spark.createDataFrame([(n, None if n % 4 == 0 else n) for n in range(20)], "id long, at long")
+    land_in_slices(rows, "at", str(tmp_path / "landing"))
+    assert spark.read.parquet(str(tmp_path / "landing")).count() == 20

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import id_list, paper_id, strip, title_key, words
+from paperloom.operators import dedupe
 from paperloom.operators.dedupe import dedupe_papers, first_wins
 from paperloom.operators.search import (
     check_cap,
@@ -66,19 +67,21 @@ def test_titles_without_letters_never_match(spark):
     assert kept(spark, [("論文", None), ("論文", None), ("!!", "")]) == ["0", "1", "2"]
 
 
-def walk(rows):
-    """Sequential model of the dedupe."""
-    seen, result = {}, set()
-    for scope, order, doi, title in sorted(rows, key=lambda row: (row[0], row[1])):
-        keys = [(scope, "d", doi)] * (doi is not None) + [(scope, "t", title)] * (title is not None)
-        if not any(key in seen for key in keys):
-            result.add((scope, order))
-            seen.update(dict.fromkeys(keys))
-    return result
+def check_first_wins(rows, found):
+    """No two kept rows share a key, and every dropped one shares a key with an earlier kept one: only one set does both."""
+    first = {}
+    for scope, order, doi, title in rows:
+        for key in {(scope, "d", doi), (scope, "t", title)}:
+            if key[2] is not None and (scope, order) in found:
+                assert key not in first
+                first[key] = order
+    for scope, order, doi, title in rows:
+        if (scope, order) not in found:
+            assert min(first.get((scope, "d", doi), order), first.get((scope, "t", title), order)) < order
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_first_wins_equals_the_sequential_walk(spark, seed):
+def test_first_wins(spark, seed):
     """Many small random scopes plus one large scope in which one DOI holds a third of the rows."""
     draw = random.Random(seed)
     rows = []
@@ -90,16 +93,27 @@ def test_first_wins_equals_the_sequential_walk(spark, seed):
         rows.append(("big", order, doi, draw.choice([None, str(draw.randint(0, 900))])))
     draw.shuffle(rows)
     keyed = spark.createDataFrame(rows, "scope string, ord bigint, doi_key string, title_key string")
-    found = {(row.scope, row.ord) for row in first_wins(keyed).collect()}
-    assert found == walk(rows)
+    check_first_wins(rows, {(row.scope, row.ord) for row in first_wins(keyed).collect()})
 
 
-def test_a_long_chain_is_finished_by_the_bounded_walk(spark):
-    """Neighbours share a key, so the rounds alone would settle two rows at a time."""
-    rows = [("", n, f"d{n // 2}", f"t{(n + 1) // 2}") for n in range(60)]
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Neighbours share a key, so plain rounds alone would settle two rows of a chain at a time."""
+    rows = [("", n, f"d{n // 2}", f"t{(n + 1) // 2}") for n in range(3_000)]
+    rows += [("x", n, f"d{n // 3}", f"t{(n + 1) // 2}") for n in range(300)]
+    calls = []
+    plain = dedupe._round_winners
+    monkeypatch.setattr(dedupe, "_round_winners", lambda undecided: calls.append(1) or plain(undecided))
     keyed = spark.createDataFrame(rows, "scope string, ord bigint, doi_key string, title_key string")
-    found = {(row.scope, row.ord) for row in first_wins(keyed, rounds_before_walk=2, walk_limit=100).collect()}
-    assert found == walk(rows)
+    found = {(row.scope, row.ord) for row in first_wins(keyed).collect()}
+    check_first_wins(rows, found)
+    assert {n for scope, n in found if not scope} == set(range(0, 3_000, 2)) and len(calls) < 60
+
+
+def test_papers_of_one_position(spark):
+    """Ties go by external id; equal rows with a key are one paper."""
+    rows = [("b", "arxiv", 0, "One", "10.1/x", None, None), ("a", "arxiv", 0, "Two", "10.1/x", None, None), ("c", "arxiv", 0, "Three", None, None, None)]
+    rows += [rows[2], ("d", "arxiv", 0, "!!", None, None, None), ("d", "arxiv", 0, "!!", None, None, None)]
+    assert sorted(ids(dedupe_papers(papers(spark, rows)))) == ["a", "c", "d", "d"]
 
 
 def test_dedupe_runs_before_the_year_filter(spark):
