@@ -106,7 +106,8 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     Every batch settles its own repeats: only the smallest document of a signature goes on to the signature's place, so
     that a signature of any share of the documents brings there a row per batch.
     """
-    schema = "signature long, doc_id long, leader long, route long, shared boolean, n_shingles long"
+    # The first of a batch has its signature as its route and no leader: most rows are two numbers and zeros.
+    schema = "route long, doc_id long, signature long, leader long, shared boolean, n_shingles long"
 
     def signatures(batch: pa.RecordBatch) -> dict[str, object]:
         scheme = PartEnum(percent)
@@ -132,20 +133,23 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
         route = np.where(first, values, aside)
         with np.errstate(over="ignore"):
             alone = mix(mix(of.fill_null(0).to_numpy().astype(np.uint64)) + np.arange(rows, dtype=np.uint64))
+        alone_of = pa.nulls(rows, pa.int64())
         return {
-            "signature": np.concatenate((values, np.zeros(rows, np.uint64))).view(np.int64),
-            "doc_id": pa.concat_arrays([pa.array(doc_ids, pa.int64()), of]),
-            "leader": pa.concat_arrays([pa.array(leader, pa.int64()), of]),
             "route": np.concatenate((route, alone)).view(np.int64),
+            "doc_id": pa.concat_arrays([pa.array(doc_ids, pa.int64()), of]),
+            "signature": pa.concat_arrays([pa.array(values.view(np.int64), mask=first), alone_of]),
+            "leader": pa.concat_arrays([pa.array(leader, pa.int64(), mask=first), alone_of]),
             "shared": np.concatenate((sizes[group] > 1 if len(values) else np.zeros(0, bool), np.ones(rows, bool))),
             "n_shingles": pa.concat_arrays([pa.nulls(len(values), pa.int64()), pa.array([len(x) for x in sets], pa.int64())]),
         }
 
     made = by_batch(docs.select("doc_id", "text"), signatures, schema)
-    place = Window.partitionBy("route", "signature")
-    met = made.withColumn("least", F.min("leader").over(place)).withColumn("met", F.count("*").over(place))
-    leader = F.when(F.col("doc_id") == F.col("leader"), F.col("least")).otherwise(F.col("leader"))
-    return met.where("met > 1 or shared").select("signature", "doc_id", leader.alias("leader"), "n_shingles")
+    place = Window.partitionBy("route")
+    met = made.withColumn("least", F.min("doc_id").over(place)).withColumn("met", F.count("*").over(place))
+    signature, leader = F.coalesce("signature", "route"), F.coalesce("leader", "least")
+    return met.where("met > 1 or shared").select(
+        signature.alias("signature"), "doc_id", leader.alias("leader"), "n_shingles"
+    )
 
 
 def _linked(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
