@@ -49,7 +49,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = MINIMIS
     windows are sorted and counted by their words. A minimiser that recurs more than ``hot`` times has its windows sent
     one by one, as 128-bit digests counted before the shuffle, so that no bucket grows with the commonest passage.
     """
-    spots = "doc_id long, row_key long, minimiser long, route long, n long"
+    # The first of a batch travels by its minimiser, which then need not be said twice.
+    spots = "route long, doc_id long, row_key long, minimiser long, n long"
 
     def minimisers(batch: pa.RecordBatch) -> dict[str, object]:
         own = [runs(text.split(), window, width)[2] for text in texts(batch)]
@@ -67,16 +68,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = MINIMIS
         row, values, total, first = row[kept], values[kept], total[kept], ~same_value[kept]
         keys = mix(batch.column("row_key").to_numpy().view(np.uint64)[row] ^ values)
         return {
+            "route": np.where(first, values, keys).view(np.int64),
             "doc_id": batch.column("doc_id").take(pa.array(row)),
             "row_key": batch.column("row_key").take(pa.array(row)),
-            "minimiser": values.view(np.int64),
-            "route": np.where(first, values, keys).view(np.int64),
+            "minimiser": pa.array(values.view(np.int64), mask=first),
             "n": np.where(first, total, -total).astype(np.int64),
         }
 
-    at = Window.partitionBy("route", "minimiser")
+    at = Window.partitionBy("route")
     met = by_batch(docs, minimisers, spots).withColumn("times", F.sum(F.abs("n")).over(at)).where("times > 1")
-    met = cut_lineage(met.select(*KEYS, "minimiser", (F.col("n") > 0).alias("whole"), "times"))
+    met = cut_lineage(met.select(*KEYS, F.coalesce("minimiser", "route").alias("minimiser"), (F.col("n") > 0).alias("whole"), "times"))
     # Only the row that met those of all batches knows how often the minimiser occurs in all.
     commonest = met.where(F.col("whole") & (F.col("times") > hot)).select("minimiser", F.lit(True).alias("hot")).distinct()
     again = met.join(commonest, "minimiser", "left").groupBy(*KEYS).agg(
