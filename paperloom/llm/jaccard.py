@@ -8,10 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WordHashes, by_batch, mix, rolled, smallest_reachable, texts
+from paperloom.llm.common import WordHashes, mix, rolled, smallest_reachable, texts
 from paperloom.session import cut_lineage
 
 WORDS = 3
@@ -19,6 +20,10 @@ PERCENT = 90
 _hashes = WordHashes()
 #: Elements of the sets that a worker keeps while it checks pairs.
 KEPT_ELEMENTS = 4_000_000
+#: Signatures that a task packs at a time, rows of packed ones in an Arrow batch, buckets for each shuffle partition.
+HELD_SIGNATURES = 2_000_000
+PACKED_ROWS = 256
+BUCKETS = 8
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -98,58 +103,124 @@ class PartEnum:
         return np.concatenate(made)
 
 
+def _packed(entries: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[dict[str, object]]:
+    """A row per bucket of the ``(signatures, doc_ids)`` of some texts.
+
+    Only the smallest document of a signature goes to the signature's bucket, so that a signature of any share of the
+    documents brings there an entry per call. The others already know that they share it: they are dealt evenly.
+    """
+    values, doc_ids = (np.concatenate(part) for part in zip(*entries, strict=True))
+    if not len(values):
+        return
+    order = np.lexsort((doc_ids, values))
+    values, doc_ids = values[order], doc_ids[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (doc_ids[1:] != doc_ids[:-1])
+    values, doc_ids = values[new], doc_ids[new]
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    group = np.cumsum(first) - 1
+    leaders = doc_ids[first][group]
+    shared = (np.bincount(group) > 1)[group]
+    route = np.where(first, values, mix(values ^ mix(doc_ids.astype(np.uint64))))
+    bucket = ((route >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((~first, bucket))
+    values, doc_ids, leaders, shared, first, bucket = (x[order] for x in (values, doc_ids, leaders, shared, first, bucket))
+    base = int(doc_ids.min())
+    with np.errstate(over="ignore"):
+        above = doc_ids.astype(np.uint64) - np.uint64(base & (1 << 64) - 1)
+        leaders = leaders.astype(np.uint64) - np.uint64(base & (1 << 64) - 1)
+    narrow = np.min_scalar_type(above.max())
+    above, leaders = above.astype(narrow), leaders.astype(narrow)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], len(bucket)], strict=True):
+        middle = start + int(first[start:end].sum())
+        yield {
+            "bucket": int(bucket[start]), "base": base, "width": narrow.itemsize, "signatures": values[start:end].tobytes(),
+            "doc_ids": above[start:end].tobytes(), "shared": np.packbits(shared[start:middle]).tobytes(),
+            "leaders": leaders[middle:end].tobytes(),
+        }
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """What ``_members`` returns, of the rows of one bucket."""
+    firsts, done = [], []
+    for row in rows.to_pylist():
+        if row["n_shingles"] is not None:
+            continue
+        narrow = np.dtype(f"u{row['width']}")
+        values = np.frombuffer(row["signatures"], np.uint64)
+        with np.errstate(over="ignore"):
+            base = np.uint64(row["base"] & (1 << 64) - 1)
+            doc_ids = (np.frombuffer(row["doc_ids"], narrow).astype(np.uint64) + base).view(np.int64)
+            leaders = (np.frombuffer(row["leaders"], narrow).astype(np.uint64) + base).view(np.int64)
+        middle = len(values) - len(leaders)
+        shared = np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=middle).astype(bool)
+        firsts.append((values[:middle], doc_ids[:middle], shared))
+        done.append((values[middle:], doc_ids[middle:], leaders))
+    sized = rows.filter(pa.compute.is_valid(rows["n_shingles"]))
+    found = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    if firsts:
+        values, doc_ids, shared = (np.concatenate(part) for part in zip(*firsts, strict=True))
+        order = np.lexsort((doc_ids, values))
+        values, doc_ids, shared = values[order], doc_ids[order], shared[order]
+        new = np.ones(len(values), bool)
+        new[1:] = values[1:] != values[:-1]
+        group = np.cumsum(new) - 1
+        kept = shared | (np.bincount(group) > 1)[group] if len(values) else shared
+        met = values[kept], doc_ids[kept], doc_ids[new][group][kept]
+        found = [np.concatenate(part) for part in zip(met, *done, strict=True)]
+    none = len(found[0])
+    return pa.table({
+        "signature": pa.chunked_array([pa.array(found[0].view(np.int64)), pa.nulls(len(sized), pa.int64())]),
+        "doc_id": pa.chunked_array([pa.array(found[1]), *sized["doc_id"].chunks]),
+        "leader": pa.chunked_array([pa.array(found[2]), pa.nulls(len(sized), pa.int64())]),
+        "n_shingles": pa.chunked_array([pa.nulls(none, pa.int64()), *sized["n_shingles"].chunks]),
+    })
+
+
 def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``(signature, doc_id, leader)`` of every signature that several documents share; the leader is the smallest of them.
 
     Rows with ``n_shingles``, one for every row of ``docs``, have the size of its set instead.
 
-    Every batch settles its own repeats: only the smallest document of a signature goes on to the signature's place, so
-    that a signature of any share of the documents brings there a row per batch.
+    Signatures travel packed, some thousands to a row, in ``BUCKETS`` buckets for each shuffle partition; a task compares
+    those of one bucket at a time. More shuffle partitions make smaller buckets.
     """
-    # The first of a batch has its signature as its route and no leader: most rows are two numbers and zeros.
-    schema = "route long, doc_id long, signature long, leader long, shared boolean, n_shingles long"
+    spark = docs.sparkSession
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ("bucket", "base", "width", "signatures", "doc_ids", "shared", "leaders", "doc_id", "n_shingles")
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64())
+    packed = pa.schema(list(zip(names, kinds, strict=True)))
 
-    def signatures(batch: pa.RecordBatch) -> dict[str, object]:
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = PartEnum(percent)
-        sets = [shingle_set(text, words) for text in texts(batch)]
-        of = batch.column("doc_id")
-        given = zip(sets, of.is_valid().to_pylist(), strict=True)
-        own = [scheme.signatures(elements if valid else elements[:0]) for elements, valid in given]
-        values = np.concatenate(own)
-        doc_ids = np.repeat(of.fill_null(0).to_numpy(), [len(part) for part in own])
-        order = np.lexsort((doc_ids, values))
-        values, doc_ids = values[order], doc_ids[order]
-        new = np.ones(len(values), bool)
-        new[1:] = (values[1:] != values[:-1]) | (doc_ids[1:] != doc_ids[:-1])
-        values, doc_ids = values[new], doc_ids[new]
-        first = np.ones(len(values), bool)
-        first[1:] = values[1:] != values[:-1]
-        group = np.cumsum(first) - 1
-        leader = doc_ids[first][group] if len(values) else doc_ids
-        sizes = np.bincount(group, minlength=int(first.sum()))
-        with np.errstate(over="ignore"):
-            aside = mix(values ^ mix(doc_ids.astype(np.uint64)))
-        rows = len(sets)
-        route = np.where(first, values, aside)
-        with np.errstate(over="ignore"):
-            alone = mix(mix(of.fill_null(0).to_numpy().astype(np.uint64)) + np.arange(rows, dtype=np.uint64))
-        alone_of = pa.nulls(rows, pa.int64())
-        return {
-            "route": np.concatenate((route, alone)).view(np.int64),
-            "doc_id": pa.concat_arrays([pa.array(doc_ids, pa.int64()), of]),
-            "signature": pa.concat_arrays([pa.array(values.view(np.int64), mask=first), alone_of]),
-            "leader": pa.concat_arrays([pa.array(leader, pa.int64(), mask=first), alone_of]),
-            "shared": np.concatenate((sizes[group] > 1 if len(values) else np.zeros(0, bool), np.ones(rows, bool))),
-            "n_shingles": pa.concat_arrays([pa.nulls(len(values), pa.int64()), pa.array([len(x) for x in sets], pa.int64())]),
-        }
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
 
-    made = by_batch(docs.select("doc_id", "text"), signatures, schema)
-    place = Window.partitionBy("route")
-    met = made.withColumn("least", F.min("doc_id").over(place)).withColumn("met", F.count("*").over(place))
-    signature, leader = F.coalesce("signature", "route"), F.coalesce("leader", "least")
-    return met.where("met > 1 or shared").select(
-        signature.alias("signature"), "doc_id", leader.alias("leader"), "n_shingles"
-    )
+        def flushed() -> Iterator[pa.RecordBatch]:
+            rows = list(_packed(held, buckets)) if held else []
+            for start in range(0, len(rows), PACKED_ROWS):
+                yield pa.RecordBatch.from_pylist(rows[start : start + PACKED_ROWS], packed)
+
+        for batch in batches:
+            sizes = []
+            for text, doc_id in zip(texts(batch), batch.column("doc_id").to_pylist(), strict=True):
+                elements = shingle_set(text, words)
+                sizes.append({"bucket": (doc_id or len(sizes)) % buckets, "doc_id": doc_id, "n_shingles": len(elements)})
+                if doc_id is not None and len(elements):
+                    made = scheme.signatures(elements)
+                    held.append((made, np.full(len(made), doc_id)))
+                    count += len(made)
+                if count > HELD_SIGNATURES:
+                    yield from flushed()
+                    held, count = [], 0
+            yield pa.RecordBatch.from_pylist(sizes, packed)
+        yield from flushed()
+
+    kind = "bucket int, base long, width int, signatures binary, doc_ids binary, shared binary, leaders binary, doc_id long, n_shingles long"
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signatures, kind)
+    return made.groupBy("bucket").applyInArrow(_met, "signature long, doc_id long, leader long, n_shingles long")
 
 
 def _linked(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
@@ -204,8 +275,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     Signatures find the pairs, texts decide them. The first round checks each member of a signature against its smallest
     document only, which joins groups of copies however large. The next checks what still lies in other components
-    against the signature's document of most signatures, which is the one nearest to the others. The last checks every pair of a signature's members in different components. So no link is lost and no group of
-    copies is written out in pairs.
+    against the signature's document of most signatures, which is the one nearest to the others. The last checks every
+    pair of a signature's members in different components. So no link is lost and no group of copies is written out in
+    pairs.
 
     A null text is empty. Rows that share a ``doc_id`` are one document with several texts: a link of any of them is its
     link, and each row keeps its own ``n_shingles``. A null ``doc_id`` links with nothing and has a null component.
