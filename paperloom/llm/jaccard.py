@@ -24,6 +24,7 @@ KEPT_ELEMENTS = 4_000_000
 HELD_SIGNATURES = 2_000_000
 PACKED_ROWS = 256
 BUCKETS = 8
+SKETCH_SALT = 0x5851F42D4C957F2D
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -32,6 +33,24 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(rolled(hashes, min(words, len(hashes)))) if len(hashes) else hashes
 
 
+def odd_sketch(elements: np.ndarray) -> bytes:
+    """A bit for each of ``2 ** n`` cells, at least two per element and 64 in all: whether it holds an odd number of elements."""
+    bits = 64
+    while bits < 2 * len(elements):
+        bits *= 2
+    cell = mix(elements ^ np.uint64(SKETCH_SALT)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(cell.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def least_difference(one: bytes, other: bytes) -> int:
+    """At most the number of elements that only one of two sets has, from their sketches: each cell with an odd number of
+    them differs. The larger sketch is folded to the cells of the smaller."""
+    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    if len(a) < len(b):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 class PartEnum:
     """Signatures such that two sets of Jaccard similarity ``percent`` or more share one.
 
@@ -176,21 +195,22 @@ def _met(rows: pa.Table) -> pa.Table:
         "doc_id": pa.chunked_array([pa.array(found[1]), *sized["doc_id"].chunks]),
         "leader": pa.chunked_array([pa.array(found[2]), pa.nulls(len(sized), pa.int64())]),
         "n_shingles": pa.chunked_array([pa.nulls(none, pa.int64()), *sized["n_shingles"].chunks]),
+        "sketch": pa.chunked_array([pa.nulls(none, pa.binary()), *sized["sketch"].chunks]),
     })
 
 
 def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``(signature, doc_id, leader)`` of every signature that several documents share; the leader is the smallest of them.
 
-    Rows with ``n_shingles``, one for every row of ``docs``, have the size of its set instead.
+    Rows with ``n_shingles``, one for every row of ``docs``, have the size and the sketch of its set instead.
 
     Signatures travel packed, some thousands to a row, in ``BUCKETS`` buckets for each shuffle partition; a task compares
     those of one bucket at a time. More shuffle partitions make smaller buckets.
     """
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = ("bucket", "base", "width", "signatures", "doc_ids", "shared", "leaders", "doc_id", "n_shingles")
-    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64())
+    names = ("bucket", "base", "width", "signatures", "doc_ids", "shared", "leaders", "doc_id", "n_shingles", "sketch")
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary())
     packed = pa.schema(list(zip(names, kinds, strict=True)))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +227,8 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sizes = []
             for text, doc_id in zip(texts(batch), batch.column("doc_id").to_pylist(), strict=True):
                 elements = shingle_set(text, words)
-                sizes.append({"bucket": (doc_id or len(sizes)) % buckets, "doc_id": doc_id, "n_shingles": len(elements)})
+                place = (doc_id or len(sizes)) % buckets
+                sizes.append({"bucket": place, "doc_id": doc_id, "n_shingles": len(elements), "sketch": odd_sketch(elements)})
                 if doc_id is not None and len(elements):
                     made = scheme.signatures(elements)
                     held.append((made, np.full(len(made), doc_id)))
@@ -218,12 +239,31 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(sizes, packed)
         yield from flushed()
 
-    kind = "bucket int, base long, width int, signatures binary, doc_ids binary, shared binary, leaders binary, doc_id long, n_shingles long"
+    kind = "bucket int, base long, width int, signatures binary, doc_ids binary, shared binary, leaders binary, doc_id long, n_shingles long, sketch binary"
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signatures, kind)
-    return made.groupBy("bucket").applyInArrow(_met, "signature long, doc_id long, leader long, n_shingles long")
+    return made.groupBy("bucket").applyInArrow(_met, "signature long, doc_id long, leader long, n_shingles long, sketch binary")
 
 
-def _linked(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and sketches allow to be similar enough; none that is goes."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(name).to_pylist() for name in ("size_a", "size_b", "sketch_a", "sketch_b"))
+            kept = [
+                least_difference(one, other) * (100 + percent) <= (100 - percent) * (size + other_size)
+                for size, other_size, one, other in zip(*columns, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    for side in ("b", "a"):
+        own = sketches.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        pairs = pairs.join(own, side)
+    near = pairs.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+    return near.mapInArrow(possible, "a long, b long").distinct()
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough, counted exactly from their texts."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +288,10 @@ def _linked(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) -> Da
                 kept.append(bool(same) and 100 * same >= percent * (len(a) + len(b) - same))
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
-    others = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    near = cut_lineage(_alike(pairs, sketches, percent))
+    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    wanted = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi")
+    others = near.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = others.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long")
 
@@ -273,27 +316,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     of fewer words is one n-gram, one without words is empty and links with nothing. ``component_id`` is the smallest
     ``doc_id`` that links reach.
 
-    Signatures find the pairs, texts decide them. The first round checks each member of a signature against its smallest
-    document only, which joins groups of copies however large. The next checks what still lies in other components
-    against the signature's document of most signatures, which is the one nearest to the others. The last checks every
-    pair of a signature's members in different components. So no link is lost and no group of copies is written out in
-    pairs.
+    Signatures find the pairs, sketches rule out what differs too much, texts decide the rest. The first round checks
+    each member of a signature against its smallest document only, which joins groups of copies however large. The next
+    checks what still lies in other components against the signature's document of most signatures, which is the one
+    nearest to the others. The last checks every pair of a signature's members in different components. So no link is
+    lost and no group of copies is written out in pairs.
 
     A null text is empty. Rows that share a ``doc_id`` are one document with several texts: a link of any of them is its
     link, and each row keeps its own ``n_shingles``. A null ``doc_id`` links with nothing and has a null component.
     Further columns are ignored.
     """
     made = cut_lineage(_members(docs, words, percent))
-    members = made.where("n_shingles is null").drop("n_shingles")
+    members = made.where("n_shingles is null").select("signature", "doc_id", "leader")
     popularity = members.groupBy("doc_id").agg(F.count("*").alias("n"))
-    wanted = cut_lineage(docs.select("doc_id", "text").where("text is not null").join(popularity, "doc_id", "left_semi"))
+    sized = made.where("n_shingles is not null")
+    sketches = sized.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(_linked(pairs, docs, sketches, words, percent))
+
     stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut_lineage(_linked(stars, wanted, words, percent))
+    links = linked(stars)
     open_ = cut_lineage(_open_members(members, links).join(popularity, "doc_id"))
     rank = F.struct("n", "doc_id")
     centre = open_.groupBy("signature").agg(F.max_by(F.struct("doc_id", "component"), rank).alias("centre"))
     met = open_.join(centre, "signature").where("component <> centre.component")
-    links = links.union(cut_lineage(_linked(_pairs(met, "centre.doc_id", "doc_id"), wanted, words, percent)))
+    links = links.union(linked(_pairs(met, "centre.doc_id", "doc_id")))
 
     open_ = cut_lineage(_open_members(members, links))
     sizes = open_.groupBy("signature", "component").agg(F.count("*").alias("n"))
@@ -301,10 +349,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     minor = open_.join(largest, "signature").where("component <> main")
     minor = minor.select("signature", F.col("doc_id").alias("one"), F.col("component").alias("own"))
     met = minor.join(open_, "signature").where("component <> own")
-    links = links.union(cut_lineage(_linked(_pairs(met, "one", "doc_id"), wanted, words, percent)))
+    links = links.union(linked(_pairs(met, "one", "doc_id")))
 
     component = smallest_reachable(links).withColumnRenamed("node", "doc_id")
-    sized = made.where("n_shingles is not null")
     return sized.join(component, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

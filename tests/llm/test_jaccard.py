@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from paperloom.llm.common import smallest_reachable
-from paperloom.llm.jaccard import PartEnum, near_duplicates, shingle_set
+from paperloom.llm.jaccard import PartEnum, least_difference, near_duplicates, odd_sketch, shingle_set
 
 
 def sets_of(text, most=3):
@@ -108,6 +108,16 @@ def test_similar_sets_share_a_signature(percent):
             assert set(scheme.signatures(one).tolist()) & set(scheme.signatures(np.array(sorted(other), np.uint64)).tolist())
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = random.Random(8)
+    for _ in range(300):
+        pool = [rng.getrandbits(64) for _ in range(rng.choice([1, 5, 60, 700]))]
+        one, other = ({x for x in pool if rng.random() < share} for share in (rng.random(), 0.9))
+        sketches = [odd_sketch(np.array(sorted(x), np.uint64)) for x in (one, other)]
+        assert least_difference(*sketches) <= len(one ^ other)
+        assert least_difference(sketches[0], sketches[0]) == 0
+
+
 def test_smallest_reachable(spark):
     links = [(n, n + 1) for n in range(60) if n != 30] + [(100, 90), (90, 95), (7, 7)]
     got = {row.node: row.component for row in smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
