@@ -60,8 +60,10 @@ class PartEnum:
     ``ceil((k + 1) / 2)`` parts, one of which holds at most one of the differences, and each part into cells: leaving out
     one cell in turn, one subset of the others is the same in both sets. Its hash is the signature.
 
-    Subsets without an element would be shared by strangers. With ``spare`` further parts a similar pair agrees on that
-    many more parts, so a set with at most ``spare`` parts that have an empty subset does without the signatures of these.
+    Subsets of few elements would be shared by strangers. With ``spare`` further parts a similar pair agrees on that many
+    more parts, so a set does without subsets of fewer elements than a number of its own, chosen such that at most
+    ``spare`` of its parts have one. Of the parts on which a pair agrees, one at least is then whole in the set of the
+    larger number; what is the same in both there has as many elements, and so is kept by both.
     """
 
     LEFT_OUT = 1
@@ -90,7 +92,7 @@ class PartEnum:
         if not differences:
             return 0, 0
         parts = -(-(differences + 1) // (self.LEFT_OUT + 1))
-        spare = 1 + parts // (40 if self.split == 3 else 12)
+        spare = 1 + parts // (40 if self.split == 3 else 3)
         return parts + spare, spare
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
@@ -116,10 +118,9 @@ class PartEnum:
             sums = mix(sums + np.arange(1, self.split + 1, dtype=np.uint64))
             label = mix(np.arange(parts, dtype=np.uint64) + start)
             made = [mix(sums[:, own].sum(axis=1) + label + np.uint64(own[0] * 3 + own[-1])) for own in self.subsets]
-        empty = [held[:, own].sum(axis=1) == 0 for own in self.subsets]
-        if np.logical_or.reduce(empty).sum() <= spare:
-            made = [own[~none] for own, none in zip(made, empty, strict=True)]
-        return np.concatenate(made)
+        elements = [held[:, own].sum(axis=1) for own in self.subsets]
+        least = np.sort(np.minimum.reduce(elements))[spare]
+        return np.concatenate([own[number >= least] for own, number in zip(made, elements, strict=True)])
 
 
 def _packed(entries: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[dict[str, object]]:
