@@ -42,13 +42,13 @@ def odd_sketch(elements: np.ndarray) -> bytes:
     return np.packbits(np.bincount(cell.astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-def least_difference(one: bytes, other: bytes) -> int:
-    """At most the number of elements that only one of two sets has, from their sketches: each cell with an odd number of
-    them differs. The larger sketch is folded to the cells of the smaller."""
-    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
-    if len(a) < len(b):
-        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum())
+def least_differences(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """At most the number of elements that only one of two sets has, for every row of sketches of equal sizes: each cell
+    with an odd number of such elements differs. The larger sketch is folded to the cells of the smaller."""
+    if one.shape[1] > other.shape[1]:
+        one, other = other, one
+    folded = np.bitwise_xor.reduce(other.reshape(len(one), -1, one.shape[1]), axis=1)
+    return np.bitwise_count(one ^ folded).sum(axis=1, dtype=np.int64)
 
 
 class PartEnum:
@@ -245,17 +245,25 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return made.groupBy("bucket").applyInArrow(_met, "signature long, doc_id long, leader long, n_shingles long, sketch binary")
 
 
+def _matrix(sketches: pa.Array, rows: np.ndarray, length: int) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), length)
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that sizes and sketches allow to be similar enough; none that is goes."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(name).to_pylist() for name in ("size_a", "size_b", "sketch_a", "sketch_b"))
-            kept = [
-                least_difference(one, other) * (100 + percent) <= (100 - percent) * (size + other_size)
-                for size, other_size, one, other in zip(*columns, strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            size_a, size_b = (batch.column(name).to_numpy() for name in ("size_a", "size_b"))
+            sketch_a, sketch_b = (batch.column(name) for name in ("sketch_a", "sketch_b"))
+            least = np.zeros(batch.num_rows, np.int64)
+            lengths = np.stack([pa.compute.binary_length(sketch).to_numpy() for sketch in (sketch_a, sketch_b)], axis=1)
+            kinds, kind = np.unique(lengths, axis=0, return_inverse=True)
+            for number, (length_a, length_b) in enumerate(kinds):
+                rows = np.flatnonzero(kind.reshape(-1) == number)
+                least[rows] = least_differences(_matrix(sketch_a, rows, length_a), _matrix(sketch_b, rows, length_b))
+            kept = least * (100 + percent) <= (100 - percent) * (size_a + size_b)
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
 
     for side in ("b", "a"):
         own = sketches.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
