@@ -17,6 +17,9 @@ from paperloom.session import cut_lineage
 
 ModelFn = Callable[[list[str]], list[str]]
 
+#: Prompts that a model function gets at a time.
+BATCH_SIZE = 256
+
 SUMMARY_INSTRUCTIONS = (
     "Explain the paper below to a reader who will not open it. State only what the passages support. "
     "Answer with one JSON object whose values are plain strings under the keys " + ", ".join(SUMMARY_FIELDS) + "."
@@ -64,12 +67,17 @@ def draft_prompt(notes: Column) -> Column:
 
 
 def call_model(
-    prompts: DataFrame, fn: ModelFn, keys: Sequence[str], prompt_col: str = "prompt", calls: int | None = None
+    prompts: DataFrame,
+    fn: ModelFn,
+    keys: Sequence[str],
+    prompt_col: str = "prompt",
+    calls: int | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """``keys``, ``raw_response``, ``error`` and ``latency_ms`` for every prompt.
 
-    ``fn`` maps a list of prompts to a list of responses.  When it fails on a batch its prompts are tried one by one, so
-    a failure stays with its prompt.  ``calls`` sets how many batches may run at the same time.  The answers are stored
+    ``fn`` maps a list of at most ``batch_size`` prompts to a list of responses.  When it fails on a list the halves are
+    tried apart, so a failure stays with its prompt and costs two calls for each halving.  ``calls`` sets how many batches may run at the same time.  The answers are stored
     before they are used: a plan that reads them twice does not call the model twice.
     """
     schema = T.StructType(
@@ -91,13 +99,16 @@ def call_model(
         except Exception as error:
             if len(texts) == 1:
                 return [(None, str(error) or type(error).__name__, (time.perf_counter() - started) * 1000)]
-            return [ask([text])[0] for text in texts]
+            middle = len(texts) // 2
+            return ask(texts[:middle]) + ask(texts[middle:])
         each = (time.perf_counter() - started) * 1000 / max(len(texts), 1)
         return [(answer, None, each) for answer in answers]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = pd.DataFrame(ask(batch[prompt_col].tolist()), columns=columns[len(keys) :], index=batch.index)
+            texts = batch[prompt_col].tolist()
+            asked = [answer for at in range(0, len(texts), batch_size) for answer in ask(texts[at : at + batch_size])]
+            answers = pd.DataFrame(asked, columns=columns[len(keys) :], index=batch.index)
             yield pd.concat([batch[list(keys)], answers], axis=1)
 
     asked = prompts.select(*keys, prompt_col)

@@ -21,15 +21,11 @@ from paperloom.sources.extract import extract_text
 
 
 def model_chunks(text, size, overlap):
-    text, start, result = text.strip(), 0, []
-    while start < len(text):
-        piece = text[start : start + size].strip()
-        if piece:
-            result.append(piece)
-        if start + size >= len(text):
-            break
-        start += size - overlap
-    return result
+    """Windows at the multiples of the step; each but the first has something that the one before it did not reach."""
+    text, step = text.strip(), size - overlap
+    reached = [0, *range(size, len(text), step)]
+    windows = [text[number * step :][:size].strip() for number in range(len(reached))]
+    return [window for window in windows if window]
 
 
 def chunked(spark, texts, **shape):
@@ -43,14 +39,14 @@ def chunked(spark, texts, **shape):
 
 def test_chunk_examples(spark):
     assert chunked(spark, ["", "   "]) == [[], []]
-    assert [len(piece) for piece in chunked(spark, ["x" * 1000], size=300, overlap=50)[0]] == [300, 300, 300, 250]
+    assert [len(piece) for piece in chunked(spark, ["z" * 77], size=20, overlap=4)[0]] == [20, 20, 20, 20, 13]
     assert chunked(spark, ["abcdefghijkl"], size=5, overlap=2)[0] == ["abcde", "defgh", "ghijk", "jkl"]
     with pytest.raises(ValueError):
-        chunked(spark, ["x"], size=100, overlap=100)
+        chunked(spark, ["short"], size=8, overlap=9)
 
 
 @pytest.mark.parametrize("size,overlap", [(7, 2), (7, 6), (5, 0), (1, 0), (12, 9)])
-def test_chunks_equal_the_loop(spark, size, overlap):
+def test_chunks_equal_their_definition(spark, size, overlap):
     draw = random.Random(size * 31 + overlap)
     alphabet = ["a", "é", "\U0001f600", " ", "\n", " "]
     texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(300)]

@@ -53,16 +53,17 @@ def test_one_bad_prompt_fails_alone_and_answers_are_kept(spark, tmp_path):
         import uuid
         from pathlib import Path
 
-        if len(prompts) == 1:
-            (Path(str(log)) / uuid.uuid4().hex).write_text(prompts[0])
+        (Path(str(log)) / uuid.uuid4().hex).write_text(str(len(prompts)))
         if any(prompt == "bad" for prompt in prompts):
             raise RuntimeError("refused")
         return [prompt.upper() for prompt in prompts]
 
-    prompts = spark.createDataFrame([(n, "bad" if n == 3 else f"p{n}") for n in range(8)], "n int, prompt string").coalesce(1)
-    answers = call_model(prompts, model, ["n"])
+    prompts = spark.createDataFrame([(n, "bad" if n == 3 else f"p{n}") for n in range(1000)], "n int, prompt string").coalesce(1)
+    answers = call_model(prompts, model, ["n"], batch_size=250)
     rows = {row.n: row for row in answers.collect()}
-    calls = len(list(log.iterdir()))
+    sizes = [int(call.read_text()) for call in log.iterdir()]
+    calls = len(sizes)
+    assert max(sizes) == 250 and calls <= 4 + 2 * 8 and len(rows) == 1000
     assert rows[3].error == "refused" and rows[3].raw_response is None
     assert all(rows[n].raw_response == f"P{n}" for n in rows if n != 3)
     answers.count(), answers.where("error is null").count()
