@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.citation import first_author_last_name
-from paperloom.operators.model import ModelFn, call_model, draft_prompt, parse_lists
 from paperloom.functions.text import id_list
+from paperloom.operators.model import ModelFn, call_model, draft_prompt, parse_lists
+from paperloom.session import cut_lineage
 
 
 def asked_ids(requests: DataFrame, key: str = "set_id", ids_col: str = "paper_ids") -> DataFrame:
@@ -69,17 +70,20 @@ def draft_inputs(members: DataFrame) -> DataFrame:
     )
 
 
-def related_work_draft(members: DataFrame, fn: ModelFn) -> DataFrame:
+def related_work_draft(members: DataFrame, fn: ModelFn, **asking) -> DataFrame:
     """``(set_id, paragraph, bibtex_references, skipped_paper_ids)``.
 
-    Sets without an included paper are not sent to the model; a failed call leaves an empty paragraph and keeps the
-    references.
+    Sets without an included paper are not sent to the model; a failed call or an answer whose paragraph is no text leaves
+    an empty paragraph and keeps the references. ``asking`` is for :func:`call_model`.
     """
-    inputs = draft_inputs(members)
+    # Read by the prompts and by the result.
+    inputs = cut_lineage(draft_inputs(members))
     prompts = inputs.where(F.size("bibtex_references") > 0).select("set_id", draft_prompt(F.col("notes")).alias("prompt"))
-    answers = call_model(prompts, fn, ["set_id"])
+    answers = call_model(prompts, fn, ["set_id"], **asking)
     document = F.try_parse_json("raw_response")
-    paragraphs = answers.select("set_id", F.try_variant_get(document, "$.paragraph", "string").alias("paragraph"))
+    is_text = F.schema_of_variant(F.try_variant_get(document, "$.paragraph", "variant")) == "STRING"
+    text = F.when(is_text, F.try_variant_get(document, "$.paragraph", "string"))
+    paragraphs = answers.select("set_id", text.alias("paragraph"))
     return inputs.join(paragraphs, "set_id", "left").select(
         "set_id",
         F.coalesce("paragraph", F.lit("")).alias("paragraph"),

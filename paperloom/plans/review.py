@@ -38,11 +38,12 @@ def literature_review(
     year_from: int | None = None,
     year_to: int | None = None,
     min_chars: float | None = None,
+    **asking,
 ) -> ReviewResult:
     """Review every topic among ``hits``.
 
     Each source is asked for twice the wanted number, so that the selection has a choice.  Bad papers end up in
-    ``errors`` and never stop the others.
+    ``errors`` and never stop the others.  ``asking`` is for :func:`call_model`.
     """
     capped = per_source_cap(restrict_sources(hits), check_cap(2 * max_papers))
     selected = cut_lineage(with_paper_id(select_top_n(refine_hits(capped, year_from, year_to), max_papers)))
@@ -52,7 +53,7 @@ def literature_review(
     chunks = stored_chunks.join(ingest.chunks.select("paper_id").distinct(), "paper_id", "left_anti").unionByName(
         ingest.chunks.select(stored_chunks.columns)
     )
-    summary = summarize_papers(ready, ingest.metadata, chunks, summarised, summary_fn, entity_fn)
+    summary = summarize_papers(ready, ingest.metadata, chunks, summarised, summary_fn, entity_fn, **asking)
     return ReviewResult(
         selected, ingest, summary, review_report(selected, ingest.log, summary.log), review_errors(ingest.log, summary.log)
     )

@@ -72,24 +72,25 @@ def summarize_papers(
     summary_fn: ModelFn,
     entity_fn: ModelFn,
     force: bool = False,
+    **asking,
 ) -> SummaryResult:
     """Summarise every ``asked(paper_id)``.
 
     ``papers`` is the metadata table, ``chunks`` the chunk table, ``done`` the stored cards.  Papers summarised before
-    are still indexed in the graph; indexing cannot change a summary's outcome.
+    are still indexed in the graph; indexing cannot change a summary's outcome.  ``asking`` is for :func:`call_model`.
     """
     asked = asked.select("paper_id").distinct()
     if force:
         done = done.where(F.lit(False))
     flags = asked
     for frame, name in ((done, "done"), (papers, "known"), (chunks.where(F.col("chunk_index") == 0), "has_chunks")):
-        flags = flags.join(_flag(frame, name), "paper_id", "left")
+        flags = flags.join(_flag(frame.join(asked, "paper_id", "left_semi"), name), "paper_id", "left")
     # Read by the prompts, the log and the graph step.
     flags = cut_lineage(flags.fillna(False, ["done", "known", "has_chunks"]))
     todo = flags.where(~F.col("done") & F.col("known") & F.col("has_chunks")).select("paper_id")
 
     wanted = papers.join(todo, "paper_id", "left_semi")
-    responses = call_model(prompts_for(wanted, chunks, summary_prompt, SUMMARY_CHUNKS), summary_fn, ["paper_id"])
+    responses = call_model(prompts_for(wanted, chunks, summary_prompt, SUMMARY_CHUNKS), summary_fn, ["paper_id"], **asking)
     parsed = parse_responses(responses)
     log = flags.join(parsed.select("paper_id", "ok", "message"), "paper_id", "left").select(
         "paper_id", summary_status().alias("status"), "message"
@@ -98,7 +99,7 @@ def summarize_papers(
 
     indexed = flags.where("done").select("paper_id").unionByName(cards.select("paper_id"))
     graph_papers = papers.join(indexed, "paper_id", "left_semi")
-    entity_responses = call_model(prompts_for(graph_papers, chunks, entity_prompt, ENTITY_CHUNKS), entity_fn, ["paper_id"])
+    entity_responses = call_model(prompts_for(graph_papers, chunks, entity_prompt, ENTITY_CHUNKS), entity_fn, ["paper_id"], **asking)
     empty = F.array().cast("array<string>")
     entities = graph_papers.select("paper_id", "authors").join(parse_entities(entity_responses), "paper_id", "left").select(
         "paper_id",
