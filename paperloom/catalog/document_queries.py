@@ -35,7 +35,7 @@ from paperloom.operators.store import (
 )
 from paperloom.plans.ingest import ingest_flags, ingest_papers, ingest_status, new_markers, summarizable
 from paperloom.schemas import CHUNK_OVERLAP, CHUNK_SIZE
-from paperloom.sources.extract import extract_text
+from paperloom.sources.extract import HTML_REFERENCES, extract_text
 from paperloom.streaming.ingest import replay_ingest
 
 # The gate threshold that splits the given conversations into both outcomes.
@@ -91,9 +91,26 @@ def _upsert_chunks(spark, sf_dir):
     return merged.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
-@query("embed_chunks")
+@query(
+    "embed_chunks",
+    f"""WITH {DOC_CHUNKS}, words AS (
+        SELECT paper_id, chunk_index, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM chunks),
+    counts AS (
+        SELECT paper_id, chunk_index, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS dimension, count(*) AS n
+        FROM words WHERE word <> '' GROUP BY ALL)
+    SELECT paper_id, chunk_index, dimension,
+           round(n / sqrt(sum(n * n) OVER (PARTITION BY paper_id, chunk_index)), 6) AS weight
+    FROM counts""",
+)
 def _embed_chunks(spark, sf_dir):
-    return embed_chunks(paper_chunks(spark, sf_dir)).select("paper_id", "chunk_index", "embedding")
+    """The components that are not zero, a row each."""
+    embedded = embed_chunks(paper_chunks(spark, sf_dir))
+    parts = embedded.select(
+        "paper_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.posexplode("embedding").alias("dimension", "value")
+    )
+    return parts.where("value <> 0").select(
+        "paper_id", "chunk_index", F.col("dimension").cast("bigint").alias("dimension"), F.round("value", 6).alias("weight")
+    )
 
 
 _GATE = "CASE WHEN length(f.text) / f.page_count < {} THEN 'scanned_pdf' ELSE 'success' END"
@@ -132,7 +149,26 @@ def _chunk_pages(spark, sf_dir):
     return chunks.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
-@query("extract_text")
+def _visible_sql(html: str) -> str:
+    """Hidden blocks, then comments and tags, then references, then blank space around line ends."""
+    text = html
+    for tag in ("script", "style", "template", "noscript"):
+        text = f"regexp_replace({text}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|\\z)', chr(10), 'g')"
+    text = f"regexp_replace({text}, '(?s)<!--.*?(?:-->|\\z)', chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[/!?a-zA-Z][^>]*>', chr(10), 'g')"
+    for name, sign in HTML_REFERENCES:
+        text = f"replace({text}, '{name}', chr({ord(sign)}))"
+    return sql_strip(f"regexp_replace({text}, '[ \\t\\r\\f\\x0B\\x{{a0}}]*\\n\\s*', chr(10), 'g')")
+
+
+@query(
+    "extract_text",
+    f"""SELECT page_id, CASE WHEN contains(html, '<') THEN 0 END AS page_no,
+           CASE WHEN contains(html, '<') THEN {_visible_sql("html")} END AS text,
+           CASE WHEN contains(html, '<') THEN 'success' ELSE 'extraction_failed' END AS status,
+           CASE WHEN contains(html, '<') THEN NULL ELSE 'not an HTML document' END AS message
+    FROM pages""",
+)
 def _extract_text(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"), id_col="page_id", payload_col="html")
 
@@ -268,21 +304,20 @@ def _ingest_stream(spark, sf_dir):
 @query(
     "cache_lookup",
     """WITH searches AS (SELECT event_id, sha256('user' || user_id) AS cache_key, ts, event_type FROM events),
-    ranked AS (
-        SELECT cache_key, ts AS created_at, event_id AS entry,
-               row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, event_id DESC) AS n
-        FROM searches WHERE event_type = 'purchase')
-    SELECT event_id, s.cache_key, entry,
-           coalesce(created_at <= ts AND created_at + INTERVAL 43200 SECOND > ts, FALSE) AS hit
-    FROM searches s LEFT JOIN ranked r ON r.cache_key = s.cache_key AND n = 1 WHERE event_type <> 'purchase'""",
+    answers AS (
+        SELECT s.event_id, max_by(e.event_id, (e.ts, e.event_id)) AS entry
+        FROM searches s JOIN searches e ON e.cache_key = s.cache_key AND e.ts <= s.ts
+            AND e.ts + INTERVAL 43200 SECOND > s.ts
+        WHERE s.event_type <> 'purchase' AND e.event_type = 'purchase' GROUP BY s.event_id)
+    SELECT s.event_id, s.cache_key, entry, entry IS NOT NULL AS hit
+    FROM searches s LEFT JOIN answers a ON a.event_id = s.event_id WHERE event_type <> 'purchase'""",
 )
 def _cache_lookup(spark, sf_dir):
     searches = request_log(spark, sf_dir).withColumn("cache_key", F.sha2("client", 256))
     stored = searches.where(F.col("endpoint") == "purchase").select(
         "cache_key", F.col("ts").alias("created_at"), F.col("request_id").alias("entry")
     )
-    entries = latest_per_key(stored, "cache_key", ["created_at", "entry"])
     asked = searches.where(F.col("endpoint") != "purchase").select(
         F.col("request_id").alias("event_id"), "cache_key", F.col("ts").alias("asked_at")
     )
-    return cache_lookup(asked, entries, ttl_seconds=43_200).select("event_id", "cache_key", "entry", "hit")
+    return cache_lookup(asked, stored, ttl_seconds=43_200, tie=["entry"]).select("event_id", "cache_key", "entry", "hit")

@@ -19,8 +19,11 @@ from paperloom.catalog.search_queries import (
     AUTHOR_NAMES_SQL,
     BIBTEX_SQL,
     BYLINE_SQL,
+    PER_RESPONSE,
     SOURCE_LABEL_SQL,
     first_wins_sql,
+    payload_rejects,
+    rejects_sql,
 )
 from paperloom.catalog.stubs import draft_stub, entity_stub, summary_stub
 from paperloom.functions.text import clean_names
@@ -257,7 +260,8 @@ entity_edges AS (
 def summarize_all(spark, sf_dir):
     papers = paper_view(spark, sf_dir)
     chunks = paper_chunks(spark, sf_dir).join(papers.where("coalesce(pdf_url, '') <> ''").select("paper_id"), "paper_id", "left_semi")
-    done = papers.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id").select("paper_id")
+    labelled = papers.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id")
+    done = labelled.select("paper_id", F.concat(F.lit("stored "), "paper_id").alias("tldr"), F.lit("then").alias("problem"))
     unknown = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("paper_id"))
     asked = papers.select("paper_id").unionByName(unknown)
     return summarize_papers(asked, papers, chunks, done, summary_stub, entity_stub)
@@ -278,6 +282,17 @@ def _summary_edges(spark, sf_dir):
     return summarize_all(spark, sf_dir).edges
 
 
+@query(
+    "summary_cards_all",
+    f"""WITH {SUMMARIZE_SQL}, {AUTHOR_NAMES_SQL}
+    SELECT paper_id, {", ".join(SUMMARY_FIELDS)}, {APA_SQL} AS citation_apa, {BIBTEX_SQL} AS citation_bibtex
+    FROM parsed JOIN paper_view USING (paper_id) LEFT JOIN author_names USING (doc_id) WHERE ok
+    UNION ALL SELECT paper_id, 'stored ' || paper_id, 'then', NULL, NULL, NULL, NULL, NULL FROM done""",
+)
+def _summary_cards_all(spark, sf_dir):
+    return summarize_all(spark, sf_dir).all_cards
+
+
 REVIEW_SIZE = 20
 
 
@@ -295,6 +310,7 @@ def review(spark, sf_dir):
         entity_stub,
         max_papers=REVIEW_SIZE,
         year_from=1990,
+        rejects=payload_rejects(spark, sf_dir),
     )
 
 
@@ -356,7 +372,10 @@ def _review_report(spark, sf_dir):
     f"""WITH RECURSIVE {REVIEW_SQL}
     SELECT 'ingest' AS stage, paper_id, ingest_message AS message FROM review
     WHERE ingest_status IN ('download_failed', 'extraction_failed')
-    UNION ALL SELECT 'summarize', paper_id, summary_message FROM review WHERE summary_status = 'llm_failed'""",
+    UNION ALL SELECT 'summarize', paper_id, summary_message FROM review WHERE summary_status = 'llm_failed'
+    UNION ALL SELECT 'search', NULL, source || ' item ' || CASE source WHEN 'pubmed'
+        THEN (source_rank // {PER_RESPONSE}) * 4294967296 + source_rank % {PER_RESPONSE} ELSE source_rank END
+        || ': ' || reject_reason FROM ({rejects_sql()}) WHERE reject_reason IS NOT NULL""",
 )
 def _review_errors(spark, sf_dir):
     return review(spark, sf_dir).errors

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.catalog.fixtures import PAPER_VIEW, day, documents, joined, paper_view, sql_strip
+from paperloom.catalog.fixtures import PAPER_VIEW, day, documents, joined, paper_view, sql_strip, table
 from paperloom.catalog.registry import query
 from paperloom.functions import citation
 from paperloom.functions.text import id_list, title_key
@@ -19,7 +19,8 @@ from paperloom.operators.search import (
     year_filter,
 )
 from paperloom.operators.store import cache_key
-from paperloom.plans.search import refine_hits
+from paperloom.plans.search import landed_papers, refine_hits, search_with_cache, with_cache_key
+from paperloom.plans.search import search_papers as run_search
 from paperloom.schemas import SOURCES
 from paperloom.sources import payloads
 
@@ -323,10 +324,18 @@ def landed_pubmed(spark, sf_dir):
         F.array_join(summaries, ","), F.lit("}}"),
     )
     return grouped.select(
-        F.lit("all").alias("topic"), (F.col("response") * PER_RESPONSE).alias("source_rank"), payload.alias("payload")
+        F.lit("all").alias("topic"), F.col("response").alias("source_rank"), payload.alias("payload")
     )
 
 
+def shown_rank(source: str):
+    """The document an item stems from: PubMed ranks hold the response above the place in it."""
+    rank = F.col("source_rank").cast("bigint")
+    if source == "pubmed":
+        rank = F.shiftright(rank, 32) * PER_RESPONSE + rank.bitwiseAND(0xFFFFFFFF)
+    return rank.alias("source_rank")
+
+
 def word_positions(spark, sf_dir):
     """``(doc_id, word_index)`` with the inverted index of every document."""
     words = F.filter(F.split("text", "[ \n]+"), lambda word: word != "")
@@ -378,7 +387,7 @@ def _source_query(source: str, columns: dict[str, str], cut: bool = True):
     def build(spark, sf_dir):
         papers = payloads.accepted(payloads.MAPPERS[source](LANDED[source](spark, sf_dir)))
         return papers.select(
-            F.col("source_rank").cast("bigint").alias("source_rank"),
+            shown_rank(source),
             "external_id",
             "source",
             "title",
@@ -454,20 +463,106 @@ _source_query(
 )
 
 
-def _rejects_sql() -> str:
+def rejects_sql() -> str:
     parts = [
         f"SELECT '{source}' AS source, doc_id AS source_rank, {_reason_sql(source != 'pubmed')} AS reject_reason FROM paper_view"
         for source in SOURCES
     ]
-    return f"WITH {PAPER_VIEW}, judged AS ({' UNION ALL '.join(parts)}) SELECT * FROM judged WHERE reject_reason IS NOT NULL"
+    return " UNION ALL ".join(parts)
 
 
-@query("payload_rejects", _rejects_sql())
+def payload_rejects(spark, sf_dir):
+    return merge_sources(
+        [payloads.rejected(payloads.MAPPERS[source](LANDED[source](spark, sf_dir))) for source in SOURCES]
+    )
+
+
+@query(
+    "payload_rejects",
+    f"WITH {PAPER_VIEW}, judged AS ({rejects_sql()}) SELECT * FROM judged WHERE reject_reason IS NOT NULL",
+)
 def _payload_rejects(spark, sf_dir):
-    frames = [
-        payloads.rejected(payloads.MAPPERS[source](LANDED[source](spark, sf_dir))).select(
-            "source", F.col("source_rank").cast("bigint").alias("source_rank"), "reject_reason"
-        )
-        for source in SOURCES
+    document = F.when(F.col("source") == "pubmed", shown_rank("pubmed")).otherwise(shown_rank("arxiv"))
+    return payload_rejects(spark, sf_dir).select("source", document.alias("source_rank"), "reject_reason")
+
+
+# --- searches over landed payloads, with and without the cache ------------------------------------------------------
+
+SEARCH_CAP = 50
+
+
+def landed_hits(spark, sf_dir):
+    return landed_papers({source: build(spark, sf_dir) for source, build in LANDED.items()})
+
+
+def _hits_sql(name: str) -> str:
+    """Usable items of all sources, cut per topic and source."""
+    title = f"replace({sql_strip('title')}, chr(10), ' ')"
+    untitled = "CASE WHEN title = '' THEN 'Untitled' ELSE title END"
+    year = "date_trunc('year', published_date)"
+    shapes = {
+        "arxiv": ("topic", "external_id", title, "published_date"),
+        "semantic_scholar": ("topic", "external_id", untitled, year),
+        "pubmed": ("'all'", "CAST(doc_id AS VARCHAR)", untitled, f"CASE WHEN doc_id % 6 <> 2 THEN {year} END"),
+        "openalex": ("topic", "CAST(doc_id AS VARCHAR)", untitled, year),
+    }
+    parts = [
+        f"""SELECT {topic} AS topic, '{source}' AS source, {place} AS source_pos, doc_id AS source_rank,
+            {place} * 1000000000000 + doc_id AS doc_id, {key} AS external_id, {shown} AS title,
+            CAST({published} AS DATE) AS published_date, doi
+        FROM paper_view WHERE ({_reason_sql(source != "pubmed")}) IS NULL"""
+        for place, (source, (topic, key, shown, published)) in enumerate(shapes.items())
     ]
-    return merge_sources(frames)
+    return f"""landed AS ({" UNION ALL ".join(parts)}),
+    {name} AS (
+        SELECT * EXCLUDE (nth) FROM (
+            SELECT *, row_number() OVER (PARTITION BY topic, source ORDER BY source_rank) AS nth FROM landed)
+        WHERE nth <= {SEARCH_CAP})"""
+
+
+_FOUND_SQL = f"""{PAPER_VIEW}, {_hits_sql("hits")}, {first_wins_sql("topic", "hits")},
+found AS (
+    SELECT h.topic, h.source, h.external_id, h.title, strftime(h.published_date, '%Y-%m-%d') AS published
+    FROM walk JOIN hits h ON h.doc_id = walk.doc_id WHERE kept AND year(h.published_date) BETWEEN 1995 AND 2020)"""
+_SEARCH = {"max_results": SEARCH_CAP, "year_from": 1995, "year_to": 2020}
+
+
+@query("search_landed", f"WITH RECURSIVE {_FOUND_SQL} SELECT * FROM found")
+def _search_landed(spark, sf_dir):
+    found = run_search(landed_hits(spark, sf_dir), **_SEARCH)
+    return found.select("topic", "source", "external_id", "title", day("published_date").alias("published"))
+
+
+@query(
+    "search_cached",
+    f"""WITH RECURSIVE {_FOUND_SQL}, asked AS (
+        SELECT topic, unnest([0, 1800, 3599, 3600, 9000]) AS after FROM (SELECT DISTINCT topic FROM paper_view)),
+    judged AS (
+        SELECT topic, after, after < 2700 AND ascii(topic) % 2 = 0 AS stored FROM asked)
+    SELECT j.topic, after, 'stored' AS origin, p.source, p.external_id, p.title
+    FROM judged j JOIN paper_view p ON p.topic = j.topic JOIN labels l ON l.doc_id = p.doc_id WHERE stored
+    UNION ALL
+    SELECT j.topic, after, 'searched', f.source, f.external_id, f.title
+    FROM judged j JOIN found f ON f.topic = j.topic WHERE NOT stored""",
+)
+def _search_cached(spark, sf_dir):
+    """Every topic is asked five times; half of them have the labelled papers stored from a quarter of an hour before."""
+    start = F.timestamp_seconds(F.lit(1_700_000_000))
+    papers = paper_view(spark, sf_dir)
+    topics = papers.select("topic").distinct().where("topic is not null")
+    after = F.explode(F.array(*[F.lit(seconds) for seconds in (0, 1_800, 3_599, 3_600, 9_000)])).alias("after")
+    asked = topics.select("topic", after).withColumn("asked_at", F.timestamp_seconds(F.col("after") + 1_700_000_000))
+    even = topics.where(F.ascii("topic") % 2 == 0)
+    keys = with_cache_key(even, **_SEARCH).withColumn("created_at", start - F.expr("interval 15 minutes"))
+    labelled = papers.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    stored = labelled.join(keys, "topic").select("cache_key", "created_at", "topic", "source", "external_id", F.concat(F.lit("stored "), "title").alias("title"))
+    answers = search_with_cache(asked, landed_hits(spark, sf_dir), keys.drop("topic"), stored, **_SEARCH)
+    old = F.startswith("title", F.lit("stored "))
+    return answers.results.select(
+        "topic",
+        F.col("after").cast("bigint").alias("after"),
+        F.when(old, F.lit("stored")).otherwise(F.lit("searched")).alias("origin"),
+        "source",
+        "external_id",
+        F.when(old, F.substr("title", F.lit(8))).otherwise(F.col("title")).alias("title"),
+    )

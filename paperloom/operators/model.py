@@ -194,19 +194,22 @@ def summary_cards(parsed: DataFrame, papers: DataFrame) -> DataFrame:
 def embed_chunks(
     chunks: DataFrame, fn: Callable[[list[str]], list[list[float]]] | None = None, dimensions: int = 64
 ) -> DataFrame:
-    """Adds ``embedding`` to chunks: from ``fn`` in batches, else unit-length hashed word counts."""
+    """Adds ``embedding`` to chunks: from ``fn`` in batches, else unit-length counts of words by their md5."""
     if fn is not None:
 
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def embed(texts: pd.Series) -> pd.Series:
             return pd.Series(list(fn(texts.tolist())))
 
         return chunks.withColumn("embedding", embed("text"))
 
-    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    tokens = chunks.withColumn("_tokens", F.array_remove(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), ""))
-    counted = HashingTF(numFeatures=dimensions, inputCol="_tokens", outputCol="_counts").transform(tokens)
+    words = F.array_remove(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), "")
+    hashed = F.transform(words, lambda word: (F.conv(F.left(F.md5(word), F.lit(8)), 16, 10).cast("bigint") % dimensions).cast("string"))
+    tokens = chunks.withColumn("_tokens", F.coalesce(hashed, F.array().cast("array<string>")))
+    numbers = [str(number) for number in range(dimensions)]
+    counted = CountVectorizerModel.from_vocabulary(numbers, inputCol="_tokens", outputCol="_counts").transform(tokens)
     scaled = Normalizer(inputCol="_counts", outputCol="_scaled").transform(counted)
-    return scaled.withColumn("embedding", vector_to_array("_scaled", "float32")).drop("_tokens", "_counts", "_scaled")
+    return scaled.withColumn("embedding", vector_to_array("_scaled")).drop("_tokens", "_counts", "_scaled")

@@ -106,13 +106,44 @@ def cache_key(topic: Column, sources: Column, cap: Column, year_from: Column, ye
     return F.sha2(plain, 256)
 
 
-def cache_lookup(requests: DataFrame, entries: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """Adds ``hit`` and the entry's remaining columns to ``requests(cache_key, asked_at, ...)``.
+def cache_lookup(
+    requests: DataFrame, entries: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, tie: Sequence[str] = ()
+) -> DataFrame:
+    """Adds ``hit`` and the answering entry's remaining columns, null on a miss, to ``requests(cache_key, asked_at, ...)``.
 
-    ``entries(cache_key, created_at, ...)`` holds one entry per key (see :func:`latest_per_key`).  An entry is valid for
-    ``ttl_seconds`` from its write, reading does not extend it, and an empty result is still a hit.
+    ``entries(cache_key, created_at, ...)`` holds every write; the last one at or before the request answers it, of several
+    at one moment the greatest in the columns ``tie``.  An entry is valid for ``ttl_seconds`` from its write, reading does
+    not extend it, and an empty result is still a hit.
+
+    Requests and writes are range-partitioned by key and time, so a key may have any share of them; each part of a key's
+    history starts with the last entry of the parts before.
     """
-    joined = requests.join(entries, "cache_key", "left")
-    expires = F.col("created_at") + F.make_interval(secs=F.lit(ttl_seconds))
-    valid = (F.col("created_at") <= F.col("asked_at")) & (expires > F.col("asked_at"))
-    return joined.withColumn("hit", F.coalesce(valid, F.lit(False)))
+    asked = requests.select("cache_key", F.col("asked_at").alias("_at"), F.lit(True).alias("_asked"), F.struct("*").alias("_request"))
+    written = entries.where("cache_key is not null and created_at is not null").select(
+        "cache_key",
+        F.col("created_at").alias("_at"),
+        F.lit(False).alias("_asked"),
+        F.struct(*[name for name in entries.columns if name != "cache_key"]).alias("_entry"),
+    )
+    mixed = asked.unionByName(written, allowMissingColumns=True)
+    order = [F.col("_at"), F.col("_asked"), *[F.col(f"_entry.{name}") for name in tie]]
+    placed = cut_lineage(mixed.repartitionByRange("cache_key", *order).withColumn("_part", F.spark_partition_id()))
+    # Only a key that goes on in the next part has an entry to carry there.
+    parts = placed.groupBy("cache_key", "_part").agg(
+        F.max_by("_entry", F.when(~F.col("_asked"), F.struct(*order))).alias("_entry")
+    )
+    before = W.partitionBy("cache_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = parts.select(
+        "cache_key", "_part", F.last("_entry", ignorenulls=True).over(before).alias("_carried")
+    ).where("_carried is not null")
+    within = W.partitionBy("cache_key", "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    seen = placed.withColumn("_seen", F.last("_entry", ignorenulls=True).over(within)).where("_asked")
+    found = seen.join(carried, ["cache_key", "_part"], "left").select(
+        "_request", F.coalesce("_seen", "_carried").alias("_entry")
+    )
+    expires = F.col("_entry.created_at") + F.make_interval(secs=F.lit(ttl_seconds))
+    judged = found.withColumn("hit", F.coalesce(expires > F.col("_request.asked_at"), F.lit(False)))
+    answer = [
+        F.when(F.col("hit"), F.col(f"_entry.{name}")).alias(name) for name in entries.columns if name != "cache_key"
+    ]
+    return judged.select("_request.*", *answer, "hit")

@@ -38,12 +38,14 @@ def literature_review(
     year_from: int | None = None,
     year_to: int | None = None,
     min_chars: float | None = None,
+    rejects: DataFrame | None = None,
     **asking,
 ) -> ReviewResult:
     """Review every topic among ``hits``.
 
     Each source is asked for twice the wanted number, so that the selection has a choice.  Bad papers end up in
-    ``errors`` and never stop the others.  ``asking`` is for :func:`call_model`.
+    ``errors`` and never stop the others, as do the ``rejects`` of the source mappers.  ``asking`` is for
+    :func:`call_model`.
     """
     capped = per_source_cap(restrict_sources(hits), check_cap(2 * max_papers))
     selected = cut_lineage(with_paper_id(select_top_n(refine_hits(capped, year_from, year_to), max_papers)))
@@ -55,7 +57,11 @@ def literature_review(
     )
     summary = summarize_papers(ready, ingest.metadata, chunks, summarised, summary_fn, entity_fn, **asking)
     return ReviewResult(
-        selected, ingest, summary, review_report(selected, ingest.log, summary.log), review_errors(ingest.log, summary.log)
+        selected,
+        ingest,
+        summary,
+        review_report(selected, ingest.log, summary.log),
+        review_errors(ingest.log, summary.log, rejects),
     )
 
 
@@ -74,10 +80,20 @@ def review_report(selected: DataFrame, ingest_log: DataFrame, summary_log: DataF
     )
 
 
-def review_errors(ingest_log: DataFrame, summary_log: DataFrame) -> DataFrame:
-    """``(stage, paper_id, message)`` of everything that went wrong."""
+def review_errors(ingest_log: DataFrame, summary_log: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
+    """``(stage, paper_id, message)`` of everything that went wrong; a rejected search item has no paper id."""
     ingest = ingest_log.where(F.col("status").isin(DOWNLOAD_FAILED, EXTRACTION_FAILED))
     summary = summary_log.where(F.col("status") == LLM_FAILED)
-    return ingest.select(F.lit("ingest").alias("stage"), "paper_id", "message").unionByName(
+    errors = ingest.select(F.lit("ingest").alias("stage"), "paper_id", "message").unionByName(
         summary.select(F.lit("summarize").alias("stage"), "paper_id", "message")
     )
+    if rejects is None:
+        return errors
+    item = F.concat_ws(" ", "source", F.lit("item"), F.col("source_rank").cast("string"))
+    return errors.unionByName(
+        rejects.select(
+            F.lit("search").alias("stage"),
+            F.lit(None).cast("string").alias("paper_id"),
+            F.concat(item, F.lit(": "), F.col("reject_reason")).alias("message"),
+        )
+    )

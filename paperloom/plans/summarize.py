@@ -32,10 +32,14 @@ from paperloom.session import cut_lineage
 
 @dataclass(frozen=True)
 class SummaryResult:
-    """``log``: one status row per asked paper.  ``cards``: new cards.  ``entities`` and ``edges``: for the graph."""
+    """``log``: one status row per asked paper.  ``cards``: new cards; ``all_cards``: with the stored ones of asked papers.
+
+    ``entities`` and ``edges``: for the graph.
+    """
 
     log: DataFrame
     cards: DataFrame
+    all_cards: DataFrame
     entities: DataFrame
     edges: DataFrame
 
@@ -96,6 +100,8 @@ def summarize_papers(
         "paper_id", summary_status().alias("status"), "message"
     )
     cards = summary_cards(parsed, papers)
+    stored = done.select([name for name in done.columns if name in cards.columns]).join(asked, "paper_id", "left_semi")
+    all_cards = cards.unionByName(stored, allowMissingColumns=True)
 
     indexed = flags.where("done").select("paper_id").unionByName(cards.select("paper_id"))
     graph_papers = papers.join(indexed, "paper_id", "left_semi")
@@ -107,4 +113,4 @@ def summarize_papers(
         F.coalesce("methods", empty).alias("methods"),
         F.coalesce("datasets", empty).alias("datasets"),
     )
-    return SummaryResult(log, cards, entities, edges_from_papers(entities))
+    return SummaryResult(log, cards, all_cards, entities, edges_from_papers(entities))

@@ -151,7 +151,7 @@ def semantic_scholar_papers(landed: DataFrame) -> DataFrame:
     )
     reason = _reject(
         _malformed(),
-        ("wrong type", _not_text(["paperId", "title", "abstract", "url"])),
+        ("wrong type", _not_text(["paperId", "title", "abstract", "url", "externalIds.DOI", "openAccessPdf.url"])),
         ("no id", _is_null("paperId")),
         ("null author", _nameless("authors")),
         ("bad year", _bad_year(F.col("year"))),
@@ -185,7 +185,8 @@ def pubmed_papers(landed: DataFrame) -> DataFrame:
     doi = F.get(F.filter("item.articleids", lambda entry: entry["idtype"] == "doi"), F.lit(0))["value"]
     mapped = item.select(
         "topic",
-        (F.col("source_rank") + F.col("list_pos")).alias("source_rank"),
+        # By response, then by place in its id list, which is an int.
+        (F.shiftleft(F.col("source_rank").cast("bigint"), 32) + F.col("list_pos")).alias("source_rank"),
         "payload",
         F.col("pmid").alias("external_id"),
         F.coalesce(or_null(F.col("item.title")), F.lit("Untitled")).alias("title"),
@@ -262,7 +263,7 @@ def openalex_papers(landed: DataFrame) -> DataFrame:
     )
     reason = _reject(
         _malformed(),
-        ("wrong type", _not_text(["id", "title", "display_name", "doi"])),
+        ("wrong type", _not_text(["id", "title", "display_name", "doi", "open_access.oa_url"])),
         ("no id", _is_null("id")),
         ("null author", _nameless("authors")),
         ("bad year", _bad_year(F.col("year"))),

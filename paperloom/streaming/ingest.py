@@ -9,6 +9,7 @@ from paperloom.operators.store import latest_per_key
 from paperloom.plans.ingest import ingest_papers, new_markers
 from paperloom.schemas import ALREADY_CACHED
 from paperloom.session import fresh_path
+from paperloom.streaming.replay import replay
 
 MARKER = "paper_id string, chunk_count bigint, page_count bigint"
 
@@ -59,11 +60,10 @@ def ingest_log(spark: SparkSession, root: str) -> DataFrame:
 def replay_ingest(
     papers: DataFrame, fetches: DataFrame, pages: DataFrame, markers: DataFrame, batches: int = 2, **limits
 ) -> DataFrame:
-    """Feed ``papers`` through the stream in ``batches`` files per trigger and return the combined log."""
+    """Feed ``papers`` through the stream in ``batches`` parts and return the combined log."""
     spark = papers.sparkSession
     root = fresh_path(spark, "ingest-stream")
-    papers.repartition(batches, "paper_id").write.parquet(f"{root}/landing")
-    arrivals = spark.readStream.schema(papers.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
-    running = start_ingest(arrivals, fetches, pages, markers, root, **limits)
-    running.awaitTermination()
+    part = F.pmod(F.xxhash64("paper_id"), F.lit(batches))
+    parts = [papers.where(part == number) for number in range(batches)]
+    replay(parts, f"{root}/landing", lambda arrivals: start_ingest(arrivals, fetches, pages, markers, root, **limits))
     return ingest_log(spark, root)

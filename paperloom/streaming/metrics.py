@@ -12,7 +12,7 @@ from paperloom.operators.metrics import MICROS, endpoint_counts, rate_limit_audi
 from paperloom.operators.store import latest_per_key
 from paperloom.schemas import CACHE_TTL_SECONDS
 from paperloom.session import fresh_path
-from paperloom.streaming.replay import land_in_slices
+from paperloom.streaming.replay import replay, time_slices
 
 
 def _start(result: DataFrame, write, root: str, mode: str):
@@ -53,45 +53,49 @@ def start_ttl_dedupe(searches: DataFrame, root: str, ttl_seconds: int = CACHE_TT
     """Pass a search unless the same one passed less than ``ttl_seconds`` before; slices must arrive in time order.
 
     The state of a key is the last search that passed in an earlier batch.  Searches it still answers are dropped by a
-    join; what is left starts afresh, which is the batch operator.
+    join; what is left starts afresh, which is the batch operator.  The output is laid out by time, in steps as long as
+    ``ttl_seconds``, and a batch reads no more of it than can answer its first search.
     """
     spark = searches.sparkSession
     fields = searches.schema
+    step = ttl_seconds * MICROS
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
-        passed = own.read.schema(f"cache_key {fields['cache_key'].dataType.simpleString()}, asked_us bigint, batch_id bigint")
-        earlier = passed.parquet(f"{root}/out").where(F.col("batch_id") < batch_id)
+        passed = own.read.schema(
+            f"cache_key {fields['cache_key'].dataType.simpleString()}, asked_us bigint, batch_id bigint, step bigint"
+        )
+        first = batch.agg(F.min("asked_us")).first()[0]
+        recent = F.col("step") >= (0 if first is None else first // step - 1)
+        earlier = passed.parquet(f"{root}/out").where((F.col("batch_id") < batch_id) & recent)
         last = earlier.groupBy("cache_key").agg(F.max("asked_us").alias("last_at"))
         open_again = batch.join(last, "cache_key", "left").where(
             F.col("last_at").isNull() | (F.col("asked_us") - F.col("last_at") >= ttl_seconds * MICROS)
         )
-        ttl_dedupe(open_again.drop("last_at"), ttl_seconds).write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        found = ttl_dedupe(open_again.drop("last_at"), ttl_seconds).withColumn("step", F.floor(F.col("asked_us") / step))
+        found.write.partitionBy("step").mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
     # The first batch reads this folder before it has written to it.
-    spark.createDataFrame([], fields).write.parquet(f"{root}/out/batch_id=-1")
+    spark.createDataFrame([], fields).write.mode("overwrite").parquet(f"{root}/out/batch_id=-1/step=0")
     return _start(searches, write, root, "append")
 
 
 def replay_counts(requests: DataFrame) -> DataFrame:
     spark = requests.sparkSession
     root = fresh_path(spark, "counts-stream")
-    stream = land_in_slices(requests, "ts", f"{root}/landing")
-    start_endpoint_counts(stream, root).awaitTermination()
+    replay(time_slices(requests, "ts"), f"{root}/landing", lambda stream: start_endpoint_counts(stream, root))
     return latest_output(spark, root, ["endpoint"])
 
 
 def replay_rate_limits(requests: DataFrame, limit: Column | None = None) -> DataFrame:
     spark = requests.sparkSession
     root = fresh_path(spark, "limits-stream")
-    stream = land_in_slices(requests, "ts", f"{root}/landing")
-    start_rate_limit_audit(stream, root, limit).awaitTermination()
+    replay(time_slices(requests, "ts"), f"{root}/landing", lambda stream: start_rate_limit_audit(stream, root, limit))
     return latest_output(spark, root, ["hour", "client", "endpoint"])
 
 
 def replay_ttl_dedupe(searches: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     spark = searches.sparkSession
     root = fresh_path(spark, "ttl-stream")
-    stream = land_in_slices(searches, "asked_us", f"{root}/landing")
-    start_ttl_dedupe(stream, root, ttl_seconds).awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("cache_key", "asked_us")
+    replay(time_slices(searches, "asked_us"), f"{root}/landing", lambda stream: start_ttl_dedupe(stream, root, ttl_seconds))
+    return spark.read.schema(searches.schema).parquet(f"{root}/out").select("cache_key", "asked_us")

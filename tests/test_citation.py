@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.citation import apa_citation, bibtex_citation, bibtex_key, byline, first_author_last_name, source_label
 
 SCHEMA = "title string, authors array<string>, published date, doi string, url string"
-VASWANI = ("Attention Is All You Need", ["Ashish Vaswani", "Noam Shazeer"], date(2017, 6, 12), "10.48550/arXiv.1706.03762", None)
+RECORD = ("Tides and Moons", ["Mara Quist", "Ole B. Tarn"], date(2019, 3, 4), "10.77/tides.9", None)
 
 
 def show(spark, paper, build, *names):
@@ -19,8 +19,8 @@ def apa(spark, paper):
 
 
 def test_apa(spark):
-    assert apa(spark, VASWANI) == (
-        "Vaswani, A., & Shazeer, N. (2017). Attention Is All You Need. https://doi.org/10.48550/arXiv.1706.03762"
+    assert apa(spark, RECORD) == (
+        "Quist, M., & Tarn, O. B. (2019). Tides and Moons. https://doi.org/10.77/tides.9"
     )
     assert apa(spark, ("Title...", [], None, "", "https://y")) == "Unknown Author (n.d.). Title. https://y"
     assert apa(spark, ("T", ["Plato "], None, None, "")) == "Plato  (n.d.). T."
@@ -39,17 +39,17 @@ def test_apa_author_lists(spark, count):
 
 
 def test_bibtex(spark):
-    assert show(spark, VASWANI, bibtex_key, "title", "authors", "published") == "vaswani2017attention"
-    assert show(spark, (VASWANI[0], [], *VASWANI[2:]), bibtex_key, "title", "authors", "published") == "unknown2017attention"
+    assert show(spark, RECORD, bibtex_key, "title", "authors", "published") == "quist2019tides"
+    assert show(spark, (RECORD[0], [], *RECORD[2:]), bibtex_key, "title", "authors", "published") == "unknown2019tides"
     assert show(spark, (" ", ["  "], None, None, None), bibtex_key, "title", "authors", "published") == "unknownndpaper"
     assert show(spark, ("Über x", ["Ann Müller"], None, None, None), bibtex_key, "title", "authors", "published") == "mllerndber"
-    text = show(spark, VASWANI, bibtex_citation, "title", "authors", "published", "doi", "url")
+    text = show(spark, RECORD, bibtex_citation, "title", "authors", "published", "doi", "url")
     assert text.splitlines() == [
-        "@article{vaswani2017attention,",
-        "  title = {Attention Is All You Need},",
-        "  author = {Ashish Vaswani and Noam Shazeer},",
-        "  year = {2017},",
-        "  doi = {10.48550/arXiv.1706.03762},",
+        "@article{quist2019tides,",
+        "  title = {Tides and Moons},",
+        "  author = {Mara Quist and Ole B. Tarn},",
+        "  year = {2019},",
+        "  doi = {10.77/tides.9},",
         "}",
     ]
 

@@ -17,7 +17,7 @@ from paperloom.operators.store import (
     upsert_chunks,
 )
 from paperloom.plans.ingest import ingest_papers, new_markers
-from paperloom.sources.extract import extract_text
+from paperloom.sources.extract import extract_text, html_pages
 
 
 def model_chunks(text, size, overlap):
@@ -115,6 +115,23 @@ def chunk_frame(spark, rows):
     return spark.createDataFrame(rows, "paper_id string, chunk_index int, text string")
 
 
+def test_hidden_and_unfinished_markup(spark):
+    pages = [
+        "<style>p{}</style>a<SCRIPT x='1'>var t='</p>';</script >b<!-- <p>c</p> -->d",
+        "a &lt;b&gt; &amp;amp; 1 < 2<br/>  c\n\n<p> </p>d",
+        "kept<script>never closed",
+        "<>",
+        "",
+        None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(pages)), "paper_id int, payload string")
+    rows = {row.paper_id: row for row in extract_text(frame).collect()}
+    assert [rows[n].text for n in range(6)] == ["a\nb\nd", "a <b> &amp; 1 < 2\nc\nd", "kept", "<>", None, None]
+    assert [rows[n].status for n in (3, 4, 5)] == ["success", "extraction_failed", "extraction_failed"]
+    own = {row.paper_id: row.text for row in extract_text(frame, html_pages).collect()}
+    assert own[0] == "a\nb\nd"
+
+
 def test_upsert_replaces_only_papers_with_new_chunks(spark):
     current = chunk_frame(spark, [("a", 0, "old"), ("a", 1, "old"), ("b", 0, "keep")])
     merged = upsert_chunks(current, chunk_frame(spark, [("a", 0, "new")]))
@@ -174,6 +191,22 @@ def test_cache_expires_after_its_time(spark):
     ]
 
 
+def test_the_last_write_before_a_request_answers_it(spark):
+    """One key has nearly all requests and writes; some share their moment."""
+    draw = random.Random(11)
+    writes = [("hot" if draw.random() < 0.9 else None, draw.randrange(400), n) for n in range(150)]
+    asks = [(draw.choice(["hot", "hot", "hot", "cold", None]), draw.choice([None, draw.randrange(400)]), n) for n in range(300)]
+    entries = spark.createDataFrame(writes, "cache_key string, at long, entry long").selectExpr(
+        "cache_key", "timestamp_seconds(at) created_at", "entry"
+    )
+    asked = spark.createDataFrame(asks, "cache_key string, at long, id long").selectExpr("cache_key", "timestamp_seconds(at) asked_at", "id")
+    found = {row.id: row for row in cache_lookup(asked.repartition(5), entries.repartition(5), 5, tie=["entry"]).collect()}
+    assert len(found) == len(asks)
+    for key, at, number in asks:
+        able = [(made, entry) for other, made, entry in writes if key and other == key and at is not None and made <= at < made + 5]
+        assert found[number].hit == bool(able) and found[number].entry == (max(able)[1] if able else None)
+
+
 def test_ingest_ladder(spark):
     text = "word " * 40
     papers = spark.createDataFrame(

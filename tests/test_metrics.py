@@ -14,7 +14,7 @@ from paperloom.operators.metrics import (
     run_report,
     ttl_dedupe,
 )
-from paperloom.streaming.replay import land_in_slices
+from paperloom.streaming.replay import replay, time_slices
 from paperloom.streaming.metrics import replay_rate_limits, replay_ttl_dedupe
 
 
@@ -109,5 +109,15 @@ def test_the_default_limit_knows_the_request_path(spark):
 
 def test_rows_without_a_time_are_landed(spark, tmp_path):
     rows = spark.createDataFrame([(n, None if n % 4 == 0 else n) for n in range(20)], "id long, at long")
-    land_in_slices(rows, "at", str(tmp_path / "landing"))
+    batches = []
+
+    def start(stream):
+        return (
+            stream.writeStream.foreachBatch(lambda batch, number: batches.append({row.at for row in batch.collect()}))
+            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        )
+
+    replay(time_slices(rows.repartition(3), "at"), str(tmp_path / "landing"), start)
     assert spark.read.parquet(str(tmp_path / "landing")).count() == 20
+    assert len(batches) == 3 and None in batches[0]
+    assert max(batches[0] - {None}) < min(batches[1]) and max(batches[1]) < min(batches[2])

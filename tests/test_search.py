@@ -17,7 +17,7 @@ from paperloom.operators.search import (
     select_top_n,
     year_filter,
 )
-from paperloom.plans.search import search_papers
+from paperloom.plans.search import search_papers, search_with_cache, with_cache_key
 
 SCHEMA = """topic string, source string, source_pos int, source_rank bigint, external_id string, title string,
     doi string, published_date date, pdf_url string"""
@@ -48,11 +48,11 @@ def kept(spark, titles_and_dois):
 
 
 def test_same_doi_keeps_the_first(spark):
-    assert kept(spark, [("One", "10.1000/xyz"), ("Two", " 10.1000/XYZ ")]) == ["0"]
+    assert kept(spark, [("One", "10.77/rain-b"), ("Two", "\t10.77/RAIN-B ")]) == ["0"]
 
 
 def test_same_title_keeps_the_first(spark):
-    assert kept(spark, [("Attention Is All You Need", None), ("attention is all you need!!", None)]) == ["0"]
+    assert kept(spark, [("Rain, Twice: A Study", None), ("rain twice -- a STUDY?", None)]) == ["0"]
 
 
 def test_distinct_papers_stay(spark):
@@ -192,3 +192,31 @@ def test_text_helpers(spark):
 def test_ranks_are_cut_before_the_shuffle(spark):
     frame = per_source_cap(papers(spark, [("a", "arxiv", 0, "A", None, None, None)]))
     assert "WindowGroupLimit" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_search_is_stored_and_answers_until_its_time_is_over(spark):
+    hits = simple(spark, [("One", "a"), ("Two", "b"), ("One", "c")]).where("topic = 't'")
+    asked = spark.sql(
+        """select topic, timestamp_seconds(at) asked_at, id from values ('t', 0, 0), (' T ', 50, 1), ('t', 100, 2), ('none', 10, 3)
+        as asked(topic, at, id)"""
+    )
+    columns = "cache_key string, created_at timestamp, external_id string"
+    nothing = spark.createDataFrame([], columns)
+    first = search_with_cache(asked.where("id in (0, 3)"), hits, nothing.select("cache_key", "created_at"), nothing, 100)
+    assert sorted(row.external_id for row in first.results.collect()) == ["0", "1"]
+    assert first.entries.count() == 2 and first.stored.count() == 2
+    # Stored under another title: the second run must not search again before the time is over.
+    stored = first.stored.withColumn("title", F.lit("stored"))
+    later = search_with_cache(asked.where("id > 0"), hits, first.entries, stored, 100)
+    titles = {(row.id, row.title) for row in later.results.collect()}
+    assert titles == {(1, "stored"), (2, "One"), (2, "Two")}
+    assert [row.created_at.timestamp() for row in later.entries.collect()] == [100.0]
+    assert with_cache_key(asked, year_from=2000).select("cache_key").distinct().count() == 2
+
+
+def test_cached_search_without_requests(spark):
+    hits = simple(spark, [("One", "a")])
+    asked = spark.createDataFrame([], "topic string, asked_at timestamp")
+    nothing = spark.createDataFrame([], "cache_key string, created_at timestamp, external_id string")
+    answers = search_with_cache(asked, hits, nothing.select("cache_key", "created_at"), nothing)
+    assert answers.results.count() == answers.entries.count() == 0

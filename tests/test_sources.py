@@ -29,12 +29,12 @@ def split(mapped):
 
 def test_arxiv(spark):
     item = {
-        "id": "1706.03762v2", "title": " Attention\nIs ", "authors": [{"name": "A B"}], "summary": "One\ntwo\n",
-        "published": "2017-06-12T17:57:34Z", "pdf_url": "p", "doi": None, "entry_id": "e",
+        "id": "2301.00017v1", "title": " Tides\nand Moons ", "authors": [{"name": "A B"}], "summary": "One\ntwo\n",
+        "published": "2023-01-02T03:04:05Z", "pdf_url": "p", "doi": None, "entry_id": "e",
     }
     good, bad = split(arxiv_papers(landed(spark, item, json.dumps(item)[:-4], {**item, "authors": [{"name": None}]}, None)))
-    assert good[0].title == "Attention Is" and good[0].abstract == "One two"
-    assert good[0].published_date == date(2017, 6, 12) and good[0].authors == ["A B"] and good[0].source_pos == 0
+    assert good[0].title == "Tides and Moons" and good[0].abstract == "One two"
+    assert good[0].published_date == date(2023, 1, 2) and good[0].authors == ["A B"] and good[0].source_pos == 0
     assert bad == {1: "malformed", 2: "null author", 3: "malformed"}
 
 
@@ -45,7 +45,7 @@ def test_semantic_scholar(spark):
         semantic_scholar_papers(
             landed(
                 spark, item, without_id, {**item, "paperId": None}, {**item, "year": 0}, {**item, "year": None},
-                {**item, "year": 99999}, {**item, "authors": [{"name": None}]}, {**item, "title": 5}, {**item, "year": "x"},
+                {**item, "year": 99999}, {**item, "authors": [{"name": None}]}, {**item, "title": 5}, {**item, "year": "x"}, {**item, "externalIds": {"DOI": 7}}, {**item, "openAccessPdf": {"url": True}},
             )
         )
     )
@@ -53,7 +53,7 @@ def test_semantic_scholar(spark):
     assert (good[0].doi, good[0].pdf_url, good[0].published_date) == ("d", None, date(2020, 1, 1))
     assert good[1].external_id == ""
     assert good[3].published_date is None and good[4].published_date is None
-    assert bad == {2: "no id", 5: "bad year", 6: "null author", 7: "wrong type", 8: "malformed"}
+    assert bad == {2: "no id", 5: "bad year", 6: "null author", 7: "wrong type", 8: "malformed", 9: "wrong type", 10: "wrong type"}
 
 
 def test_pubmed(spark):
@@ -66,6 +66,16 @@ def test_pubmed(spark):
     assert split(pubmed_papers(landed(spark, '{"idlist": ["1"')))[1] == {0: "malformed"}
 
 
+def test_pubmed_responses_keep_their_order(spark):
+    """Neighbouring responses never share a position, however long the first one's list is."""
+    responses = [
+        {"idlist": [f"{n}{letter}" for letter in "cab"], "result": {f"{n}{letter}": {"title": "T"} for letter in "cab"}} for n in range(3)
+    ]
+    found = accepted(pubmed_papers(landed(spark, *responses))).orderBy("source_rank").collect()
+    assert [row.external_id for row in found] == [f"{n}{letter}" for n in range(3) for letter in "cab"]
+    assert len({row.source_rank for row in found}) == 9
+
+
 def test_pubmed_dates(spark):
     texts = ["2023 Jun", "2023", "2023 Jun 12", "Spring 2020", "", None, "0", "99999"]
     frame = spark.createDataFrame([(text,) for text in texts], "text string")
@@ -77,13 +87,13 @@ def test_openalex(spark):
     item = {
         "id": "https://openalex.org/W1", "title": None, "display_name": "D", "publication_year": 2021,
         "authorships": [{"author": {"display_name": "A"}}, {"author": {}}, {"author": None}, {"author": {"id": "i"}}],
-        "abstract_inverted_index": {"the": [0, 3], "cat": [1], "and": [2], "dog": [4]},
+        "abstract_inverted_index": {"rain": [1, 4], "after": [2], "more": [0, 3]},
         "open_access": {"oa_url": "u"}, "doi": "https://doi.org/10.1/x",
     }
-    good, bad = split(openalex_papers(landed(spark, item, {**item, "doi": ""}, {**item, "publication_year": 10000})))
+    good, bad = split(openalex_papers(landed(spark, item, {**item, "doi": ""}, {**item, "publication_year": 10000}, {**item, "open_access": {"oa_url": 3}})))
     assert (good[0].external_id, good[0].title, good[0].doi, good[0].pdf_url) == ("W1", "D", "10.1/x", "u")
-    assert good[0].authors == ["A", ""] and good[0].abstract == "the cat and the dog"
-    assert good[1].doi is None and bad == {2: "bad year"}
+    assert good[0].authors == ["A", ""] and good[0].abstract == "more rain after more rain"
+    assert good[1].doi is None and bad == {2: "bad year", 3: "wrong type"}
 
 
 def test_inverted_abstract(spark):
