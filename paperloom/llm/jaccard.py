@@ -24,6 +24,9 @@ KEPT_ELEMENTS = 4_000_000
 HELD_SIGNATURES = 2_000_000
 PACKED_ROWS = 256
 BUCKETS = 8
+#: Members of a signature that a block holds on average, and pairs that a task compares at a time.
+BLOCK_MEMBERS = 1024
+PAIRS_AT_A_TIME = 1_000_000
 SKETCH_SALT = 0x5851F42D4C957F2D
 
 
@@ -272,7 +275,90 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return near.mapInArrow(possible, "a long, b long").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+def _compared(rows: pa.Table, percent: int) -> pa.Table:
+    """The pairs ``(a, b)`` of a bucket's rows that share signature and block pair, lie in different components and are
+    possible by size and sketch."""
+    none = np.zeros(0, np.int64)
+    signature, i, j, doc_id, component, size = (rows[name].to_numpy() for name in ("signature", "i", "j", "doc_id", "component", "n_shingles"))
+    right = rows["own"].to_numpy() != i
+    order = np.lexsort((right, j, i, signature))
+    signature, i, j, doc_id, component, size, right = (x[order] for x in (signature, i, j, doc_id, component, size, right))
+    place = np.arange(len(order))
+    new = np.ones(len(order), bool)
+    new[1:] = (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    group = np.cumsum(new) - 1
+    end = np.append(np.flatnonzero(new)[1:], len(order))[group]
+    # The partners of a row are consecutive: what follows it in its block, or all of the other block.
+    start = np.where(i == j, place + 1, end - np.bincount(group, right)[group].astype(np.int64))
+    partners = np.where(right, 0, end - start)
+
+    sketches = rows["sketch"].combine_chunks().take(pa.array(order))
+    length = pa.compute.binary_length(sketches).to_numpy()
+    kinds, kind = np.unique(length, return_inverse=True)
+    within = np.zeros(len(order), np.int64)
+    tables = []
+    for number, bytes_ in enumerate(kinds):
+        chosen = np.flatnonzero(kind == number)
+        within[chosen] = np.arange(len(chosen))
+        tables.append(_matrix(sketches, chosen, bytes_).view(np.uint64))
+
+    def possible(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fit = (component[one] != component[other]) & (
+            100 * np.minimum(size[one], size[other]) >= percent * np.maximum(size[one], size[other])
+        )
+        one, other = one[fit], other[fit]
+        least = np.zeros(len(one), np.int64)
+        both = kind[one] * len(kinds) + kind[other]
+        for code in np.unique(both):
+            chosen = np.flatnonzero(both == code)
+            left, right_ = tables[code // len(kinds)], tables[code % len(kinds)]
+            step = max(PAIRS_AT_A_TIME * 8 // max(left.shape[1], right_.shape[1]), 1)
+            for first in range(0, len(chosen), step):
+                some = chosen[first : first + step]
+                least[some] = least_differences(left[within[one[some]]], right_[within[other[some]]])
+        kept = least * (100 + percent) <= (100 - percent) * (size[one] + size[other])
+        a, b = doc_id[one[kept]], doc_id[other[kept]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    found = [(none, none)]
+    before = np.cumsum(partners) - partners
+    first = 0
+    while first < len(order):
+        # At most the stated number of pairs more than those of one row.
+        last = int(np.searchsorted(before, before[first] + PAIRS_AT_A_TIME, side="right"))
+        one = np.repeat(place[first:last], partners[first:last])
+        nth = np.arange(len(one)) - np.repeat(before[first:last] - before[first], partners[first:last])
+        if len(one):
+            found.append(possible(one, start[one] + nth))
+        first = last
+    a, b = (np.concatenate(part) for part in zip(*found, strict=True))
+    return pa.table({"a": a, "b": b})
+
+
+def _possible_members(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of members of a signature in different components that sizes and sketches allow.
+
+    Of signatures with the same members, one is read. The members of a signature are dealt into blocks, a row for each pair
+    of blocks, and the sketches of two blocks are compared in a task: pairs become rows only where they are possible.
+    """
+    spark = open_.sparkSession
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    open_ = open_.dropDuplicates(["signature", "doc_id"])
+    members = [F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64("doc_id", F.lit(1)))]
+    profiles = open_.groupBy("signature").agg(F.count("*").alias("n"), *[hash_.alias(f"h{at}") for at, hash_ in enumerate(members)])
+    read = profiles.groupBy("n", "h0", "h1").agg(F.min("signature").alias("signature"))
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS)
+    placed = open_.join(read.select("signature", blocks.alias("blocks")), "signature").join(sketches, "doc_id")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    bucket = F.pmod(F.xxhash64("signature", "i", "j"), F.lit(buckets)).alias("bucket")
+    rows = paired.select(bucket, "signature", "i", "j", "own", "doc_id", "component", "n_shingles", "sketch")
+    return rows.groupBy("bucket").applyInArrow(lambda table: _compared(table, percent), "a long, b long").distinct()
+
+
+def _linked(near: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough, counted exactly from their texts."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +383,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, words: int,
                 kept.append(bool(same) and 100 * same >= percent * (len(a) + len(b) - same))
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
-    near = cut_lineage(_alike(pairs, sketches, percent))
+    near = cut_lineage(near)
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     wanted = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi")
     others = near.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -328,8 +414,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Signatures find the pairs, sketches rule out what differs too much, texts decide the rest. The first round checks
     each member of a signature against its smallest document only, which joins groups of copies however large. The next
     checks what still lies in other components against the signature's document of most signatures, which is the one
-    nearest to the others. The last checks every pair of a signature's members in different components. So no link is
-    lost and no group of copies is written out in pairs.
+    nearest to the others. The last checks all members of a signature in different components, by sketch and block by
+    block. So no link is lost and no group of copies is written out in pairs.
 
     A null text is empty. Rows that share a ``doc_id`` are one document with several texts: a link of any of them is its
     link, and each row keeps its own ``n_shingles``. A null ``doc_id`` links with nothing and has a null component.
@@ -342,7 +428,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sketches = sized.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(_linked(pairs, docs, sketches, words, percent))
+        return cut_lineage(_linked(_alike(pairs, sketches, percent), docs, words, percent))
 
     stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = linked(stars)
@@ -353,12 +439,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = links.union(linked(_pairs(met, "centre.doc_id", "doc_id")))
 
     open_ = cut_lineage(_open_members(members, links))
-    sizes = open_.groupBy("signature", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("signature").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    minor = open_.join(largest, "signature").where("component <> main")
-    minor = minor.select("signature", F.col("doc_id").alias("one"), F.col("component").alias("own"))
-    met = minor.join(open_, "signature").where("component <> own")
-    links = links.union(linked(_pairs(met, "one", "doc_id")))
+    links = links.union(cut_lineage(_linked(_possible_members(open_, sketches, percent), docs, words, percent)))
 
     component = smallest_reachable(links).withColumnRenamed("node", "doc_id")
     return sized.join(component, "doc_id", "left").select(
