@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import row_key, table
 from paperloom.llm.decontamination import find_leaks
 from paperloom.llm.jaccard import near_duplicates
-from paperloom.llm.language import UNKNOWN, identify, train, training_sample
+from paperloom.llm.language import UNKNOWN, predictions, train, training_sample
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.substrings import remove_repeats
 from paperloom.session import fresh_path
@@ -17,27 +17,35 @@ from paperloom.session import fresh_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a language, null and letterless texts, go; a missing ``lang`` is filled in."""
     network = train(training_sample(docs))
-    found = identify(docs, network).where(F.col("lang_pred") == UNKNOWN)
-    return _without(docs, found.select("doc_id")).where("text is not null")
+    found = predictions(docs, network, [name for name in docs.columns if name != "doc_id"])
+    return found.where(F.col("lang_pred") != UNKNOWN).where("text is not null").select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join over five words at a similarity of 0.8: the document of the smallest id of each group stays."""
+    """N-gram Jaccard join over five words at a similarity of 0.8: the document of the smallest id of each group stays.
+
+    Rows equal in id and text become one, of several the one with the smallest other columns. Different texts of one id
+    are one document and stay or go together; a null id links with nothing, so its different texts stay.
+    """
     found = near_duplicates(docs, words=5, percent=80)
-    return _without(docs, found.where("component_id <> doc_id").select("doc_id")).dropDuplicates(["doc_id"])
+    kept = _without(docs, found.where("component_id <> doc_id").select("doc_id"))
+    others = [name for name in docs.columns if name not in ("doc_id", "text")]
+    once = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("others"))
+    return once.select("doc_id", "text", "others.*").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: words of repeated windows of 35 go; texts without one stay as they are."""
-    found = remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept")
-    both = docs.join(found, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    return both.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    found = remove_repeats(docs, carry=["text", "lang", "source"])
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    keyed = docs.withColumn("row_key", row_key())
+    found = find_leaks(keyed, table(spark, sf_dir, "benchmark"), carry=["row_key"])
+    return _without(keyed, found.select("doc_id", "row_key")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are equal to no rejected row in all of its columns; nulls are equal."""
+    rejected = rejected.distinct()
+    gone = rejected.select(*[F.col(name).alias(f"rejected_{name}") for name in rejected.columns])
+    same = [F.col(name).eqNullSafe(F.col(f"rejected_{name}")) for name in rejected.columns]
+    return docs.join(gone, same, "left_anti")
 
 
 STAGES = [

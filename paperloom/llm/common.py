@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,11 @@ def by_batch(df: DataFrame, rows_of: Callable[[pa.RecordBatch], dict[str, object
     return df.mapInArrow(run, schema)
 
 
+def kinds_of(df: DataFrame, names: Sequence[str]) -> str:
+    """The columns ``names`` as the end of a schema."""
+    return "".join(f", {name} {df.schema[name].dataType.simpleString()}" for name in names)
+
+
 def as_array(values) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values)
 

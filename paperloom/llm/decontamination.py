@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import kinds_of
+
 #: Edits allowed, in percent of an item's normalised characters.
 EDIT_PERCENT = 5
 #: Shorter items, in normalised characters, tell nothing about a leak.
@@ -104,8 +106,11 @@ def _matcher(items: tuple[tuple[int, str], ...], percent: int) -> Matcher:
     return Matcher(list(items), percent)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT, least: int = LEAST_CHARS) -> DataFrame:
-    """``(doc_id, item_id, errors, first_char, last_char)``: benchmark items that documents hold with few edits.
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT, least: int = LEAST_CHARS, carry: Sequence[str] = ()
+) -> DataFrame:
+    """``(doc_id, item_id, errors, first_char, last_char)``: benchmark items that documents hold with few edits; after them
+    the columns ``carry`` of the document's row.
 
     Texts are compared in lower case with every run of other characters as one space; an item of n such characters may
     differ by ``n * percent // 100`` insertions, deletions and replacements. One row per row of ``docs`` and item: the
@@ -122,26 +127,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCEN
     for turn in range(passes):
         block = sized.where(F.pmod("deal", F.lit(passes)) == turn).select("item_id", "text").collect()
         items = sorted({(row.item_id, normalised(row.text)) for row in block}, key=lambda item: (item[0] is not None, item[0] or 0, item[1]))
-        own = _pass(docs, tuple((item_id, text) for item_id, text in items if len(text) >= least), percent)
+        own = _pass(docs, tuple((item_id, text) for item_id, text in items if len(text) >= least), percent, carry)
         found = own if found is None else found.union(own)
     return found
 
 
-def _pass(docs: DataFrame, items: tuple[tuple[int, str], ...], percent: int) -> DataFrame:
+def _pass(docs: DataFrame, items: tuple[tuple[int, str], ...], percent: int, carry: Sequence[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(sent.value, percent)
         for batch in batches:
             rows = [
-                (doc_id, item_id, *hit)
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
+                (doc_id, item_id, *hit, at)
+                for at, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True))
                 if text
                 for item_id, hit in matcher.find(normalised(text)).items()
             ]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             names = [column.split()[0] for column in FOUND.split(", ")]
             columns = [pa.array([row[n] for row in rows], kind) for n, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            at = pa.array([row[-1] for row in rows], pa.int64())
+            columns += [batch.column(name).take(at) for name in carry]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(search, FOUND)
+    return docs.select("doc_id", "text", *carry).mapInArrow(search, FOUND + kinds_of(docs, carry))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import by_batch, texts
+from paperloom.llm.common import by_batch, kinds_of, texts
 
 WINDOW = 160
 WIDTHS = (2, 3, 4)
@@ -165,7 +166,12 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
     A text that is null or holds no letter is ``und`` with score 0, as is every text when the network knows no language.
     A null ``doc_id`` stays null and counts as not held out. Repeated rows are answered each. Further columns are ignored.
     """
-    schema = "doc_id long, held_out boolean, lang_pred string, score double"
+    return predictions(docs, network).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def predictions(docs: DataFrame, network: Network, carry: Sequence[str] = ()) -> DataFrame:
+    """As ``identify``, with the columns ``carry`` of each row's own, ``text`` or others."""
+    schema = "doc_id long, held_out boolean, lang_pred string, score double" + kinds_of(docs, carry)
     weights = network
 
     def predict(batch: pa.RecordBatch) -> dict[str, object]:
@@ -183,9 +189,11 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
                 at += 1
             for n, (language, score) in zip(group, _of_documents(predictor, [given[n] for n in group]), strict=True):
                 chosen[n], scores[n] = weights.languages[language], score
-        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(chosen), "score": scores}
+        found = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(chosen), "score": scores}
+        return found | {name: batch.column(name) for name in carry}
 
-    marked = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
+    others = [name for name in carry if name != "text"]
+    marked = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text", *others)
     return by_batch(marked, predict, schema)
 
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WordHashes, by_batch, mix, rolled, row_key, texts
+from paperloom.llm.common import WordHashes, by_batch, kinds_of, mix, rolled, row_key, texts
 from paperloom.session import cut_lineage
 
 WINDOW = 35
@@ -171,17 +171,18 @@ def _repeats(bucket: list[tuple[bytes, list[tuple]]], window: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = MINIMISER) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256, kept)`` for every row of ``docs(doc_id, text)``.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = MINIMISER, carry: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256, kept)`` for every row of ``docs(doc_id, text)``, and its columns ``carry``.
 
     Words are runs without ASCII white space. Every word that lies in a window of ``window`` words whose sequence also
     starts anywhere else, in the same document or another, is removed; ``kept`` is what stays, joined by single spaces.
     Windows are judged on the input. A null text has no words; texts shorter than a window stay whole. Equal rows are
     places of their own, so each other's repeats. A null ``doc_id`` is kept. Further columns are ignored.
     """
-    keyed = docs.select("doc_id", "text", row_key().alias("row_key"))
-    found = repeated_windows(keyed, window, width)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    others = [name for name in carry if name != "text"]
+    keyed = docs.select("doc_id", "text", row_key().alias("row_key"), *others)
+    found = repeated_windows(keyed.select(*KEYS, "text"), window, width)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + kinds_of(docs, carry)
 
     def removed(batch: pa.RecordBatch) -> dict[str, object]:
         totals, gone, sums, kept = [], [], [], []
@@ -202,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = MINIMISER
         return {
             "doc_id": batch.column("doc_id"), "n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
             "kept_sha256": pa.array(sums, pa.string()), "kept": pa.array(kept, pa.string()),
-        }
+        } | {name: batch.column(name) for name in carry}
 
     joined = keyed.join(found, [keyed.doc_id.eqNullSafe(found.doc_id), keyed.row_key == found.row_key], "left")
-    return by_batch(joined.select(keyed.doc_id, "text", "starts"), removed, schema)
+    return by_batch(joined.select(keyed.doc_id, "text", "starts", *others), removed, schema)

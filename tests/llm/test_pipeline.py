@@ -80,6 +80,37 @@ def test_every_token_is_packed(stages):
     assert max(row["offset"] + row.length for row in after.collect()) <= 4096
 
 
+def _through(spark, stage, rows):
+    docs = spark.createDataFrame([(*row, "s", len(row[1] or "")) for row in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)[stage](spark, docs.coalesce(1), SF)
+    assert kept.columns == COLUMNS
+    return sorted(((row.doc_id, row.text) for row in kept.collect()), key=str)
+
+
+def _words(first, count):
+    return " ".join(f"w{n}" for n in range(first, first + count))
+
+
+def test_null_and_shared_ids_are_judged_by_row(spark):
+    trained = [(n, "the words of the text", "en") for n in range(100, 120)]
+    rows = [(None, "clean words", "en"), (None, "12 34", "en"), (None, None, "en"), (1, "more words", "en"), (1, "56 78", "en")]
+    kept = _through(spark, "language ID", rows + trained)
+    assert [row for row in kept if (row[0] or 0) < 100] == [(1, "more words"), (None, "clean words")]
+
+    one, two, three, four = (_words(n * 1000, 40) for n in range(4))
+    rows = [(None, one, "en"), (None, two, "en"), (None, one, "en"), (7, three, "en"), (7, four, "en"), (7, four, "en"), (9, four, "en")]
+    assert _through(spark, "n-gram Jaccard join", rows) == sorted([(None, one), (None, two), (7, three), (7, four)], key=str)
+
+    passage = _words(0, 35)
+    rows = [(None, f"a {passage} b", "en"), (3, f"c {passage} d", "en"), (3, "other  text", "en"), (None, "short\ttext", "en")]
+    want = [(None, "a b"), (3, "c d"), (3, "other  text"), (None, "short\ttext")]
+    assert _through(spark, "substring dedup", rows) == sorted(want, key=str)
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, f"so {item} so", "en"), (None, "clean", "en"), (5, f"so {item} so", "en"), (5, "clean too", "en")]
+    assert _through(spark, "benchmark decontamination", rows) == sorted([(None, "clean"), (5, "clean too")], key=str)
+
+
 def test_registration():
     import __spark_entry__
 
