@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import row_key, table
 from paperloom.llm.decontamination import find_leaks
 from paperloom.llm.jaccard import near_duplicates
-from paperloom.llm.language import UNKNOWN, predictions, train, training_sample
+from paperloom.llm.language import predictions, train, training_sample
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.substrings import remove_repeats
 from paperloom.session import fresh_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a language, null and letterless texts, go; a missing ``lang`` is filled in."""
+    """Language ID: documents without a language, null and letterless texts, go; a missing ``lang`` is filled in.
+
+    It is filled with the predicted one, which is ``und`` where no document that training may see has a language.
+    """
     network = train(training_sample(docs))
-    found = predictions(docs, network, [name for name in docs.columns if name != "doc_id"])
-    return found.where(F.col("lang_pred") != UNKNOWN).where("text is not null").select(*docs.columns)
+    found = predictions(docs, network, [name for name in docs.columns if name != "doc_id"]).where("lettered")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

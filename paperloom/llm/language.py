@@ -170,8 +170,8 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def predictions(docs: DataFrame, network: Network, carry: Sequence[str] = ()) -> DataFrame:
-    """As ``identify``, with the columns ``carry`` of each row's own, ``text`` or others."""
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + kinds_of(docs, carry)
+    """As ``identify``, with ``lettered``, whether the text holds a letter, and the columns ``carry`` of each row's own."""
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, lettered boolean" + kinds_of(docs, carry)
     weights = network
 
     def predict(batch: pa.RecordBatch) -> dict[str, object]:
@@ -190,7 +190,7 @@ def predictions(docs: DataFrame, network: Network, carry: Sequence[str] = ()) ->
             for n, (language, score) in zip(group, _of_documents(predictor, [given[n] for n in group]), strict=True):
                 chosen[n], scores[n] = weights.languages[language], score
         found = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(chosen), "score": scores}
-        return found | {name: batch.column(name) for name in carry}
+        return found | {"lettered": pa.array(lettered, pa.bool_())} | {name: batch.column(name) for name in carry}
 
     others = [name for name in carry if name != "text"]
     marked = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text", *others)

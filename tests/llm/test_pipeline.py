@@ -111,6 +111,21 @@ def test_null_and_shared_ids_are_judged_by_row(spark):
     assert _through(spark, "benchmark decontamination", rows) == sorted([(None, "clean"), (5, "clean too")], key=str)
 
 
+def test_missing_languages_are_filled_in(spark):
+    given = [(n, "the words of the text and more of them " * 5, "en") for n in range(40)]
+    given += [(n, "les mots du texte et encore des mots " * 5, "fr") for n in range(40, 80)]
+    asked = [(100, "the text and the words of it " * 5, None), (101, "les mots et le texte encore " * 5, None), (102, "les mots du texte", "xx")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def languages(rows):
+        docs = spark.createDataFrame([(*row, "s", len(row[1] or "")) for row in rows], kind)
+        return {row.doc_id: row.lang for row in corpus_pipeline.language(spark, docs, SF).collect()}
+
+    found = languages(given + asked)
+    assert {doc_id: found[doc_id] for doc_id in (0, 79, 100, 101, 102)} == {0: "en", 79: "fr", 100: "en", 101: "fr", 102: "xx"}
+    assert languages([(1, "a text", None), (2, "12", None), (3, None, None)]) == {1: "und"}
+
+
 def test_registration():
     import __spark_entry__
 
