@@ -36,14 +36,16 @@ def votes(text: bytes) -> list[int]:
     lines = text.split(b"\n")
     mean = len(letters) / count
     says = lambda bad, good: BAD if bad else GOOD if good else ABSTAINS
-    variety = len(set(words)) / min(count, 400)
+    # Shares of the whole text, which mean the same at any length.
+    variety = len(set(zip(words, words[1:], words[2:]))) / (count - 2)
+    short = sum(len(word) < 4 for word in words) / count
     return [
-        says(variety < 0.3, variety > 0.45),
+        says(variety < 0.6, variety > 0.9),
         says(upper > 0.3 * len(letters), upper < 0.15 * len(letters)),
         says(marks > 0.05 * len(text), marks < 0.01 * len(text)),
         says(mean < 2 or mean > 14, 3 < mean < 9),
         says(text.count(b"!") > 0.1 * count, text.count(b"!") < 0.02 * count),
-        says(False, sum(len(word) < 4 for word in words[:: max(1, count // 200)]) > 0.15 * min(count, 200)),
+        says(False, short > 0.15),
         says(len(lines) > 4 and len(set(lines)) < 0.6 * len(lines), len(set(lines)) > 0.9 * len(lines)),
         says(text.count(b"|") + text.count(b"\t") > 0.1 * count, b"|" not in text),
     ]

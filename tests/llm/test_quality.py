@@ -1,6 +1,6 @@
 import numpy as np
 
-from paperloom.llm.quality import classify, features, fit_label_model
+from paperloom.llm.quality import ABSTAINS, BAD, GOOD, LABELLERS, classify, features, fit_label_model, votes
 from paperloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -39,3 +39,21 @@ def test_odd_documents(spark):
 def test_features_have_length_one():
     own, x = features(b"Some words, some WORDS !!!! 123")
     assert len(set(own.tolist())) == len(own) and abs((x**2).sum() - 1) < 1e-5
+
+
+def _vote(labeller, words):
+    return votes(" ".join(words).encode())[LABELLERS.index(labeller)]
+
+
+def test_votes_read_the_whole_text_at_any_length():
+    few = [f"longer{n}" if n % 100 else "the" for n in range(20_000)]
+    assert _vote("short_words", few) == ABSTAINS
+    most = ["the" if n % 100 else f"longer{n}" for n in range(20_000)]
+    assert _vote("short_words", most) == GOOD
+    for count in (100, 300, 390, 1_000, 20_000):
+        assert _vote("short_words", ["the" if n % 10 == 0 else f"longer{n}" for n in range(count)]) == ABSTAINS
+        assert _vote("short_words", ["the" if n % 5 == 0 else f"longer{n}" for n in range(count)]) == GOOD
+    paragraph = [f"word{n}" for n in range(200)]
+    for times in (2, 5, 100):
+        assert _vote("variety", paragraph * times) == BAD
+    assert _vote("variety", paragraph) == GOOD and _vote("variety", [f"word{n}" for n in range(20_000)]) == GOOD
