@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WordHashes, mix, rolled, smallest_reachable, texts
+from paperloom.llm.common import WordHashes, by_batch, mix, rolled, smallest_reachable, texts
 from paperloom.session import cut_lineage
 
 WORDS = 3
@@ -415,7 +415,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     each member of a signature against its smallest document only, which joins groups of copies however large. The next
     checks what still lies in other components against the signature's document of most signatures, which is the one
     nearest to the others. The last checks all members of a signature in different components, by sketch and block by
-    block. So no link is lost and no group of copies is written out in pairs.
+    block. So no link that would change a component is lost and no group of copies is written out in pairs; pairs that
+    other links join already are not checked. ``similar_classes`` gives every link.
 
     A null text is empty. Rows that share a ``doc_id`` are one document with several texts: a link of any of them is its
     link, and each row keeps its own ``n_shingles``. A null ``doc_id`` links with nothing and has a null component.
@@ -445,3 +446,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return sized.join(component, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links of ``near_duplicates``: ``(doc_id, class_id)`` for every row of ``docs(doc_id, text)`` that has words, and
+    ``(a, b)`` with ``a < b`` for every two classes that link.
+
+    Rows of equal sets are one class, named by a digest of the set, and link with each other. All other pairs that link are
+    those of linked classes, whether or not other links join them already. So copies are not written out in pairs, but
+    a family of n different texts that all link makes n * (n - 1) / 2 rows.
+
+    A null text is empty; an empty text is in no class. A null ``doc_id`` is kept. Further columns are ignored.
+    """
+
+    def described(batch: pa.RecordBatch) -> dict[str, object]:
+        import xxhash
+
+        sets = [shingle_set(text, words) for text in texts(batch)]
+        digests = [xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else None for own in sets]
+        signed = [digest and digest - (digest >> 63 << 64) for digest in digests]
+        return {"doc_id": batch.column("doc_id"), "class_id": pa.array(signed, pa.int64()), "text": batch.column("text")}
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    classed = by_batch(plain, described, "doc_id long, class_id long, text string").where("class_id is not null")
+    # Any text of a class has its set.
+    chosen = cut_lineage(classed.groupBy(F.col("class_id").alias("doc_id")).agg(F.min("text").alias("text")))
+    made = cut_lineage(_members(chosen, words, percent))
+    apart = made.where("n_shingles is null").select("signature", "doc_id", F.col("doc_id").alias("component"))
+    sketches = made.where("n_shingles is not null").select("doc_id", "n_shingles", "sketch")
+    pairs = _linked(_possible_members(apart, sketches, percent), chosen, words, percent)
+    return classed.select("doc_id", "class_id"), pairs

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from paperloom.llm.common import smallest_reachable
-from paperloom.llm.jaccard import PartEnum, least_differences, near_duplicates, odd_sketch, shingle_set
+from paperloom.llm.jaccard import PartEnum, least_differences, near_duplicates, odd_sketch, shingle_set, similar_classes
 
 
 def sets_of(text, most=3):
@@ -123,3 +123,23 @@ def test_smallest_reachable(spark):
     got = {row.node: row.component for row in smallest_reachable(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: 0 if n <= 30 else 31 for n in range(61)} | {90: 90, 95: 90, 100: 90}
     assert smallest_reachable(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_classes_and_pairs_give_every_link(spark, words, percent):
+    rows = [*random_documents(11), (-5, "a b c"), (-6, "A  B c"), (900, None), (901, ""), (None, "a b c")]
+    classes, pairs = similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words, percent)
+    class_of = {row.doc_id: row.class_id for row in classes.collect()}
+    assert class_of.keys() == {doc_id for doc_id, text in rows if text} and class_of[None] == class_of[-5] == class_of[-6]
+    joined = {(row.a, row.b) for row in pairs.collect()}
+    assert all(a < b for a, b in joined) and len(joined) == pairs.count()
+    own = {doc_id: sets_of(text, words) for doc_id, text in rows if text and doc_id is not None}
+    ids = sorted(own)
+    want = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b])}
+    got = {
+        (a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]
+        if class_of[a] == class_of[b] or (min(class_of[a], class_of[b]), max(class_of[a], class_of[b])) in joined
+    }
+    assert got == want
+    # More links than the components need.
+    assert len(joined) > len(set(class_of.values())) - len(set(brute(rows, words, percent).values()))
