@@ -27,7 +27,7 @@ class OpenBins:
     """A fixed number of open bins, found by their free space in a bitset.
 
     An item goes to the open bin that it fills best. If none has room, a new bin opens, and if all places are taken, the
-    fullest closes first. A bin without free space closes at once.
+    fullest closes first. A bin without free space closes at once; an item of full size is one and takes no place.
     """
 
     def __init__(self, size: int, most: int):
@@ -43,7 +43,7 @@ class OpenBins:
             free = length + (fitting & -fitting).bit_length() - 1
             number, items = self._take(free)
         else:
-            if self.count == self.most:
+            if self.count == self.most and length < self.size:
                 closed.append(self._take((self.mask & -self.mask).bit_length() - 1))
             free, number, items = self.size, self.opened, []
             self.opened += 1

@@ -121,3 +121,11 @@ def test_best_fit_and_the_fullest_closes_first():
     assert bins.add(5, "d") == []
     assert bins.add(8, "e") == [(0, [(0, "a")])]
     assert bins.rest() == [(3, [(0, "e")]), (2, [(0, "d")])]
+
+
+def test_items_of_full_size_close_no_other_bin():
+    bins = OpenBins(10, 2)
+    assert bins.add(6, "a") == [] and bins.add(7, "b") == []
+    assert bins.add(10, "c") == [(2, [(0, "c")])]
+    assert bins.add(4, "d") == [(0, [(0, "a"), (6, "d")])] and bins.add(3, "e") == [(1, [(0, "b"), (7, "e")])]
+    assert bins.rest() == [] and bins.opened == 3
