@@ -14,7 +14,7 @@ from paperloom.llm.common import kinds_of
 
 #: Edits allowed, in percent of an item's normalised characters.
 EDIT_PERCENT = 5
-#: Shorter items, in normalised characters, tell nothing about a leak.
+#: Shorter items, in normalised characters, must stand word for word.
 LEAST_CHARS = 40
 #: Characters of benchmark texts that one pass over the documents looks for.
 PASS_CHARS = 2_000_000
@@ -61,15 +61,18 @@ def nearest(item: str, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds items in normalised texts; every piece of every item is a word of one automaton."""
+    """Finds items in normalised texts; every piece of every item is a word of one automaton.
 
-    def __init__(self, items: list[tuple[int, str]], percent: int):
+    Items of fewer than ``least`` characters have no errors and are whole words.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], percent: int, least: int = LEAST_CHARS):
         import ahocorasick
 
-        self.items = [(item_id, text, len(text) * percent // 100) for item_id, text in items]
+        self.items = [(item_id, text, len(text) * percent // 100 if len(text) >= least else None) for item_id, text in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for nth, (_, text, errors) in enumerate(self.items):
-            for start, piece in pieces(text, errors):
+            for start, piece in pieces(text, errors or 0):
                 places.setdefault(piece, []).append((nth, start + len(piece)))
         self.automaton = ahocorasick.Automaton()
         for piece, own in places.items():
@@ -87,6 +90,11 @@ class Matcher:
             for nth, length in own:
                 item_id, item, errors = self.items[nth]
                 start = last + 1 - length
+                if errors is None:
+                    if (not start or text[start - 1] == " ") and text[last + 1 : last + 2] in ("", " "):
+                        place = (0, start, last)
+                        found[item_id] = min(place, found.get(item_id, place))
+                    continue
                 # A look around a start covers all places that begin within the errors of it.
                 looked = tried.setdefault(nth, [])
                 if any(abs(start - before) <= errors for before in looked[-8:]):
@@ -102,8 +110,8 @@ class Matcher:
 
 
 @lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, str], ...], percent: int) -> Matcher:
-    return Matcher(list(items), percent)
+def _matcher(items: tuple[tuple[int, str], ...], percent: int, least: int) -> Matcher:
+    return Matcher(list(items), percent, least)
 
 
 def find_leaks(
@@ -113,30 +121,30 @@ def find_leaks(
     the columns ``carry`` of the document's row.
 
     Texts are compared in lower case with every run of other characters as one space; an item of n such characters may
-    differ by ``n * percent // 100`` insertions, deletions and replacements. One row per row of ``docs`` and item: the
+    differ by ``n * percent // 100`` insertions, deletions and replacements; one of fewer than ``least`` must stand there
+    without any, as whole words. One row per row of ``docs`` and item: the
     place with the fewest errors, the first of equal ones; places count in the normalised text.
 
     The items go to the tasks in blocks of a fixed number of characters, a pass over ``docs`` for each, so that memory
-    does not grow with the benchmark. Null texts, items shorter than ``least`` characters and documents without a hit
+    does not grow with the benchmark. Null texts, items without a letter or digit and documents without a hit
     give no rows; a null ``doc_id`` or ``item_id`` is kept. Further columns are ignored.
     """
-    clean = F.length("text") >= least
-    sized = benchmark.where(clean).select("item_id", "text", F.xxhash64("item_id", "text").alias("deal"))
+    sized = benchmark.where("text is not null").select("item_id", "text", F.xxhash64("item_id", "text").alias("deal"))
     passes = max(1, -(-(sized.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // PASS_CHARS))
     found = None
     for turn in range(passes):
         block = sized.where(F.pmod("deal", F.lit(passes)) == turn).select("item_id", "text").collect()
         items = sorted({(row.item_id, normalised(row.text)) for row in block}, key=lambda item: (item[0] is not None, item[0] or 0, item[1]))
-        own = _pass(docs, tuple((item_id, text) for item_id, text in items if len(text) >= least), percent, carry)
+        own = _pass(docs, tuple((item_id, text) for item_id, text in items if text), percent, least, carry)
         found = own if found is None else found.union(own)
     return found
 
 
-def _pass(docs: DataFrame, items: tuple[tuple[int, str], ...], percent: int, carry: Sequence[str]) -> DataFrame:
+def _pass(docs: DataFrame, items: tuple[tuple[int, str], ...], percent: int, least: int, carry: Sequence[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(sent.value, percent)
+        matcher = _matcher(sent.value, percent, least)
         for batch in batches:
             rows = [
                 (doc_id, item_id, *hit, at)

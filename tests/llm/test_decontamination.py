@@ -83,3 +83,10 @@ def test_passes_and_empty_tables(spark, monkeypatch):
     texts = {row.doc_id: row.text for row in docs.collect()}
     exact = {doc_id for doc_id, text in texts.items() for item in items.collect() if item.text in text}
     assert exact <= held and len(held) < len(texts) / 2
+
+
+def test_short_items_stand_word_for_word(spark):
+    items = [(1, "What is six?"), (2, "?!"), (3, "x"), (4, None), (5, "")]
+    docs = [(1, "so WHAT -- is\nsix"), (2, "what is sixty"), (3, "somewhat is six"), (4, "what is sex"), (5, "what is six what is six"), (6, "a x"), (7, None)]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 0, 3, 13), (5, 1, 0, 0, 10), (6, 3, 0, 2, 2)]
