@@ -13,7 +13,7 @@ from paperloom.session import compute_once
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Percent of a template's distinct words that a block must contain.
 CONTAINMENT = 90
-#: Longer lines are read in blocks of so many words, each half over the one before.
+#: Lines, and the whole text as well, are read in blocks of so many words, each half over the one before.
 BLOCK_WORDS = 64
 #: How common licenses name themselves, and the label for it.
 TEMPLATES = [
@@ -53,7 +53,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     ``last_word``, ``base_labels``, ``labels``, ``score``.
 
     The base ones are the places where a license's name stands word for word. The others come from blocks, the lines of a
-    text or overlapping stretches of long ones, that contain at least ``percent`` of the distinct words of a template.
+    text and the whole text, long ones in overlapping stretches, that contain at least ``percent`` of the distinct words of a template.
     Template words are ordered by the number of documents that hold them, rarest first. A block that contains enough of a
     template must hold one of its rarest words (prefix), enough template words at all (length), and enough of them from
     the first shared word on, in template and block (position); what passes is counted. ``score`` is the largest share of
@@ -84,7 +84,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     ranks = F.create_map(*[part for word in order for part in (F.lit(word), F.lit(rank[word]))])
 
     holding = low.where(F.arrays_overlap(words_of(F.col("low")), F.array(*map(F.lit, rare))))
-    lines = holding.select("doc_id", "row_key", F.explode(F.split("low", "\n")).alias("line"))
+    # A sentence may be wrapped over lines, so the text as a whole is one more line.
+    own = F.split("low", "\n")
+    lines = holding.select("doc_id", "row_key", F.explode(F.when(F.size(own) > 1, F.concat(own, F.array("low"))).otherwise(own)).alias("line"))
     split = compute_once(lines, words=words_of(F.col("line"))).where(F.arrays_overlap("words", F.array(*map(F.lit, rare))))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - BLOCK_WORDS // 2, F.lit(1)), F.lit(BLOCK_WORDS // 2))
     stretches = split.select("doc_id", "row_key", F.explode(F.transform(starts, lambda at: F.slice("words", at, BLOCK_WORDS))).alias("block"))

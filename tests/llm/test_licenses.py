@@ -29,3 +29,12 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = scan_licenses(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_sentences_wrapped_over_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    filler = "some other words here\n" * 40
+    rows = [(1, mit), (2, bsd), (3, filler + mit + "\n" + filler), (4, "# " + bsd.replace("\n", "\r\n# ")), (5, filler)]
+    got = {row.doc_id: (row.labels, row.score) for row in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mit", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0)}
