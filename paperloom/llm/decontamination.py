@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import kinds_of
+from paperloom.session import cut_lineage
 
 #: Edits allowed, in percent of an item's normalised characters.
 EDIT_PERCENT = 5
@@ -125,22 +127,28 @@ def find_leaks(
     without any, as whole words. One row per row of ``docs`` and item: the
     place with the fewest errors, the first of equal ones; places count in the normalised text.
 
-    The items go to the tasks in blocks of a fixed number of characters, a pass over ``docs`` for each, so that memory
+    The distinct items go to the tasks in blocks of a fixed number of characters, a pass over ``docs`` for each, so that memory
     does not grow with the benchmark. Null texts, items without a letter or digit and documents without a hit
     give no rows; a null ``doc_id`` or ``item_id`` is kept. Further columns are ignored.
     """
-    sized = benchmark.where("text is not null").select("item_id", "text", F.xxhash64("item_id", "text").alias("deal"))
+    distinct = benchmark.where("text is not null").select("item_id", "text").distinct()
+    sized = distinct.withColumn("deal", F.xxhash64("item_id", "text"))
     passes = max(1, -(-(sized.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // PASS_CHARS))
     found = None
     for turn in range(passes):
         block = sized.where(F.pmod("deal", F.lit(passes)) == turn).select("item_id", "text").collect()
         items = sorted({(row.item_id, normalised(row.text)) for row in block}, key=lambda item: (item[0] is not None, item[0] or 0, item[1]))
-        own = _pass(docs, tuple((item_id, text) for item_id, text in items if text), percent, least, carry)
+        own, sent = _pass(docs, tuple((item_id, text) for item_id, text in items if text), percent, least, carry)
+        if passes > 1:
+            # The hits are stored, so that one pass's items are held at a time.
+            own = cut_lineage(own)
+            sent.destroy()
         found = own if found is None else found.union(own)
     return found
 
 
-def _pass(docs: DataFrame, items: tuple[tuple[int, str], ...], percent: int, least: int, carry: Sequence[str]) -> DataFrame:
+def _pass(docs: DataFrame, items: tuple[tuple[int, str], ...], percent: int, least: int, carry: Sequence[str]) -> tuple[DataFrame, Broadcast]:
+    """The hits of one block of items, and the broadcast that holds it."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,4 +167,4 @@ def _pass(docs: DataFrame, items: tuple[tuple[int, str], ...], percent: int, lea
             columns += [batch.column(name).take(at) for name in carry]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *carry])
 
-    return docs.select("doc_id", "text", *carry).mapInArrow(search, FOUND + kinds_of(docs, carry))
+    return docs.select("doc_id", "text", *carry).mapInArrow(search, FOUND + kinds_of(docs, carry)), sent

@@ -90,3 +90,21 @@ def test_short_items_stand_word_for_word(spark):
     docs = [(1, "so WHAT -- is\nsix"), (2, "what is sixty"), (3, "somewhat is six"), (4, "what is sex"), (5, "what is six what is six"), (6, "a x"), (7, None)]
     found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, found.collect())) == [(1, 1, 0, 3, 13), (5, 1, 0, 0, 10), (6, 3, 0, 2, 2)]
+
+
+def test_equal_rows_of_an_item_are_looked_for_once(spark, monkeypatch):
+    import paperloom.llm.decontamination as module
+
+    sizes, pass_ = [], module._pass
+
+    def counted(docs, items, *others):
+        sizes.append(sum(len(text) for _, text in items))
+        return pass_(docs, items, *others)
+
+    monkeypatch.setattr(module, "_pass", counted)
+    monkeypatch.setattr(module, "PASS_CHARS", 1_000)
+    item = "an item of the benchmark that many of its rows hold alike"
+    docs = spark.createDataFrame([(1, f"so {item} so"), (2, "clean")], "doc_id long, text string")
+    found = find_leaks(docs, spark.createDataFrame([(7, item)] * 300, "item_id long, text string"))
+    assert [(row.doc_id, row.item_id, row.errors) for row in found.collect()] == [(1, 7, 0)]
+    assert sizes == [len(item)]
