@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.llm.collocations import collocations
 from paperloom.llm.common import table
 from paperloom.llm.decontamination import find_leaks
 from paperloom.llm.jaccard import near_duplicates
@@ -62,6 +63,10 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(table(spark, sf_dir, "pages")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,10 +132,39 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
 """
 
+COLLOCATION_SQL = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({ASCII_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+places AS (
+    SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+    FROM words, (SELECT unnest(generate_series(1, 5)) AS k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND a >= 100),
+inner_ AS (
+    SELECT lang, unnest([array_to_string(w[1 : k - 1], ' '), array_to_string(w[2 : k], ' ')]) AS phrase, a FROM candidates WHERE k > 2),
+around AS (SELECT lang, phrase, max(a) AS around FROM inner_ GROUP BY ALL),
+cuts AS (
+    SELECT lang, phrase, a, w, k, unnest(generate_series(1, k - 1)) AS cut
+    FROM candidates LEFT JOIN around USING (lang, phrase) WHERE coalesce(100 * around < 100 * a, TRUE)),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, n,
+           (1000 * c.a::HUGEINT * n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(w[1 : cut], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(w[cut + 1 : c.k], ' ')
+    JOIN totals ON totals.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scored),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op6_exact_top_k": TOP_K_SQL,
     "op3_ngram_jaccard_join": JACCARD_SQL,
     "op4_license_scan": license_sql(),
     "op9_substring_dedup": SUBSTRING_SQL,
     "op10_warc_derivatives": WARC_SQL,
+    "op11_phrase_collocations": COLLOCATION_SQL,
 }

@@ -60,10 +60,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width: int = MINIMIS
         # A row for each minimiser of a document; the first of a batch has the batch's count, to be met by the others'.
         order = np.lexsort((row, values))
         row, values = row[order], values[order]
-        same_value = np.concatenate(([False], values[1:] == values[:-1]))
-        same_row = same_value & np.concatenate(([False], row[1:] == row[:-1]))
-        group = np.cumsum(~same_value) - 1 if len(values) else row
-        total = np.bincount(group, minlength=1)[group] if len(values) else row
+        same_value, same_row = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        same_value[1:] = values[1:] == values[:-1]
+        same_row[1:] = same_value[1:] & (row[1:] == row[:-1])
+        group = np.cumsum(~same_value) - 1
+        total = np.bincount(group)[group]
         kept = ~same_row
         row, values, total, first = row[kept], values[kept], total[kept], ~same_value[kept]
         keys = mix(batch.column("row_key").to_numpy().view(np.uint64)[row] ^ values)
@@ -180,7 +181,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = MINIMISER
     places of their own, so each other's repeats. A null ``doc_id`` is kept. Further columns are ignored.
     """
     others = [name for name in carry if name != "text"]
-    keyed = docs.select("doc_id", "text", row_key().alias("row_key"), *others)
+    # The same columns in the same order as the windows read, so that both joins share one exchange of the texts.
+    keyed = docs.select("doc_id", row_key().alias("row_key"), "text", *others)
     found = repeated_windows(keyed.select(*KEYS, "text"), window, width)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + kinds_of(docs, carry)
 

@@ -72,3 +72,15 @@ def test_runs_cover_every_window_once():
     words = [f"w{n % 17}".encode() for n in range(200)]
     first, count, least = runs(words, 35, 9)
     assert first[0] == 0 and count.sum() == 166 and (first[1:] == first[:-1] + count[:-1]).all() and len(least) < 60
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, None)],
+    [(1, None), (2, None), (None, None)],
+    [(1, "one two")],
+    [(1, "a b c"), (2, " ".join(f"w{n}" for n in range(60))), (3, " ".join(f"w{n}" for n in range(60)))],
+], ids=["one null", "nulls", "one short", "short and long apart"])
+def test_tasks_without_a_window(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+    got = [tuple(row)[:4] for row in remove_repeats(docs).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, 35), key=str)
