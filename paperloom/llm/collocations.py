@@ -39,16 +39,26 @@ class _Numbers(dict):
         return value
 
 
+_BLOCK = pa.schema([
+    ("lang", pa.string()), ("block", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
+    ("order", pa.binary()), ("n", pa.int64()), ("width", pa.int32()), ("stream", pa.binary()),
+])
+_BLOCK_KIND = "lang string, block long, words array<binary>, counts array<long>, order binary, n long, width int, stream binary"
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(lang, block, words, counts, n, width, stream)``: the texts of a task and language as numbers of ``width`` bytes.
+    """``(lang, block, words, counts, order, n, width, stream)``: the texts of a task and language as numbers of ``width`` bytes.
 
-    ``words`` are a block's distinct words, number 1 first, with their ``counts``; ``n`` is their sum. A 0 in ``stream`` ends
-    a piece. A block is closed behind the document that fills its task's share.
+    ``words`` are a block's distinct words in the order of their hashes, with their ``counts``, whose sum is ``n``, and their
+    numbers ``order``, the commonest word being 1. A 0 in ``stream`` ends a piece. A block is closed behind the document
+    that fills its task's share.
     """
-    kind = pa.schema([
-        ("lang", pa.string()), ("block", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
-        ("n", pa.int64()), ("width", pa.int32()), ("stream", pa.binary()),
-    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, _Numbers] = {}
@@ -59,15 +69,21 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             nonlocal block
             for lang, parts in held.items():
                 stream = np.concatenate(parts)
-                own = numbers[lang]
-                times = np.bincount(stream, minlength=len(own))[1:]
-                narrow = np.min_scalar_type(len(own))
+                words = list(numbers[lang])[1:]
+                if not words:
+                    continue
+                times = np.bincount(stream, minlength=len(words) + 1)[1:]
+                number = np.zeros(len(words) + 1, np.uint32)
+                number[np.argsort(-times, kind="stable") + 1] = np.arange(1, len(words) + 1)
+                hashed = np.argsort(_hashes(words), kind="stable")
+                narrow = np.min_scalar_type(len(words))
                 row = {
-                    "lang": lang, "block": block, "words": list(own)[1:], "counts": times.tolist(), "n": int(times.sum()),
-                    "width": narrow.itemsize, "stream": stream.astype(narrow).tobytes(),
+                    "lang": lang, "block": block, "words": [words[at] for at in hashed], "counts": times[hashed].tolist(),
+                    "order": number[1:][hashed].astype("<u4").tobytes(), "n": int(times.sum()), "width": narrow.itemsize,
+                    "stream": number[stream].astype(narrow).tobytes(),
                 }
                 block += 1
-                yield pa.RecordBatch.from_pylist([row], kind)
+                yield pa.RecordBatch.from_pylist([row], _BLOCK)
 
         for batch in batches:
             for text, lang in zip(texts(batch), batch.column("lang").to_pylist(), strict=True):
@@ -80,46 +96,81 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                     numbers, held, count = {}, {}, 0
         yield from closed()
 
-    kept = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    return kept.mapInArrow(run, "lang string, block long, words array<binary>, counts array<long>, n long, width int, stream binary")
+    return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").mapInArrow(run, _BLOCK_KIND)
 
 
-def frequent_words(blocks: DataFrame, least: int) -> DataFrame:
-    """``(lang, word, n, id)`` of the words that occur ``least`` times or more in their language; ids are from 1, dense but
-    for the uneven sizes of partitions."""
-    words = _words(blocks).groupBy("lang", "word").agg(F.sum("count").alias("n")).where(F.col("n") >= least)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = cut_lineage(words.select("lang", "word", "n", F.spark_partition_id().alias("part"), row.alias("row")))
-    parts = placed.agg(F.max("part")).first()[0] or 0
-    return placed.select("lang", "word", "n", (F.col("row") * (parts + 1) + F.col("part") + 1).alias("id"))
+def _routes(entries: int | None) -> int:
+    """Leading bits that deal so many entries into shares of at most about ``MERGED``."""
+    return ((entries or 0) // MERGED).bit_length()
 
 
-def _words(blocks: DataFrame) -> DataFrame:
-    each = blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("nth", "w"))
-    return each.select("lang", "block", "nth", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+def numbered_words(blocks: DataFrame, least: int) -> DataFrame:
+    """``(lang, word, n, id)`` of the words that occur ``least`` times or more in their language, ids from 1 and nearly dense
+    in each; and ``(block, route, ids)``, the ids of a block's words in the order of their hashes, 0 for the others.
 
+    The words of a block travel together, in one row for each range of hashes.
+    """
+    leading = _routes(blocks.agg(F.sum(F.size("words"))).first()[0])
+    kind = pa.schema([("lang", pa.string()), ("route", pa.int64()), ("block", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
 
-def _streams(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(block, stream)``: each word's id as eight bytes, 0 where a piece ends or a word is rare."""
-    numbered = _words(blocks).join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
-    own = numbered.groupBy("block").agg(F.collect_list(F.struct("nth", "id")).alias("ids"))
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes = _hashes(row["words"])
+                route = (hashes >> np.uint64(64 - leading)).astype(np.int64) if leading else np.zeros(len(hashes), np.int64)
+                edges = np.flatnonzero(np.diff(route, prepend=-1))
+                ranges = zip(edges, [*edges[1:], len(route)], strict=True)
+                made = [
+                    {"lang": row["lang"], "route": int(route[low]), "block": row["block"], "words": row["words"][low:high], "counts": row["counts"][low:high]}
+                    for low, high in ranges
+                ]
+                if made:
+                    yield pa.RecordBatch.from_pylist(made, kind)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        held = rows["words"].combine_chunks()
+        coded = held.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        sums = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(sums, codes, rows["counts"].combine_chunks().flatten().to_numpy())
+        often = sums >= least
+        ids = np.where(often, (np.cumsum(often) - 1 << leading) + rows["route"][0].as_py() + 1, 0)
+        found, given = int(often.sum()), len(rows)
+        words = pa.table({
+            "lang": pa.array([rows["lang"][0].as_py()] * found, pa.string()), "word": coded.dictionary.filter(pa.array(often)),
+            "n": sums[often], "id": ids[often], "block": pa.nulls(found, pa.int64()), "route": pa.nulls(found, pa.int64()),
+            "ids": pa.nulls(found, pa.list_(pa.int64())),
+        })
+        sizes = np.diff(held.offsets.to_numpy())
+        own = pa.table({
+            "lang": rows["lang"], "word": pa.nulls(given, pa.binary()), "n": pa.nulls(given, pa.int64()), "id": pa.nulls(given, pa.int64()),
+            "block": rows["block"], "route": rows["route"], "ids": lists(ids[codes], sizes),
+        })
+        return pa.concat_tables([words, own])
+
+    shards = blocks.select("lang", "block", "words", "counts").mapInArrow(dealt, "lang string, route long, block long, words array<binary>, counts array<long>")
+    return shards.groupBy("lang", "route").applyInArrow(merge, "lang string, word binary, n long, id long, block long, route long, ids array<long>")
+
+
+def _streams(blocks: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``(lang, block, width, stream)``: each word's id, 0 where a piece ends or a word is rare."""
+    own = numbered.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("route", "ids")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for nth in range(batch.num_rows):
-                ids = batch.column("ids")[nth].values
-                stream = np.frombuffer(batch.column("stream")[nth].as_py(), f"<u{batch.column('width')[nth].as_py()}")
-                table = np.zeros(batch.column("size")[nth].as_py() + 1, np.uint64)
-                table[ids.field("nth").to_numpy() + 1] = ids.field("id").to_numpy().view(np.uint64)
+            streams, widths = [], []
+            for row in batch.to_pylist():
+                order = np.frombuffer(row["order"], "<u4")
+                table = np.zeros(len(order) + 1, np.uint64)
+                table[order] = np.concatenate([part["ids"] for part in sorted(row["ids"], key=lambda part: part["route"])])
                 narrow = np.min_scalar_type(table.max())
-                found.append((table[stream].astype(narrow).tobytes(), narrow.itemsize))
-            streams, widths = zip(*found, strict=True)
-            arrays = [batch.column("block"), pa.array(widths, pa.int32()), pa.array(streams, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "width", "stream"])
+                streams.append(table[np.frombuffer(row["stream"], f"<u{row['width']}")].astype(narrow).tobytes())
+                widths.append(narrow.itemsize)
+            arrays = [batch.column("lang"), batch.column("block"), pa.array(widths, pa.int32()), pa.array(streams, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "block", "width", "stream"])
 
-    both = blocks.select("block", "width", "stream", F.size("words").alias("size")).join(own, "block")
-    return both.mapInArrow(run, "block long, width int, stream binary")
+    both = blocks.select("lang", "block", "order", "width", "stream").join(own, "block")
+    return both.mapInArrow(run, "lang string, block long, width int, stream binary")
 
 
 class _Shards:
@@ -139,7 +190,7 @@ class _Shards:
         limbs = pack_ids([stream[starts + nth] for nth in range(length)], self.bits)
         return counted(permute(limbs, self.widths(length)), np.ones(len(starts), np.int64))
 
-    def rows(self, block: int, stream: np.ndarray, starts: np.ndarray, length: int) -> Iterator[dict[str, object]]:
+    def rows(self, lang: str, block: int, stream: np.ndarray, starts: np.ndarray, length: int) -> Iterator[dict[str, object]]:
         if not len(starts):
             return
         limbs, counts, _ = self.keys(stream, starts, length)
@@ -149,7 +200,7 @@ class _Shards:
         edges = np.flatnonzero(np.diff(route, prepend=-1))
         for low, high in zip(edges, [*edges[1:], len(route)], strict=True):
             packed = encode([limb[low:high] for limb in limbs], widths, counts[low:high], leading)
-            yield {"length": length, "route": int(route[low]), "block": block, "filter": packed}
+            yield {"lang": lang, "length": length, "route": int(route[low]), "block": block, "filter": packed}
 
 
 def _starts(usable: np.ndarray, run: int) -> np.ndarray:
@@ -163,8 +214,8 @@ def _starts(usable: np.ndarray, run: int) -> np.ndarray:
     return np.flatnonzero(whole)
 
 
-_SHARD = pa.schema([("length", pa.int32()), ("route", pa.int64()), ("block", pa.int64()), ("filter", pa.binary())])
-_SHARD_KIND = "length int, route long, block long, filter binary"
+_SHARD = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("route", pa.int64()), ("block", pa.int64()), ("filter", pa.binary())])
+_SHARD_KIND = "lang string, length int, route long, block long, filter binary"
 
 
 def _shards(streams: DataFrame, shards: _Shards, lengths: Sequence[int]) -> DataFrame:
@@ -184,18 +235,18 @@ def _shards(streams: DataFrame, shards: _Shards, lengths: Sequence[int]) -> Data
                     usable, span = np.zeros(len(stream), bool), 2
                     usable[pairs] = np.concatenate(often)[place].astype(bool)
                 for length in lengths:
-                    made = list(shards.rows(row["block"], stream, _starts(usable, length - span + 1), length))
+                    made = list(shards.rows(row["lang"], row["block"], stream, _starts(usable, length - span + 1), length))
                     if made:
                         yield pa.RecordBatch.from_pylist(made, _SHARD)
 
     return streams.mapInArrow(run, _SHARD_KIND)
 
 
-_MERGED_KIND = "block long, route long, size int, bits binary, ids array<long>, n long"
+_MERGED_KIND = "lang string, block long, route long, size int, bits binary, ids array<long>, n long"
 
 
 def _merged(filters: DataFrame, shards: _Shards, least: int, mark: bool) -> DataFrame:
-    """Merge the filters of all blocks that share length and route: ``(ids, n)`` of the n-grams that occur often enough, and
+    """Merge the filters of all blocks that share language, length and route: ``(lang, ids, n)`` of the n-grams that occur often enough, and
     with ``mark`` also ``(block, route, size, bits)``, which of a block's n-grams those are."""
 
     def merge(rows: pa.Table) -> pa.Table:
@@ -212,7 +263,7 @@ def _merged(filters: DataFrame, shards: _Shards, least: int, mark: bool) -> Data
         found = int(often.sum())
         flat = np.stack(ids, axis=1).reshape(-1).view(np.int64)
         table = pa.table({
-            "block": pa.nulls(found, pa.int64()), "route": pa.nulls(found, pa.int64()), "size": pa.nulls(found, pa.int32()),
+            "lang": pa.array([rows["lang"][0].as_py()] * found, pa.string()), "block": pa.nulls(found, pa.int64()), "route": pa.nulls(found, pa.int64()), "size": pa.nulls(found, pa.int32()),
             "bits": pa.nulls(found, pa.binary()), "ids": lists(flat, np.full(found, length)), "n": pa.array(sums[often]),
         })
         if not mark:
@@ -220,33 +271,32 @@ def _merged(filters: DataFrame, shards: _Shards, least: int, mark: bool) -> Data
         ends = np.cumsum(sizes)
         bits = [np.packbits(often[place[end - size : end]]).tobytes() for end, size in zip(ends, sizes, strict=True)]
         marks = pa.table({
-            "block": rows["block"], "route": rows["route"], "size": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary()),
+            "lang": rows["lang"], "block": rows["block"], "route": rows["route"], "size": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary()),
             "ids": pa.nulls(len(sizes), pa.list_(pa.int64())), "n": pa.nulls(len(sizes), pa.int64()),
         })
         return pa.concat_tables([table, marks])
 
-    return filters.groupBy("length", "route").applyInArrow(merge, _MERGED_KIND)
+    return filters.groupBy("lang", "length", "route").applyInArrow(merge, _MERGED_KIND)
 
 
-def phrase_counts(blocks: DataFrame, vocabulary: DataFrame, longest: int, least: int) -> DataFrame:
-    """``(ids, n)`` of all phrases of 2 to ``longest`` words that occur ``least`` times or more, counted exactly.
+def phrase_counts(blocks: DataFrame, numbered: DataFrame, longest: int, least: int) -> DataFrame:
+    """``(lang, ids, n)`` of all phrases of 2 to ``longest`` words that occur ``least`` times or more, counted exactly.
 
     An n-gram's word ids are packed into one integer, which is permuted invertibly; its leading bits are the quotient, the
     rest the remainder, so a filter counts every n-gram by itself. Each block makes its own filters, and a task merges
     the sorted filters of all blocks over one range of the permuted keys. Pairs come first: longer phrases are counted
     only where each of their pairs occurs often enough.
     """
-    streams = cut_lineage(_streams(blocks, vocabulary))
-    bits = int(vocabulary.agg(F.max("id")).first()[0] or 1).bit_length()
-    words = blocks.agg(F.sum("n")).first()[0] or 0
-    shards = _Shards(bits, max(0, (words // MERGED).bit_length()))
+    streams = cut_lineage(_streams(blocks, numbered))
+    bits = int(numbered.agg(F.max("id")).first()[0] or 1).bit_length()
+    shards = _Shards(bits, _routes(blocks.agg(F.sum("n")).first()[0]))
     longer = list(range(3, longest + 1))
     pairs = cut_lineage(_merged(_shards(streams, shards, [2]), shards, least, mark=bool(longer)))
-    phrases = pairs.where("block is null").select("ids", "n")
+    phrases = pairs.where("block is null").select("lang", "ids", "n")
     if longer:
         own = pairs.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("route", "size", "bits")).alias("marks"))
         more = _merged(_shards(streams.join(own, "block"), shards, longer), shards, least, mark=False)
-        phrases = phrases.union(more.select("ids", "n"))
+        phrases = phrases.union(more.select("lang", "ids", "n"))
     return cut_lineage(phrases)
 
 
@@ -272,30 +322,30 @@ def collocations(
     document where that is longer.
     """
     blocks = cut_lineage(word_blocks(docs, block_words))
-    vocabulary = cut_lineage(frequent_words(blocks, least))
+    numbered = cut_lineage(numbered_words(blocks, least))
+    vocabulary = numbered.where("block is null").select("lang", "word", "n", "id")
     totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = phrase_counts(blocks, vocabulary, longest, least)
-    size = F.size("ids")
-    named = vocabulary.select(F.col("id").alias("head"), "lang")
-    phrases = counts.withColumnRenamed("n", "a").withColumn("head", F.col("ids")[0]).join(named, "head").drop("head")
+    counts = phrase_counts(blocks, numbered, longest, least)
+    phrases, size, key = counts.withColumnRenamed("n", "a"), F.size("ids"), ["lang", "ids"]
 
     # Every longer phrase that holds this one holds it with one word more, and occurs no more often than that one does.
     inner = F.array(F.slice("ids", 1, size - 1), F.slice("ids", 2, size - 1))
-    around = phrases.where(size > 2).select(F.explode(inner).alias("ids"), "a").groupBy("ids").agg(F.max("a").alias("around"))
-    kept = phrases.join(around, "ids", "left").where(F.coalesce(100 * F.col("around") < subsumed * F.col("a"), F.lit(True)))
+    around = phrases.where(size > 2).select("lang", F.explode(inner).alias("ids"), "a").groupBy(key).agg(F.max("a").alias("around"))
+    kept = phrases.join(around, key, "left").where(F.coalesce(100 * F.col("around") < subsumed * F.col("a"), F.lit(True)))
 
-    known = counts.union(vocabulary.select(F.array("id"), "n"))
-    cuts = kept.select("ids", "lang", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    known = counts.union(vocabulary.select("lang", F.array("id"), "n"))
+    cuts = kept.select("lang", "ids", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     cuts = cuts.withColumns({"left": F.slice("ids", F.lit(1), F.col("k")), "right": F.slice("ids", F.col("k") + 1, size)})
-    cuts = cuts.join(known.select(F.col("ids").alias("left"), F.col("n").alias("l")), "left")
-    cuts = cuts.join(known.select(F.col("ids").alias("right"), F.col("n").alias("r")), "right").join(totals, "lang")
+    for side, name in (("left", "l"), ("right", "r")):
+        cuts = cuts.join(known.select("lang", F.col("ids").alias(side), F.col("n").alias(name)), ["lang", side])
+    cuts = cuts.join(totals, "lang")
     product = (1000 * _integer("a")).cast("decimal(38,0)") * _integer("n")
     cuts = cuts.withColumns({"product": product, "parts": _integer("l") * _integer("r")})
-    scored = cuts.select("ids", "lang", "a", "n", F.struct(F.expr("product div parts").alias("score"), "k", "l", "r").alias("cut"))
-    best = scored.groupBy("ids", "lang", "a", "n").agg(F.min("cut").alias("cut"))
+    scored = cuts.select("lang", "ids", "a", "n", F.struct(F.expr("product div parts").alias("score"), "k", "l", "r").alias("cut"))
+    best = scored.groupBy("lang", "ids", "a", "n").agg(F.min("cut").alias("cut"))
 
-    each = best.select("*", F.posexplode("ids").alias("nth", "id")).join(vocabulary.select("id", "word"), "id")
-    spelt = each.groupBy("ids", "lang", "a", "n", "cut").agg(F.sort_array(F.collect_list(F.struct("nth", "word"))).alias("w"))
+    each = best.select("*", F.posexplode("ids").alias("nth", "id")).join(vocabulary.select("lang", "id", "word"), ["lang", "id"])
+    spelt = each.groupBy("lang", "ids", "a", "n", "cut").agg(F.sort_array(F.collect_list(F.struct("nth", "word"))).alias("w"))
     phrase = F.array_join(F.transform("w", lambda w: w["word"].cast("string")), " ")
     rows = spelt.select("lang", phrase.alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
