@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.llm.collocations import collocations
 from paperloom.llm.common import table
@@ -10,6 +11,7 @@ from paperloom.llm.decontamination import find_leaks
 from paperloom.llm.jaccard import near_duplicates
 from paperloom.llm.language import identify, train, training_sample
 from paperloom.llm.licenses import license_sql, scan_licenses
+from paperloom.llm.negatives import hard_negatives, labelled
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.quality import classify
 from paperloom.llm.substrings import remove_repeats
@@ -67,6 +69,14 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row carries the next label instead of its own."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = labelled(vectors.withColumn("label", label))
+    return hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -79,6 +89,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_derivatives": op10_warc_derivatives,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -160,6 +171,27 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """
 
+NEGATIVES_SQL = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM scores WHERE same) WHERE n <= 5),
+fit AS (
+    SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM fit WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op6_exact_top_k": TOP_K_SQL,
     "op3_ngram_jaccard_join": JACCARD_SQL,
@@ -167,4 +199,5 @@ ORACLES: dict[str, str] = {
     "op9_substring_dedup": SUBSTRING_SQL,
     "op10_warc_derivatives": WARC_SQL,
     "op11_phrase_collocations": COLLOCATION_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
 }
