@@ -16,7 +16,7 @@ PARAGRAPH = r"(?:[^.!?\n]*+[.!?]++[ \t]*+){1,4}+|[^.!?\n]++"
 #: Digests have 63 bits. A sketch that cannot be read is made anew in two halves, by one more of them.
 DIGEST_BITS = 63
 #: The place of a null id, before all others.
-NULL_PLACE = -(1 << 63) - 1
+NULL_PLACE = str(-(1 << 63) - 1)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,7 +26,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs, without white space around them; a null text has none."""
-    paragraphs = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0)), F.trim)
+    paragraphs = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0)), lambda p: F.trim(p))
     kept = F.filter(paragraphs, lambda p: p != "")
     return F.array_distinct(F.transform(kept, lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))))
 

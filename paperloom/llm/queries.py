@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.collocations import collocations
 from paperloom.llm.common import table
 from paperloom.llm.decontamination import find_leaks
+from paperloom.llm.fingerprints import document_fingerprints
 from paperloom.llm.jaccard import near_duplicates
 from paperloom.llm.language import identify, train, training_sample
 from paperloom.llm.licenses import license_sql, scan_licenses
@@ -77,6 +78,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -90,6 +95,7 @@ QUERIES = {
     "op10_warc_derivatives": op10_warc_derivatives,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
