@@ -191,8 +191,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     plain = docs.select(place.alias("place"), F.coalesce("text", F.lit("")).alias("text"))
     following = cut_lineage(_following(plain))
     wanted = following.select(F.col("place").alias("before"), F.col("next_place").alias("place"), "next_key", "need")
-    # Both joins read the texts by their place, so these are exchanged once.
-    met = plain.join(wanted, "place").where(F.xxhash64("text") == F.col("next_key"))
+    # Both joins read the texts by their place alone, so these are exchanged once; a plain equality of hashes would become
+    # a key of the first join.
+    met = plain.join(wanted, "place").where(F.xxhash64("text").bitwiseXOR(F.col("next_key")) == 0)
     starts = met.select("place", "before", F.substr("text", F.lit(1), F.col("need")).alias("start"), digests(F.col("text")).alias("next"))
     starts = starts.groupBy("place", "before").agg(F.min(F.struct("start", "next")).alias("following"))
     rows = plain.join(starts.select(F.col("before").alias("place"), "following"), "place")
