@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.operators.metrics import MICROS, endpoint_counts, rate_limit_audit, ttl_dedupe
+from paperloom.operators.metrics import endpoint_counts, rate_limit_audit
 from paperloom.operators.store import latest_per_key
 from paperloom.schemas import CACHE_TTL_SECONDS
 from paperloom.session import fresh_path
+from paperloom.streaming.cache import passing_searches
 from paperloom.streaming.replay import replay, time_slices
 
 
@@ -49,35 +50,12 @@ def latest_output(spark, root: str, keys: list[str]) -> DataFrame:
     return latest_per_key(written.withColumn("_key", F.struct(*keys)), "_key", "batch_id").drop("_key", "batch_id")
 
 
-def start_ttl_dedupe(searches: DataFrame, root: str, ttl_seconds: int = CACHE_TTL_SECONDS):
-    """Pass a search unless the same one passed less than ``ttl_seconds`` before; slices must arrive in time order.
+def start_ttl_dedupe(searches: DataFrame, root: str, ttl_seconds: int = CACHE_TTL_SECONDS, keep: str | None = None):
+    """Pass a search unless the same one passed less than ``ttl_seconds`` before; searches may arrive in any order.
 
-    The state of a key is the last search that passed in an earlier batch.  Searches it still answers are dropped by a
-    join; what is left starts afresh, which is the batch operator.  The output is laid out by time, in steps as long as
-    ``ttl_seconds``, and a batch reads no more of it than can answer its first search.
+    Every batch writes the answers that changed; see :func:`passing_searches`.
     """
-    spark = searches.sparkSession
-    fields = searches.schema
-    step = ttl_seconds * MICROS
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        own = batch.sparkSession
-        passed = own.read.schema(
-            f"cache_key {fields['cache_key'].dataType.simpleString()}, asked_us bigint, batch_id bigint, step bigint"
-        )
-        first = batch.agg(F.min("asked_us")).first()[0]
-        recent = F.col("step") >= (0 if first is None else first // step - 1)
-        earlier = passed.parquet(f"{root}/out").where((F.col("batch_id") < batch_id) & recent)
-        last = earlier.groupBy("cache_key").agg(F.max("asked_us").alias("last_at"))
-        open_again = batch.join(last, "cache_key", "left").where(
-            F.col("last_at").isNull() | (F.col("asked_us") - F.col("last_at") >= ttl_seconds * MICROS)
-        )
-        found = ttl_dedupe(open_again.drop("last_at"), ttl_seconds).withColumn("step", F.floor(F.col("asked_us") / step))
-        found.write.partitionBy("step").mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
-
-    # The first batch reads this folder before it has written to it.
-    spark.createDataFrame([], fields).write.mode("overwrite").parquet(f"{root}/out/batch_id=-1/step=0")
-    return _start(searches, write, root, "append")
+    return _start(passing_searches(searches, ttl_seconds, keep), _folder_writer(root), root, "update")
 
 
 def replay_counts(requests: DataFrame) -> DataFrame:
@@ -94,8 +72,13 @@ def replay_rate_limits(requests: DataFrame, limit: Column | None = None) -> Data
     return latest_output(spark, root, ["hour", "client", "endpoint"])
 
 
-def replay_ttl_dedupe(searches: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
+def replay_ttl_dedupe(
+    searches: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, parts: int = 3, keep: str | None = None
+) -> DataFrame:
+    """The passing searches after a stream took ``searches`` in ``parts`` that have nothing to do with time."""
     spark = searches.sparkSession
     root = fresh_path(spark, "ttl-stream")
-    replay(time_slices(searches, "asked_us"), f"{root}/landing", lambda stream: start_ttl_dedupe(stream, root, ttl_seconds))
-    return spark.read.schema(searches.schema).parquet(f"{root}/out").select("cache_key", "asked_us")
+    part = F.pmod(F.xxhash64("cache_key", "asked_us"), F.lit(parts))
+    slices = [searches.where(part == number) for number in range(parts)]
+    replay(slices, f"{root}/landing", lambda stream: start_ttl_dedupe(stream, root, ttl_seconds, keep))
+    return latest_output(spark, root, ["cache_key", "asked_us"]).where("passes").select("cache_key", "asked_us")

@@ -15,7 +15,7 @@ from paperloom.operators.metrics import (
     ttl_dedupe,
 )
 from paperloom.streaming.replay import replay, time_slices
-from paperloom.streaming.metrics import replay_rate_limits, replay_ttl_dedupe
+from paperloom.streaming.metrics import latest_output, replay_rate_limits, replay_ttl_dedupe, start_ttl_dedupe
 
 
 def requests(spark, rows):
@@ -90,9 +90,37 @@ def test_cache_replay_equals_the_walk(spark, seed):
     assert found == passing(rows, 20 * MICROS)
 
 
-def test_cache_replay_as_a_stream(spark):
+@pytest.mark.parametrize("parts", [1, 4])
+def test_cache_replay_as_a_stream(spark, parts):
+    """Parts have no order in time; every part but the first is taken up by a restarted query."""
     rows, frame = searches(spark, 1)
-    assert {tuple(row) for row in replay_ttl_dedupe(frame, ttl_seconds=20).collect()} == passing(rows, 20 * MICROS)
+    found = [tuple(row) for row in replay_ttl_dedupe(frame, ttl_seconds=20, parts=parts).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == passing(rows, 20 * MICROS)
+
+
+def test_a_late_search_takes_answers_back(spark, tmp_path):
+    """Each part is one search; the answers after every part are those of the walk over all until then."""
+    root = str(tmp_path)
+    seen = set()
+    for moments in ([100, 110, 121, 400], [95], [106, 89], [410]):
+        seen |= {("k", at * MICROS) for at in moments}
+        part = spark.createDataFrame([*[("k", at * MICROS) for at in moments], (None, 7), ("k", None)], "cache_key string, asked_us bigint")
+        replay([part], f"{root}/landing", lambda stream: start_ttl_dedupe(stream, root, 10))
+        found = latest_output(spark, root, ["cache_key", "asked_us"]).where("passes").select("cache_key", "asked_us")
+        known = {tuple(row) for row in found.collect()}
+        assert {row for row in known if row[0]} == passing(seen, 10 * MICROS)
+    assert (None, 7) in known
+
+
+def test_state_ends_behind_the_watermark(spark, tmp_path):
+    """A request behind the watermark is left out; one within it still corrects the answers."""
+    root = str(tmp_path)
+    for moments in ([1_000], [1_100], [1_090, 5], [1_085]):
+        part = spark.createDataFrame([("k", at * MICROS) for at in moments], "cache_key string, asked_us bigint")
+        replay([part], f"{root}/landing", lambda stream: start_ttl_dedupe(stream, root, 10, "60 seconds"))
+    found = latest_output(spark, root, ["cache_key", "asked_us"]).where("passes")
+    assert {row.asked_us // MICROS for row in found.collect()} == {1_000, 1_085, 1_100}
 
 
 def test_calls_without_a_latency_count_for_nothing(spark):
