@@ -33,8 +33,10 @@ from paperloom.operators.store import (
     upsert_chunks,
     with_chunk_ids,
 )
+from paperloom.operators.tables import KeyedTable
 from paperloom.plans.ingest import ingest_flags, ingest_papers, ingest_status, new_markers, summarizable
 from paperloom.schemas import CHUNK_OVERLAP, CHUNK_SIZE
+from paperloom.session import fresh_path
 from paperloom.sources.extract import HTML_REFERENCES, extract_text
 from paperloom.streaming.ingest import replay_ingest
 
@@ -91,6 +93,43 @@ def _upsert_chunks(spark, sf_dir):
     return merged.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
+_AGAIN = """{0}_papers AS (SELECT paper_id, abstract AS text FROM paper_view JOIN labels USING (doc_id) WHERE {1})"""
+
+
+@query(
+    "chunk_table_update",
+    f"""WITH {DOC_CHUNKS}, {_AGAIN.format("good", "quality = 1")}, {sql_chunks("good_papers", "paper_id", 400, 40, "good")},
+    {_AGAIN.format("toxic", "toxic = 1")}, {sql_chunks("toxic_papers", "paper_id", 300, 30, "toxic")}
+    SELECT paper_id, chunk_index, text FROM toxic
+    UNION ALL SELECT paper_id, chunk_index, text FROM good WHERE paper_id NOT IN (SELECT paper_id FROM toxic)
+    UNION ALL SELECT paper_id, chunk_index, text FROM chunks
+        WHERE paper_id NOT IN (SELECT paper_id FROM toxic UNION SELECT paper_id FROM good)""",
+)
+def _chunk_table_update(spark, sf_dir):
+    """A stored chunk table after two updates, whose papers overlap."""
+    stored = KeyedTable.create(paper_chunks(spark, sf_dir), fresh_path(spark, "chunk-table"), "paper_id", bucket_rows=100_000)
+    labels, papers = table(spark, sf_dir, "labels"), paper_view(spark, sf_dir)
+    for label, size, overlap in (("quality", 400, 40), ("toxic", 300, 30)):
+        again = papers.join(labels.where(F.col(label) == 1).select("doc_id"), "doc_id").select("paper_id", F.col("abstract").alias("text"))
+        stored.write(chunk_documents(again, size=size, overlap=overlap))
+    return stored.read().withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+
+
+@query(
+    "metadata_table",
+    f"""WITH {METADATA_WRITES} SELECT paper_id, max_by(title, seq) AS title, max_by(source, seq) AS source, max(seq) AS seq
+    FROM metadata_writes GROUP BY paper_id""",
+)
+def _metadata_table(spark, sf_dir):
+    """Metadata written in two runs, one after the other; each run writes a paper once, its last form."""
+    writes = metadata_writes(spark, sf_dir).select("paper_id", "title", "source", "seq")
+    middle = writes.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seq)")).first()[0]
+    earlier = latest_per_key(writes.where(F.col("seq") <= middle), "paper_id", "seq")
+    stored = KeyedTable.create(earlier, fresh_path(spark, "metadata-table"), "paper_id", bucket_rows=100_000)
+    stored.write(latest_per_key(writes.where(F.col("seq") > middle), "paper_id", "seq"))
+    return stored.read()
+
+
 @query(
     "embed_chunks",
     f"""WITH {DOC_CHUNKS}, words AS (

@@ -76,6 +76,21 @@ def _rate_limit_audit(spark, sf_dir):
     return _audited(request_log(spark, sf_dir))
 
 
+@query(
+    "rate_limit_default",
+    f"""WITH {REQUEST_LOG}, hourly AS (
+        SELECT date_trunc('hour', ts) AS hour, CASE endpoint WHEN 'click' THEN '/api/search/' ELSE endpoint END AS endpoint,
+               count(*) AS requests FROM request_log GROUP BY ALL)
+    SELECT strftime(hour, '%Y-%m-%d %H:%M:%S.%f') AS hour, 'all' AS client, endpoint, requests,
+           greatest(requests - CASE endpoint WHEN '/api/search/' THEN 30 ELSE 100 END, 0) AS excess FROM hourly""",
+)
+def _rate_limit_default(spark, sf_dir):
+    """The default limits, for one client who makes all requests; clicks stand in for searches, logged by their path."""
+    log = request_log(spark, sf_dir).withColumn("client", F.lit("all"))
+    named = F.when(F.col("endpoint") == "click", F.lit("/api/search/")).otherwise(F.col("endpoint"))
+    return rate_limit_audit(log.withColumn("endpoint", named)).withColumn("hour", moment("hour"))
+
+
 @query("rate_limit_stream", f"WITH {REQUEST_LOG} {_AUDIT}")
 def _rate_limit_stream(spark, sf_dir):
     log = request_log(spark, sf_dir).withColumn("client", F.col("endpoint"))

@@ -9,7 +9,7 @@ from paperloom.catalog.registry import query
 from paperloom.functions import citation
 from paperloom.functions.text import doi_key, id_list, title_key
 from paperloom.operators.dedupe import dedupe_papers, merge_order
-from paperloom.operators.incremental import KeptTable, create_kept, insert_kept
+from paperloom.operators.incremental import create_kept, insert_kept, kept_rows
 from paperloom.operators.search import (
     merge_sources,
     per_source_cap,
@@ -137,7 +137,7 @@ def _dedupe_incremental(spark, sf_dir):
     for number in (6, 7):
         insert_kept(spark, path, keyed.where(part == number).drop("doc_id"))
     keyless = keyed.where("doi_key is null and title_key is null").select("doc_id")
-    return keyed.join(KeptTable(spark, path).kept(), ["scope", "ord"], "left_semi").select("doc_id").union(keyless)
+    return keyed.join(kept_rows(spark, path), ["scope", "ord"], "left_semi").select("doc_id").union(keyless)
 
 
 @query(

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paperloom.operators.dedupe import first_wins
+from paperloom.operators.tables import BUCKET_ROWS, BucketFolders
 from paperloom.session import cut_lineage
 
-#: Entries that a bucket of the table holds when it is laid out, about.
-BUCKET_ENTRIES = 1_000_000
 ROW = ["scope", "ord"]
 KEY = ["scope", "side", "key"]
 
@@ -21,56 +19,20 @@ def _entries(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.inline(F.filter(sides, lambda side: side["key"].isNotNull())))
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
-
-
-def create_kept(keyed: DataFrame, path: str, bucket_entries: int = BUCKET_ENTRIES) -> None:
+def create_kept(keyed: DataFrame, path: str, bucket_entries: int = BUCKET_ROWS) -> None:
     """Decide ``keyed(scope, ord, doi_key, title_key)`` and lay the decisions out by key at ``path``.
 
-    ``ord`` is unique within its scope. The number of buckets follows from the number of keys and is stored with the table. Rows
-    without a key share nothing with others, are always kept, and have no place in the table.
+    ``ord`` is unique within its scope. Rows without a key share nothing with others, are always kept, and have no place in
+    the table.
     """
     kept = first_wins(keyed).withColumn("kept", F.lit(True))
-    rows = keyed.join(kept, ROW, "left").select(*keyed.columns, F.coalesce("kept", F.lit(False)).alias("kept"))
-    entries = cut_lineage(_entries(rows))
-    spark = keyed.sparkSession
-    buckets = max(1, -(-entries.count() // bucket_entries))
-    spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
-    entries.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/entries")
-    # The first write of an empty table has no column to partition by.
-    entries.limit(0).write.parquet(f"{path}/kind")
-
-
-class KeptTable:
-    """The stored decisions; reads and rewrites the buckets of the keys it is asked for, and no others."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.buckets = spark.read.parquet(f"{path}/layout").first().buckets
-        self.kind = spark.read.parquet(f"{path}/kind").schema.add("bucket", T.IntegerType())
-
-    def _of(self, keys: DataFrame) -> DataFrame:
-        # Bucket numbers, at most as many as the table has.
-        numbers = [row[0] for row in keys.select(_bucket(self.buckets)).distinct().collect()]
-        return self.spark.read.schema(self.kind).parquet(f"{self.path}/entries").where(F.col("bucket").isin(numbers))
-
-    def entries(self, keys: DataFrame) -> DataFrame:
-        """The entries of ``keys(scope, side, key)``."""
-        return self._of(keys).join(keys, KEY, "left_semi").drop("bucket")
+    rows = keyed.join(kept, ROW, "left").select(*ROW, "doi_key", "title_key", F.coalesce("kept", F.lit(False)).alias("kept"))
+    BucketFolders.create(_entries(rows), path, KEY, bucket_entries)
 
-    def replace(self, rows: DataFrame) -> None:
-        """Store the decisions of ``rows(scope, ord, doi_key, title_key, kept)``, new rows and known ones."""
-        new = cut_lineage(_entries(rows))
-        old = self._of(new.select(*KEY)).join(new.select(*KEY, "ord"), [*KEY, "ord"], "left_anti")
-        merged = cut_lineage(old.unionByName(new.withColumn("bucket", _bucket(self.buckets))))
-        target = merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite")
-        target.option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/entries")
 
-    def kept(self) -> DataFrame:
-        """``(scope, ord)`` of all kept rows that have a key."""
-        every = self.spark.read.schema(self.kind).parquet(f"{self.path}/entries")
-        return every.where("kept").select(*ROW).distinct()
+def kept_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(scope, ord)`` of all kept rows that have a key."""
+    return BucketFolders(spark, path).all().where("kept").select(*ROW).distinct()
 
 
 def insert_kept(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
@@ -82,13 +44,13 @@ def insert_kept(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     decision changes, until none does; all others stand, and those kept among them hold back later rows as before. New
     rows that repeat a stored ``ord`` are not added again.
     """
-    table = KeptTable(spark, path)
+    table = BucketFolders(spark, path)
     keyed = new.where(F.col("doi_key").isNotNull() | F.col("title_key").isNotNull()).select(*ROW, "doi_key", "title_key")
-    known = table.entries(_entries(keyed).select(*KEY).distinct()).select(*ROW).distinct()
+    known = table.of(_entries(keyed)).select(*ROW).distinct()
     looked_at = cut_lineage(keyed.join(known, ROW, "left_anti").dropDuplicates(ROW).withColumn("was", F.lit(None).cast("boolean")))
     while True:
         keys = _entries(looked_at)
-        near = cut_lineage(table.entries(keys.select(*KEY).distinct()).join(looked_at.select(*ROW), ROW, "left_anti"))
+        near = cut_lineage(table.of(keys).join(looked_at.select(*ROW), ROW, "left_anti"))
         # A key has one kept row at most.
         holders = near.where("kept").select(*KEY, F.col("ord").alias("holder"))
         held = keys.join(holders, KEY).where(F.col("holder") < F.col("ord")).select(*ROW).distinct()
@@ -105,5 +67,6 @@ def insert_kept(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
         if more.isEmpty():
             break
         looked_at = cut_lineage(looked_at.unionByName(more))
-    table.replace(decided.where(F.col("was").isNull() | (F.col("was") != F.col("kept"))).drop("was"))
+    new = cut_lineage(_entries(decided.where(F.col("was").isNull() | (F.col("was") != F.col("kept"))).drop("was")))
+    table.replace(new, [*KEY, "ord"], new)
     return decided

@@ -6,39 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.store import latest_per_key
+from paperloom.operators.tables import BUCKET_ROWS, BucketFolders
 from paperloom.plans.ingest import ingest_papers, new_markers
 from paperloom.schemas import ALREADY_CACHED
-from paperloom.session import fresh_path
+from paperloom.session import cut_lineage, fresh_path
 from paperloom.streaming.replay import replay
 
 MARKER = "paper_id string, chunk_count bigint, page_count bigint"
 
 
-def stored_markers(spark: SparkSession, root: str, before_batch: int) -> DataFrame:
-    """Markers written by earlier batches; the schema is given because a batch may have had no success."""
-    markers = spark.read.schema(f"{MARKER}, batch_id bigint").parquet(f"{root}/markers")
-    return markers.where(F.col("batch_id") < before_batch).drop("batch_id")
+def store_markers(markers: DataFrame, layout: BucketFolders, root: str, batch_id: int) -> None:
+    """Markers of a batch, in the buckets of its papers; a repeated batch replaces its own."""
+    placed = markers.select("paper_id", "chunk_count", "page_count", layout.bucket().alias("bucket"))
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/markers/batch_id={batch_id}")
 
 
-def start_ingest(
-    arrivals: DataFrame, fetches: DataFrame, pages: DataFrame, base_markers: DataFrame, root: str, **limits
-):
+def stored_markers(papers: DataFrame, layout: BucketFolders, root: str, before_batch: int) -> DataFrame:
+    """Markers of ``papers`` that earlier batches wrote, read from the buckets of these papers only.
+
+    The schema is given because a batch may have had no success.
+    """
+    # Bucket numbers, at most as many as the pages have.
+    numbers = [row[0] for row in papers.select(layout.bucket()).distinct().collect()]
+    written = papers.sparkSession.read.schema(f"{MARKER}, batch_id bigint, bucket int").parquet(f"{root}/markers")
+    return written.where((F.col("batch_id") < before_batch) & F.col("bucket").isin(numbers)).drop("batch_id", "bucket")
+
+
+def start_ingest(arrivals: DataFrame, fetches: DataFrame, pages: BucketFolders, root: str, **limits):
     """Run :func:`ingest_papers` on every micro-batch of the stream ``arrivals`` and return the running query.
 
-    Each batch writes its log, chunks and markers under its own ``batch_id`` folder in overwrite mode, so a batch that
-    is repeated after a failure replaces itself.  Papers ingested by an earlier batch, but not by an earlier attempt at
-    the same batch, count as done.
+    ``pages`` are laid out by paper, and markers as they are, so that a batch reads the buckets of its own papers and no
+    others. Each batch writes its log, chunks and markers under its own ``batch_id`` folder in overwrite mode, so a batch
+    that is repeated after a failure replaces itself.  Papers ingested by an earlier batch, but not by an earlier attempt
+    at the same batch, count as done; markers from before the stream are those of batch -1.
     """
-    spark = arrivals.sparkSession
 
     def ingest_batch(batch: DataFrame, batch_id: int) -> None:
-        own = batch.sparkSession
-        done = base_markers.select("paper_id", "chunk_count", "page_count")
-        if batch_id > 0:
-            done = done.unionByName(stored_markers(own, root, batch_id))
-        result = ingest_papers(batch, fetches, pages, done, **limits)
-        for name, frame in (("log", result.log), ("chunks", result.chunks), ("markers", new_markers(result.log))):
+        asked = cut_lineage(batch)
+        own = pages.of(asked.where(F.col("paper_id").isNotNull()))
+        done = stored_markers(asked, pages, root, batch_id)
+        result = ingest_papers(asked, fetches, own, done, **limits)
+        for name, frame in (("log", result.log), ("chunks", result.chunks)):
             frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+        store_markers(new_markers(asked.sparkSession.read.parquet(f"{root}/log/batch_id={batch_id}")), pages, root, batch_id)
 
     return (
         arrivals.writeStream.foreachBatch(ingest_batch)
@@ -58,12 +68,14 @@ def ingest_log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def replay_ingest(
-    papers: DataFrame, fetches: DataFrame, pages: DataFrame, markers: DataFrame, batches: int = 2, **limits
+    papers: DataFrame, fetches: DataFrame, pages: DataFrame, markers: DataFrame, batches: int = 2, bucket_rows: int = BUCKET_ROWS, **limits
 ) -> DataFrame:
     """Feed ``papers`` through the stream in ``batches`` parts and return the combined log."""
     spark = papers.sparkSession
     root = fresh_path(spark, "ingest-stream")
+    laid_out = BucketFolders.create(pages, f"{root}/pages", ["paper_id"], bucket_rows)
+    store_markers(markers, laid_out, root, -1)
     part = F.pmod(F.xxhash64("paper_id"), F.lit(batches))
     parts = [papers.where(part == number) for number in range(batches)]
-    replay(parts, f"{root}/landing", lambda arrivals: start_ingest(arrivals, fetches, pages, markers, root, **limits))
+    replay(parts, f"{root}/landing", lambda arrivals: start_ingest(arrivals, fetches, laid_out, root, **limits))
     return ingest_log(spark, root)

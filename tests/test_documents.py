@@ -9,11 +9,9 @@ from paperloom.operators.store import (
     cache_key,
     cache_lookup,
     chunk_rows,
-    create_chunk_table,
     first_chunks,
     latest_per_key,
     split_done,
-    update_chunk_table,
     upsert_chunks,
 )
 from paperloom.plans.ingest import ingest_papers, new_markers
@@ -139,15 +137,6 @@ def test_upsert_replaces_only_papers_with_new_chunks(spark):
     assert upsert_chunks(current, current.where("false")).count() == 3
 
 
-def test_chunk_table_is_updated_in_place(spark, tmp_path):
-    path = str(tmp_path / "chunks")
-    create_chunk_table(chunk_frame(spark, [(f"p{n}", 0, "old") for n in range(50)]), path)
-    update_chunk_table(spark, path, chunk_frame(spark, [("p7", 0, "new"), ("p7", 1, "new"), ("q", 0, "new")]))
-    rows = {(row.paper_id, row.chunk_index): row.text for row in spark.read.parquet(path).collect()}
-    assert len(rows) == 52
-    assert {key for key, text in rows.items() if text == "new"} == {("p7", 0), ("p7", 1), ("q", 0)}
-
-
 def test_first_chunks(spark):
     chunks = chunk_frame(spark, [("a", 2, "c"), ("a", 0, "a"), ("a", 1, "b")])
     assert first_chunks(chunks, 2).first().chunks == ["a", "b"]

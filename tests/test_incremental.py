@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-from paperloom.operators.incremental import KeptTable, create_kept, insert_kept
+from paperloom.operators.incremental import create_kept, insert_kept, kept_rows
+from paperloom.operators.tables import BucketFolders
 
 KIND = "scope string, ord long, doi_key string, title_key string"
 
@@ -36,7 +37,7 @@ def test_insertions_give_the_walk_over_all(spark, tmp_path, seed, keys):
         rows += new
         found = insert_kept(spark, path, spark.createDataFrame(new, KIND)).collect()
         want = walk(rows)
-        assert {tuple(row) for row in KeptTable(spark, path).kept().collect()} == want
+        assert {tuple(row) for row in kept_rows(spark, path).collect()} == want
         looked_at = {(row.scope, row.ord): row.kept for row in found}
         assert all(((scope, at) in want) == kept for (scope, at), kept in looked_at.items())
         assert before ^ want <= set(looked_at)
@@ -48,12 +49,10 @@ def test_reads_the_buckets_of_reached_keys_only(spark, tmp_path):
     rows = [("s", n, f"d{n // 2}", f"t{n}") for n in range(0, 4_000, 2)]
     create_kept(spark.createDataFrame(rows, KIND), path, bucket_entries=100)
     new = spark.createDataFrame([("s", 1_001, "d500", "t1002")], KIND)
-    table = KeptTable(spark, path)
+    table = BucketFolders(spark, path)
     asked = spark.createDataFrame([("s", side, key) for side, key in (("doi", "d500"), ("title", "t1000"), ("title", "t1002"), ("doi", "d501"))], "scope string, side string, key string")
-    from paperloom.operators.incremental import _bucket
-
-    used = {f"bucket={row[0]}" for row in asked.select(_bucket(table.buckets)).collect()}
-    folders = [folder for folder in Path(path, "entries").iterdir() if folder.name.startswith("bucket=")]
+    used = {f"bucket={row[0]}" for row in asked.select(table.bucket()).collect()}
+    folders = [folder for folder in Path(path, "rows").iterdir() if folder.name.startswith("bucket=")]
     assert len(folders) > 35
     for folder in folders:
         if folder.name not in used:
@@ -71,11 +70,11 @@ def test_an_insertion_can_turn_a_whole_chain(spark, tmp_path):
     create_kept(spark.createDataFrame(rows, KIND), path, bucket_entries=5)
     new = [("s", 0, "k0", None), ("s", 0, "k0", None)]
     found = insert_kept(spark, path, spark.createDataFrame(new, KIND))
-    assert {tuple(row) for row in KeptTable(spark, path).kept().collect()} == walk(rows + new)
+    assert {tuple(row) for row in kept_rows(spark, path).collect()} == walk(rows + new)
     assert found.count() > 5
     again = insert_kept(spark, path, spark.createDataFrame(new, KIND))
     assert again.count() == 0
-    assert {tuple(row) for row in KeptTable(spark, path).kept().collect()} == walk(rows + new)
+    assert {tuple(row) for row in kept_rows(spark, path).collect()} == walk(rows + new)
 
 
 def test_an_empty_table(spark, tmp_path):
@@ -83,4 +82,4 @@ def test_an_empty_table(spark, tmp_path):
     create_kept(spark.createDataFrame([], KIND), path)
     assert insert_kept(spark, path, spark.createDataFrame([], KIND)).collect() == []
     insert_kept(spark, path, spark.createDataFrame([("s", 1, None, "t"), ("s", 2, None, None)], KIND))
-    assert [tuple(row) for row in KeptTable(spark, path).kept().collect()] == [("s", 1)]
+    assert [tuple(row) for row in kept_rows(spark, path).collect()] == [("s", 1)]
