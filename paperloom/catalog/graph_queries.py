@@ -33,8 +33,10 @@ from paperloom.operators.graph import (
     related_paper_counts,
     related_papers,
 )
+from paperloom.operators.graph_store import EdgeStore
 from paperloom.operators.model import GAP_INSTRUCTIONS
 from paperloom.plans.gaps import gap_report
+from paperloom.session import cut_lineage, fresh_path
 
 
 @query(
@@ -189,6 +191,29 @@ def _isolated_items(spark, sf_dir):
     return isolated_items(member_view(spark, sf_dir), edge_view(spark, sf_dir))
 
 
+def _grown(spark, sf_dir):
+    """The edges in a store, five eighths at first, the others in three additions that repeat some of what is there; a part
+    is taken out on the way and put back."""
+    edges = cut_lineage(edge_view(spark, sf_dir))
+    part = F.pmod(F.xxhash64("paper_id", "rel", "name"), F.lit(8))
+    store = EdgeStore.create(edges.where(part < 5), member_view(spark, sf_dir), fresh_path(spark, "edges"))
+    store.add(edges.where(part.isin(4, 5)))
+    store.remove(edges.where(part.isin(0, 7)))
+    store.add(edges.where(part.isin(0, 6)))
+    store.add(edges.where(part == 7))
+    return store
+
+
+@query("degree_delta", f"WITH {EDGE_VIEW} SELECT rel, name, count(*) AS papers FROM edge_view GROUP BY rel, name")
+def _degree_delta(spark, sf_dir):
+    return _grown(spark, sf_dir).degrees()
+
+
+@query("isolated_delta", f"WITH {ISOLATED_SQL} SELECT set_id, rel, name FROM isolated")
+def _isolated_delta(spark, sf_dir):
+    return _grown(spark, sf_dir).isolated()
+
+
 @query(
     "gap_report",
     f"""WITH {ISOLATED_SQL}, facts AS (

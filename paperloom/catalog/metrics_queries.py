@@ -14,7 +14,7 @@ from paperloom.operators.metrics import (
     run_report,
     ttl_dedupe,
 )
-from paperloom.streaming.metrics import replay_counts, replay_rate_limits, replay_ttl_dedupe
+from paperloom.streaming.metrics import replay_counts, replay_latency, replay_rate_limits, replay_ttl_dedupe
 
 _COUNTS = """SELECT endpoint, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS failures
     FROM request_log GROUP BY endpoint"""
@@ -48,20 +48,25 @@ def _metrics_snapshot(spark, sf_dir):
     return metrics_snapshot(request_log(spark, sf_dir))
 
 
-@query(
-    "latency_last_n",
-    f"""WITH {REQUEST_LOG}, sums AS (
+_LATENCY = f"""WITH {REQUEST_LOG}, sums AS (
         SELECT endpoint AS model, request_id, sum({_CENTS}) OVER w AS cents, count(*) OVER w AS calls_tracked
         FROM request_log
         WINDOW w AS (PARTITION BY endpoint ORDER BY ts, request_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
     SELECT model, request_id, calls_tracked,
-           CAST({_MEAN.format(cents="cents", count="calls_tracked")} AS DOUBLE) AS avg_latency_ms FROM sums""",
-)
+           CAST({_MEAN.format(cents="cents", count="calls_tracked")} AS DOUBLE) AS avg_latency_ms FROM sums"""
+
+
+@query("latency_last_n", _LATENCY)
 def _latency_last_n(spark, sf_dir):
     calls = request_log(spark, sf_dir).withColumnRenamed("endpoint", "model")
     return latency_last_n(calls).select("model", "request_id", "calls_tracked", "avg_latency_ms")
 
 
+@query("latency_stream", _LATENCY)
+def _latency_stream(spark, sf_dir):
+    return replay_latency(request_log(spark, sf_dir).withColumnRenamed("endpoint", "model"))
+
+
 _AUDIT = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS hour, endpoint AS client, endpoint,
     count(*) AS requests, greatest(count(*) - 3, 0) AS excess FROM request_log GROUP BY ALL"""
 

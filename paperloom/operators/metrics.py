@@ -20,13 +20,13 @@ def endpoint_counts(requests: DataFrame) -> DataFrame:
     )
 
 
-def _mean_to_tenths(cents: Column, count: Column) -> Column:
+def mean_to_tenths(cents: Column, count: Column) -> Column:
     """Mean of ``count`` amounts summing to ``cents`` hundredths, rounded half up to one decimal in whole numbers."""
     tenths = F.floor((2 * cents + 10 * count) / (20 * count))
     return F.when(count > 0, tenths / F.lit(10.0))
 
 
-def _cents(latency: str) -> Column:
+def cents(latency: str) -> Column:
     return (F.col(latency).cast("decimal(18,2)") * 100).cast("bigint")
 
 
@@ -46,7 +46,7 @@ def metrics_snapshot(requests: DataFrame, window: int = LATENCY_WINDOW) -> DataF
     ).select("row.metric", "row.endpoint", F.col("row.value").cast("double").alias("value"))
     recent = (
         requests.where(F.col("latency_ms").isNotNull())
-        .select("ts", "request_id", _cents("latency_ms").alias("cents"))
+        .select("ts", "request_id", cents("latency_ms").alias("cents"))
         .orderBy(F.col("ts").desc(), F.col("request_id").desc())
         .limit(window)
         .agg(F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"), F.count("*").alias("calls"))
@@ -56,7 +56,7 @@ def metrics_snapshot(requests: DataFrame, window: int = LATENCY_WINDOW) -> DataF
         F.explode(
             F.array(
                 F.struct(
-                    F.lit("llm_avg_latency_ms").alias("metric"), _mean_to_tenths(F.col("cents"), F.col("calls")).alias("value")
+                    F.lit("llm_avg_latency_ms").alias("metric"), mean_to_tenths(F.col("cents"), F.col("calls")).alias("value")
                 ),
                 F.struct(F.lit("llm_calls_tracked").alias("metric"), F.col("calls").cast("double").alias("value")),
             )
@@ -76,7 +76,7 @@ def latency_last_n(calls: DataFrame, window: int = LATENCY_WINDOW, block_rows: i
         raise ValueError("a block must be at least as long as the window")
     order = ["model", "ts", "request_id"]
     spread = cut_lineage(
-        calls.where("latency_ms is not null").select(*order, _cents("latency_ms").alias("cents"))
+        calls.where("latency_ms is not null").select(*order, cents("latency_ms").alias("cents"))
         .repartitionByRange(*order)
         .withColumn("part", F.spark_partition_id())
     )
@@ -97,7 +97,7 @@ def latency_last_n(calls: DataFrame, window: int = LATENCY_WINDOW, block_rows: i
     tracked = F.least(F.col("position") + 1, F.lit(window)).cast("bigint")
     means = summed.select(*order, "own", "block", last_sum.alias("sum"), tracked.alias("calls_tracked"))
     return means.where(F.col("own") == F.col("block")).select(
-        *order, _mean_to_tenths(F.col("sum"), F.col("calls_tracked")).alias("avg_latency_ms"), "calls_tracked"
+        *order, mean_to_tenths(F.col("sum"), F.col("calls_tracked")).alias("avg_latency_ms"), "calls_tracked"
     )
 
 

@@ -109,6 +109,18 @@ class BucketFolders:
         """The rows of ``keys``."""
         return self.around(keys).join(keys.select(*self.keys).distinct(), self.keys, "left_semi").drop("bucket")
 
+    def append(self, rows: DataFrame) -> None:
+        self._placed(rows).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/rows")
+
+    def rewrite(self, keys: DataFrame, rows: DataFrame) -> None:
+        """Make ``rows``, which are stored elsewhere, all there is in the buckets of ``keys``."""
+        emptied = keys.select(self.bucket().alias("bucket")).distinct().join(rows.select(self.bucket().alias("bucket")).distinct(), "bucket", "left_anti")
+        self._placed(rows).write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/rows")
+        # A bucket without rows has nothing to be overwritten with; its files become one that is empty.
+        nothing = self.spark.createDataFrame([], self.kind).drop("bucket")
+        for row in emptied.collect():
+            nothing.write.mode("overwrite").parquet(f"{self.path}/rows/bucket={row.bucket}")
+
     def replace(self, gone: DataFrame, same: Sequence[str], new: DataFrame) -> None:
         """Put ``new`` in the place of the rows that equal one of ``gone`` in the columns ``same``, which hold the keys; only
         buckets of ``new`` are rewritten, so ``new`` must have the keys of ``gone``."""

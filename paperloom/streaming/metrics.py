@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from paperloom.operators.metrics import endpoint_counts, rate_limit_audit
 from paperloom.operators.store import latest_per_key
-from paperloom.schemas import CACHE_TTL_SECONDS
+from paperloom.schemas import CACHE_TTL_SECONDS, LATENCY_WINDOW
 from paperloom.session import fresh_path
 from paperloom.streaming.cache import passing_searches
+from paperloom.streaming.latency import latency_stream
 from paperloom.streaming.replay import replay, time_slices
 
 
@@ -82,3 +83,15 @@ def replay_ttl_dedupe(
     slices = [searches.where(part == number) for number in range(parts)]
     replay(slices, f"{root}/landing", lambda stream: start_ttl_dedupe(stream, root, ttl_seconds, keep))
     return latest_output(spark, root, ["cache_key", "asked_us"]).where("passes").select("cache_key", "asked_us")
+
+
+def start_latency(calls: DataFrame, root: str, window: int = LATENCY_WINDOW):
+    """Running means of the last calls; every batch writes a row for each of its calls."""
+    return _start(latency_stream(calls, window), _folder_writer(root), root, "append")
+
+
+def replay_latency(calls: DataFrame, window: int = LATENCY_WINDOW) -> DataFrame:
+    spark = calls.sparkSession
+    root = fresh_path(spark, "latency-stream")
+    replay(time_slices(calls, "ts"), f"{root}/landing", lambda stream: start_latency(stream, root, window))
+    return spark.read.parquet(f"{root}/out").drop("batch_id")

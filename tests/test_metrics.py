@@ -15,7 +15,7 @@ from paperloom.operators.metrics import (
     ttl_dedupe,
 )
 from paperloom.streaming.replay import replay, time_slices
-from paperloom.streaming.metrics import latest_output, replay_rate_limits, replay_ttl_dedupe, start_ttl_dedupe
+from paperloom.streaming.metrics import latest_output, replay_latency, replay_rate_limits, replay_ttl_dedupe, start_ttl_dedupe
 
 
 def requests(spark, rows):
@@ -123,6 +123,16 @@ def test_state_ends_behind_the_watermark(spark, tmp_path):
     assert {row.asked_us // MICROS for row in found.collect()} == {1_000, 1_085, 1_100}
 
 
+def test_running_means_as_a_stream(spark):
+    """Batches follow each other in time; the list of the last calls goes on from one to the next."""
+    draw = random.Random(4)
+    rows = [(draw.choice("aab"), draw.randrange(400), n, None if n % 9 == 0 else draw.randrange(1_000) / 4) for n in range(300)]
+    calls = spark.createDataFrame(rows, "model string, second long, request_id long, latency_ms double").withColumn("ts", F.timestamp_seconds("second"))
+    columns = ["model", "request_id", "avg_latency_ms", "calls_tracked"]
+    want = latency_last_n(calls, window=7).select(columns).collect()
+    assert sorted(map(tuple, replay_latency(calls, window=7).select(columns).collect())) == sorted(map(tuple, want))
+
+
 def test_calls_without_a_latency_count_for_nothing(spark):
     calls = spark.createDataFrame(
         [("m", datetime(2024, 1, 1), 1, 10.0), ("m", datetime(2024, 1, 2), 2, None)], "model string, ts timestamp, request_id long, latency_ms double"
