@@ -9,13 +9,11 @@ from paperloom.functions.text import strip
 from paperloom.schemas import CHUNK_OVERLAP, CHUNK_SIZE
 
 
-def window_shape(size: int | None, overlap: int | None) -> tuple[int, int]:
-    """Resolve defaults and return (window size, step)."""
-    size = size or CHUNK_SIZE
-    step = size - (CHUNK_OVERLAP if overlap is None else overlap)
-    if step <= 0:
-        raise ValueError("overlap must be smaller than the chunk size")
-    return size, step
+def window_shape(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> tuple[int, int]:
+    """``(window size, step)`` of windows that share ``overlap`` characters with the next."""
+    if not 0 <= overlap < size:
+        raise ValueError(f"windows of {size} characters cannot share {overlap} and go on")
+    return size, size - overlap
 
 
 def window_count(length: Column, size: int, step: int) -> Column:
@@ -32,8 +30,8 @@ def cells(text: Column, step: int) -> Column:
 def chunk_documents(
     df: DataFrame,
     text_col: str = "text",
-    size: int | None = None,
-    overlap: int | None = None,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
     """One row per non-blank window: the columns of ``df`` without the text, ``chunk_index`` and ``text``.
 

@@ -77,8 +77,8 @@ def call_model(
     """``keys``, ``raw_response``, ``error`` and ``latency_ms`` for every prompt.
 
     ``fn`` maps a list of at most ``batch_size`` prompts to a list of responses.  When it fails on a list the halves are
-    tried apart, so a failure stays with its prompt and costs two calls for each halving.  ``calls`` sets how many batches may run at the same time.  The answers are stored
-    before they are used: a plan that reads them twice does not call the model twice.
+    tried apart, so a failure stays with its prompt and costs two calls for each halving.  ``calls`` sets how many batches may run at the same time, by
+    default as many as there are cores.  The answers are stored before they are used: a plan that reads them twice does not call the model twice.
     """
     schema = T.StructType(
         [T.StructField(key, prompts.schema[key].dataType) for key in keys]
@@ -111,9 +111,7 @@ def call_model(
             answers = pd.DataFrame(asked, columns=columns[len(keys) :], index=batch.index)
             yield pd.concat([batch[list(keys)], answers], axis=1)
 
-    asked = prompts.select(*keys, prompt_col)
-    if calls:
-        asked = asked.repartition(calls)
+    asked = prompts.select(*keys, prompt_col).repartition(calls or prompts.sparkSession.sparkContext.defaultParallelism)
     return cut_lineage(asked.mapInPandas(run, schema))
 
 

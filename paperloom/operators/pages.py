@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.chunking import cells, window_count, window_shape
 from paperloom.functions.text import strip
-from paperloom.schemas import MIN_CHARS_PER_PAGE, SCANNED_PDF, SUCCESS
+from paperloom.schemas import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHARS_PER_PAGE, SCANNED_PDF, SUCCESS
 from paperloom.session import cut_lineage
 
 PAGES_PER_BLOCK = 1024
@@ -114,7 +114,7 @@ def page_spans(
     )
 
 
-def chunk_pages(spans: DataFrame, size: int | None = None, overlap: int | None = None) -> DataFrame:
+def chunk_pages(spans: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Overlapping windows over each assembled document: ``(paper_id, chunk_index, text)``.
 
     Every page is cut at the window starts; a fragment goes to the window it lies in and, shortened to what is needed, to

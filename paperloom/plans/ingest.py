@@ -13,6 +13,8 @@ from paperloom.operators.pages import block_spans, block_status, chunk_pages, do
 from paperloom.operators.store import chunk_count, latest_per_key, with_chunk_ids
 from paperloom.schemas import (
     ALREADY_CACHED,
+    CHUNK_OVERLAP,
+    CHUNK_SIZE,
     DOWNLOAD_FAILED,
     EXTRACTION_FAILED,
     MIN_CHARS_PER_PAGE,
@@ -95,8 +97,8 @@ def ingest_papers(
     seq: str | Sequence[str] = "seq",
     force: bool = False,
     min_chars: float = MIN_CHARS_PER_PAGE,
-    size: int | None = None,
-    overlap: int | None = None,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
 ) -> IngestResult:
     """Ingest every paper of ``papers(paper_id, title, pdf_url, ..., seq)``.
 
