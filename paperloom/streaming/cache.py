@@ -17,12 +17,30 @@ from paperloom.schemas import CACHE_TTL_SECONDS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Slots that one entry of the state holds.
+ERA = 64
+
+
+class _Era:
+    """What is known of some consecutive slots of a key: all moments in order, and the one that passes in each slot."""
+
+    def __init__(self, stored, ttl: int):
+        at, passing = stored or ([], [])
+        self.ttl, self.known, self.changed = ttl, stored is not None, False
+        self.at = np.array(at, np.int64)
+        self.passing = {moment // ttl: moment for moment in passing}
+
+    def of_slot(self, slot: int) -> np.ndarray:
+        low, high = np.searchsorted(self.at, [slot * self.ttl, (slot + 1) * self.ttl])
+        return self.at[low:high]
+
+
 class PassingSearches(StatefulProcessor):
     """Which searches of a key pass, corrected with every batch.
 
     Time falls into slots as long as a result is kept, so at most one search of a slot passes, and only the one that passed
-    in the slot before can hold it back. State is one entry for each slot: its moments, and the one that passes. A request
-    therefore touches its own slot, and those behind it only as far as their passing searches change.
+    in the slot before can hold it back. A request therefore touches its own slot, and those behind it only as far as their
+    passing searches change. State holds the slots of a key in eras of ``ERA``, of which a batch reads those it touches.
     """
 
     def __init__(self, ttl: int, expires: bool):
@@ -30,70 +48,74 @@ class PassingSearches(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.moments = handle.getMapState("moments", "slot long", "at array<long>")
-        self.passing = handle.getMapState("passing", "slot long", "at long")
+        self.stored = handle.getMapState("eras", "era long", "at array<long>, passing array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        fresh: dict[int, list[np.ndarray]] = {}
+        eras: dict[int, _Era] = {}
+        touched: set[int] = set()
         for frame in rows:
             at = np.unique(frame["asked_us"].to_numpy())
-            slots, starts = np.unique(at // self.ttl, return_index=True)
-            for slot, own in zip(slots.tolist(), np.split(at, starts[1:]), strict=True):
-                fresh.setdefault(slot, []).append(own)
-        for slot, parts in fresh.items():
-            known = self._value(self.moments, slot)
-            every = np.unique(np.concatenate([np.array(known or [], np.int64), *parts]))
-            self.moments.updateValue((slot,), (every.tolist(),))
-            if self.expires and known is None:
-                # A slot is needed until no request of the next one can come.
-                self.handle.registerTimer((slot + 2) * self.ttl // 1000 + 1)
-        changes = list(self._settled(list(fresh)))
+            touched.update(np.unique(at // self.ttl).tolist())
+            numbers, starts = np.unique(at // (self.ttl * ERA), return_index=True)
+            for number, own in zip(numbers.tolist(), np.split(at, starts[1:]), strict=True):
+                era = self._era(eras, number)
+                era.at, era.changed = np.union1d(era.at, own), True
+        changes = list(self._settled(eras, sorted(touched)))
+        for number, era in eras.items():
+            if era.changed:
+                self.stored.updateValue((number,), (era.at.tolist(), sorted(era.passing.values())))
+                if self.expires and not era.known:
+                    self.handle.registerTimer(self._end(number))
         if changes:
             asked, passes = zip(*changes, strict=True)
             yield pd.DataFrame({"cache_key": [key[0]] * len(changes), "asked_us": asked, "passes": passes})
 
-    def _settled(self, slots: list[int]) -> Iterator[tuple[int, bool]]:
+    def _era(self, eras: dict[int, _Era], number: int) -> _Era:
+        if number not in eras:
+            eras[number] = _Era(self.stored.getValue((number,)), self.ttl)
+        return eras[number]
+
+    def _settled(self, eras: dict[int, _Era], slots: list[int]) -> Iterator[tuple[int, bool]]:
         """Decide ``slots`` and what follows from them, in order of time; yields what changes."""
-        heapq.heapify(slots)
         done = None
         while slots:
             slot = heapq.heappop(slots)
             if slot == done:
                 continue
             done = slot
-            at = self._value(self.moments, slot)
-            if at is None:
+            era = self._era(eras, slot // ERA)
+            at = era.of_slot(slot)
+            if not len(at):
                 continue
-            held, old = self._value(self.passing, slot - 1), self._value(self.passing, slot)
-            new = at[0] if held is None else next((moment for moment in at if moment >= held + self.ttl), None)
+            held, old = self._era(eras, (slot - 1) // ERA).passing.get(slot - 1), era.passing.get(slot)
+            place = 0 if held is None else int(np.searchsorted(at, held + self.ttl))
+            new = int(at[place]) if place < len(at) else None
             if new == old:
                 continue
+            era.changed = True
             if old is not None:
+                del era.passing[slot]
                 yield old, False
             if new is not None:
+                era.passing[slot] = new
                 yield new, True
-                self.passing.updateValue((slot,), (new,))
-            else:
-                self.passing.removeKey((slot,))
             heapq.heappush(slots, slot + 1)
 
+    def _end(self, era: int) -> int:
+        """When no request of the slot behind an era can come any more, in milliseconds."""
+        return ((era + 1) * ERA + 1) * self.ttl // 1000 + 1
+
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.ttl - 2
-        for gone in (slot, slot + 1):
-            # Milliseconds may round a slot's end down.
-            if (gone + 2) * self.ttl // 1000 + 1 == expiredTimerInfo.getExpiryTimeInMs():
-                for state in (self.moments, self.passing):
-                    if state.containsKey((gone,)):
-                        state.removeKey((gone,))
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        about = due * 1000 // (self.ttl * ERA) - 1
+        for era in (about - 1, about, about + 1):
+            if self._end(era) == due and self.stored.containsKey((era,)):
+                self.stored.removeKey((era,))
         return iter(())
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _value(state, slot: int):
-        return state.getValue((slot,))[0] if state.containsKey((slot,)) else None
-
 
 def passing_searches(searches: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, keep: str | None = None) -> DataFrame:
     """``(cache_key, asked_us, passes)``: changes of what :func:`ttl_dedupe` answers for all of ``searches`` so far.
