@@ -136,7 +136,7 @@ places AS (
            CASE WHEN w[i - 1] IN ('mit', 'apache') THEN i - 2 ELSE i - 3 END AS start
     FROM (SELECT r, w, unnest(generate_series(2, len(w))) AS i FROM tokens WHERE list_contains(w, 'license'))
     WHERE w[i] = 'license' AND (w[i - 1] IN ('mit', 'apache') OR (w[i - 1] = 'public' AND i > 2 AND w[i - 2] = 'general'))),
-lines AS (SELECT r, {cut.format("line")} AS w FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM low)),
+lines AS (SELECT r, {cut.format("line")} AS w FROM (SELECT r, unnest(list_append(string_split(low, chr(10)), low)) AS line FROM low)),
 blocks AS (
     SELECT r, w[first : first + {BLOCK_WORDS - 1}] AS b
     FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - {BLOCK_WORDS // 2}, 1), {BLOCK_WORDS // 2})) AS first FROM lines)),

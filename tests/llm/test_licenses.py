@@ -38,3 +38,6 @@ def test_sentences_wrapped_over_lines(spark):
     rows = [(1, mit), (2, bsd), (3, filler + mit + "\n" + filler), (4, "# " + bsd.replace("\n", "\r\n# ")), (5, filler)]
     got = {row.doc_id: (row.labels, row.score) for row in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mit", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0)}
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    said = {row[0]: (row[6], float(row[7])) for row in duckdb.sql(license_sql()).fetchall()}
+    assert said == got
