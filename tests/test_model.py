@@ -59,7 +59,7 @@ def test_one_bad_prompt_fails_alone_and_answers_are_kept(spark, tmp_path):
         return [prompt.upper() for prompt in prompts]
 
     prompts = spark.createDataFrame([(n, "bad" if n == 3 else f"p{n}") for n in range(1000)], "n int, prompt string").coalesce(1)
-    answers = call_model(prompts, model, ["n"], batch_size=250)
+    answers = call_model(prompts, model, ["n"], calls=1, batch_size=250)
     rows = {row.n: row for row in answers.collect()}
     sizes = [int(call.read_text()) for call in log.iterdir()]
     calls = len(sizes)
@@ -70,6 +70,19 @@ def test_one_bad_prompt_fails_alone_and_answers_are_kept(spark, tmp_path):
     assert len(list(log.iterdir())) == calls
 
 
+def test_calls_are_spread_by_default(spark):
+    """One partition of prompts is asked by as many tasks as there are cores."""
+
+    def model(prompts):
+        from pyspark import TaskContext
+
+        return [str(TaskContext.get().partitionId()) for _ in prompts]
+
+    prompts = spark.range(200).select("id", F.col("id").cast("string").alias("prompt")).coalesce(1)
+    answers = call_model(prompts, model, ["id"]).collect()
+    assert len({row.raw_response for row in answers}) == spark.sparkContext.defaultParallelism and len(answers) == 200
+
+
 def test_embeddings(spark):
     chunks = spark.createDataFrame([("a b b",), ("",)], "text string")
     rows = embed_chunks(chunks).collect()
