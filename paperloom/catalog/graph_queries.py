@@ -35,6 +35,7 @@ from paperloom.operators.graph import (
 )
 from paperloom.operators.graph_store import EdgeStore
 from paperloom.operators.model import GAP_INSTRUCTIONS
+from paperloom.operators.related import related_top_k
 from paperloom.plans.gaps import gap_report
 from paperloom.session import cut_lineage, fresh_path
 
@@ -181,6 +182,28 @@ def _related_paper_counts(spark, sf_dir):
     return related_paper_counts(edge_view(spark, sf_dir))
 
 
+@query(
+    "related_top_k",
+    """WITH used AS (
+        SELECT DISTINCT l_orderkey AS paper_id, 'm' AS rel, l_suppkey AS name FROM lineitem
+        UNION ALL SELECT DISTINCT l_orderkey, 'd', l_partkey FROM lineitem),
+    weighed AS (SELECT *, 1000000000000 // count(*) OVER (PARTITION BY rel, name) AS weight FROM used),
+    pairs AS (
+        SELECT a.paper_id, b.paper_id AS related_id, CAST(sum(a.weight) AS BIGINT) AS score
+        FROM weighed a JOIN weighed b ON a.rel = b.rel AND a.name = b.name AND a.paper_id <> b.paper_id
+        GROUP BY a.paper_id, b.paper_id),
+    ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, related_id) AS INTEGER) AS rank FROM pairs)
+    SELECT paper_id, rank, related_id, score FROM ranked WHERE rank <= 10""",
+)
+def _related_top_k(spark, sf_dir):
+    """Orders as papers, their suppliers as methods and their parts as datasets."""
+    lines = table(spark, sf_dir, "lineitem")
+    used = lines.select(F.col("l_orderkey").alias("paper_id"), F.lit("USES_METHOD").alias("rel"), F.col("l_suppkey").cast("string").alias("name"))
+    parts = lines.select(F.col("l_orderkey").alias("paper_id"), F.lit("EVALUATED_ON").alias("rel"), F.col("l_partkey").cast("string").alias("name"))
+    return related_top_k(used.unionByName(parts))
+
+
 ISOLATED_SQL = f"""{EDGE_VIEW}, isolated AS (
     SELECT set_id, rel, name FROM member_view JOIN edge_view USING (paper_id)
     GROUP BY set_id, rel, name HAVING count(*) = 1)"""
