@@ -10,28 +10,38 @@ from paperloom.session import compute_once
 NEWLINE = "\r\n"
 #: Date of records whose source names none.
 NO_DATE = "1970-01-01T00:00:00Z"
-#: Patterns that turn a page into text, in this order; the same in Java and RE2.
+#: Patterns that turn a page into text, in this order; the same in Java and RE2. What is not closed reaches to the end
+#: of the page (a head to the first block), so no pattern scans the same text once for each opening mark.
 TEXT_STEPS = [
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<head\b[^>]*>.*?</head\s*>", "\n"),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", " "),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", " "),
-    (r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", " "),
+    (r"(?s)<!--.*?(?:-->|\z)", " "),
+    (r"(?is)<script\b.*?(?:</script\s*>|\z)", " "),
+    (r"(?is)<style\b.*?(?:</style\s*>|\z)", " "),
+    (r"(?is)<noscript\b.*?(?:</noscript\s*>|\z)", " "),
+    (
+        r"(?is)<head\b.*?(?:</head\s*>|<(?:body|article|div|h[1-6]|header|main|nav|ol|p|pre|section|table|ul)\b[^>]*"
+        r"(?:>|\z)|\z)",
+        "\n",
+    ),
     (
         r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|"
-        r"pre|section|table|td|th|tr|ul)\b[^>]*>",
+        r"pre|section|table|td|th|tr|ul)\b[^>]*(?:>|\z)",
         "\n",
     ),
-    (r"<[^>]*>", ""),
+    (r"<[/!?a-zA-Z][^>]*(?:>|\z)", ""),
 ]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 SPACE_STEPS = [(r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
-TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LANGUAGE = r"(?is)<html\b[^>]*?\slang=.([a-z-]+)"
+TITLE = r"(?is)<title\b(?:[^>]*>(.*?)(?:</title|\z)|[^>]*\z)"
+LANGUAGE = r"(?is)<html\b[^<>]*?\slang=.([a-z-]+)"
+#: Become spaces in header values, so that no value can write lines of its own.
+CONTROLS = r"[\x00-\x1F\x7F]"
 
 
 def plain_text(html: Column) -> Column:
-    """The page's text: no markup, scripts or head; a line for each block, single spaces, the common entities."""
+    """The page's text: no markup, scripts or head; a line for each block, single spaces, the common entities.
+
+    Marks left open reach to the end of the page, an open head to the first block.
+    """
     for pattern, put in TEXT_STEPS:
         html = F.regexp_replace(html, pattern, put)
     return _tidied(html)
@@ -57,8 +67,9 @@ def _digest(text: Column) -> Column:
 
 
 def _lines(*fields: tuple[str, Column]) -> Column:
-    """``name: value`` lines; a null value has no line."""
-    return F.concat(*[F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(NEWLINE)), F.lit("")) for name, value in fields])
+    """``name: value`` lines with control characters as spaces; a null value has no line."""
+    lines = [F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), CONTROLS, " "), F.lit(NEWLINE)) for name, value in fields]
+    return F.concat(*[F.coalesce(line, F.lit("")) for line in lines])
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -84,7 +95,8 @@ def derivatives(source: DataFrame) -> DataFrame:
     up to the blank lines that end it). The metadata record carries the response's HTTP headers, digest, title and
     language and names the conversion record it belongs to; both keep the response's date and URI.
 
-    A null payload is empty text, a null URI or header has no line, a null date is 1970. Equal responses give equal
+    A null payload is empty text, a null URI or header has no line, a null date is 1970. Control characters in
+    header values become spaces; ``target_uri`` stays as given. Equal responses give equal
     records. Further columns are ignored, an empty table gives no rows.
     """
     html = F.coalesce("payload", F.lit(""))
@@ -168,7 +180,7 @@ named AS (
     SELECT *, {_sql_uuid("'metadata'", "source_id")} AS metadata_id, {_sql_uuid("'conversion'", "source_id")} AS conversion_id FROM read),
 each_one AS (
     SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, 'application/warc-fields' AS kind,
-           coalesce('title: ' || title || {END}, '') || coalesce('language: ' || language || {END}, '')
+           coalesce('title: ' || regexp_replace(title, '{CONTROLS}', ' ', 'g') || {END}, '') || coalesce('language: ' || language || {END}, '')
            || 'source-http-headers: HTTP/1.1 200 OK; Content-Type: text/html; charset=utf-8; Content-Length: ' || strlen(html) || {END}
            || 'source-payload-digest: ' || source_digest || {END} || 'conversion-record-id: <' || conversion_id || '>' || {END}
            || 'characters: ' || length(text) || {END} AS block
@@ -177,7 +189,7 @@ each_one AS (
 sized AS (SELECT *, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM each_one)
 SELECT page_id, warc_type, record_id, source_id AS refers_to, url AS target_uri, source_digest, block_digest, content_length,
        'WARC/1.1' || {END} || 'WARC-Type: ' || warc_type || {END} || 'WARC-Record-ID: <' || record_id || '>' || {END}
-       || 'WARC-Date: {NO_DATE}' || {END} || coalesce('WARC-Target-URI: ' || url || {END}, '')
+       || 'WARC-Date: {NO_DATE}' || {END} || coalesce('WARC-Target-URI: ' || regexp_replace(url, '{CONTROLS}', ' ', 'g') || {END}, '')
        || 'WARC-Refers-To: <' || source_id || '>' || {END} || 'WARC-Block-Digest: ' || block_digest || {END}
        || 'Content-Type: ' || kind || {END} || 'Content-Length: ' || content_length || {END} || {END} || block AS record
 FROM sized

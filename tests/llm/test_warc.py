@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -52,6 +53,31 @@ def test_text_of_markup(spark):
     assert spark.range(1).select(plain_text(F.lit(html))).first()[0] == "One &lt; two\n3 < 4\né"
 
 
+def test_marks_left_open(spark):
+    """Each of them as often as in a very long damaged page; what follows the last one is markup, not text."""
+    marks = ["<script>", "<style>", "<noscript>", "<head>", "<!--", "<title>", "<title ", "<html ", "<p ", "<a ", "<", "<head ", "<script"]
+    pages = spark.createDataFrame([(n, "u", "<p>kept</p>" + mark * 40_000) for n, mark in enumerate(marks)], "page_id long, url string, html string")
+    started = time.time()
+    rows = derivatives(responses(pages)).where("warc_type = 'conversion'").collect()
+    assert time.time() - started < 60 and len(rows) == len(marks)
+    assert all(row.record.split("\r\n\r\n", 1)[1].startswith("kept") for row in rows)
+
+
+def test_head_left_open_ends_at_the_first_block(spark):
+    html = "<head><title>T</title><script>x('<div>')</script><body class=a><p>one</p> 3 < 4 and 5 > 4"
+    assert spark.range(1).select(plain_text(F.lit(html))).first()[0] == "one\n3 < 4 and 5 > 4"
+
+
+def test_values_write_no_headers(spark):
+    url = "http://x/\r\nWARC-Type: response\r\n\r\nbody"
+    pages = spark.createDataFrame([(1, url, "<title>a\r\nb\x00c</title>")], "page_id long, url string, html string")
+    for row in derivatives(responses(pages)).collect():
+        head, block = row.record.split("\r\n\r\n", 1)
+        assert [line.split(": ")[0] for line in head.split("\r\n")].count("WARC-Type") == 1
+        assert row.target_uri == url and "WARC-Target-URI: http://x/  WARC-Type: response    body" in head
+        assert row.warc_type == "conversion" or "title: a b c\r\n" in block
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (2, "u", "", "y"), (None, "u", "<p>" * 30_000, "z")], "page_id long, url string, html string, record_id string")
     rows = derivatives(responses(pages)).collect()
