@@ -14,6 +14,7 @@ from paperloom.operators.metrics import (
     run_report,
     ttl_dedupe,
 )
+from paperloom.streaming.runs import replay_run_report
 from paperloom.streaming.metrics import replay_counts, replay_latency, replay_rate_limits, replay_ttl_dedupe
 
 _COUNTS = """SELECT endpoint, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS failures
@@ -117,6 +118,11 @@ def _rate_limit_stream(spark, sf_dir):
 )
 def _run_report(spark, sf_dir):
     """Events as status changes of runs, one run per user; customers ask, most for runs that do not exist."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"))
+    return run_report(_run_events(spark, sf_dir), asked, order=("ts", "event_id"))
+
+
+def _run_events(spark, sf_dir):
     kind = F.col("event_type")
     status = (
         F.when(kind == "error", F.lit("failed"))
@@ -124,15 +130,35 @@ def _run_report(spark, sf_dir):
         .when(kind == "signup", F.lit("queued"))
         .otherwise(F.lit("running"))
     )
-    events = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"),
         status.alias("status"),
         F.when(kind == "error", F.col("props")).alias("error"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
     )
-    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"))
-    return run_report(events, asked, order=("ts", "event_id"))
+
+
+@query(
+    "run_report_stream",
+    """WITH asked AS (
+        SELECT c_custkey AS run_id, TIMESTAMP '2024-01-05 00:00:00' + to_minutes(c_custkey * 7919 % 36000) AS asked_at FROM customer),
+    last AS (
+        SELECT run_id, asked_at, event_type, props, user_id,
+               row_number() OVER (PARTITION BY run_id, asked_at ORDER BY ts DESC, event_id DESC) AS n,
+               count(user_id) OVER (PARTITION BY run_id, asked_at) AS updates
+        FROM asked LEFT JOIN events ON user_id = run_id AND ts <= asked_at AND ts > asked_at - INTERVAL 2 DAYS)
+    SELECT run_id, strftime(asked_at, '%Y-%m-%d %H:%M:%S.%f') AS asked_at,
+           CASE WHEN user_id IS NULL THEN 'failed' WHEN event_type = 'error' THEN 'failed'
+                WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'signup' THEN 'queued' ELSE 'running' END AS status,
+           CASE WHEN user_id IS NULL THEN 'Unknown job_id' WHEN event_type = 'error' THEN props END AS error, updates
+    FROM last WHERE n = 1""",
+)
+def _run_report_stream(spark, sf_dir):
+    """Customers ask at moments of their own; the last status of the two days before is the answer."""
+    at = F.expr("TIMESTAMP '2024-01-05 00:00:00' + make_dt_interval(0, 0, CAST(c_custkey * 7919 % 36000 AS INT))")
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), at.alias("asked_at"))
+    return replay_run_report(_run_events(spark, sf_dir), asked, "2 days").withColumn("asked_at", moment("asked_at"))
 
 
 def searches(spark, sf_dir):

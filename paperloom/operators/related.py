@@ -58,7 +58,7 @@ def related_top_k(edges: DataFrame, k: int = 10, list_bound: int = LIST_BOUND) -
     """``(paper_id, rank, related_id, score)``: for every paper the ``k`` others that share most, all if fewer share any.
 
     The score of two papers is the sum over their shared methods and datasets of 10**12 div papers using it, ties go to
-    the smaller id.  Repeated edges count once; authors, blank names and null papers take no part.
+    the smaller id.  Repeated edges count once; authors, empty names and null papers take no part.
 
     Sets of entities grow by one entity a round, the rarest first, as a sorted list.  A set held by few papers gives all
     of them as candidates.  For a set held by many, its first ``k + 1`` papers stand for those who share just this set,

@@ -23,6 +23,8 @@ _PEOPLE = "array<map<string,string>>"
 
 ARXIV_ITEM = f"""id string, title string, authors {_PEOPLE}, summary string, published string, pdf_url string,
     doi string, entry_id string, {_CORRUPT} string"""
+ARXIV_ENTRY = f"""id string, title string, summary string, published string, author array<struct<name string>>,
+    link array<struct<_href string, _title string>>, doi string, {_CORRUPT} string"""
 SEMANTIC_SCHOLAR_ITEM = f"""paperId string, title string, authors {_PEOPLE}, abstract string, year bigint,
     externalIds struct<DOI string>, openAccessPdf struct<url string>, url string, {_CORRUPT} string"""
 PUBMED_RESPONSE = f"idlist array<string>, result map<string,string>, {_CORRUPT} string"
@@ -130,6 +132,37 @@ def arxiv_papers(landed: DataFrame) -> DataFrame:
     return _finish(mapped, "arxiv", reason)
 
 
+def arxiv_feed_papers(landed: DataFrame) -> DataFrame:
+    """Papers of arXiv's own Atom feed, one ``<entry>`` element as XML text per row.
+
+    Namespaces are ignored, so prefixed elements are read by their names.  The id is the end of the entry's address, the
+    PDF its link of that title.  An entry that is not well-formed costs only itself.
+    """
+    entry = compute_once(landed, item=F.from_xml("payload", ARXIV_ENTRY, {**_PARSE, "ignoreNamespace": "true"}))
+    pdf = F.filter("item.link", lambda link: link["_title"] == "pdf")
+    mapped = entry.select(
+        "topic",
+        "source_rank",
+        "payload",
+        F.substring_index("item.id", "arxiv.org/abs/", -1).alias("external_id"),
+        _single_line(F.col("item.title")).alias("title"),
+        F.coalesce(F.transform("item.author", lambda author: strip(author["name"])), F.array().cast("array<string>")).alias("authors"),
+        _single_line(or_null(F.col("item.summary"))).alias("abstract"),
+        F.to_date(F.try_to_timestamp("item.published")).alias("published_date"),
+        F.get(pdf, 0)["_href"].alias("pdf_url"),
+        "item.doi",
+        F.col("item.id").alias("url"),
+        F.col(f"item.{_CORRUPT}").alias(_CORRUPT),
+    )
+    reason = _reject(
+        _malformed(),
+        ("no id", F.col("external_id").isNull()),
+        ("no title", F.col("title").isNull()),
+        ("null author", _nameless("authors")),
+    )
+    return _finish(mapped, "arxiv", reason)
+
+
 def semantic_scholar_papers(landed: DataFrame) -> DataFrame:
     item = _parsed(landed, SEMANTIC_SCHOLAR_ITEM)
     mapped = item.select(
