@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from paperloom.llm.common import row_key, table
 from paperloom.llm.decontamination import find_leaks
@@ -20,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is filled with the predicted one, which is ``und`` where no document that training may see has a language.
     """
     network = train(training_sample(docs))
-    found = predictions(docs, network, [name for name in docs.columns if name != "doc_id"]).where("lettered")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    plain = _plain(docs)
+    found = predictions(plain, network, [name for name in plain.columns if name != "doc_id"]).where("lettered")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,32 +32,60 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows equal in id and text become one, of several the one with the smallest other columns. Different texts of one id
     are one document and stay or go together; a null id links with nothing, so its different texts stay.
     """
-    found = near_duplicates(docs, words=5, percent=80)
-    kept = _without(docs, found.where("component_id <> doc_id").select("doc_id"))
-    others = [name for name in docs.columns if name not in ("doc_id", "text")]
-    once = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("others"))
-    return once.select("doc_id", "text", "others.*").select(*docs.columns)
+    plain = _plain(docs)
+    found = near_duplicates(plain, words=5, percent=80)
+    kept = _without(plain, found.where("component_id <> doc_id").select("doc_id"))
+    others = [field for field in plain.schema if field.name not in ("doc_id", "text")]
+    # Maps have no order, their sorted entries do.
+    order = [
+        F.sort_array(F.map_entries(field.name)) if isinstance(field.dataType, MapType) else F.col(field.name) for field in others
+    ]
+    once = kept.groupBy("doc_id", "text").agg(
+        F.min_by(F.struct(*[field.name for field in others]), F.struct(*order)).alias("others")
+    )
+    return once.select("doc_id", "text", "others.*").select(*plain.columns).toDF(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: words of repeated windows of 35 go; texts without one stay as they are."""
-    found = remove_repeats(docs, carry=["text", "lang", "source"])
+    """Substring dedup: words of repeated windows of 35 go; texts without one stay as they are.
+
+    So do null, empty and short texts; ``n_chars`` is counted anew, all other columns stay. Repeated rows lose each other's
+    words. An empty table gives no rows.
+    """
+    plain = _plain(docs)
+    found = remove_repeats(plain, carry=[name for name in plain.columns if name not in ("doc_id", "n_chars")])
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return found.select(*[new.get(name, F.col(name)) for name in plain.columns]).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
-    keyed = docs.withColumn("row_key", row_key())
+    """Benchmark decontamination: documents that hold a benchmark item go.
+
+    Null and empty texts hold none, very long ones are searched whole. Rows are judged by id and text, so repeated rows go or
+    stay together and a null id is an id of its own. An empty table gives no rows.
+    """
+    plain = _plain(docs)
+    keyed = plain.withColumn("row_key", row_key())
     found = find_leaks(keyed, table(spark, sf_dir, "benchmark"), carry=["row_key"])
-    return _without(keyed, found.select("doc_id", "row_key")).select(*docs.columns)
+    return _without(keyed, found.select("doc_id", "row_key")).select(*plain.columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: a row per piece with its sequence and its place there."""
+    """Best-fit packing: a row per piece with its sequence and its place there.
+
+    A null text is empty, repeated rows are packed each, very long texts in several pieces. Further columns are ignored, an
+    empty table gives no rows.
+    """
     return pack_documents(docs)
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns besides those of documents named by their place, so that no name clashes or needs quotes."""
+    own = ("doc_id", "text", "lang", "source", "n_chars")
+    return docs.toDF(*[name if name in own else f"carried_{place}" for place, name in enumerate(docs.columns)])
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are equal to no rejected row in all of its columns; nulls are equal."""
     rejected = rejected.distinct()
