@@ -130,5 +130,22 @@ def test_registration():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in names if name.startswith("op") and name[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in names if name.startswith("op") and name[2].isdigit()}
     assert "pipeline" in names and set(ORACLES) <= set(QUERIES) <= set(names)
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns named as those that the operators add, with spaces and dots, of map type, and none of the rows lost."""
+    extra = """concat('s', doc_id) AS score, true AS held_out, 'x' AS lang_pred, 1 AS row_key, 2 AS others, 3 AS rejected_doc_id,
+        4 AS n_removed, 5 AS kept, 6 AS `a b`, 7 AS `c.d`, map('k', doc_id) AS pairs"""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.createOrReplaceTempView("clashing_source")
+    docs = spark.sql(f"SELECT *, {extra} FROM clashing_source")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, docs.limit(0)):
+            kept = stage(spark, given, SF)
+            assert kept.columns == docs.columns, name
+            rows = kept.select("doc_id", "score", "row_key", "`a b`", "`c.d`", "pairs").collect()
+            assert all((row.score, row.row_key, row[3], row[4], row.pairs) == (f"s{row.doc_id}", 1, 6, 7, {"k": row.doc_id}) for row in rows), name
+            assert bool(rows) == (given is docs), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
