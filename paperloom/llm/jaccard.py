@@ -21,12 +21,14 @@ _hashes = WordHashes()
 #: Elements of the sets that a worker keeps while it checks pairs.
 KEPT_ELEMENTS = 4_000_000
 #: Signatures that a task packs at a time, rows of packed ones in an Arrow batch, buckets for each shuffle partition.
-HELD_SIGNATURES = 2_000_000
+HELD_SIGNATURES = 1_000_000
 PACKED_ROWS = 256
 BUCKETS = 8
 #: Members of a signature that a block holds on average, and pairs that a task compares at a time.
 BLOCK_MEMBERS = 1024
 PAIRS_AT_A_TIME = 1_000_000
+#: How many times more of its nearest partners a member names in each further round.
+FURTHER = 8
 SKETCH_SALT = 0x5851F42D4C957F2D
 
 
@@ -36,6 +38,13 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(rolled(hashes, min(words, len(hashes)))) if len(hashes) else hashes
 
 
+def set_digest(elements: np.ndarray) -> bytes | None:
+    """128 bits that equal sets share; none for the empty set."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None
+
+
 def odd_sketch(elements: np.ndarray) -> bytes:
     """A bit for each of ``2 ** n`` cells, at least two per element and 64 in all: whether it holds an odd number of elements."""
     bits = 64
@@ -200,26 +209,29 @@ def _met(rows: pa.Table) -> pa.Table:
         "leader": pa.chunked_array([pa.array(found[2]), pa.nulls(len(sized), pa.int64())]),
         "n_shingles": pa.chunked_array([pa.nulls(none, pa.int64()), *sized["n_shingles"].chunks]),
         "sketch": pa.chunked_array([pa.nulls(none, pa.binary()), *sized["sketch"].chunks]),
+        "digest": pa.chunked_array([pa.nulls(none, pa.binary()), *sized["digest"].chunks]),
     })
 
 
 def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``(signature, doc_id, leader)`` of every signature that several documents share; the leader is the smallest of them.
 
-    Rows with ``n_shingles``, one for every row of ``docs``, have the size and the sketch of its set instead.
+    Rows with ``n_shingles``, one for every row of ``docs``, have the size, the sketch and the digest of its set instead. Of
+    the equal sets that a task holds at a time, one makes signatures.
 
     Signatures travel packed, some thousands to a row, in ``BUCKETS`` buckets for each shuffle partition; a task compares
     those of one bucket at a time. More shuffle partitions make smaller buckets.
     """
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = ("bucket", "base", "width", "signatures", "doc_ids", "shared", "leaders", "doc_id", "n_shingles", "sketch")
-    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary())
+    names = ("bucket", "base", "width", "signatures", "doc_ids", "shared", "leaders", "doc_id", "n_shingles", "sketch", "digest")
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary(), pa.binary())
     packed = pa.schema(list(zip(names, kinds, strict=True)))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = PartEnum(percent)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        signed: set[bytes] = set()
         count = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
@@ -232,20 +244,47 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for text, doc_id in zip(texts(batch), batch.column("doc_id").to_pylist(), strict=True):
                 elements = shingle_set(text, words)
                 place = (doc_id or len(sizes)) % buckets
-                sizes.append({"bucket": place, "doc_id": doc_id, "n_shingles": len(elements), "sketch": odd_sketch(elements)})
-                if doc_id is not None and len(elements):
+                digest = set_digest(elements)
+                sizes.append({
+                    "bucket": place, "doc_id": doc_id, "n_shingles": len(elements), "sketch": odd_sketch(elements), "digest": digest
+                })
+                if doc_id is not None and digest is not None and digest not in signed:
+                    signed.add(digest)
                     made = scheme.signatures(elements)
                     held.append((made, np.full(len(made), doc_id)))
                     count += len(made)
                 if count > HELD_SIGNATURES:
                     yield from flushed()
                     held, count = [], 0
+                    signed.clear()
             yield pa.RecordBatch.from_pylist(sizes, packed)
         yield from flushed()
 
-    kind = "bucket int, base long, width int, signatures binary, doc_ids binary, shared binary, leaders binary, doc_id long, n_shingles long, sketch binary"
+    kind = "bucket int, base long, width int, signatures binary, doc_ids binary, shared binary, leaders binary, doc_id long, n_shingles long, sketch binary, digest binary"
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signatures, kind)
-    return made.groupBy("bucket").applyInArrow(_met, "signature long, doc_id long, leader long, n_shingles long, sketch binary")
+    return made.groupBy("bucket").applyInArrow(_met, "signature long, doc_id long, leader long, n_shingles long, sketch binary, digest binary")
+
+
+def _twins(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` for every document ``b`` with a set that a smaller document has too, ``a`` being the smallest of them; and
+    those rows of it whose ``b`` has no other set, so that ``a`` can stand for it.
+
+    ``named`` has a row ``(doc_id, digest)`` for every set with elements.
+    """
+    named = named.select("doc_id", "digest")
+    least = named.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last")
+    twins = cut_lineage(named.join(least, "digest").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high")
+    return twins, twins.join(several.select(F.col("doc_id").alias("b")), "b", "left_anti").select("a", "b")
+
+
+def _members_of_classes(members: DataFrame, alone: DataFrame) -> DataFrame:
+    """``(signature, doc_id, leader)`` with the smallest document of a set in place of the others, ``alone`` of ``_twins``;
+    signatures of one set only go."""
+    moved = alone.select(F.col("b").alias("doc_id"), "a")
+    named = members.join(moved, "doc_id", "left").select("signature", F.coalesce("a", "doc_id").alias("doc_id"))
+    spans = named.groupBy("signature").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"))
+    return named.join(spans.where("leader < last").drop("last"), "signature").distinct()
 
 
 def _matrix(sketches: pa.Array, rows: np.ndarray, length: int) -> np.ndarray:
@@ -275,9 +314,13 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return near.mapInArrow(possible, "a long, b long").distinct()
 
 
-def _compared(rows: pa.Table, percent: int) -> pa.Table:
+def _compared(rows: pa.Table, percent: int, nearest: int | None = None) -> pa.Table:
     """The pairs ``(a, b)`` of a bucket's rows that share signature and block pair, lie in different components and are
-    possible by size and sketch."""
+    possible by size and sketch.
+
+    With ``nearest``, a row names only that many of the partners behind it, those of the nearest sketches; ``more`` tells
+    that it has others. So the pairs are at most ``nearest`` times the rows.
+    """
     none = np.zeros(0, np.int64)
     signature, i, j, doc_id, component, size = (rows[name].to_numpy() for name in ("signature", "i", "j", "doc_id", "component", "n_shingles"))
     right = rows["own"].to_numpy() != i
@@ -302,7 +345,7 @@ def _compared(rows: pa.Table, percent: int) -> pa.Table:
         within[chosen] = np.arange(len(chosen))
         tables.append(_matrix(sketches, chosen, bytes_).view(np.uint64))
 
-    def possible(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def possible(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         fit = (component[one] != component[other]) & (
             100 * np.minimum(size[one], size[other]) >= percent * np.maximum(size[one], size[other])
         )
@@ -317,11 +360,19 @@ def _compared(rows: pa.Table, percent: int) -> pa.Table:
                 some = chosen[first : first + step]
                 least[some] = least_differences(left[within[one[some]]], right_[within[other[some]]])
         kept = least * (100 + percent) <= (100 - percent) * (size[one] + size[other])
-        a, b = doc_id[one[kept]], doc_id[other[kept]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-    found = [(none, none)]
+        one, other, least = one[kept], other[kept], least[kept]
+        more = np.zeros(len(one), np.int64)
+        if nearest is not None:
+            order = np.lexsort((other, least, one))
+            one, other = one[order], other[order]
+            nth = np.arange(len(one)) - np.searchsorted(one, one)
+            more = (np.searchsorted(one, one, side="right") - np.searchsorted(one, one) > nearest).astype(np.int64)
+            one, other, more = (x[nth < nearest] for x in (one, other, more))
+        a, b = doc_id[one], doc_id[other]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), more], axis=1), axis=0)
+        return pairs[:, 0], pairs[:, 1], pairs[:, 2]
+
+    found = [(none, none, none)]
     before = np.cumsum(partners) - partners
     first = 0
     while first < len(order):
@@ -332,12 +383,13 @@ def _compared(rows: pa.Table, percent: int) -> pa.Table:
         if len(one):
             found.append(possible(one, start[one] + nth))
         first = last
-    a, b = (np.concatenate(part) for part in zip(*found, strict=True))
-    return pa.table({"a": a, "b": b})
+    a, b, more = np.unique(np.stack([np.concatenate(part) for part in zip(*found, strict=True)]), axis=1)
+    return pa.table({"a": a, "b": b, "more": more > 0})
 
 
-def _possible_members(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of members of a signature in different components that sizes and sketches allow.
+def _possible_members(open_: DataFrame, sketches: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
+    """The pairs ``(a, b)`` of members of a signature in different components that sizes and sketches allow; with
+    ``nearest``, that many of each member in a task, and ``more`` where it has others.
 
     Of signatures with the same members, one is read. The members of a signature are dealt into blocks, a row for each pair
     of blocks, and the sketches of two blocks are compared in a task: pairs become rows only where they are possible.
@@ -355,7 +407,9 @@ def _possible_members(open_: DataFrame, sketches: DataFrame, percent: int) -> Da
     paired = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     bucket = F.pmod(F.xxhash64("signature", "i", "j"), F.lit(buckets)).alias("bucket")
     rows = paired.select(bucket, "signature", "i", "j", "own", "doc_id", "component", "n_shingles", "sketch")
-    return rows.groupBy("bucket").applyInArrow(lambda table: _compared(table, percent), "a long, b long").distinct()
+    return rows.groupBy("bucket").applyInArrow(lambda table: _compared(table, percent, nearest), "a long, b long, more boolean").groupBy("a", "b").agg(
+        F.bool_or("more").alias("more")
+    )
 
 
 def _linked(near: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -411,22 +465,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     of fewer words is one n-gram, one without words is empty and links with nothing. ``component_id`` is the smallest
     ``doc_id`` that links reach.
 
-    Signatures find the pairs, sketches rule out what differs too much, texts decide the rest. The first round checks
-    each member of a signature against its smallest document only, which joins groups of copies however large. The next
-    checks what still lies in other components against the signature's document of most signatures, which is the one
-    nearest to the others. The last checks all members of a signature in different components, by sketch and block by
-    block. So no link that would change a component is lost and no group of copies is written out in pairs; pairs that
-    other links join already are not checked. ``similar_classes`` gives every link.
+    Documents of equal sets, told by digests of 128 bits, link without a check; the smallest stands for all of them from
+    there on. Signatures find the other pairs, sketches rule out what differs too much, texts decide the rest. The first
+    round checks each member of a signature against its smallest document only, which joins groups of near copies however
+    large. The next checks what still lies in other components against the signature's document of most signatures, which
+    is the one nearest to the others. Further ones compare all members of a signature in different components by sketch,
+    block by block, and check the nearest partners of each, ``FURTHER`` times as many a round until none are left out. So
+    no link that would change a component is lost and no group of copies is written out in pairs; pairs that other links
+    join already are not checked. ``similar_classes`` gives every link.
 
     A null text is empty. Rows that share a ``doc_id`` are one document with several texts: a link of any of them is its
     link, and each row keeps its own ``n_shingles``. A null ``doc_id`` links with nothing and has a null component.
     Further columns are ignored.
     """
     made = cut_lineage(_members(docs, words, percent))
-    members = made.where("n_shingles is null").select("signature", "doc_id", "leader")
-    popularity = members.groupBy("doc_id").agg(F.count("*").alias("n"))
     sized = made.where("n_shingles is not null")
-    sketches = sized.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch")
+    named = sized.where("digest is not null and doc_id is not null")
+    twins, alone = _twins(named)
+    members = cut_lineage(_members_of_classes(made.where("n_shingles is null").select("signature", "doc_id"), alone))
+    popularity = members.groupBy("doc_id").agg(F.count("*").alias("n"))
+    sketches = named.select("doc_id", "n_shingles", "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return cut_lineage(_linked(_alike(pairs, sketches, percent), docs, words, percent))
@@ -439,10 +497,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     met = open_.join(centre, "signature").where("component <> centre.component")
     links = links.union(linked(_pairs(met, "centre.doc_id", "doc_id")))
 
-    open_ = cut_lineage(_open_members(members, links))
-    links = links.union(cut_lineage(_linked(_possible_members(open_, sketches, percent), docs, words, percent)))
-
-    component = smallest_reachable(links).withColumnRenamed("node", "doc_id")
+    nearest, checked = 1, links.limit(0)
+    while True:
+        open_ = cut_lineage(_open_members(members, links))
+        possible = cut_lineage(_possible_members(open_, sketches, percent, nearest))
+        new = cut_lineage(possible.join(checked, ["a", "b"], "left_anti").select("a", "b"))
+        links = links.union(cut_lineage(_linked(new, docs, words, percent)))
+        if possible.where("more").isEmpty():
+            break
+        nearest, checked = nearest * FURTHER, checked.union(new)
+
+    component = smallest_reachable(links.union(twins)).withColumnRenamed("node", "doc_id")
     return sized.join(component, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
@@ -474,5 +539,5 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     made = cut_lineage(_members(chosen, words, percent))
     apart = made.where("n_shingles is null").select("signature", "doc_id", F.col("doc_id").alias("component"))
     sketches = made.where("n_shingles is not null").select("doc_id", "n_shingles", "sketch")
-    pairs = _linked(_possible_members(apart, sketches, percent), chosen, words, percent)
+    pairs = _linked(_possible_members(apart, sketches, percent).select("a", "b"), chosen, words, percent)
     return classed.select("doc_id", "class_id"), pairs
