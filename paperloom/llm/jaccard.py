@@ -27,8 +27,9 @@ BUCKETS = 8
 #: Members of a signature that a block holds on average, and pairs that a task compares at a time.
 BLOCK_MEMBERS = 1024
 PAIRS_AT_A_TIME = 1_000_000
-#: How many times more of its nearest partners a member names in each further round.
-FURTHER = 8
+#: Nearest partners that a member names in the first round of pairs, and how many times more in each further one.
+NEAREST = 4
+FURTHER = 64
 SKETCH_SALT = 0x5851F42D4C957F2D
 
 
@@ -497,15 +498,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     met = open_.join(centre, "signature").where("component <> centre.component")
     links = links.union(linked(_pairs(met, "centre.doc_id", "doc_id")))
 
-    nearest, checked = 1, links.limit(0)
+    nearest, checked = NEAREST, links.limit(0)
+    open_ = cut_lineage(_open_members(members, links))
     while True:
-        open_ = cut_lineage(_open_members(members, links))
         possible = cut_lineage(_possible_members(open_, sketches, percent, nearest))
         new = cut_lineage(possible.join(checked, ["a", "b"], "left_anti").select("a", "b"))
-        links = links.union(cut_lineage(_linked(new, docs, words, percent)))
+        found = cut_lineage(_linked(new, docs, words, percent))
+        links = links.union(found)
         if possible.where("more").isEmpty():
             break
         nearest, checked = nearest * FURTHER, checked.union(new)
+        if not found.isEmpty():
+            open_ = cut_lineage(_open_members(members, links))
 
     component = smallest_reachable(links.union(twins)).withColumnRenamed("node", "doc_id")
     return sized.join(component, "doc_id", "left").select(

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from paperloom.llm import jaccard
 from paperloom.llm.common import smallest_reachable
-from paperloom.llm.jaccard import PartEnum, least_differences, near_duplicates, odd_sketch, shingle_set, similar_classes
+from paperloom.llm.jaccard import PartEnum, _compared, least_differences, near_duplicates, odd_sketch, shingle_set, similar_classes
 
 
 def sets_of(text, most=3):
@@ -90,6 +92,35 @@ def test_a_chain_links_beyond_its_first_document(spark):
     assert {row.component_id for row in found(spark, rows)} == {61}
 
 
+def test_rounds_of_pairs_find_what_the_first_leaves_out(spark, monkeypatch):
+    """Families of texts around the threshold: each member has more possible partners than a round names."""
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "FURTHER", 2)
+    rng = random.Random(21)
+    base = [f"t{n}" for n in range(120)]
+    rows = []
+    for doc_id in range(60):
+        text = list(base)
+        for place in rng.sample(range(120), rng.choice([1, 2, 2, 3])):
+            text[place] = f"v{rng.randrange(3)}"
+        rows.append((doc_id, " ".join(text)))
+    assert {row.doc_id: row.component_id for row in found(spark, rows)} == brute(rows)
+
+
+def test_a_task_names_no_more_pairs_than_asked():
+    elements = np.arange(200, dtype=np.uint64)
+    sketch = odd_sketch(elements)
+    count = 50
+    rows = pa.table({
+        "signature": [7] * count, "i": [0] * count, "j": [0] * count, "own": [0] * count, "doc_id": list(range(count)),
+        "component": list(range(count)), "n_shingles": [200] * count, "sketch": [sketch] * count,
+    })
+    near = _compared(rows, 90, 2)
+    assert near.num_rows == 2 * (count - 2) + 1 and set(near["more"].to_pylist()) == {True, False}
+    every = _compared(rows, 90)
+    assert every.num_rows == count * (count - 1) // 2 and not any(every["more"].to_pylist())
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_similar_sets_share_a_signature(percent):
     rng = random.Random(5)
