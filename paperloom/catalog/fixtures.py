@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import WHITESPACE, paper_id, title_key
 from paperloom.schemas import EVALUATED_ON, SOURCES, USES_METHOD
-from paperloom.session import spread
+from paperloom.session import spread, task_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,14 +160,23 @@ def sql_chunks(source: str, key: str, size: int, overlap: int, name: str = "chun
     FROM {name}_pieces WHERE text <> '')"""
 
 
+def edge_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for work on the edges, by the number of order lines, which the files tell without being read."""
+    return task_count(spark, table(spark, sf_dir, "lineitem").count())
+
+
 def edge_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(set_id, paper_id, year, method, dataset)`` per order line: order = paper, customer = set of papers."""
+    """``(set_id, paper_id, year, method, dataset)`` per order line: order = paper, customer = set of papers.
+
+    Partitioned by paper, and so are the edges that come of it.
+    """
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("paper_id"), F.year("o_orderdate").alias("year")
     )
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("p_partkey"))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("method"), F.col("p_type").alias("dataset"))
-    return lines.join(parts, "p_partkey").join(orders, "paper_id").drop("p_partkey")
+    used = lines.join(parts, "p_partkey").drop("p_partkey").repartition(edge_tasks(spark, sf_dir), "paper_id")
+    return used.join(orders, "paper_id")
 
 
 def edge_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from paperloom.catalog.fixtures import (
     METADATA_WRITES,
     PAPER_VIEW,
     edge_mentions,
+    edge_tasks,
     edge_view,
     joined,
     member_view,
@@ -211,7 +212,7 @@ ISOLATED_SQL = f"""{EDGE_VIEW}, isolated AS (
 
 @query("isolated_items", f"WITH {ISOLATED_SQL} SELECT set_id, rel, name FROM isolated")
 def _isolated_items(spark, sf_dir):
-    return isolated_items(member_view(spark, sf_dir), edge_view(spark, sf_dir))
+    return isolated_items(member_view(spark, sf_dir), edge_view(spark, sf_dir), edge_tasks(spark, sf_dir))
 
 
 def _grown(spark, sf_dir):
@@ -258,7 +259,7 @@ def _isolated_delta(spark, sf_dir):
     FROM answered""",
 )
 def _gap_report(spark, sf_dir):
-    report = gap_report(member_view(spark, sf_dir), edge_view(spark, sf_dir), gap_stub)
+    report = gap_report(member_view(spark, sf_dir), edge_view(spark, sf_dir), gap_stub, edge_tasks(spark, sf_dir))
     return report.select(
         "set_id",
         joined("isolated_methods", ", ").alias("isolated_methods"),

@@ -6,7 +6,6 @@ Edges are ``(paper_id, rel, name)``.  Every question is one hop, so each is a jo
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +25,14 @@ def paper_nodes(writes: DataFrame, seq: str | Sequence[str]) -> DataFrame:
 
 
 def edges_from_papers(papers: DataFrame) -> DataFrame:
-    """Distinct edges of ``papers(paper_id, authors, methods, datasets)``."""
-    parts = [
-        papers.select("paper_id", F.lit(rel).alias("rel"), F.explode(column).alias("name"))
-        for rel, column in ((AUTHORED, "authors"), (USES_METHOD, "methods"), (EVALUATED_ON, "datasets"))
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    """Distinct edges of ``papers(paper_id, authors, methods, datasets)``, whose partitioning by paper they keep."""
+
+    def named(rel: str, column: str) -> Column:
+        edges = F.transform(column, lambda name: F.struct(F.lit(rel).alias("rel"), name.cast("string").alias("name")))
+        return F.coalesce(edges, F.array().cast("array<struct<rel:string,name:string>>"))
+
+    lists = F.concat(named(AUTHORED, "authors"), named(USES_METHOD, "methods"), named(EVALUATED_ON, "datasets"))
+    return papers.select("paper_id", F.inline(lists)).distinct()
 
 
 def new_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -143,13 +144,16 @@ def related_paper_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def isolated_items(members: DataFrame, edges: DataFrame) -> DataFrame:
+def isolated_items(members: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """``(set_id, rel, name)`` of the methods and datasets that exactly one paper of a set uses.
 
-    ``members(set_id, paper_id)`` may repeat papers; ``edges`` are distinct.
+    ``members(set_id, paper_id)`` may repeat papers; ``edges`` are distinct.  ``tasks`` says in how many parts the items
+    are counted, by default as many as Spark makes.
     """
     used = edges.where(F.col("rel").isin(USES_METHOD, EVALUATED_ON) & present(F.col("name")))
     in_sets = members.select("set_id", "paper_id").distinct().join(used, "paper_id")
+    if tasks is not None:
+        in_sets = in_sets.select("set_id", "rel", "name").repartition(tasks, "set_id", "rel", "name")
     counts = in_sets.groupBy("set_id", "rel", "name").agg(F.count("*").alias("papers"))
     return counts.where(F.col("papers") == 1).drop("papers")
 

@@ -11,14 +11,14 @@ from paperloom.operators.model import ModelFn, call_model, gap_prompt
 from paperloom.session import cut_lineage
 
 
-def gap_report(members: DataFrame, edges: DataFrame, fn: ModelFn, **asking) -> DataFrame:
+def gap_report(members: DataFrame, edges: DataFrame, fn: ModelFn, tasks: int | None = None, **asking) -> DataFrame:
     """Isolated methods and datasets of every set, and the model's sentences about them.
 
-    Sets with nothing isolated make no call; a failed call keeps the facts and leaves the sentences empty. ``asking`` is
-    for :func:`call_model`.
+    Sets with nothing isolated make no call; a failed call keeps the facts and leaves the sentences empty. ``tasks`` is
+    for :func:`isolated_items`, ``asking`` for :func:`call_model`.
     """
     # Read by the prompts and by the result.
-    facts = cut_lineage(isolated_lists(members, isolated_items(members, edges)))
+    facts = cut_lineage(isolated_lists(members, isolated_items(members, edges, tasks)))
     something = (F.size("isolated_methods") > 0) | (F.size("isolated_datasets") > 0)
     prompts = facts.where(something).select(
         "set_id", gap_prompt(F.col("isolated_methods"), F.col("isolated_datasets")).alias("prompt")
