@@ -23,7 +23,7 @@ from paperloom.operators.store import cache_key
 from paperloom.plans.search import landed_papers, refine_hits, search_with_cache, with_cache_key
 from paperloom.plans.search import search_papers as run_search
 from paperloom.schemas import SOURCES
-from paperloom.session import cut_lineage, fresh_path
+from paperloom.session import compute_once, cut_lineage, fresh_path
 from paperloom.sources import payloads
 
 TITLE_KEY_SQL = "nullif(regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), '')"
@@ -354,14 +354,29 @@ def shown_rank(source: str):
     return rank.alias("source_rank")
 
 
-def word_positions(spark, sf_dir):
-    """``(doc_id, word_index)`` with the inverted index of every document."""
-    words = F.filter(F.split("text", "[ \n]+"), lambda word: word != "")
-    placed = documents(spark, sf_dir).select("doc_id", F.posexplode(words).alias("position", "word"))
-    positions = placed.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return positions.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("word_index")
+def with_word_index(papers, text: str):
+    """Adds ``word_index``, the inverted index of every row's text, null where it has no words or the row no ``doc_id``.
+
+    Built within the row: sorted by word and position, every word is a run of its places.
+    """
+    words = F.filter(F.split(text, "[ \n]+"), lambda word: word != "")
+    pairs = F.sort_array(F.transform(words, lambda word, nth: F.struct(word.alias("word"), nth.alias("position"))))
+    placed = compute_once(papers, _placed=F.when(F.col("doc_id").isNotNull() & (F.size(words) > 0), pairs))
+    last = F.size("_placed") - 1
+
+    def begins(nth):
+        return (nth == 0) | (F.get("_placed", nth)["word"] != F.get("_placed", nth - 1)["word"])
+
+    runs = compute_once(placed, _starts=F.when(F.col("_placed").isNotNull(), F.filter(F.sequence(F.lit(0), last), begins)))
+
+    def positions(start, nth):
+        end = F.coalesce(F.get("_starts", nth + 1) - 1, last)
+        return F.transform(F.sequence(start, end), lambda place: F.get("_placed", place)["position"])
+
+    index = F.map_from_arrays(
+        F.transform("_starts", lambda start: F.get("_placed", start)["word"]), F.transform("_starts", positions)
     )
+    return compute_once(runs, word_index=index).drop("_placed", "_starts")
 
 
 WORDS_SQL = "nullif(array_to_string(list_filter(regexp_split_to_array({}, '[ \n]+'), lambda x: x <> ''), ' '), '')"
@@ -378,7 +393,7 @@ def landed_openalex(spark, sf_dir):
         F.struct(F.col("pdf_url").alias("oa_url")).alias("open_access"),
         F.concat(F.lit("https://doi.org/"), "doi").alias("doi"),
     )
-    papers = paper_view(spark, sf_dir).join(word_positions(spark, sf_dir), "doc_id", "left")
+    papers = with_word_index(paper_view(spark, sf_dir), "abstract")
     return papers.withColumn("payload", _damaged(F.to_json(item), typed_field="id")).selectExpr(*_ROW, "payload")
 
 
@@ -392,7 +407,7 @@ LANDED = {
 
 @query("inverted_abstract", f"SELECT doc_id, {WORDS_SQL.format('text')} AS abstract FROM documents")
 def _inverted_abstract(spark, sf_dir):
-    indexed = documents(spark, sf_dir).select("doc_id").join(word_positions(spark, sf_dir), "doc_id", "left")
+    indexed = with_word_index(documents(spark, sf_dir).select("doc_id", "text"), "text")
     return payloads.with_inverted_abstract(indexed, F.col("word_index")).select("doc_id", "abstract")
 
 

@@ -44,8 +44,12 @@ def search_papers(
     year_to: int | None = None,
     topic: str = "topic",
 ) -> DataFrame:
-    """Search results for every topic among the landed ``hits``, each topic newest first."""
-    capped = per_source_cap(restrict_sources(hits, sources), check_cap(max_results), by=[topic])
+    """Search results for every topic among the landed ``hits``, each topic newest first.
+
+    The hits within the cap are stored before they are used: the dedupe and the sort read them several times, and what
+    leads to them, such as the parsing of payloads, is work on all hits.
+    """
+    capped = cut_lineage(per_source_cap(restrict_sources(hits, sources), check_cap(max_results), by=[topic]))
     return recency_sort(refine_hits(capped, year_from, year_to, topic), by=[topic])
 
 
