@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,15 +105,17 @@ def call_model(
         each = (time.perf_counter() - started) * 1000 / max(len(texts), 1)
         return [(answer, None, each) for answer in answers]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of a batch, only the prompts of one call become Python texts at a time.
         for batch in batches:
-            texts = batch[prompt_col].tolist()
-            asked = [answer for at in range(0, len(texts), batch_size) for answer in ask(texts[at : at + batch_size])]
-            answers = pd.DataFrame(asked, columns=columns[len(keys) :], index=batch.index)
-            yield pd.concat([batch[list(keys)], answers], axis=1)
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
+                raw, errors, latencies = zip(*ask(part.column(prompt_col).to_pylist()), strict=True)
+                answers = [pa.array(raw, pa.string()), pa.array(errors, pa.string()), pa.array(latencies, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(key) for key in keys), *answers], names=columns)
 
     asked = prompts.select(*keys, prompt_col).repartition(calls or prompts.sparkSession.sparkContext.defaultParallelism)
-    return cut_lineage(asked.mapInPandas(run, schema))
+    return cut_lineage(asked.mapInArrow(run, schema))
 
 
 def _field(document: Column, name: str) -> Column:
