@@ -27,7 +27,7 @@ def create_kept(keyed: DataFrame, path: str, bucket_entries: int = BUCKET_ROWS)
     """
     kept = first_wins(keyed).withColumn("kept", F.lit(True))
     rows = keyed.join(kept, ROW, "left").select(*ROW, "doi_key", "title_key", F.coalesce("kept", F.lit(False)).alias("kept"))
-    BucketFolders.create(_entries(rows), path, KEY, bucket_entries)
+    BucketFolders.create(cut_lineage(_entries(rows)), path, KEY, bucket_entries)
 
 
 def kept_rows(spark: SparkSession, path: str) -> DataFrame:

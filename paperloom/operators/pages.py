@@ -31,14 +31,19 @@ def _stripped(pages: DataFrame) -> DataFrame:
     )
 
 
-def block_spans(pages: DataFrame) -> DataFrame:
-    """Per (paper_id, block): where the block starts in the full text, plus document totals.
+def page_lengths(pages: DataFrame) -> DataFrame:
+    """Pages without their texts: ``(paper_id, page_no, length, block)``, all that block spans are made of."""
+    return _stripped(pages).select("paper_id", "page_no", F.char_length("text").alias("length"), "block")
+
+
+def block_spans(lengths: DataFrame) -> DataFrame:
+    """Per (paper_id, block): where the block starts in the full text, plus document totals, from :func:`page_lengths`.
 
     At most PAGES_PER_BLOCK page lengths meet in one group; everything above that works on one row per block.
     """
     gap = len(SEPARATOR)
-    lengths = _stripped(pages).groupBy("paper_id", "block").agg(
-        F.sort_array(F.collect_list(F.struct("page_no", F.char_length("text").alias("length")))).alias("pages")
+    lengths = lengths.groupBy("paper_id", "block").agg(
+        F.sort_array(F.collect_list(F.struct("page_no", "length"))).alias("pages")
     )
     filled = F.transform("pages", lambda page: page["length"] > 0)
     per_block = lengths.select(
@@ -97,7 +102,7 @@ def page_spans(
     ``char_start`` places the stripped page in the full text, ``text_from``/``text_to`` bound its stripped form, and
     ``status`` is the gate result of the document.  Page numbers must be unique within a document.
     """
-    blocks = block_spans(pages) if blocks is None else blocks
+    blocks = block_spans(page_lengths(pages)) if blocks is None else blocks
     spans = _stripped(pages).join(blocks, ["paper_id", "block"])
     earlier = W.partitionBy("paper_id", "block").orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.char_length("text") + len(SEPARATOR)).over(earlier), F.lit(0))
@@ -168,7 +173,8 @@ def chunk_pages(spans: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     text = strip(F.array_join(F.transform("parts", lambda part: part["fragment"]), ""))
     written = cut_lineage(windows.select("paper_id", "window", text.alias("text")))
     # Only a blank window makes the chunk numbers of its paper differ from the window numbers.
-    gaps = written.where("text = ''").select("paper_id").distinct()
+    # Mostly few: stored, so that Spark knows their size and need not shuffle all windows to find out.
+    gaps = cut_lineage(written.where("text = ''").select("paper_id").distinct())
     dense = written.join(gaps, "paper_id", "left_anti").select(
         "paper_id", F.col("window").cast("int").alias("chunk_index"), "text"
     )

@@ -79,13 +79,13 @@ class BucketFolders:
 
     @classmethod
     def create(cls, rows: DataFrame, path: str, keys: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> BucketFolders:
+        """Lay out ``rows``, which are read twice: once to be counted."""
         spark = rows.sparkSession
-        stored = cut_lineage(rows)
-        spark.createDataFrame([(list(keys), _buckets(stored, bucket_rows))], "keys array<string>, buckets int").write.parquet(f"{path}/layout")
+        spark.createDataFrame([(list(keys), _buckets(rows, bucket_rows))], "keys array<string>, buckets int").write.parquet(f"{path}/layout")
         # The rows of an empty table have no folder that could tell their columns.
-        stored.limit(0).write.parquet(f"{path}/kind")
+        spark.createDataFrame([], rows.schema).write.parquet(f"{path}/kind")
         folders = cls(spark, path)
-        folders._placed(stored).write.partitionBy("bucket").parquet(f"{path}/rows")
+        folders._placed(rows).write.partitionBy("bucket").parquet(f"{path}/rows")
         return folders
 
     def bucket(self) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import paper_id, present
-from paperloom.operators.pages import block_spans, block_status, chunk_pages, document_status, page_spans
+from paperloom.operators.pages import block_spans, block_status, chunk_pages, document_status, page_lengths, page_spans
 from paperloom.operators.store import chunk_count, latest_per_key, with_chunk_ids
 from paperloom.schemas import (
     ALREADY_CACHED,
@@ -107,7 +107,7 @@ def ingest_papers(
     """
     metadata = latest_per_key(papers, "paper_id", seq)
     known = cut_lineage(known_flags(metadata, fetches, done, force))
-    blocks = cut_lineage(block_spans(readable_pages(pages, known)))
+    blocks = cut_lineage(block_spans(readable_pages(page_lengths(pages), known)))
     flags = with_gate(known, block_status(blocks, min_chars))
     judged = flags.withColumn("status", ingest_status())
     fresh = judged.where(F.col("status") == SUCCESS).select("paper_id", "title")

@@ -32,6 +32,12 @@ def stored_markers(papers: DataFrame, layout: BucketFolders, root: str, before_b
     return written.where((F.col("batch_id") < before_batch) & F.col("bucket").isin(numbers)).drop("batch_id", "bucket")
 
 
+def _read(limits: dict) -> list[str]:
+    """The columns of papers that an ingest reads, short of the metadata, which the stream does not keep."""
+    seq = limits.get("seq", "seq")
+    return list(dict.fromkeys(["paper_id", "title", "pdf_url", *([seq] if isinstance(seq, str) else seq)]))
+
+
 def start_ingest(arrivals: DataFrame, fetches: DataFrame, pages: BucketFolders, root: str, **limits):
     """Run :func:`ingest_papers` on every micro-batch of the stream ``arrivals`` and return the running query.
 
@@ -42,8 +48,9 @@ def start_ingest(arrivals: DataFrame, fetches: DataFrame, pages: BucketFolders,
     """
 
     def ingest_batch(batch: DataFrame, batch_id: int) -> None:
-        asked = cut_lineage(batch)
-        own = pages.of(asked.where(F.col("paper_id").isNotNull()))
+        asked = cut_lineage(batch.select(*_read(limits)))
+        # Pages of other papers in these buckets are left out by the joins of the ingest.
+        own = pages.around(asked.where(F.col("paper_id").isNotNull())).drop("bucket")
         done = stored_markers(asked, pages, root, batch_id)
         result = ingest_papers(asked, fetches, own, done, **limits)
         for name, frame in (("log", result.log), ("chunks", result.chunks)):
@@ -76,6 +83,6 @@ def replay_ingest(
     laid_out = BucketFolders.create(pages, f"{root}/pages", ["paper_id"], bucket_rows)
     store_markers(markers, laid_out, root, -1)
     part = F.pmod(F.xxhash64("paper_id"), F.lit(batches))
-    parts = [papers.where(part == number) for number in range(batches)]
+    parts = [papers.where(part == number).select(*_read(limits)) for number in range(batches)]
     replay(parts, f"{root}/landing", lambda arrivals: start_ingest(arrivals, fetches, laid_out, root, **limits))
     return ingest_log(spark, root)
