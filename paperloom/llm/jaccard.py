@@ -12,12 +12,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WordHashes, by_batch, mix, rolled, smallest_reachable, texts
+from paperloom.llm.common import by_batch, mix, rolled, smallest_reachable, texts, word_hashes
 from paperloom.session import cut_lineage
 
 WORDS = 3
 PERCENT = 90
-_hashes = WordHashes()
 #: Elements of the sets that a worker keeps while it checks pairs.
 KEPT_ELEMENTS = 4_000_000
 #: Signatures that a task packs at a time, rows of packed ones in an Arrow batch, buckets for each shuffle partition.
@@ -26,7 +25,7 @@ PACKED_ROWS = 256
 BUCKETS = 8
 #: Members of a signature that a block holds on average, and pairs that a task compares at a time.
 BLOCK_MEMBERS = 1024
-PAIRS_AT_A_TIME = 1_000_000
+PAIRS_AT_A_TIME = 250_000
 #: Nearest partners that a member names in the first round of pairs, and how many times more in each further one.
 NEAREST = 4
 FURTHER = 64
@@ -35,7 +34,7 @@ SKETCH_SALT = 0x5851F42D4C957F2D
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word n-grams, ASCII letters in lower case."""
-    hashes = _hashes.of(text.lower().split())
+    hashes = word_hashes(text.lower().split())
     return np.unique(rolled(hashes, min(words, len(hashes)))) if len(hashes) else hashes
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WordHashes, by_batch, kinds_of, mix, rolled, row_key, texts
+from paperloom.llm.common import by_batch, kinds_of, mix, rolled, row_key, texts, word_hashes
 from paperloom.session import cut_lineage
 
 WINDOW = 35
@@ -19,13 +19,12 @@ MINIMISER = 9
 #: Windows of a minimiser that recurs more often travel one by one, by their content.
 HOT = 20_000
 KEYS = ["doc_id", "row_key"]
-_hashes = WordHashes()
 
 
 def runs(words: list[bytes], window: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and minimiser of every super-k-mer: consecutive windows whose smallest hash of
     ``width`` words, the leftmost of equal ones, stands at the same place. No two windows of one are equal."""
-    order = mix(rolled(_hashes.of(words), width))
+    order = mix(rolled(word_hashes(words), width))
     count, inside = len(words) - window + 1, window - width + 1
     if count <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)

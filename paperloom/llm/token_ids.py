@@ -8,6 +8,8 @@ from functools import cache
 
 import numpy as np
 
+from paperloom.llm.common import Remembered
+
 #: Appended to every document.
 END_ID = 1
 #: Words and cores a worker remembers before it starts anew.
@@ -40,7 +42,8 @@ class Encoder:
         self.model = self.tokenizer.model
         hidden = iter(range(256, 512))
         self.letters = [chr(byte if byte in SHOWN else next(hidden)) for byte in range(256)]
-        self.words, self.pieces = _Memory(self._word), _Memory(self._piece)
+        self.words = Remembered("token ids", self._word, REMEMBERED)
+        self.pieces = Remembered("token ids", self._piece, REMEMBERED)
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids, the end id last."""
@@ -60,18 +63,6 @@ class Encoder:
         return np.array([token.id for token in self.model.tokenize(shown)], "<u4").tobytes()
 
 
-class _Memory(dict):
-    def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[key] = self.compute(key)
-        return value
-
-
 @cache
 def encoder(path: str) -> Encoder:
     """The worker's encoder; it stays with the process."""
