@@ -14,6 +14,7 @@ from paperloom.operators.metrics import (
     run_report,
     ttl_dedupe,
 )
+from paperloom.streaming import cache
 from paperloom.streaming.replay import replay, time_slices
 from paperloom.streaming.metrics import latest_output, replay_latency, replay_rate_limits, replay_ttl_dedupe, start_ttl_dedupe
 
@@ -99,6 +100,29 @@ def test_cache_replay_as_a_stream(spark, parts):
     assert set(found) == passing(rows, 20 * MICROS)
 
 
+@pytest.mark.parametrize("keep", [None, "1000 seconds"])
+def test_keys_of_a_group_share_calls_and_state(spark, monkeypatch, keep):
+    """Two groups for all keys, a null one and an empty one among them: calls do not grow with the keys."""
+    monkeypatch.setattr(cache, "KEY_GROUPS", 2)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(cache.PassingSearches):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            return super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(cache, "PassingSearches", Counted)
+    rows = [row for row in searches(spark, 2)[0] if row[1]]
+    frame = spark.createDataFrame(rows, "cache_key string, asked_us bigint")
+    odd = [(None, 5 * MICROS), (None, 9 * MICROS), (None, 40 * MICROS), ("", 5 * MICROS)]
+    frame = frame.union(spark.createDataFrame(odd, frame.schema))
+    found = [tuple(row) for row in replay_ttl_dedupe(frame, ttl_seconds=20, parts=2, keep=keep).collect()]
+    assert len(found) == len(set(found))
+    known = passing(rows, 20 * MICROS) | {(None, 5 * MICROS), (None, 40 * MICROS), ("", 5 * MICROS)}
+    assert set(found) == known
+    assert 0 < calls.value <= 2 * 2
+
+
 def test_a_late_search_takes_answers_back(spark, tmp_path):
     """Each part is one search; the answers after every part are those of the walk over all until then."""
     root = str(tmp_path)
