@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from paperloom.llm.common import row_key, table
+from paperloom.llm.common import bound_batches, row_key, table
 from paperloom.llm.decontamination import find_leaks
 from paperloom.llm.jaccard import near_duplicates
 from paperloom.llm.language import predictions, train, training_sample
@@ -77,11 +77,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is empty, repeated rows are packed each, very long texts in several pieces. Further columns are ignored, an
     empty table gives no rows.
     """
+    bound_batches(spark)
     return pack_documents(docs)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     """``docs`` with columns besides those of documents named by their place, so that no name clashes or needs quotes."""
+    bound_batches(docs.sparkSession)
     own = ("doc_id", "text", "lang", "source", "n_chars")
     return docs.toDF(*[name if name in own else f"carried_{place}" for place, name in enumerate(docs.columns)])
 

@@ -12,15 +12,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import by_batch, mix, rolled, smallest_reachable, texts, word_hashes
+from paperloom.llm.common import by_batch, give_back, mix, rolled, smallest_reachable, texts, word_hashes
 from paperloom.session import cut_lineage
 
 WORDS = 3
 PERCENT = 90
 #: Elements of the sets that a worker keeps while it checks pairs.
-KEPT_ELEMENTS = 4_000_000
+KEPT_ELEMENTS = 2_000_000
 #: Signatures that a task packs at a time, rows of packed ones in an Arrow batch, buckets for each shuffle partition.
-HELD_SIGNATURES = 1_000_000
+HELD_SIGNATURES = 500_000
 PACKED_ROWS = 256
 BUCKETS = 8
 #: Members of a signature that a block holds on average, and pairs that a task compares at a time.
@@ -259,6 +259,8 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     signed.clear()
             yield pa.RecordBatch.from_pylist(sizes, packed)
         yield from flushed()
+        held, signed = [], set()
+        give_back()
 
     kind = "bucket int, base long, width int, signatures binary, doc_ids binary, shared binary, leaders binary, doc_id long, n_shingles long, sketch binary, digest binary"
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signatures, kind)
@@ -436,6 +438,8 @@ def _linked(near: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                 same = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) else 0
                 kept.append(bool(same) and 100 * same >= percent * (len(a) + len(b) - same))
             yield batch.select(["a", "b"]).filter(pa.array(kept))
+        known = {}
+        give_back()
 
     near = cut_lineage(near)
     ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()

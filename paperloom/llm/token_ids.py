@@ -8,12 +8,12 @@ from functools import cache
 
 import numpy as np
 
-from paperloom.llm.common import Remembered
+from paperloom.llm.common import Remembered, give_back
 
 #: Appended to every document.
 END_ID = 1
 #: Words and cores a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: Letters below this lower-case one by one, whatever stands beside them.
 LATIN_END = chr(0x250)
 #: Fixed value of the byte-level alphabet: bytes shown as themselves; the others follow from 256 on in their order.
@@ -65,5 +65,7 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """The worker's encoder; it stays with the process."""
-    return Encoder(path)
+    """The worker's encoder; it stays with the process, what reading its file took does not."""
+    made = Encoder(path)
+    give_back()
+    return made
