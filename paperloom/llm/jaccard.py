@@ -357,7 +357,7 @@ def _compared(rows: pa.Table, percent: int, nearest: int | None = None) -> pa.Ta
         for code in np.unique(both):
             chosen = np.flatnonzero(both == code)
             left, right_ = tables[code // len(kinds)], tables[code % len(kinds)]
-            step = max(PAIRS_AT_A_TIME * 8 // max(left.shape[1], right_.shape[1]), 1)
+            step = max(PAIRS_AT_A_TIME * 2 // max(left.shape[1], right_.shape[1]), 1)
             for first in range(0, len(chosen), step):
                 some = chosen[first : first + step]
                 least[some] = least_differences(left[within[one[some]]], right_[within[other[some]]])
