@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import by_batch, texts
+from paperloom.llm.common import by_batch
 from paperloom.llm.token_ids import default_path, encoder
 from paperloom.session import fresh_path
 
@@ -73,18 +73,19 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None,
     file = tokenizer or default_path()
 
     def cut(batch: pa.RecordBatch) -> dict[str, object]:
-        encode = encoder(file).encode
+        ids, counts = encoder(file).encode_all(batch.column("text"))
+        ids, place = memoryview(ids.tobytes()), 0
         doc_ids, numbers, starts, lengths, sums, held = [], [], [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            ids = encode(text)
-            for number, start in enumerate(range(0, len(ids), 4 * size)):
-                own = ids[start : start + 4 * size]
+        for doc_id, count in zip(batch.column("doc_id").to_pylist(), (4 * counts).tolist(), strict=True):
+            of, place = ids[place : place + count], place + count
+            for number, start in enumerate(range(0, count, 4 * size)):
+                own = of[start : start + 4 * size]
                 doc_ids.append(doc_id)
                 numbers.append(number)
                 starts.append(start // 4)
                 lengths.append(len(own) // 4)
                 sums.append(zlib.crc32(own))
-                held.append(own if with_ids else None)
+                held.append(bytes(own) if with_ids else None)
         columns = {
             "doc_id": pa.array(doc_ids, pa.int64()),
             "piece": pa.array(numbers, pa.int32()),

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import row_key, texts
+from paperloom.llm.common import row_key
 from paperloom.llm.token_ids import default_path, encoder
 
 BLOCK = 256
@@ -143,23 +143,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None)
     ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("row_key")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(file).encode, TaskContext.get().partitionId()
+        encode_all, part = encoder(file).encode_all, TaskContext.get().partitionId()
         held, doc_ids, sizes, total, number, first = [], [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = (part, number, first, total, doc_ids, sizes, pack(ids))
+            row = (part, number, first, total, doc_ids, sizes, pack(np.concatenate(held)))
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2, pa.binary())
             names = [column.split()[0] for column in SEGMENTS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = encode(text)
-                held.append(ids)
+            ids, counts = encode_all(batch.column("text"))
+            own = np.split(ids, np.cumsum(counts)[:-1])
+            for doc_id, size, of in zip(batch.column("doc_id").to_pylist(), counts.tolist(), own, strict=True):
+                held.append(of)
                 doc_ids.append(doc_id)
-                sizes.append(len(ids) // 4)
-                total += sizes[-1]
+                sizes.append(size)
+                total += size
                 if total >= SEGMENT_IDS:
                     yield closed()
                     first, number = first + total, number + 1

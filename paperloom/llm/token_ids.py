@@ -1,4 +1,4 @@
-"""Token ids of texts by a public tokenizer, each distinct word encoded once per worker."""
+"""Token ids of texts by a public tokenizer, each distinct word of a batch encoded once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import string
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from paperloom.llm.common import Remembered, give_back
 
@@ -18,6 +20,28 @@ REMEMBERED = 150_000
 LATIN_END = chr(0x250)
 #: Fixed value of the byte-level alphabet: bytes shown as themselves; the others follow from 256 on in their order.
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Pieces given to the tokenizer at a time.
+PIECES_AT_ONCE = 16_384
+
+
+def _simple_words() -> str:
+    """Pattern of the words that are letters, in its ``core``, and then ASCII punctuation, in its ``tail``."""
+    letters = [chr(code) for code in range(ord(LATIN_END)) if chr(code).isalpha() and chr(code).lower().isalpha()]
+    lowered = pc.utf8_lower(pa.array(letters)).to_pylist()
+    letters = [letter for letter, low in zip(letters, lowered, strict=True) if low == letter.lower()]
+    marks = "".join(f"\\{mark}" for mark in string.punctuation)
+    return f"\\A(?P<core>[{''.join(letters)}]+)(?P<tail>[{marks}]*)\\z"
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[start : start + size]`` of every run, one after another."""
+    places = np.repeat(starts - _starts(sizes), sizes)
+    places += np.arange(len(places), dtype=np.int32)
+    return values[places]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes, dtype=np.int32) - sizes
 
 
 def default_path() -> str:
@@ -36,17 +60,74 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.plain = Tokenizer(self.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary, suffix = self.plain.get_vocab(), self.model.end_of_word_suffix
+        #: Whether an id is the last of its piece.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[number for token, number in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.simple = _simple_words()
         hidden = iter(range(256, 512))
         self.letters = [chr(byte if byte in SHOWN else next(hidden)) for byte in range(256)]
+        self.shown = np.array([ord(letter) for letter in self.letters], "<u4")
+        self.shown[ord(" ")] = ord(" ")
         self.words = Remembered("token ids", self._word, REMEMBERED)
         self.pieces = Remembered("token ids", self._piece, REMEMBERED)
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` one after another, the end id after each, and the number of ids of each; null is empty.
+
+        Every distinct word of them is looked at once. The pieces of words that are letters and then ASCII punctuation go
+        through the tokenizer's model together; other words one by one, and they are remembered.
+        """
+        self.words.claim()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        found = split.flatten().dictionary_encode()
+        distinct = found.dictionary
+        parts = pc.extract_regex(distinct, self.simple)
+        simple = parts.is_valid()
+        is_simple, parts = simple.to_numpy(zero_copy_only=False), parts.drop_null()
+        pieces = pa.concat_arrays([pc.utf8_lower(parts.field("core")), parts.field("tail")]).dictionary_encode()
+        ids, sizes = self._pieces(pieces.dictionary)
+        odd = [self.words[word] for word in distinct.filter(pc.invert(simple)).cast(pa.binary()).to_pylist()]
+        # Each word is two runs of these ids; the end of a text is one more word.
+        first_odd, end = len(sizes), len(sizes) + len(odd)
+        ids = np.concatenate([ids, np.frombuffer(b"".join(odd), "<u4"), [END_ID]]).astype("<u4")
+        sizes = np.concatenate([sizes, [len(word) // 4 for word in odd], [1, 0]]).astype(np.int32)
+        runs = np.full((len(distinct) + 1, 2), end + 1)
+        runs[:-1][is_simple] = pieces.indices.to_numpy().reshape(2, -1).T
+        runs[:-1, 0][~is_simple] = np.arange(first_odd, end)
+        runs[-1, 0] = end
+        ids, sizes = _runs(ids, _starts(sizes)[runs].ravel(), sizes[runs].ravel()), sizes[runs].sum(axis=1, dtype=np.int32)
+        bounds = split.offsets.to_numpy()
+        words = np.insert(found.indices.to_numpy(), bounds[1:], len(distinct))
+        ids, sizes = _runs(ids, _starts(sizes)[words], sizes[words]), sizes[words]
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        return ids, np.diff(ends[bounds + np.arange(len(bounds))])
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one after another, and the number of ids of each; one piece may be empty."""
+        ids, sizes = [np.empty(0, "<u4")], np.zeros(len(pieces), np.int32)
+        full = np.flatnonzero(pc.binary_length(pieces).to_numpy())
+        for start in range(0, len(full), PIECES_AT_ONCE):
+            own = full[start : start + PIECES_AT_ONCE]
+            named = pieces.take(pa.array(own)).to_pylist()
+            shown = self.shown[np.frombuffer(" ".join(named).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            got = np.array(self.plain.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) != len(own):  # a model that does not mark the ends of its pieces
+                each = [self._piece(piece) for piece in named]
+                got, ends = np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(piece) // 4 for piece in each])
+            ids.append(got)
+            sizes[own] = np.diff(ends, prepend=0)
+        return np.concatenate(ids), sizes
+
     def encode(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids, the end id last."""
+        """Little-endian 32-bit ids of one text, the end id last."""
         return b"".join(map(self.words.__getitem__, text.split())) + END_ID.to_bytes(4, "little")
 
     def _word(self, word: bytes) -> bytes:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -37,6 +38,32 @@ def test_words_give_the_ids_of_the_whole_text(tokenizer, spark):
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == ids_of(tokenizer, text), text
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_columns_give_the_ids_of_each_text(tokenizer, spark, marked):
+    encoder = Encoder(default_path())
+    if not marked:
+        encoder.last[:] = False
+    given = [row.text for row in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
+    letters = [chr(code) for code in range(0x260) if chr(code).isalpha()]
+    given += [*ODD, None, "  a\n\nb\t ", "x\ny", " ".join(f"a{letter}B,) {letter}" for letter in letters), "x\u0301 n\u0303! e\u0301"]
+    for texts in (given, [], [None], ["", " "], given[::-1]):
+        ids, sizes = encoder.encode_all(pa.array(texts, pa.string()))
+        want = [ids_of(tokenizer, text) for text in texts]
+        assert sizes.tolist() == [len(own) for own in want]
+        assert ids.tolist() == [number for own in want for number in own]
+    ids, sizes = encoder.encode_all(pa.array(given, pa.string()).slice(3, 4))
+    assert ids.tolist() == [number for text in given[3:7] for number in ids_of(tokenizer, text)]
+
+
+def test_new_words_go_through_the_model_together():
+    """Each of them cost a call and several objects."""
+    encoder = Encoder(default_path())
+    names = ["".join(chr(97 + ord(digit) - 48) for digit in f"{n:05}") for n in range(20_000)]
+    ids, _ = encoder.encode_all(pa.array([" ".join(f"{name.title()}," for name in names), "1a"], pa.string()))
+    assert list(encoder.words) == [b"1a"] and not encoder.pieces
+    assert ids.tobytes() == b"".join(encoder.encode(text.encode()) for text in (" ".join(f"{name}," for name in names), "1a"))
+
+
 @pytest.mark.parametrize("top", [1, 2, 200, 49_408, 2**32])
 @pytest.mark.parametrize("count", [0, 1, 255, 256, 257, 5_000])
 def test_segment_round_trip(top, count):
