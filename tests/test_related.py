@@ -3,7 +3,9 @@ from collections import defaultdict
 
 import pytest
 
+from paperloom.operators import related
 from paperloom.operators.related import WEIGHT_UNIT, related_top_k
+from paperloom.session import cut_lineage
 
 EDGE = "paper_id long, rel string, name string"
 M, D = "USES_METHOD", "EVALUATED_ON"
@@ -59,6 +61,29 @@ def test_hot_entity_gives_no_quadratic_rows(spark):
     }
 
 
+@pytest.mark.parametrize("k, bound", [(1, 2), (3, 4), (2, 30), (4, 60)])
+def test_equals_all_pairs_whatever_is_hot(spark, k, bound):
+    dice = random.Random(bound)
+    rows = [(paper, dice.choice((M, D)), f"n{int(dice.paretovariate(0.5)) % 25}") for paper in range(60) for _ in range(5)]
+    rows += [(paper, M, "all") for paper in range(0, 60, 2)] + [(paper, D, f"pair{paper // 2}") for paper in range(20)]
+    assert found(spark, rows, k, bound) == brute(rows, k)
+
+
+def test_hot_entities_cost_nothing_beside_rarer_ones(spark, monkeypatch):
+    """Each use of an entity was a row with both lists of its paper, written and dealt out several times."""
+    rows = [(paper, D, f"d{paper // 6}") for paper in range(60)] + [(paper, M, f"hot{n}") for paper in range(60) for n in range(3)]
+    written = []
+
+    def counted(df):
+        stored = cut_lineage(df)
+        written.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(related, "cut_lineage", counted)
+    assert found(spark, rows, 3, 8) == brute(rows, 3)
+    assert sum(written) <= 60 + 13
+
+
 def test_nothing_shared(spark):
     assert found(spark, [(1, M, "a"), (2, M, "b")], 2, 4) == set()
     assert related_top_k(spark.createDataFrame([], EDGE)).count() == 0
