@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -73,19 +74,21 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None,
     file = tokenizer or default_path()
 
     def cut(batch: pa.RecordBatch) -> dict[str, object]:
-        ids, counts = encoder(file).encode_all(batch.column("text"))
-        ids, place = memoryview(ids.tobytes()), 0
+        names = iter(batch.column("doc_id").to_pylist())
         doc_ids, numbers, starts, lengths, sums, held = [], [], [], [], [], []
-        for doc_id, count in zip(batch.column("doc_id").to_pylist(), (4 * counts).tolist(), strict=True):
-            of, place = ids[place : place + count], place + count
-            for number, start in enumerate(range(0, count, 4 * size)):
-                own = of[start : start + 4 * size]
-                doc_ids.append(doc_id)
-                numbers.append(number)
-                starts.append(start // 4)
-                lengths.append(len(own) // 4)
-                sums.append(zlib.crc32(own))
-                held.append(bytes(own) if with_ids else None)
+        for ids, counts in encoder(file).encode_all(batch.column("text")):
+            ids, place = memoryview(ids.view(np.uint8)), 0
+            for count in (4 * counts).tolist():
+                doc_id, of = next(names), ids[place : place + count]
+                place += count
+                for number, start in enumerate(range(0, count, 4 * size)):
+                    own = of[start : start + 4 * size]
+                    doc_ids.append(doc_id)
+                    numbers.append(number)
+                    starts.append(start // 4)
+                    lengths.append(len(own) // 4)
+                    sums.append(zlib.crc32(own))
+                    held.append(bytes(own) if with_ids else None)
         columns = {
             "doc_id": pa.array(doc_ids, pa.int64()),
             "piece": pa.array(numbers, pa.int32()),

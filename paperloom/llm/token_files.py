@@ -153,17 +153,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
-            ids, counts = encode_all(batch.column("text"))
-            own = np.split(ids, np.cumsum(counts)[:-1])
-            for doc_id, size, of in zip(batch.column("doc_id").to_pylist(), counts.tolist(), own, strict=True):
-                held.append(of)
-                doc_ids.append(doc_id)
-                sizes.append(size)
-                total += size
-                if total >= SEGMENT_IDS:
-                    yield closed()
-                    first, number = first + total, number + 1
-                    held, doc_ids, sizes, total = [], [], [], 0
+            numbers = iter(batch.column("doc_id").to_pylist())
+            for ids, counts in encode_all(batch.column("text")):
+                place = 0
+                for size in counts.tolist():
+                    held.append(ids[place : place + size])
+                    doc_ids.append(next(numbers))
+                    sizes.append(size)
+                    total += size
+                    place += size
+                    if total >= SEGMENT_IDS:
+                        yield closed()
+                        first, number = first + total, number + 1
+                        held, doc_ids, sizes, total = [], [], [], 0
         if held:
             yield closed()
 

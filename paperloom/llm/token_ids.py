@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import string
+from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,9 @@ REMEMBERED = 150_000
 LATIN_END = chr(0x250)
 #: Fixed value of the byte-level alphabet: bytes shown as themselves; the others follow from 256 on in their order.
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Pieces given to the tokenizer at a time.
-PIECES_AT_ONCE = 16_384
+#: Pieces given to the tokenizer at a time, bytes of text that are split and runs that are copied at a time: workers hold
+#: several times as much.
+PIECES_AT_ONCE, BYTES_AT_ONCE, RUNS_AT_ONCE = 4_096, 2 << 20, 1 << 16
 
 
 def _simple_words() -> str:
@@ -35,9 +38,14 @@ def _simple_words() -> str:
 
 def _runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``values[start : start + size]`` of every run, one after another."""
-    places = np.repeat(starts - _starts(sizes), sizes)
-    places += np.arange(len(places), dtype=np.int32)
-    return values[places]
+    out, filled = np.empty(sizes.sum(dtype=np.int64), values.dtype), 0
+    for first in range(0, len(sizes), RUNS_AT_ONCE):
+        of = sizes[first : first + RUNS_AT_ONCE]
+        places = np.repeat(starts[first : first + RUNS_AT_ONCE] - _starts(of), of)
+        places += np.arange(len(places), dtype=np.int32)
+        out[filled : filled + len(places)] = values[places]
+        filled += len(places)
+    return out
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -78,14 +86,22 @@ class Encoder:
         self.words = Remembered("token ids", self._word, REMEMBERED)
         self.pieces = Remembered("token ids", self._piece, REMEMBERED)
 
-    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of all ``texts`` one after another, the end id after each, and the number of ids of each; null is empty.
 
-        Every distinct word of them is looked at once. The pieces of words that are letters and then ASCII punctuation go
-        through the tokenizer's model together; other words one by one, and they are remembered.
+        They come for as many texts at a time as have BYTES_AT_ONCE, or for one that has more. Every distinct word of those
+        is looked at once. The pieces of words that are letters and then ASCII punctuation go through the tokenizer's model
+        together; other words one by one, and they are remembered.
         """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        bounds = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // BYTES_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(bounds)) + 1).tolist(), len(texts)]
+        for first, last in pairwise(cuts):
+            yield self._encoded(texts.slice(first, last - first))
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         self.words.claim()
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        split = pc.ascii_split_whitespace(texts)
         found = split.flatten().dictionary_encode()
         distinct = found.dictionary
         parts = pc.extract_regex(distinct, self.simple)

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from paperloom.llm import token_ids
 from paperloom.llm.packing import OpenBins, pack_documents
 from paperloom.llm.queries import QUERIES
 from paperloom.llm.token_files import pack, read_token_files, unpack, write_token_files
@@ -38,8 +39,15 @@ def test_words_give_the_ids_of_the_whole_text(tokenizer, spark):
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == ids_of(tokenizer, text), text
 
 
-@pytest.mark.parametrize("marked", [True, False])
-def test_columns_give_the_ids_of_each_text(tokenizer, spark, marked):
+def encoded(encoder, texts):
+    parts = list(encoder.encode_all(texts))
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([sizes for _, sizes in parts])
+
+
+@pytest.mark.parametrize("marked, at_once", [(True, 2 << 20), (True, 700), (False, 2 << 20)])
+def test_columns_give_the_ids_of_each_text(tokenizer, spark, monkeypatch, marked, at_once):
+    monkeypatch.setattr(token_ids, "BYTES_AT_ONCE", at_once)
+    monkeypatch.setattr(token_ids, "RUNS_AT_ONCE", 50)
     encoder = Encoder(default_path())
     if not marked:
         encoder.last[:] = False
@@ -47,11 +55,11 @@ def test_columns_give_the_ids_of_each_text(tokenizer, spark, marked):
     letters = [chr(code) for code in range(0x260) if chr(code).isalpha()]
     given += [*ODD, None, "  a\n\nb\t ", "x\ny", " ".join(f"a{letter}B,) {letter}" for letter in letters), "x\u0301 n\u0303! e\u0301"]
     for texts in (given, [], [None], ["", " "], given[::-1]):
-        ids, sizes = encoder.encode_all(pa.array(texts, pa.string()))
+        ids, sizes = encoded(encoder, pa.array(texts, pa.string()))
         want = [ids_of(tokenizer, text) for text in texts]
         assert sizes.tolist() == [len(own) for own in want]
         assert ids.tolist() == [number for own in want for number in own]
-    ids, sizes = encoder.encode_all(pa.array(given, pa.string()).slice(3, 4))
+    ids, sizes = encoded(encoder, pa.array(given, pa.string()).slice(3, 4))
     assert ids.tolist() == [number for text in given[3:7] for number in ids_of(tokenizer, text)]
 
 
@@ -59,7 +67,7 @@ def test_new_words_go_through_the_model_together():
     """Each of them cost a call and several objects."""
     encoder = Encoder(default_path())
     names = ["".join(chr(97 + ord(digit) - 48) for digit in f"{n:05}") for n in range(20_000)]
-    ids, _ = encoder.encode_all(pa.array([" ".join(f"{name.title()}," for name in names), "1a"], pa.string()))
+    ids, _ = encoded(encoder, pa.array([" ".join(f"{name.title()}," for name in names), "1a"], pa.string()))
     assert list(encoder.words) == [b"1a"] and not encoder.pieces
     assert ids.tobytes() == b"".join(encoder.encode(text.encode()) for text in (" ".join(f"{name}," for name in names), "1a"))
 
@@ -94,6 +102,17 @@ def test_token_files(spark, tokenizer):
         place += row.n_tokens
 
 
+def test_batches_of_several_megabytes(spark):
+    """Their texts are encoded in several parts."""
+    sizes = {n: n * 90_000 + 1 for n in range(12)}
+    docs = spark.createDataFrame([(n, "word " * (size - 1)) for n, size in sizes.items()], "doc_id long, text string").coalesce(1)
+    path = fresh_path(spark, "tokens")
+    write_token_files(docs, path)
+    assert {row.doc_id: row.n_tokens for row in read_token_files(spark, path).collect()} == sizes
+    packed = pack_documents(docs, size=4096).groupBy("doc_id").sum("length").collect()
+    assert {row.doc_id: row[1] for row in packed} == sizes
+
+
 def test_token_files_of_an_empty_table(spark):
     path = fresh_path(spark, "tokens")
     write_token_files(odd_documents(spark).limit(0), path)
