@@ -52,7 +52,8 @@ def entity_lists(edges: DataFrame) -> DataFrame:
     kind = "int" if most < 1 << 31 else "bigint"
     named = _copied(shared.select("rel", "name", F.col("entity").cast(kind), F.col("papers").cast(kind)))
     pairs = F.sort_array(F.collect_list(F.struct("entity", "papers")))
-    found = used.join(named, ["rel", "name", "_salt"]).select("paper_id", "entity", "papers")
+    # Never broadcast: the planner takes the copies for as large as the file they come from, a few bytes a row.
+    found = used.join(named.hint("merge"), ["rel", "name", "_salt"]).select("paper_id", "entity", "papers")
     lists = found.repartition("paper_id").groupBy("paper_id").agg(pairs.alias("pairs"))
     return lists.select("paper_id", F.col("pairs.entity").alias("own"), F.col("pairs.papers").alias("papers"))
 
@@ -68,7 +69,8 @@ def _least_scores(lists: DataFrame, k: int) -> DataFrame:
     ends = F.when(size - hot > 1, F.transform(F.sequence(hot + 2, F.greatest(size, hot + 2)), lambda n: part(n, size)))
     parts = lists.select("paper_id", F.inline(F.concat(begins, F.coalesce(ends, F.slice(begins, 1, 0)))))
     common = parts.groupBy("held").agg(F.count("*").alias("holders")).where(F.col("holders") > k)
-    return parts.join(common, "held").groupBy("paper_id").agg(F.max("worth").alias("least"))
+    # A semi join, as the planner may broadcast its right side only: ``parts`` have many rows for each of the lists it knows.
+    return parts.join(common, "held", "left_semi").groupBy("paper_id").agg(F.max("worth").alias("least"))
 
 
 def _raised(lists: DataFrame, known: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ def _hot_pairs(lists: DataFrame, asking: DataFrame, k: int, list_bound: int) ->
         return places.withColumn("worth", F.element_at("weights", F.col("at")))
 
     wanted = cut_lineage(entities(asking).where(_reachable()).select("last").distinct())
-    level = cut_lineage(entities(lists).join(wanted, "last").withColumn("held", F.array("last")).drop("last"))
+    level = cut_lineage(entities(lists).join(wanted, "last", "left_semi").withColumn("held", F.array("last")).drop("last"))
     lists = cut_lineage(_raised(level.select(*lists.columns).dropDuplicates(["paper_id"]), asking.select("paper_id", "least")))
     level = _raised(level, asking.select("paper_id", "least"))
     asked, listed = [], []

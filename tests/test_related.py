@@ -84,6 +84,23 @@ def test_hot_entities_cost_nothing_beside_rarer_ones(spark, monkeypatch):
     assert sum(written) <= 60 + 13
 
 
+def test_rows_of_lists_are_never_broadcast(spark):
+    """The planner takes rows made of a small file's rows for as small as the file: 16 copies of every entity went to the driver."""
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = [(paper, D, f"d{n}") for paper in range(40) for n in range(paper % 3, 5)]
+    copies = plan(related.entity_lists(spark.createDataFrame(rows, EDGE)))
+    assert "SortMergeJoin [rel" in copies and "BroadcastHashJoin [rel" not in copies
+    lists = [(paper, list(range(n)), [5] * n, 1, 0) for paper in range(40) for n in (2 + paper % 3,)]
+    lists = cut_lineage(spark.createDataFrame(lists, "paper_id long, own array<int>, weights array<long>, least long, cold int"))
+    scores = related._least_scores(lists, 3)
+    assert "LeftSemi" in plan(scores) and "BuildLeft" not in plan(scores)
+    assert {(row.paper_id, row.least) for row in scores.collect()} == {(paper, 5 * (2 + paper % 3)) for paper in range(40)}
+
+
 def test_nothing_shared(spark):
     assert found(spark, [(1, M, "a"), (2, M, "b")], 2, 4) == set()
     assert related_top_k(spark.createDataFrame([], EDGE)).count() == 0
